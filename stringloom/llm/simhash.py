@@ -41,7 +41,7 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1)
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1)
 
 
 def simhash(hashes: np.ndarray) -> int:
