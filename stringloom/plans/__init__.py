@@ -1 +1,8 @@
+"""The registered queries: each operator on the tables, with the SQL that gives the same rows."""
 
+from stringloom.plans import columns, items, kmers, regions, texts, trees
+
+QUERIES, ORACLE_SQL = {}, {}
+for module in (texts, items, columns, kmers, regions, trees):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL

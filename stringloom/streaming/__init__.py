@@ -1 +1 @@
-
+"""Change feeds as Structured Streaming queries."""
