@@ -55,11 +55,12 @@ def mismatches(a: Column, b: Column) -> Column:
 
 def probe_pieces(probes: DataFrame, key: str, data: str, most: int) -> DataFrame:
     """key, probe, seed, shift: most + 1 pieces of each probe, none of which overlap."""
-    n = F.char_length(data)
+    texts = probes.select(F.col(key).alias("probe_id"), F.col(data).alias("_text"))
+    n = F.char_length("_text")
     number = F.least(F.lit(most + 1), F.greatest(n, F.lit(1)))
-    at = lambda i: F.floor(i * n / number).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.struct(F.substring(F.col(data), at(i) + 1, at(i + 1) - at(i)).alias("seed"), at(i).alias("shift")))
-    return probes.select(F.col(key).alias("probe_id"), F.col(data).alias("probe"), F.inline(pieces))
+    at = lambda i: F.call_function("div", i * n, number).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.struct(F.substring(F.col("_text"), at(i) + 1, at(i + 1) - at(i)).alias("seed"), at(i).alias("shift")))
+    return texts.select("probe_id", F.col("_text"), F.inline(pieces)).withColumnRenamed("_text", "probe")
 
 
 def probe_match(probes: DataFrame, probe_key: str, probe: str, items: DataFrame, key: str, data: str, most: int, seed_length: int = 12) -> DataFrame:

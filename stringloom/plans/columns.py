@@ -9,7 +9,7 @@ from stringloom.plans.registry import Registry
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
 
-_CELLS = "SELECT lang, i + 1 AS pos, substr(text, i + 1, 1) AS ch FROM documents, unnest(range(0, length(text))) AS x(i)"
+_CELLS = "SELECT lang, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS ch FROM documents"
 
 
 @_r.query("""

@@ -8,9 +8,18 @@ from stringloom.plans.registry import Registry
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
 
-_COUNTS = """
-    a AS (SELECT item_id, kmer, count(*) AS n FROM (SELECT item_id, substr(text, i, 12) AS kmer FROM benchmark, unnest(range(1, length(text) - 10)) AS x(i)) GROUP BY ALL),
-    b AS (SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, substr(text, i, 12) AS kmer FROM documents, unnest(range(1, length(text) - 10)) AS x(i)) GROUP BY ALL),
+
+
+def _kmers(table: str, key: str, k: int) -> str:
+    """SQL for the k-mers of whole texts: key columns and kmer, from neighbouring characters."""
+    following = " || ".join(f"lead(ch, {i}) OVER w" for i in range(1, k))
+    return f"""SELECT * EXCLUDE (ch, pos) FROM (SELECT *, ch || {following} AS kmer
+        FROM (SELECT {key}, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS ch FROM {table}) WINDOW w AS (PARTITION BY {key} ORDER BY pos)) WHERE kmer IS NOT NULL"""
+
+
+_COUNTS = f"""
+    a AS (SELECT item_id, kmer, count(*) AS n FROM ({_kmers('benchmark', 'item_id', 12)}) GROUP BY ALL),
+    b AS (SELECT doc_id, kmer, count(*) AS n FROM ({_kmers('documents', 'doc_id', 12)}) GROUP BY ALL),
     s AS (SELECT item_id AS source, doc_id AS target, sum(least(a.n, b.n))::BIGINT AS score FROM a JOIN b USING (kmer) GROUP BY ALL)
 """
 
@@ -53,9 +62,9 @@ def probe_matches(table):
     return found.select("probe_id", "doc_id", F.col("position").cast("long").alias("position"), F.col("mismatches").cast("long").alias("mismatches"))
 
 
-@_r.query("""
+@_r.query(f"""
     WITH t AS (SELECT count(*) AS total FROM documents WHERE lang = 'de'),
-         m AS (SELECT DISTINCT doc_id, lang, substr(text, i, 8) AS kmer FROM documents, unnest(range(1, length(text) - 6)) AS x(i)),
+         m AS (SELECT DISTINCT * FROM ({_kmers('documents', 'doc_id, lang', 8)})),
          n AS (SELECT kmer, count(*) FILTER (lang = 'de') AS targets, count(*) FILTER (lang IS DISTINCT FROM 'de') AS others FROM m GROUP BY kmer)
     SELECT kmer, targets, others, length(regexp_replace(upper(kmer), '[^GC]', '', 'g')) AS gc,
            4 * length(regexp_replace(upper(kmer), '[^GC]', '', 'g')) + 2 * length(regexp_replace(upper(kmer), '[^ATU]', '', 'g')) AS temperature
@@ -76,8 +85,8 @@ def gc_and_temperature(table):
     return table("part").select("p_partkey", k.gc_content(c).cast("long").alias("gc"), k.melting_temperature(c).cast("long").alias("temperature"))
 
 
-@_r.query("""
-    WITH m AS (SELECT DISTINCT item_id, substr(text, i, 6) AS kmer FROM benchmark, unnest(range(1, length(text) - 4)) AS x(i)),
+@_r.query(f"""
+    WITH m AS (SELECT DISTINCT * FROM ({_kmers('benchmark', 'item_id', 6)})),
          p AS (SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND a.item_id % 20 = 0),
          s AS (SELECT a, b, kmer FROM p JOIN m ON item_id = a UNION ALL SELECT a, b, kmer FROM p JOIN m ON item_id = b)
     SELECT a, b, min(kmer) AS kmer FROM (SELECT a, b, kmer FROM s GROUP BY ALL HAVING count(*) = 1) GROUP BY a, b

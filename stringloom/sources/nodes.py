@@ -183,4 +183,4 @@ def newick(nodes: DataFrame) -> DataFrame:
 def matrix_lines(pairs: DataFrame, form: str = "%.6f", separator: str = " ") -> DataFrame:
     """a and line: each row of a lower-triangle matrix as text, from pairs (a, b, distance) of both directions."""
     below = F.array_sort(F.collect_list(F.when(F.col("b") < F.col("a"), F.struct("b", "distance"))))
-    return pairs.groupBy("a").agg(F.concat_ws(separator, "a", F.array_join(F.transform(below, lambda x: F.format_string(form, x["distance"])), separator)).alias("line"))
+    return pairs.groupBy("a").agg(F.array_join(F.concat(F.array(F.col("a").cast("string")), F.transform(below, lambda x: F.format_string(form, x["distance"]))), separator).alias("line"))

@@ -115,9 +115,9 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
 
 def features(record: Column) -> Column:
     """array<struct<kind, location, qualifiers>> of a record's feature table."""
-    table = F.regexp_extract(record, r"(?s)(?:^|\n)(?:FEATURES|FH)[^\n]*\n(.*?)(?:\n(?:ORIGIN|SQ|BASE)|$)", 1)
-    plain = F.regexp_replace(table, "(?m)^(?:FT|FH)", "  ")
-    blocks = F.filter(F.split(plain, r"\n(?= {5}\S)"), lambda x: F.trim(x) != "")
+    short = F.transform(F.regexp_extract_all(record, F.lit("(?m)^FT(.*)$"), F.lit(1)), lambda x: F.concat(F.lit("  "), x))
+    table = F.when(F.size(short) > 0, F.array_join(short, "\n")).otherwise(F.regexp_extract(record, r"(?s)(?:^|\n)FEATURES[^\n]*\n(.*?)(?:\n(?:ORIGIN|BASE)|$)", 1))
+    blocks = F.filter(F.split(table, r"\n(?= {5}\S)"), lambda x: F.trim(x) != "")
 
     def one(x: Column) -> Column:
         location = F.regexp_replace(F.regexp_extract(x, r"(?s)^\s*\S+\s+([^/]*)", 1), "\\s+", "")
