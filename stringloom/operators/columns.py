@@ -261,3 +261,41 @@ def band(value: Column, kind: str) -> Column:
 def quality(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted sum of bands, rounded: parts has (value, weight) by kind."""
     return F.round(sum((band(v, k) * F.lit(float(w)) for k, (v, w) in parts.items()), F.lit(0.0))).cast("int")
+
+
+def statistic(columns: DataFrame, least: int = 1) -> DataFrame:
+    """Rates of columns from (pos, frequencies, mutations, transitions, transversions): pos, rate, ts_tv, weight.
+
+    rate is mutations per frequency, divided by the mean of all columns; ts_tv is what transitions exceed
+    transversions by, per transversion, from 0.05 to 5, and 2 without transversions. Columns with fewer than
+    `least` frequencies have weight 0, rate 1 and ts_tv 0.5 before that division. The mean is one row.
+    """
+    few = F.col("frequencies") < least
+    tv = F.nullif(F.col("transversions").cast("double"), F.lit(0.0))
+    ratio = F.least(F.greatest(F.coalesce((F.col("transitions") - tv) / tv, F.lit(2.0)), F.lit(0.05)), F.lit(5.0))
+    rows = columns.select(
+        "pos", F.when(few, 1.0).otherwise(F.col("mutations") / F.greatest("frequencies", F.lit(1))).alias("rate"),
+        F.when(few, 0.5).otherwise(ratio).alias("ts_tv"), F.when(few, 0).otherwise(1).alias("weight"),
+    )
+    mean = rows.agg(F.avg("rate").alias("_mean"))
+    return rows.crossJoin(F.broadcast(mean)).select("pos", (F.col("rate") / F.nullif("_mean", F.lit(0.0))).alias("rate"), "ts_tv", "weight")
+
+
+def rate_weights(rated: DataFrame) -> DataFrame:
+    """Columns weighed by their inverse rate: the weight times the whole part of 2 / rate."""
+    return rated.withColumn("weight", F.col("weight") * F.coalesce(F.floor(2 / F.nullif("rate", F.lit(0.0))), F.lit(0)))
+
+
+def shaded(items: DataFrame, value: str, shades: int, name: str = "shade") -> DataFrame:
+    """items with the number (from 0) of the equal part of the value's range that each falls into; missing stays missing."""
+    span = items.agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    part = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * shades)
+    shade = F.when(F.col(value).isNotNull(), F.least(F.coalesce(part, F.lit(0)), F.lit(shades - 1)))
+    return items.crossJoin(F.broadcast(span)).withColumn(name, shade.cast("int")).drop("_low", "_high")
+
+
+def combined_code(letters: Column) -> Column:
+    """The ambiguity code of all bases that an array of letters stands for; gaps and other letters add nothing."""
+    bits = F.create_map(*[F.lit(x) for code, m in AMBIGUITY.items() for x in (code, sum(1 << "ACGT".index(b) for b in m))])
+    whole = F.aggregate(F.transform(letters, lambda ch: F.coalesce(F.try_element_at(bits, F.upper(ch)), F.lit(0))), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    return F.substring(F.lit(CODES), whole + 1, F.lit(1))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stringloom.operators.storage import stored
+
 
 def _windows(c: Column, k: Column | int) -> Column:
     """All substrings of k characters, in order, in one pass over the text. The second part skips the middle of a surrogate pair."""
@@ -165,3 +167,20 @@ def primer_pairs(primers: DataFrame, group: str, least: int, most: int, most_dif
     apart = F.col("position_2") - F.col("position_1")
     close = F.abs(F.col("temperature_1") - F.col("temperature_2")) <= most_difference
     return left.join(right, [group, "_bin"]).filter(apart.between(least, most) & close).drop("_bin")
+
+
+def covering_probes(hits: DataFrame, most: int) -> DataFrame:
+    """round and kmer: probes of which each covers most of the items (kmer, item in hits) that those before left over.
+
+    Of equal ones the smallest k-mer. Every round is one aggregation, and what is covered leaves by a join; it ends
+    after `most` rounds or when nothing is left.
+    """
+    spark, chosen, left = hits.sparkSession, [], stored(hits.select("kmer", "item").distinct(), "cover")
+    while len(chosen) < most:
+        best = left.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").first()
+        if best is None:
+            break
+        chosen.append((len(chosen) + 1, best["kmer"], best["n"]))
+        covered = left.filter(F.col("kmer") == best["kmer"]).select("item")
+        left = stored(left.join(covered, "item", "left_anti"), "cover")
+    return spark.createDataFrame(chosen, "round int, kmer string, covered long")

@@ -100,6 +100,43 @@ def multifurcated(nodes: DataFrame, least_support: float, pairs: DataFrame | Non
     return _kept_only(nodes, pairs, nodes.select("tree", "node").join(weak.select("tree", "node"), ["tree", "node"], "left_anti"))
 
 
+def collapsed(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """The tree without inner nodes that have one child only; their lengths are added to the child's."""
+    pairs = stored(closure(nodes), "tree-pairs") if pairs is None else pairs
+    single = nodes.filter("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    return _kept_only(nodes, pairs, nodes.select("tree", "node").join(single, ["tree", "node"], "left_anti"))
+
+
+def rerooted(nodes: DataFrame, at: DataFrame, root) -> DataFrame:
+    """The tree with a new root, of the given id, in the middle of the branch above the node in at (tree, node).
+
+    The branches on the way to the old root turn round; the old root goes if one child is left. Trees that at
+    doesn't name are left out.
+    """
+    way = closure(nodes).join(at, ["tree", "node"], "left_semi").select("tree", F.col("ancestor").alias("node"), "steps")
+    way = stored(way.join(nodes, ["tree", "node"]).select("tree", "node", "steps", "length"), "tree-way")
+    below = way.select("tree", (F.col("steps") + 1).alias("steps"), F.col("node").alias("_below"), F.col("length").alias("_length"))
+    first = F.col("steps") <= 1
+    turned = way.join(below, ["tree", "steps"], "left").select(
+        "tree", "node", F.when(first, F.lit(root)).otherwise(F.col("_below")).alias("_parent"),
+        F.when(F.col("steps") == 0, F.col("length") / 2).when(F.col("steps") == 1, F.col("_length") / 2).otherwise(F.col("_length")).alias("_new"), F.lit(True).alias("_on_way"),
+    )
+    kept = nodes.join(at.select("tree").distinct(), "tree", "left_semi").join(turned, ["tree", "node"], "left")
+    rows = kept.withColumn("parent", F.when(F.col("_on_way"), F.col("_parent")).otherwise(F.col("parent"))).withColumn("length", F.when(F.col("_on_way"), F.col("_new")).otherwise(F.col("length"))).select(*nodes.columns)
+    kinds = dict(nodes.dtypes)
+    fixed = {"tree": F.col("tree"), "node": F.lit(root).cast(kinds["node"])}
+    new = at.select("tree").distinct().select(*[fixed.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in nodes.columns])
+    return collapsed(stored(rows.unionByName(new), "tree-turned"))
+
+
+def deep_leaves(nodes: DataFrame, least_steps: int, least_distance: float, pairs: DataFrame | None = None) -> DataFrame:
+    """tree, name, steps, distance of leaves at least so many branches, or so far, from the root."""
+    pairs = closure(nodes) if pairs is None else pairs
+    far = pairs.groupBy("tree", "node").agg(F.max("steps").alias("steps"), F.max(F.struct("steps", "distance")).alias("_x"))
+    found = leaves(nodes).join(far, ["tree", "node"]).select("tree", "name", "steps", F.col("_x.distance").alias("distance"))
+    return found.filter((F.col("steps") >= least_steps) | (F.col("distance") >= least_distance))
+
+
 def info(nodes: DataFrame) -> DataFrame:
     """tree, leaves, inner nodes and named groups."""
     is_parent = nodes.select("tree", F.col("parent").alias("node"), F.lit(True).alias("_inner")).filter("node is not null").distinct()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stringloom.operators import columns as c
-from stringloom.operators import distances, intervals
+from stringloom.operators import aligning, distances, intervals
 from stringloom.plans.registry import Registry
 
 _r = Registry()
@@ -200,3 +200,31 @@ def edited_columns(table):
     trailing = F.regexp_extract(name, "0*$", 0)
     dotted = F.concat(F.left(dotted, F.char_length(name) - F.char_length(trailing)), F.repeat(F.lit("."), F.char_length(trailing)))
     return table("customer").select("c_custkey", intervals.inserted(name, 4, 2).alias("wider"), intervals.deleted(name, 3, 5).alias("narrower"), intervals.padded(name, 24).alias("padded"), dotted.alias("dotted"))
+
+
+@_r.query("""
+    WITH v AS (SELECT l_partkey AS pos, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS m, count(*) FILTER (l_returnflag = 'A') AS ts, count(*) FILTER (l_linestatus = 'F') AS tv FROM lineitem GROUP BY 1),
+         r AS (SELECT pos, CASE WHEN n < 20 THEN 1.0 ELSE m / n END AS rate, CASE WHEN n < 20 THEN 0.5 WHEN tv = 0 THEN 2.0 ELSE least(greatest((ts - tv) / tv, 0.05), 5.0) END AS ts_tv, CASE WHEN n < 20 THEN 0 ELSE 1 END AS weight FROM v)
+    SELECT pos, round(rate / avg(rate) OVER (), 9) AS rate, round(ts_tv, 9) AS ts_tv, weight * coalesce(floor(2 / nullif(rate / avg(rate) OVER (), 0)), 0)::BIGINT AS weight FROM r
+""")
+def column_statistic(table):
+    lines = table("lineitem").groupBy(F.col("l_partkey").alias("pos")).agg(
+        F.count(F.lit(1)).alias("frequencies"), F.count_if(F.col("l_returnflag") == "R").alias("mutations"),
+        F.count_if(F.col("l_returnflag") == "A").alias("transitions"), F.count_if(F.col("l_linestatus") == "F").alias("transversions"),
+    )
+    found = c.rate_weights(c.statistic(lines, 20))
+    return found.select("pos", F.round("rate", 9).alias("rate"), F.round("ts_tv", 9).alias("ts_tv"), F.col("weight").cast("long").alias("weight"))
+
+
+@_r.query("""
+    SELECT c_custkey, least(floor((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)) * 16), 15)::INTEGER AS shade FROM customer
+""")
+def shaded_items(table):
+    return c.shaded(table("customer"), "c_acctbal", 16).select("c_custkey", "shade")
+
+
+@_r.query()
+def aligned_pairs(table):
+    """Names and types of parts aligned letter by letter; dynamic programming isn't SQL."""
+    pairs = table("part").select("p_partkey", aligning.aligned(F.col("p_name"), F.lower("p_type")).alias("x"))
+    return pairs.select("p_partkey", "x.a", "x.b", "x.score")

@@ -124,3 +124,10 @@ def probe_quality(table):
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("n"))))
     orders = table("lineitem").groupBy("l_orderkey").agg(F.transform(lines, lambda x: x["n"]).alias("buckets"))
     return orders.select("l_orderkey", F.round(k.probe_quality(F.col("buckets"), F.lit(20), F.lit(3)), 9).alias("quality"))
+
+
+@_r.query()
+def covering_probes(table):
+    """8-mers that together stand in as many benchmark items as possible; each choice depends on those before it."""
+    found = k.kmer_counts(table("benchmark"), "item_id", "text", 8)
+    return k.covering_probes(found.select("kmer", F.col("item_id").alias("item")), 10)

@@ -203,3 +203,22 @@ def clusters(table):
     side = lambda k: s.select("s_nationkey", F.col("s_name").alias(k), F.col("s_acctbal").alias(f"_{k}"))
     pairs = side("a").join(side("b"), "s_nationkey").filter("a < b").select(F.lit("suppliers").alias("tree"), "a", "b", F.abs(F.col("_a") - F.col("_b")).alias("distance"))
     return tr.clusters(tree, pairs, 8000, 3).filter("node like 'n%'").select("node", "size", F.round("widest", 4).alias("widest"))
+
+
+@_r.query(f"""
+    WITH {_NODES} SELECT leaf AS name, 3 AS steps, d + 1.5 AS distance FROM up WHERE d + 1.5 >= 3.5
+""")
+def deep_leaves(table):
+    return tr.deep_leaves(world(table), 4, 3.5).select("name", "steps", "distance")
+
+
+@_r.query("""
+    WITH n AS (SELECT * FROM nation), c AS (SELECT * FROM customer)
+    SELECT 'new' AS node, NULL AS parent, NULL::DOUBLE AS length UNION ALL SELECT 'r1', 'new', 0.5 UNION ALL SELECT 'world', 'new', 0.5
+    UNION ALL SELECT 'r' || r_regionkey, 'world', 1.0 FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.5 FROM n
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, (c_custkey % 10) / 4.0 FROM c
+""")
+def rerooted_tree(table):
+    """The new root lies above one region."""
+    n = world(table)
+    return tr.rerooted(n, n.filter("node = 'r1'").select("tree", "node"), "new").select("node", "parent", "length")

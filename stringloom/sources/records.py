@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stringloom.functions import streams as s
 from stringloom.functions.predicates import wildcard
-from stringloom.functions.text import format_sequence
+from stringloom.functions.text import format_sequence, gcg_checksum
 from stringloom.operators.merging import upserted
 
 
@@ -168,5 +168,28 @@ def phylip(items: DataFrame, name: str, data: str, width: int = 10) -> DataFrame
     return counts.unionByName(lines).orderBy("_at", "_name").select("value")
 
 
+def gcg(name: Column, data: Column) -> Column:
+    """One sequence with its length and check number."""
+    head = F.concat(name, F.lit("  Length: "), F.char_length(data).cast("string"), F.lit("  Check: "), gcg_checksum(data).cast("string"), F.lit("  .."))
+    return F.concat(head, F.lit("\n\n"), format_sequence(data, 50, 10, 10, 10, number_left=True))
+
+
+def pir(name: Column, title: Column, data: Column) -> Column:
+    return F.concat(F.lit(">P1;"), name, F.lit("\n"), title, F.lit("\n"), format_sequence(data, 60, 0, 0, 0), F.lit("*"))
+
+
+def nexus(items: DataFrame, name: str, data: str, kind: str = "DNA") -> DataFrame:
+    """value: the lines of a NEXUS data block in order of names; numbered parts keep the order, no task sees all lines."""
+    line = lambda at, value: items.sparkSession.range(1).select(F.lit(at).alias("_at"), F.lit("").alias("_name"), F.lit(value).alias("value"))
+    size = items.agg(F.concat(F.lit("dimensions ntax="), F.count(F.lit(1)).cast("string"), F.lit(" nchar="), F.coalesce(F.max(F.char_length(data)), F.lit(0)).cast("string"), F.lit(";")).alias("value"))
+    size = size.select(F.lit(1).alias("_at"), F.lit("").alias("_name"), "value")
+    rows = items.select(F.lit(3).alias("_at"), F.col(name).alias("_name"), F.concat_ws(" ", F.concat(F.lit("'"), F.replace(F.col(name), F.lit("'"), F.lit("''")), F.lit("'")), data).alias("value"))
+    parts = [line(0, "#NEXUS\nbegin data;"), size, line(2, f"format datatype={kind} gap=- missing=.;\nmatrix"), rows, line(4, ";\nend;")]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.orderBy("_at", "_name").select("value")
+
+
 def write_text(df: DataFrame, value: Column, path: str, **options) -> None:
     df.select(value.alias("value")).write.options(**options).text(path)

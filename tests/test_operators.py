@@ -297,3 +297,57 @@ def test_ranks_without_a_global_window(spark):
     got = {r.id: r.rank for r in ranked(df, [F.desc("k"), F.asc("id")]).collect()}
     assert got == {x: n + 1 for n, x in enumerate(sorted(range(200), key=lambda i: (-(i % 7), i)))}
     assert ranked(df.filter("false"), [F.asc("id")]).count() == 0
+
+
+def test_alignment_is_best(spark):
+    from functools import lru_cache
+
+    from stringloom.operators.aligning import GAP, MATCH, MISMATCH, align
+
+    rng = random.Random(2)
+    for _ in range(40):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
+
+        @lru_cache(None)
+        def best(i, j):
+            ways = [(i + j) * GAP] if not (i and j) else [best(i - 1, j - 1) + (MATCH if a[i - 1] == b[j - 1] else MISMATCH), best(i - 1, j) + GAP, best(i, j - 1) + GAP]
+            return max(ways)
+
+        x, y, score = align(a, b)
+        assert score == best(len(a), len(b)) and x.replace("-", "") == a and y.replace("-", "") == b and len(x) == len(y)
+        assert score == sum(GAP if "-" in (p, q) else MATCH if p == q else MISMATCH for p, q in zip(x, y))
+
+
+def test_made_up_sequences(spark):
+    from stringloom.sources.synthetic import sequences
+
+    rows = {r.id: r for r in sequences(spark, 31, 200, 0.1).collect()}
+    assert rows[1].parent is None and all(len(r.data) == 200 and set(r.data) <= set("ACGT") for r in rows.values())
+    off = [sum(x != y for x, y in zip(rows[i].data, rows[i // 2].data)) for i in range(2, 32)]
+    assert 5 < sum(off) / len(off) < 25
+    assert {r.id: r for r in sequences(spark, 31, 200, 0.1).repartition(7).collect()} == rows
+
+
+def test_rerooted(spark):
+    found = node_io.trees(spark.createDataFrame([("t", "(((a:1,b:2):3,c:4):5,d:6);")], "tree string, text string"), "tree", "text")
+    at = found.filter("name = 'a'").select("tree", "node")
+    turned = trees.rerooted(found, at, 99)
+    assert node_io.newick(turned).first().newick.count("(") == 3
+    names = {r.name: r.node for r in turned.collect() if r.name}
+    both = [("t", names[x], names[y]) for x in "abcd" for y in "abcd" if x < y]
+    way = lambda n, ids: {(r.a, r.b): r.distance for r in trees.common_ancestors(spark.createDataFrame(ids, "tree string, a long, b long"), trees.closure(n)).collect()}
+    assert way(turned, both) == way(found, both)
+    assert turned.filter("parent is null").first().node == 99 and 0 not in {r.node for r in turned.collect()}
+
+
+def test_more_writers(spark):
+    df = spark.createDataFrame([("b", "GG--"), ("a'c", "ACGT")], "name string, data string")
+    assert "\n".join(r.value for r in records.nexus(df, "name", "data").collect()) == "#NEXUS\nbegin data;\ndimensions ntax=2 nchar=4;\nformat datatype=DNA gap=- missing=.;\nmatrix\n'a''c' ACGT\n'b' GG--\n;\nend;"
+    assert one(spark, records.gcg(F.lit("x"), F.lit("AC"))) == "x  Length: 2  Check: 199  ..\n\n1         AC"
+    assert one(spark, records.pir(F.lit("x"), F.lit("t"), F.lit("AC"))) == ">P1;x\nt\nAC*"
+
+
+def test_codes_and_cover(spark):
+    assert [one(spark, columns.combined_code(F.array(*map(F.lit, x)))) for x in ("AG", "acgt", "-A", "YR", "--")] == ["R", "N", "A", "N", "-"]
+    hits = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 3), ("z", 3)], "kmer string, item int")
+    assert [tuple(r) for r in kmers.covering_probes(hits, 5).collect()] == [(1, "x", 2), (2, "y", 1)]
