@@ -38,6 +38,8 @@ def fold_digests(spark: SparkSession, events_path: str, schema, files_per_batch:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+        # many small stores: without this each one reserves some MB of disk for its logs
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     versions, work = new_path(spark, "dedup-versions"), new_path(spark, "dedup-state")
