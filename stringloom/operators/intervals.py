@@ -68,20 +68,31 @@ def extracted(data: Column, parts: Column, separator: str = "", rna: bool = Fals
     return F.when(inside & (F.size(parts) > 0), F.array_join(texts, separator))
 
 
-def merged(rows: DataFrame, *groups: str, start: str = "start", stop: str = "stop") -> DataFrame:
-    """Regions of each group with overlapping or directly following ones made one: groups, start, stop, parts."""
-    order = Window.partitionBy(*groups).orderBy(start, stop)
-    reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.filter(F.col(start).isNotNull() & F.col(stop).isNotNull()).withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + 1), 1).otherwise(0))
+def _islands(rows: DataFrame, *groups: str) -> DataFrame:
+    order = Window.partitionBy(*groups).orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
     island = marked.withColumn("_island", F.sum("_new").over(order))
-    return island.groupBy(*groups, "_island").agg(F.min(start).alias("start"), F.max(stop).alias("stop"), F.count(F.lit(1)).alias("parts")).drop("_island")
+    return island.groupBy(*groups, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("parts").alias("parts")).drop("_island")
 
 
-def free_regions(rows: DataFrame, sizes: DataFrame, *groups: str, start: str = "start", stop: str = "stop", length: str = "length") -> DataFrame:
+def merged(rows: DataFrame, *groups: str, start: str = "start", stop: str = "stop", bin_size: int | None = None) -> DataFrame:
+    """Regions of each group with overlapping or directly following ones made one: groups, start, stop, parts.
+
+    With a bin size the regions that start in one bin are merged first, so that a group with very many regions is
+    spread over tasks, and only what is left of each bin meets in the end. Regions without a place are left out.
+    """
+    found = rows.filter(F.col(start).isNotNull() & F.col(stop).isNotNull()).select(*groups, F.col(start).alias("start"), F.col(stop).alias("stop"), F.lit(1).cast("long").alias("parts"))
+    if bin_size:
+        found = _islands(found.withColumn("_bin", F.floor(F.col("start") / bin_size)), *groups, "_bin").drop("_bin")
+    return _islands(found, *groups)
+
+
+def free_regions(rows: DataFrame, sizes: DataFrame, *groups: str, start: str = "start", stop: str = "stop", length: str = "length", bin_size: int | None = None) -> DataFrame:
     """What no region covers, from 1 to each group's length: groups, start, stop. sizes has one row a group."""
     order = Window.partitionBy(*groups).orderBy("start")
     ends = sizes.select(*groups, (F.col(length) + 1).cast("long").alias("start"), (F.col(length) + 1).cast("long").alias("stop"))
-    solid = merged(rows, *groups, start=start, stop=stop).select(*groups, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).unionByName(ends)
+    solid = merged(rows, *groups, start=start, stop=stop, bin_size=bin_size).select(*groups, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).unionByName(ends)
     gaps = solid.select(*groups, (F.coalesce(F.lag("stop").over(order), F.lit(0)) + 1).alias("gap_start"), (F.col("start") - 1).alias("gap_stop"))
     return gaps.filter("gap_start <= gap_stop").select(*groups, F.col("gap_start").alias("start"), F.col("gap_stop").alias("stop"))
 

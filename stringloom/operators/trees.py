@@ -10,9 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from stringloom.operators.storage import stored
+from stringloom.operators.storage import ranked, stored
 
 
 def closure(nodes: DataFrame) -> DataFrame:
@@ -158,8 +157,9 @@ def leaf_order(nodes: DataFrame, big_first: bool = True) -> DataFrame:
     key = F.struct((-F.col("_size") if big_first else F.col("_size")).alias("size"), F.col("_least").alias("least"), F.col("ancestor").alias("id"))
     sized = sizes.withColumnRenamed("node", "ancestor")
     way = pairs.join(sized, ["tree", "ancestor"]).groupBy("tree", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), key.alias("key")))), lambda x: x["key"]).alias("_way"))
-    ends = leaves(nodes).join(way, ["tree", "node"])
-    return ends.withColumn("position", F.row_number().over(Window.partitionBy("tree").orderBy("_way"))).select("tree", "name", "position")
+    placed = ranked(leaves(nodes).join(way, ["tree", "node"]).select("tree", "name", "_way"), [F.asc("tree"), F.asc("_way")], "_rank")
+    first = placed.groupBy("tree").agg(F.min("_rank").alias("_first"))
+    return placed.join(first, "tree").select("tree", "name", (F.col("_rank") - F.col("_first") + 1).alias("position"))
 
 
 def splits(nodes: DataFrame, weights: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ _MERGED = f"""
 
 @_r.query(f"WITH {_MERGED} SELECT * FROM r")
 def merged_regions(table):
-    return iv.merged(_spans(table), "user_id")
+    return iv.merged(_spans(table), "user_id", bin_size=86_400)
 
 
 @_r.query(f"""
@@ -89,7 +89,7 @@ def merged_regions(table):
 def free_regions(table):
     spans = _spans(table)
     sizes = spans.groupBy("user_id").agg((F.max("stop") + 1000).alias("length"))
-    return iv.free_regions(spans, sizes, "user_id")
+    return iv.free_regions(spans, sizes, "user_id", bin_size=86_400)
 
 
 @_r.query(f"""

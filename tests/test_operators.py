@@ -153,7 +153,8 @@ def test_extraction(spark):
 
 def test_regions(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 6, 8), ("a", 11, 12), ("b", 4, 4)], "g string, start long, stop long")
-    assert sorted(map(tuple, intervals.merged(df, "g").collect())) == [("a", 1, 8, 3), ("a", 11, 12, 1), ("b", 4, 4, 1)]
+    for size in (None, 2, 100):
+        assert sorted(map(tuple, intervals.merged(df, "g", bin_size=size).collect())) == [("a", 1, 8, 3), ("a", 11, 12, 1), ("b", 4, 4, 1)]
     sizes = spark.createDataFrame([("a", 15), ("b", 4)], "g string, length long")
     assert sorted(map(tuple, intervals.free_regions(df, sizes, "g").collect())) == [("a", 9, 10), ("a", 13, 15), ("b", 1, 3)]
 
