@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -79,15 +78,21 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]
     return {s: w for s, w in weights.items() if not any(weights.get(s[:n], -9) >= w - 1.0 for n in range(4, len(s)))}
 
 
-@lru_cache(maxsize=4)
+_automata: dict[tuple, ahocorasick.Automaton] = {}
+
+
 def _automaton(entries: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]):
-    found = ahocorasick.Automaton()
-    for stem, weight in entries:
-        found.add_word(stem.rstrip(" "), (len(stem.rstrip(" ")), weight, stem.endswith(" ")))
-    for phrase in exceptions:
-        found.add_word(phrase, (len(phrase), None, True))
-    found.make_automaton()
-    return found
+    """Built once a worker for the last lexicon."""
+    if (entries, exceptions) not in _automata:
+        found = ahocorasick.Automaton()
+        for stem, weight in entries:
+            found.add_word(stem.rstrip(" "), (len(stem.rstrip(" ")), weight, stem.endswith(" ")))
+        for phrase in exceptions:
+            found.add_word(phrase, (len(phrase), None, True))
+        found.make_automaton()
+        _automata.clear()
+        _automata[entries, exceptions] = found
+    return _automata[entries, exceptions]
 
 
 def matches(text: str, entries: tuple[tuple[str, float], ...], exceptions: tuple[str, ...] = EXCEPTIONS) -> list[tuple[int, int, float]]:
