@@ -1 +1,8 @@
 """Sequence and text analytics as PySpark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions of this package with the task, so they need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
