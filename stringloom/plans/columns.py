@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stringloom.operators import columns as c
 from stringloom.operators import aligning, distances, intervals
-from stringloom.plans.registry import Registry
+from stringloom.plans.registry import Registry, spread
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -28,7 +28,7 @@ def column_counts(table):
 """)
 def column_counts_of_texts(table):
     """Whole texts by language; behind the end of a text every column holds a dot."""
-    return c.counts(table("documents"), "text", "lang")
+    return c.counts(spread(table("documents")), "text", "lang")
 
 
 def _units_sql(base: str) -> str:
@@ -48,7 +48,7 @@ _BASES = f"""
 @_r.query(_BASES)
 def base_units(table):
     """Letters of texts as ambiguity codes, shared out among their bases."""
-    return c.base_units(c.counts(table("documents"), "text", "lang", fill=None), "lang")
+    return c.base_units(c.counts(spread(table("documents")), "text", "lang", fill=None), "lang")
 
 
 def _consensus_sql(gap_bound: int = 60, consider: int = 30, upper: int = 95, lower: int = 70) -> str:
@@ -66,7 +66,7 @@ def _consensus_sql(gap_bound: int = 60, consider: int = 30, upper: int = 95, low
 
 @_r.query(_consensus_sql())
 def consensus_of_bases(table):
-    return c.consensus(c.counts(table("documents"), "text", "lang", fill=None), "lang")
+    return c.consensus(c.counts(spread(table("documents")), "text", "lang", fill=None), "lang")
 
 
 @_r.query(r"""
@@ -86,13 +86,13 @@ def consensus_of_letters(table):
     SELECT lang, pos, round(coalesce(max(n) FILTER (ch NOT IN (' ', '.')) / sum(n) FILTER (ch NOT IN (' ', '.')), 0), 9) AS frequency FROM n GROUP BY lang, pos
 """)
 def max_frequency(table):
-    found = c.max_frequency(c.counts(table("documents"), "text", "lang", fill=None), "lang", gaps=" .")
+    found = c.max_frequency(c.counts(spread(table("documents")), "text", "lang", fill=None), "lang", gaps=" .")
     return found.withColumn("frequency", F.round("frequency", 9))
 
 
 @_r.query(f"SELECT lang, pos, count(DISTINCT upper(ch)) FILTER (regexp_matches(upper(ch), '^[A-Z]$')) AS characters FROM ({_CELLS}) GROUP BY lang, pos")
 def distinct_characters(table):
-    return c.distinct_characters(c.counts(table("documents"), "text", "lang", fill=None), "lang")
+    return c.distinct_characters(c.counts(spread(table("documents")), "text", "lang", fill=None), "lang")
 
 
 @_r.query("""
@@ -180,13 +180,13 @@ def aligned_distances(table):
 
 @_r.query("""
     WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, abs(a.s_acctbal - b.s_acctbal) AS distance, a.s_nationkey AS na, b.s_nationkey AS nb FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey % 20 = 0)
-    SELECT least(na, nb) AS group_a, greatest(na, nb) AS group_b, round(avg(distance), 4) AS distance, count(*) AS pairs FROM p GROUP BY 1, 2
+    SELECT least(na, nb) AS group_a, greatest(na, nb) AS group_b, round(avg(distance), 9) AS distance, count(*) AS pairs FROM p GROUP BY 1, 2
 """)
 def group_distances(table):
     sup = table("supplier")
     q = sup.filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("_a"))
     pairs = sup.select(F.col("s_suppkey").alias("b"), "s_acctbal").join(q, F.col("a") < F.col("b")).select("a", "b", F.abs(F.col("_a") - F.col("s_acctbal")).alias("distance"))
-    return distances.compressed(pairs, sup, "s_suppkey", "s_nationkey").withColumn("distance", F.round("distance", 4))
+    return distances.compressed(pairs, sup, "s_suppkey", "s_nationkey").withColumn("distance", F.round("distance", 9))
 
 
 @_r.query("""

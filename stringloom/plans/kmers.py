@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stringloom.operators import kmers as k
-from stringloom.plans.registry import Registry
+from stringloom.plans.registry import Registry, spread
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -26,7 +26,7 @@ _COUNTS = f"""
 
 def _scored(table):
     items = table("benchmark").select(F.col("item_id").alias("id"), "text")
-    return k.relatives(items, table("documents").select(F.col("doc_id").alias("id"), "text"), "id", "text", 12)
+    return k.relatives(items, spread(table("documents")).select(F.col("doc_id").alias("id"), "text"), "id", "text", 12)
 
 
 @_r.query(f"""
@@ -58,7 +58,7 @@ _PIECES = [f"substr(probe, {_AT.format(i=i)} + 1, {_AT.format(i=i + 1)} - {_AT.f
 """)
 def probe_matches(table):
     """Every place where a whole benchmark item stands in a document with at most 5 differing characters."""
-    found = k.probe_match(table("benchmark"), "item_id", "text", table("documents"), "doc_id", "text", 5)
+    found = k.probe_match(table("benchmark"), "item_id", "text", spread(table("documents")), "doc_id", "text", 5)
     return found.select("probe_id", "doc_id", F.col("position").cast("long").alias("position"), F.col("mismatches").cast("long").alias("mismatches"))
 
 
@@ -72,7 +72,7 @@ def probe_matches(table):
 """)
 def probe_design(table):
     """8-mers of a fifth of the German texts that hardly any other text holds."""
-    found = k.probe_design(table("documents"), "doc_id", "text", F.col("lang") == "de", 8, 0.2, 3)
+    found = k.probe_design(spread(table("documents")), "doc_id", "text", F.col("lang") == "de", 8, 0.2, 3)
     return found.select("kmer", "targets", "others", F.col("gc").cast("long").alias("gc"), F.col("temperature").cast("long").alias("temperature"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stringloom.operators import intervals as iv
 from stringloom.operators import merging
 from stringloom.operators.columns import characters
-from stringloom.plans.registry import Registry
+from stringloom.plans.registry import Registry, spread
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -57,7 +57,7 @@ _CODE = ", ".join(f"'{codon}': '{letter}'" for codon, letter in iv.genetic_code(
 """)
 def translated_texts(table):
     """The letters ACGT of whole texts, read as codons."""
-    return table("documents").select("doc_id", iv.translated(F.regexp_replace("text", "[^acgtACGT]", "")).alias("protein"))
+    return spread(table("documents")).select("doc_id", iv.translated(F.regexp_replace("text", "[^acgtACGT]", "")).alias("protein"))
 
 
 _SPANS = "SELECT user_id, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) + 1 AS start, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) + 1 + (value * 60)::BIGINT AS stop, event_id, event_type FROM events"

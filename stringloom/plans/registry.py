@@ -25,3 +25,12 @@ class Registry:
             return f
 
         return add
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table for work that makes many rows of each text: dealt out anew if it has fewer parts than there are cores.
+
+    Large tables have more parts than that and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

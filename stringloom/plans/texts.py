@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stringloom.functions import streams as s
 from stringloom.functions import text as t
 from stringloom.operators import search
-from stringloom.plans.registry import Registry
+from stringloom.plans.registry import Registry, spread
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -109,7 +109,7 @@ def regex_and_quotes(table):
     FROM documents
 """.replace("\\\\t", "\\t"))
 def extracted_words(table):
-    return table("documents").select("doc_id", t.extract_words(F.col("text"), "aeiou", 5).alias("words"), t.extract_sequence(F.col("text"), "aeinrst", 0.9).alias("mostly"))
+    return spread(table("documents")).select("doc_id", t.extract_words(F.col("text"), "aeiou", 5).alias("words"), t.extract_sequence(F.col("text"), "aeinrst", 0.9).alias("mostly"))
 
 
 @_r.query("""
