@@ -223,7 +223,7 @@ def test_distances(spark):
     assert [r.line for r in lines] == ["a", "b 0.25", "c 0.00 0.50"]
 
 
-DUMP = '''/*ARBDB ASCII*/
+DUMP = '''/*ASCII dump*/
 item_data\t\t%% (%
 \titem\t\t:5000\t%$ (%
 \t\tname\t\t:7600\t"first"
