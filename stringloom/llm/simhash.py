@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stringloom.llm import jaccard
 from stringloom.llm.common import free_name, join_by_key, text_of, with_locator, written
 from stringloom.llm.components import components
 
@@ -61,6 +62,22 @@ def fingerprint_column(text: Column, width: int = 3) -> Column:
     return fingerprint(text)
 
 
+def signature_column(text: Column, width: int) -> Column:
+    """fp, and the digest and band keys of the set of shingles (null without words)."""
+
+    @F.pandas_udf("fp long, set long, bands array<long>")
+    def signature(texts: pd.Series) -> pd.DataFrame:
+        fps, sets, bands = [], [], []
+        for t in texts:
+            hashes = shingle_hashes(t, width)
+            fps.append(simhash(hashes))
+            sets.append(int(np.uint64(jaccard.set_digest(hashes)).view(np.int64)) if len(hashes) else None)
+            bands.append(jaccard.band_keys(hashes).view(np.int64) if len(hashes) else None)
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "set": pd.array(sets, "Int64"), "bands": pd.Series(bands, dtype=object)})
+
+    return signature(text)
+
+
 def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
 
@@ -185,31 +202,40 @@ def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return direct.unionByName(_ball_links(hot)) if hot.head(1) else direct
 
 
-def near_groups(docs: DataFrame, width: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 3, max_bucket: int = MAX_BUCKET, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: locator, doc_id, fp, component_id (the smallest doc_id reachable over links).
 
     Null and empty texts have the fingerprint 0 and are linked like any other. A null doc_id keeps its row,
     and its group's id is the smallest id that is not null (null if there is none). Equal fingerprints are
     one node, so copies cost no links. Repeated rows each have a row. An empty table gives no rows.
+    With a similarity, texts whose sets of shingles have that Jaccard similarity are linked too, whatever
+    their distance.
     """
     source = with_locator(docs.select("doc_id", "text"), "locator")
-    prints = written(source.select("locator", "doc_id", fingerprint_column(text_of(), width).alias("fp")), "simhash-fingerprints")
+    if similarity is None:
+        prints = written(source.select("locator", "doc_id", fingerprint_column(text_of(), width).alias("fp")), "simhash-fingerprints")
+    else:
+        signed = written(source.select("locator", "doc_id", signature_column(text_of(), width).alias("_s")).select("locator", "doc_id", "_s.*"), "simhash-fingerprints")
+        prints = signed.select("locator", "doc_id", "fp")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    roots = written(components(links(nodes.select("fp"), max_bucket)), "simhash-roots").select(F.col("node").alias("fp"), "root")
+    found = links(nodes.select("fp"), max_bucket)
+    if similarity is not None:
+        found = found.unionByName(jaccard.links(source, signed, similarity, lambda text: np.unique(shingle_hashes(text, width))))
+    roots = written(components(found), "simhash-roots").select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = join_by_key(rooted.select("fp", "n", "root"), ids, "root", "members", F.col("fp"))
     return join_by_key(prints, written(named.select("fp", "n", "component_id"), "simhash-components"), "fp", "n", F.col("locator"))
 
 
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs with the smallest doc_id of their group; of repeated rows the one with the smallest locator.
 
     Rows that have no fingerprint of their own (no words) are all near each other and leave one row.
     """
     name, columns = free_name(docs, "_locator"), docs.columns
     kept = (
-        near_groups(docs, width)
+        near_groups(docs, width, similarity=similarity)
         .withColumn("component_id", F.coalesce("component_id", F.col("fp")))
         .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first"))
         .select(F.col("first.locator").alias(name))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from stringloom.llm import simhash
 from tests.llm.test_contracts import brute_fingerprint
 
 TABLES = "/root/testdata/sf0.001"
@@ -60,6 +61,32 @@ def test_near_copies_go(stages):
     assert sorted(r.doc_id for r in stages["near_dedup"]) == sorted(d for d in root if root[d] == d)
 
 
+def test_no_near_copy_is_left(spark, tmp_path):
+    """Against brute-force Jaccard of five-word shingles, on a table with pairs of 4 to 10 differing bits and some chains."""
+    import corpus_pipeline
+
+    tables, letters = "/root/testdata/sf0.01", [f"w{k}" for k in range(300)]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    chain = [(800_000 + k, " ".join(letters[4 * k : 4 * k + 100])) for k in range(40)] + [(800_100, "One two THREE"), (800_101, "one  two three"), (800_102, None)]
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(chain, "doc_id long, text string")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    rows = [(r.doc_id, set(simhash.shingle_hashes(r.text or "", 5).tolist()), simhash.simhash(simhash.shingle_hashes(r.text or "", 5))) for r in docs.collect()]
+    root = {d: d for d, _, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (a, x, fx) in enumerate(rows):
+        for b, y, fy in rows[:i]:
+            if (fx ^ fy).bit_count() <= 3 or (min(len(x), len(y)) * 10 >= 8 * max(len(x), len(y)) and len(x & y) * 10 >= 8 * len(x | y)):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, tables).collect()]
+    assert sorted(kept) == sorted(d for d in root if root[d] == d)
+
+
 def test_mixing_repeats_rows(stages):
     before, after = Counter(r.doc_id for r in stages["near_dedup"]), Counter(r.doc_id for r in stages["mixing"])
     assert set(after) <= set(before) and max(after.values()) <= 2
