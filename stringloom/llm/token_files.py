@@ -26,22 +26,47 @@ BLOCK_TOKENS = 1 << 20
 def write_token_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_OF_DOCUMENT) -> str:
     """Tokenises docs into flat files in a new folder of the shared folder; gives back its path.
 
-    Each task writes one file with its rows in order. The text writer puts the identifier's two bytes behind
-    each row's bytes as its line separator. A null or empty text is the identifier alone.
+    Each task writes one file with its rows in order, kind=0, and beside it under the same number, kind=1, the
+    doc_ids of these rows in the same order. The text writer puts the identifier's two bytes behind each row's
+    bytes as its line separator. A null or empty text is the identifier alone, and so is a null doc_id.
     """
     vocabulary = vocabulary or default_vocabulary()
     path = new_path(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, number = encoder(vocabulary), 0
         for batch in batches:
-            yield pa.record_batch([pa.array([encode(t.as_py()).astype("<u2").tobytes() for t in batch.column(0)], pa.binary())], names=["ids"])
-
-    rows = docs.select(text_of().alias("text")).mapInArrow(run, "ids binary")
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+            n = batch.num_rows
+            ids = [encode(t.as_py()).astype("<u2").tobytes() for t in batch.column(1)]
+            keys = [b"" if d is None else b"%d" % d for d in batch.column(0).to_pylist()]
+            numbers = np.arange(number, number + n)
+            yield pa.record_batch([pa.array(np.repeat([0, 1], n), pa.int32()), pa.array(np.tile(numbers, 2), pa.int64()), pa.array(ids + keys, pa.binary())], names=["kind", "number", "ids"])
+            number += n
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "kind int, number long, ids binary")
+    lines = rows.sortWithinPartitions("kind", "number").select("kind", F.col("ids").cast("string").alias("value"))
+    lines.write.partitionBy("kind").option("lineSep", end.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 0).text(path)
     return path
 
 
+def _files(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return (files.filter(F.col("kind") == kind) if "kind" in files.columns else files).select("path", "content")  # an empty folder has no kinds
+
+
+def read_keys(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT) -> DataFrame:
+    """One row a document: file, number (from 0 in its file) and doc_id, as the task that wrote its tokens left them."""
+    line_end = end.to_bytes(2, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                keys = (content.as_py() or b"").split(line_end)[:-1]
+                yield pa.record_batch([pa.array([name.as_py()] * len(keys), pa.string()), pa.array(np.arange(len(keys)), pa.int64()), pa.array([int(k) if k else None for k in keys], pa.int64())], names=["file", "number", "doc_id"])
+
+    return _files(spark, path, 1).mapInArrow(run, "file string, number long, doc_id long")
+
+
 def scan_blocks(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a block: file, block, n_tokens, and ends, the places of the identifier within the block.
 
@@ -57,8 +82,7 @@ def scan_blocks(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, bloc
                     ends = np.flatnonzero(part == end)
                     yield pa.record_batch([pa.array([name.as_py()]), pa.array([block], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["file", "block", "n_tokens", "ends"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, "file string, block long, n_tokens long, ends array<long>")
+    return _files(spark, path, 0).mapInArrow(run, "file string, block long, n_tokens long, ends array<long>")
 
 
 def document_tokens(blocks: DataFrame) -> DataFrame:
@@ -92,12 +116,14 @@ def file_number(file):
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, file_number, number and n_tokens, counted in flat files written from docs.
 
-    docs has to come from files: the ids are read again with the same splits, whose tasks and order of rows
-    are those of the token files.
+    docs is read once: ids and tokens come from the same task, so no later splits matter. A document that has
+    tokens but no id, or an id but no tokens, is an error.
     """
     spark = docs.sparkSession
     path = write_token_files(docs, vocabulary)
-    counts = document_tokens(scan_blocks(spark, path, block_tokens=block_tokens)).select(file_number(F.col("file")).alias("file_number"), "number", "n_tokens")
-    at = F.monotonically_increasing_id()
-    ids = docs.select("doc_id", F.shiftright(at, 33).alias("file_number"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("number"))
-    return ids.join(counts, ["file_number", "number"], "left").select("doc_id", "file_number", "number", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    at = lambda df, *columns: df.select(file_number(F.col("file")).alias("file_number"), "number", *columns)
+    counts = at(document_tokens(scan_blocks(spark, path, block_tokens=block_tokens)), "n_tokens")
+    keys = at(read_keys(spark, path), "doc_id", F.lit(True).alias("_key"))
+    whole = F.col("_key").isNotNull() & F.col("n_tokens").isNotNull()
+    lost = F.raise_error(F.concat(F.lit("token files and ids differ at "), F.concat_ws("#", "file_number", "number"))).cast("long")
+    return keys.join(counts, ["file_number", "number"], "full").select("doc_id", "file_number", "number", F.when(whole, F.col("n_tokens")).otherwise(lost).alias("n_tokens"))

@@ -208,6 +208,32 @@ def test_token_counts(spark, folder, documents):
     assert Counter((r.doc_id, r.n_tokens) for r in rows(spark, folder, "op5_token_counts")) == expected
 
 
+def test_token_counts_do_not_depend_on_splits(spark, tmp_path):
+    """The files are split in another way after the token files are written."""
+    from stringloom.llm import token_files
+
+    path = f"{tmp_path}/documents"
+    spark.read.parquet(f"{TABLES}/documents.parquet").repartition(6).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    expected = Counter((r.doc_id, r.n_tokens) for r in token_files.count_tokens(spark.read.parquet(path)).collect())
+    assert sum(expected.values()) == spark.read.parquet(path).count()
+    try:
+        counted = token_files.count_tokens(spark.read.parquet(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert Counter((r.doc_id, r.n_tokens) for r in counted.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lost_token_files_are_an_error(spark, monkeypatch):
+    from stringloom.llm import token_files
+
+    whole = token_files.document_tokens
+    monkeypatch.setattr(token_files, "document_tokens", lambda blocks: whole(blocks).filter("number <> 1"))
+    with pytest.raises(Exception, match="token files and ids differ"):
+        token_files.count_tokens(spark.read.parquet(f"{TABLES}/documents.parquet")).collect()
+
+
 def test_fingerprints(spark, folder, documents):
     ordered = sorted(documents, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
     got = rows(spark, folder, "op6_fingerprint")
