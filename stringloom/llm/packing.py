@@ -28,29 +28,35 @@ from stringloom.llm.common import text_of, written
 
 CAPACITY = 2048
 END_ID = 0
+#: The vocabulary's added token; its id is the first behind the ranks.
+END_OF_TEXT = "<|endoftext|>"
 #: Parts that the pieces of one length are ranked in.
 PARTS = 256
 
 
 def load_encoding(ranks_file: bytes):
-    """The byte-level BPE whose ranks are given; special tokens' strings in a text are ordinary text."""
+    """The byte-level BPE whose ranks are given, and its added token behind them."""
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
 
 
 _encodings: dict[str, object] = {}
 
 
-def encoder(vocabulary: str):
-    """text to the bytes of its ids (little-endian unsigned 32-bit); the vocabulary is read once a worker."""
+def encoder(vocabulary: str, added: bool = False):
+    """text to its ids (little-endian unsigned 32-bit); the vocabulary is read once a worker.
+
+    The added token's string in a text is ordinary text, or with `added` the added token.
+    """
     if vocabulary not in _encodings:
         with open(vocabulary, "rb") as f:
             _encodings[vocabulary] = load_encoding(f.read())
     encoding = _encodings[vocabulary]
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    allowed = {END_OF_TEXT} if added else set()
+    return lambda text: encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False)
 
 
 def default_vocabulary() -> str:
@@ -68,12 +74,12 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def tokenised_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """Pieces of docs: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    Each row's ids end with END_ID; a null or empty text has that id only. Repeated rows are pieces of their own.
+    Ids are those of the tokenizer's own call, which makes END_OF_TEXT in a text the added token. Each row's ids end with END_ID; a null or empty text has that id only. Repeated rows are pieces of their own.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added=True)
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -121,6 +121,17 @@ def test_packing(spark, folder, documents):
     assert min(places) == 0 and max(places) == len(places) - 1
 
 
+def test_packing_encodes_as_tokenizers(spark):
+    """The tokenizer as it is loaded, with add_special_tokens=False: the added token's string is the added token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> same", "<|endoftext|><|endoftext|>\n x", "<|endoftext |> no", "it's  plain\u00a0text <|endoftext|", "", "x<|endoftext|>"]
+    got = packing.tokenised_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("counts", [{}, {5: 1}, {2048: 3, 1: 10}, {1000: 7, 700: 5, 348: 9, 2: 1}, {n: 3 for n in range(1, 400, 7)}])
 def test_rounds_are_best_fit(counts):
     """The ranges of the rounds against best fit, longest first, piece by piece: as many sequences, and none too full."""
