@@ -147,7 +147,10 @@ def _link_runs(batches: Iterator[pa.RecordBatch], largest: int) -> Iterator[pa.R
         edges = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
         froms, tos, hot, kept = [], [], [], len(keys)
-        for s, e in zip(starts[ends - starts > 1].tolist() if final else starts[:-1][(ends - starts)[:-1] > 1].tolist(), (ends[ends - starts > 1] if final else ends[:-1][(ends - starts)[:-1] > 1]).tolist()):
+        done = len(starts) if final else len(starts) - 1
+        for s, e in zip(starts[:done].tolist(), ends[:done].tolist()):
+            if e - s == 1 and too_large != keys[s]:
+                continue
             if too_large == keys[s] or e - s > largest:
                 too_large = keys[s]
                 hot.append(fps[s:e])
@@ -161,8 +164,6 @@ def _link_runs(batches: Iterator[pa.RecordBatch], largest: int) -> Iterator[pa.R
                 too_large = keys[-1]
                 hot.append(fps[kept:])
                 kept = len(keys)
-        elif len(keys) and too_large == keys[-1] and ends[-1] - starts[-1] == 1:
-            hot.append(fps[-1:])
         return out(froms, tos, hot), keys[kept:], fps[kept:]
 
     for batch in batches:

@@ -209,6 +209,18 @@ def test_links_are_complete(spark, most):
                 assert find(a) == find(b)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 8])
+def test_no_row_of_a_large_bucket_is_lost(size):
+    """A bucket over the limit comes back whole, however the batches cut it."""
+    import pyarrow as pa
+
+    keys, fps = [1, 2, 2, 2, 2, 3, 4, 4], [0, 1, 2, 3, 4, 5, 6, 6 + (1 << 40)]
+    table = pa.table({"key": pa.array(keys, pa.int64()), "fp": pa.array(fps, pa.int64())})
+    out = [r for b in simhash._link_runs(iter(table.to_batches(max_chunksize=size)), 2) for r in b.to_pylist()]
+    assert sorted(r["a"] for r in out if r["b"] is None) == [1, 2, 3, 4]
+    assert [{r["a"], r["b"]} for r in out if r["b"] is not None] == [{6, 6 + (1 << 40)}]
+
+
 def test_token_counts(spark, folder, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
