@@ -163,29 +163,34 @@ def leaf_order(nodes: DataFrame, big_first: bool = True) -> DataFrame:
 
 
 def splits(nodes: DataFrame, weights: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """leaves (sorted names), size and weight: the sets of leaves below inner nodes, summed over all trees.
+    """set, size, weight and leaf, one row a leaf: the sets of leaves below inner nodes, summed over all trees.
 
-    weights: tree and weight, else every tree counts 1. The root's set and single leaves are left out.
+    weights: tree and weight, else every tree counts 1. The root's set and single leaves are left out. A set is
+    known by its size and two hashes that don't depend on order, so its leaves are never in one row.
     """
-    below = members(nodes, pairs)
-    sets = below.groupBy("tree", "node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    whole = below.groupBy("tree").agg(F.count_distinct("leaf").alias("_all"))
-    sets = sets.join(whole, "tree").filter((F.size("leaves") > 1) & (F.size("leaves") < F.col("_all"))).select("tree", "leaves").distinct()
+    below = stored(members(nodes, pairs).select("tree", "node", "leaf").distinct(), "tree-members")
+    whole = leaves(nodes).groupBy("tree").agg(F.count_distinct("name").alias("_all"))
+    inner = below.join(nodes.filter("parent is null").select("tree", "node"), ["tree", "node"], "left_anti")
+    mixed = F.sum(F.pmod(F.xxhash64("leaf", F.lit("set")), F.lit(1 << 31)))
+    sets = inner.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("leaf")).alias("_x"), mixed.alias("_y"))
+    sets = sets.join(whole, "tree").filter((F.col("size") > 1) & (F.col("size") < F.col("_all")))
+    sets = sets.groupBy("tree", F.concat_ws("-", F.col("size"), F.hex("_x"), F.hex("_y")).alias("set"), "size").agg(F.min("node").alias("node"))
     weighed = sets.withColumn("weight", F.lit(1.0)) if weights is None else sets.join(weights, "tree")
-    return weighed.groupBy("leaves").agg(F.sum("weight").alias("weight")).withColumn("size", F.size("leaves"))
+    found = weighed.groupBy("set", "size").agg(F.sum("weight").alias("weight"), F.min(F.struct("tree", "node")).alias("_at"))
+    return found.select("set", "size", "weight", "_at.*").join(below, ["tree", "node"]).select("set", "size", "weight", "leaf")
 
 
 def consensus(found: DataFrame, total: float, share: float = 0.5) -> DataFrame:
     """Majority-rule consensus: the sets with over `share` of the weight, each with parent, the smallest set that holds it.
 
-    Such sets never cross, so of two that share a leaf one holds the other. node and parent are digests of the
-    sets; a parent of null is the root.
+    Such sets never cross, so of two that share a leaf one holds the other. One row a leaf: node and parent (sets;
+    a parent of null is the root), leaf, size and support.
     """
-    kept = stored(found.filter(F.col("weight") > total * share).withColumn("node", F.sha2(F.array_join("leaves", "\0"), 256)), "tree-majority")
-    by_leaf = kept.select("node", "size", F.explode("leaves").alias("leaf"))
+    kept = stored(found.filter(F.col("weight") > total * share).withColumnRenamed("set", "node"), "tree-majority")
+    by_leaf = kept.select("node", "size", "leaf")
     larger = by_leaf.select(F.col("node").alias("_p"), F.col("size").alias("_s"), "leaf")
     parents = by_leaf.join(larger, "leaf").filter("_s > size").groupBy("node").agg(F.min(F.struct("_s", "_p")).alias("_x"))
-    return kept.join(parents, "node", "left").select("node", F.col("_x._p").alias("parent"), "leaves", "size", (F.col("weight") / total).alias("support"))
+    return kept.join(parents, "node", "left").select("node", F.col("_x._p").alias("parent"), "leaf", "size", (F.col("weight") / total).alias("support"))
 
 
 def best_groups(left: DataFrame, right: DataFrame, leaves_in_both: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def consensus_of_trees(table):
 
     segment, nation = F.concat(F.lit("s"), F.col("c_mktsegment")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
     forest = tree("a", segment).unionByName(tree("b", segment)).unionByName(tree("c", nation))
-    found = tr.consensus(tr.splits(forest), 3.0)
-    named = found.join(table("customer").select(F.col("c_name").alias("first"), F.col("c_mktsegment").alias("label")), F.get("leaves", F.lit(0)) == F.col("first"))
+    found = tr.consensus(tr.splits(forest), 3.0).groupBy("node", "size", "support").agg(F.min("leaf").alias("first"))
+    named = found.join(table("customer").select(F.col("c_name").alias("first"), F.col("c_mktsegment").alias("label")), "first")
     return named.select("label", F.col("size").cast("long").alias("size"), "support")
 
 

@@ -181,6 +181,30 @@ def test_newick(spark):
     assert {r.tree: (r.leaves, r.inner_nodes, r.groups) for r in trees.info(found).collect()} == {"t": (6, 4, 2), "u": (2, 1, 0)}
 
 
+def test_consensus_keeps_sets_as_rows(spark):
+    """Nested majority sets, a root with one child, and sets that differ in a leaf; no step makes one row of a set."""
+    texts = [("a", "(((A,B),C),(D,E),F);"), ("b", "(((B,A),C),((D,F),E));"), ("c", "(((A,C),B,D),(E,F));"), ("d", "((((A,B),C),D,E,F));")]
+    forest = node_io.trees(spark.createDataFrame(texts, "tree string, newick string"), "tree", "newick")
+    below, weight = {}, Counter()
+    for r in trees.members(forest).collect():
+        below.setdefault((r.tree, r.node), set()).add(r.leaf)
+    for tree, leaves in {(t, frozenset(x)) for (t, _), x in below.items()}:
+        weight[leaves] += 1 < len(leaves) < 6
+    found = trees.splits(forest)
+    assert {k: v for k, v in found.dtypes}["leaf"] == "string" and not any("array" in v for _, v in found.dtypes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    rows = {}
+    for r in found.collect():
+        rows.setdefault((r.set, r.size, r.weight), set()).add(r.leaf)
+    assert {frozenset(x): w for (_, n, w), x in rows.items() if n == len(x)} == {k: v for k, v in weight.items() if v} and len(rows) == sum(v > 0 for v in weight.values())
+    kept = {}
+    for r in trees.consensus(found, 4.0).collect():
+        kept.setdefault((r.node, r.parent, r.support), set()).add(r.leaf)
+    names = {n: frozenset(x) for (n, _, _), x in kept.items()}
+    assert {frozenset(x): (names.get(p), s) for (_, p, s), x in kept.items()} == {frozenset("AB"): (frozenset("ABC"), 0.75), frozenset("ABC"): (None, 0.75)}
+
+
 def test_tree_changes(spark):
     found = node_io.trees(spark.createDataFrame([("t", NEWICK)], "tree string, text string"), "tree", "text")
     pruned = trees.pruned(found, spark.createDataFrame([("t", "s1"), ("t", "s3"), ("t", "s 4")], "tree string, name string"))
