@@ -1,12 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of fixed length, in bulk-synchronous rounds.
 
-Pieces and gaps are sorted by size. Each round takes the longest pieces that are left, finds for them the
-successor among the gaps (the smallest that holds them, then the next, and new sequences last), resolves
-conflicts by rank (the r-th piece gets the r-th gap), and moves the filled gaps to their new size.
-As sizes are whole numbers up to the capacity, all pieces of a size are one class and all sequences with
-the same gap and history are one range of numbers. So a round needs only the counts of the classes, which
-are at most `capacity` numbers however large the corpus; pieces get their ranks within a class, and their
-places from the rounds' ranges, in two distributed passes.
+Pieces go by ranges of length, longest first, one round each. In a round the pieces of the range and all gaps
+that are left are dealt out to tasks by hashes of their numbers and range-sorted there; every task sweeps its
+pieces over its gaps. A piece takes its successor, the smallest gap that holds it; of pieces that want the same
+gap the one of the higher rank (longer, then smaller number) gets it, the others go on to the next; without a
+gap a new sequence opens. Filled gaps move to their new size at once. At the end of a round the gaps are written
+and dealt out anew, so that what one task could not use another one can, and the next range follows.
+A task holds the gaps of one deal, about SHARE rows, whatever the input; the driver gets one count.
 """
 
 from __future__ import annotations
@@ -14,24 +14,24 @@ from __future__ import annotations
 import base64
 import bisect
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stringloom.llm.common import text_of, written
+from stringloom.llm.common import free_name, text_of, written
 
 CAPACITY = 2048
 END_ID = 0
 #: The vocabulary's added token; its id is the first behind the ranks.
 END_OF_TEXT = "<|endoftext|>"
-#: Parts that the pieces of one length are ranked in.
-PARTS = 256
+#: Pieces of one deal: what a task packs by itself in a round. Its gaps are no more than that in the mean.
+SHARE = 20_000
+#: A round takes the lengths down to this part of the longest ones before.
+NARROWER = 4
 
 
 def load_encoding(ranks_file: bytes):
@@ -74,7 +74,9 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def tokenised_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """Pieces of docs: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    Ids are those of the tokenizer's own call, which makes END_OF_TEXT in a text the added token. Each row's ids end with END_ID; a null or empty text has that id only. Repeated rows are pieces of their own.
+    Ids are those of the tokenizer's own call, which makes END_OF_TEXT in a text the added token. Each row's ids end
+    with END_ID; a null or empty text has that id only. A text of any length is encoded whole and then cut. Repeated
+    rows are pieces of their own, a null doc_id stays null, an empty table gives no pieces. Other columns are not read.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -98,78 +100,107 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: i
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
-def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tuple[int, int, int]]]:
-    """Best fit, longest first, on the counts of each length: (first rank, first sequence, offset) by length.
+class Gaps:
+    """Sequences by the room that is left in them."""
 
-    The pieces of that length from `first rank` on stand at `offset` of the sequences from `first sequence`
-    on, one in each, up to the next range's first rank.
+    def __init__(self, capacity: int):
+        self.capacity, self.by_size, self.sizes = capacity, [[] for _ in range(capacity + 1)], []
+
+    def add(self, size: int, sequence: int) -> None:
+        if not size:
+            return
+        if not self.by_size[size]:
+            bisect.insort(self.sizes, size)
+        self.by_size[size].append(sequence)
+
+    def successor(self, length: int) -> tuple[int, int] | None:
+        """(size, sequence) of the smallest gap that holds the length, which is taken out; None without one."""
+        at = bisect.bisect_left(self.sizes, length)
+        if at == len(self.sizes):
+            return None
+        size = self.sizes[at]
+        sequence = self.by_size[size].pop()
+        if not self.by_size[size]:
+            del self.sizes[at]
+        return size, sequence
+
+    def rest(self) -> list[tuple[int, int]]:
+        return [(size, sequence) for size in self.sizes for sequence in self.by_size[size]]
+
+
+def sweep(batches: Iterator[pa.RecordBatch], capacity: int, first_new: int, step_new: int) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, is_piece, size, number), sorted so with pieces by falling size, to rows (is_piece, number, sequence_id, place).
+
+    For a piece: its number, its sequence and its offset there. For what is left of a gap at the end of a deal:
+    null, the sequence and the gap's size. New sequences of deal d are d + first_new, then step_new further each.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by size: ranges (first sequence, number)
-    sizes: list[int] = []  # of the gaps, sorted
-    placed, opened = {}, 0
-    for length in sorted(counts, reverse=True):
-        rank, left, own = 0, counts[length], []
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            gap = sizes[at] if at < len(sizes) else capacity
-            each = gap // length  # best fit puts the next equal piece into the same sequence while it fits
-            if at < len(sizes):
-                first, number = gaps[gap].pop()
-            else:
-                first, number = opened, -(-left // each)
-                opened += number
-            full, rest = divmod(left, each)
-            full = min(full, number)
-            one = rest if full < number and rest else 0
-            for sequences, times, start in ((full, each, first), (min(1, one), one, first + full)):
-                for k in range(times if sequences else 0):
-                    own.append((rank, start, capacity - gap + k * length))
-                    rank, left = rank + sequences, left - sequences
-                if sequences and gap > times * length:
-                    if not gaps[gap - times * length]:
-                        bisect.insort(sizes, gap - times * length)
-                    gaps[gap - times * length].append((start, sequences))
-            if at < len(sizes) and gap != capacity:
-                used = full + min(1, one)
-                if used < number:
-                    gaps[gap].append((first + used, number - used))
-                if not gaps[gap]:
-                    del gaps[gap], sizes[bisect.bisect_left(sizes, gap)]
-        placed[length] = own
-    return placed
-
-
-def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    schema = pa.schema([("is_piece", pa.bool_()), ("number", pa.int64()), ("sequence_id", pa.int64()), ("place", pa.int64())])
+    gaps, deal, new = Gaps(capacity), None, 0
+
+    def out(numbers, found, places, rest):
+        n, k = len(numbers), len(rest)
+        columns = [[True] * n + [False] * k, numbers + [None] * k, found + [q for _, q in rest], places + [g for g, _ in rest]]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    for batch in batches:
+        numbers, found, places, rest = [], [], [], []
+        for of, is_piece, size, number in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if of != deal:
+                rest += gaps.rest()
+                gaps, deal, new = Gaps(capacity), of, of + first_new
+            if not is_piece:
+                gaps.add(size, number)
+                continue
+            gap = gaps.successor(size)
+            if gap is None:
+                gap, new = (capacity, new), new + step_new
+            room, sequence = gap
+            gaps.add(room - size, sequence)
+            numbers.append(number), found.append(sequence), places.append(capacity - room)
+        yield out(numbers, found, places, rest)
+    yield out([], [], [], gaps.rest())
+
+
+def ranges(capacity: int) -> list[tuple[int, int]]:
+    """(shortest, longest) length of each round, longest first."""
+    out, longest = [], capacity
+    while longest:
+        out.append((longest // NARROWER + 1, longest))
+        longest //= NARROWER
+    return out
+
+
+def packed(pieces: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
     """pieces with sequence_id and offset; they need a column length from 1 to the capacity.
 
-    pieces are written to the shared folder, since every pass must see the same rows in the same parts.
-    Sequences are numbered from 0 without gaps, and filled from offset 0 without gaps. Equal lengths are
-    ranked in the order of the rows, so repeated rows have places of their own. An empty table gives no rows.
-    The driver gets one count for each length and makes the rounds' ranges, neither of which grows with the
-    number of pieces once all lengths occur.
+    pieces are written to the shared folder, since every round must see the same rows. Sequences are numbered
+    from 0 without gaps, and filled from offset 0 without gaps. Equal lengths rank by the rows' numbers, so
+    repeated rows have places of their own, and a lost task packs its deals again in the same way. Columns of
+    pieces called sequence_id or offset are an error; an empty table gives no rows. Packing by deals opens at
+    most about one sequence a deal, which is one for each `share` pieces, more than one best fit over all would.
     """
-    numbered = pieces.withColumn("_row", F.monotonically_increasing_id())
-    parted = written(numbered.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(PARTS)).cast("int")), "pack-pieces")
-    by_part = parted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(by_part.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "pack-parts")
-    counts = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranges = {n: np.array(own, np.int64).reshape(-1, 3).T for n, own in rounds(counts, capacity).items()}
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        lengths, ranks = length.to_numpy(), rank.to_numpy()
-        sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            first, starts_at, offsets = ranges[int(n)]
-            k = np.searchsorted(first, ranks[at], side="right") - 1
-            sequence[at], offset[at] = starts_at[k] + ranks[at] - first[k], offsets[k]
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row")) - 1 + F.col("_before")
-    ranked = parted.join(starts.select("length", "_part", "_before"), ["length", "_part"]).withColumn("_rank", rank)
-    return ranked.withColumn("_place", place("length", "_rank")).select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    number, spark = free_name(pieces, "_number"), pieces.sparkSession
+    parted = written(pieces.withColumn(number, F.monotonically_increasing_id()), "pack-pieces")
+    deals, steps = parted.count() // share + 1, ranges(capacity)
+    narrow = parted.select(F.lit(True).alias("is_piece"), F.col("length").alias("size"), F.col(number).alias("number"))
+    gaps = spark.createDataFrame([], "is_piece boolean, size long, number long")
+    placed = None
+    for step, (shortest, longest) in enumerate(steps):
+        rows = narrow.filter(F.col("size").between(shortest, longest)).unionByName(gaps)
+        dealt = rows.withColumn("deal", F.pmod(F.xxhash64("number", "is_piece", F.lit(step)), F.lit(deals)))
+        dealt = dealt.select("deal", "is_piece", F.col("size").cast("long").alias("size"), "number")
+        sorted_rows = dealt.repartition("deal").sortWithinPartitions("deal", "is_piece", F.desc("size"), "number")
+        first_new, step_new = step * deals, len(steps) * deals
+        swept = written(sorted_rows.mapInArrow(lambda it, a=first_new, b=step_new: sweep(it, capacity, a, b), "is_piece boolean, number long, sequence_id long, place long"), "pack-round")
+        gaps = swept.filter("not is_piece").select("is_piece", F.col("place").alias("size"), F.col("sequence_id").alias("number"))
+        own = swept.filter("is_piece").select(F.col("number").alias(number), "sequence_id", F.col("place").alias("offset"))
+        placed = own if placed is None else placed.unionByName(own)
+    # a sequence's number is (how many its deal opened before it, round, deal); a deal's ones are moved behind those of the deals before it
+    opener, turn = F.pmod("sequence_id", F.lit(len(steps) * deals)), F.call_function("div", F.col("sequence_id"), F.lit(len(steps) * deals))
+    opened = placed.groupBy(opener.alias("_opener")).agg((F.max(turn) + 1).alias("_n"))
+    before = opened.withColumn("_before", F.sum("_n").over(Window.orderBy("_opener")) - F.col("_n")).drop("_n")
+    numbered = placed.withColumn("_opener", opener).join(before, "_opener").select(number, (F.col("_before") + turn).alias("sequence_id"), "offset")
+    return parted.join(numbered, number).select(*pieces.columns, "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
