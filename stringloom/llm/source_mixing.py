@@ -12,8 +12,8 @@ from stringloom.llm.common import SPACE, join_by_key, written
 WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all words, and no source more than this many times its own.
 SHARE, MOST = 1.5, 2.0
-#: Seeds that are tried for the draw of each source.
-SEEDS = 64
+#: Seed of the draws.
+SEED = 42
 
 
 def n_words(text: Column) -> Column:
@@ -42,29 +42,25 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.withColumn("target", F.least("limit", F.coalesce(level * F.col("weight"), F.col("limit")))).select("source", "source_size", "target")
 
 
-def _draw(seed: Column) -> Column:
-    """A number from 0 to 1 that depends on the id and the seed alone."""
-    return F.pmod(F.xxhash64("doc_id", seed), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def draw_key() -> Column:
+    """What a row's draw hashes: its doc_id, or its text where that is null."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
 
 
-def _fraction() -> Column:
-    return F.col("rate") - F.floor("rate")
+def n_copies(seed: int = SEED) -> Column:
+    """floor(rate) whole copies and one more if the row's draw, from 0 to 1, is below the fraction; none of a row without words."""
+    draw = F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
+    return F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long"))
 
 
-def source_plan(narrow: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, source, size) to one row a source: source_key, rows, source_size, target, rate and the seed of its draw."""
+def source_plan(narrow: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, size) to one row a source: source_key, rows, source_size, target and rate."""
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sizes = written(sizes, "mix-sources")
     targets = source_targets(sizes.drop("rows"), weights, share, most).withColumn("source_key", source_key()).drop("source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = sizes.select(source_key().alias("source_key"), "rows").join(targets.withColumn("rate", rate), "source_key")
-    targets = written(targets, "mix-targets")
-    rated = by_source(narrow.filter("size > 0").withColumn("source_key", source_key()), targets.select("source_key", "rows", "rate"))
-    drawn = [F.sum(F.when(_draw(F.lit(k)) < _fraction(), F.col("size")).otherwise(0)).alias(f"drawn_{k}") for k in range(seeds)]
-    sums = rated.groupBy("source_key").agg(F.sum(F.col("size") * _fraction()).alias("wanted"), *drawn)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"drawn_{k}") - F.col("wanted")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)]))
-    seeded = sums.select("source_key", best["seed"].alias("seed"))
-    return written(targets.join(seeded, "source_key", "left").withColumn("seed", F.coalesce("seed", F.lit(0))), "mix-plan")
+    return written(sizes.select(source_key().alias("source_key"), "rows").join(targets.withColumn("rate", rate), "source_key"), "mix-plan")
 
 
 def source_key() -> Column:
@@ -76,32 +72,33 @@ def by_source(rows: DataFrame, plan: DataFrame, most: int = 100_000) -> DataFram
     """rows with their source's plan: a broadcast of up to `most` sources, else a join that spreads hot ones."""
     if plan.count() <= most:
         return rows.join(F.broadcast(plan), "source_key")
-    return join_by_key(rows, plan, "source_key", "rows", F.col("doc_id"))
+    return join_by_key(rows, plan, "source_key", "rows", F.col("draw"))
 
 
-def allotted(docs: DataFrame, **options) -> DataFrame:
+def allotted(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target and copies.
 
-    copies is floor(rate) and one more with probability of the fraction, rate = target / source_size. The
-    extra copy is a Bernoulli draw by a hash of doc_id and a seed; of SEEDS seeds each source takes the one
-    whose draw lands nearest its target (the smallest of equals), which one aggregation finds. So reruns agree,
-    and rows with equal ids are drawn alike. A null text has no words, a null source is a source of its own, a
-    source without words has rate 0, a null doc_id is drawn like an id; an empty table gives no rows.
+    copies is floor(rate) and one more with probability of the fraction, rate = target / source_size. The extra
+    copy is one Bernoulli draw for each row, by a hash of its doc_id and the seed. So reruns agree, rows with
+    equal ids are drawn alike, and a source's total lands about its target: the more documents, the nearer. A
+    null text has no words, a null source is a source of its own, a source without words has rate 0, a row with
+    a null doc_id is drawn by its text; an empty table gives no rows. Texts of any length are counted whole.
+    Other columns of docs are not read, so their names may clash.
     """
-    narrow = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    plan = source_plan(narrow, **options)
-    extra = (_draw(F.col("seed")) < _fraction()).cast("long")
-    rows = by_source(narrow.withColumn("source_key", source_key()), plan)
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.floor("rate") + extra).otherwise(F.lit(0).cast("long")).alias("copies"))
+    narrow = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw_key().alias("draw")), "mix-sizes")
+    rows = by_source(narrow.withColumn("source_key", source_key()), source_plan(narrow, **options))
+    return rows.select("doc_id", "source", "size", "source_size", "target", n_copies(seed).alias("copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows without words are not taken."""
+def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows without words are not taken.
+
+    Rows are treated as allotted() says; columns of docs keep their names and values, whatever they are called.
+    """
     columns = docs.columns
-    narrow = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    plan = source_plan(narrow, **options).select("source_key", "rows", F.struct("rate", "seed").alias("_plan"))
+    narrow = written(docs.select("source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    plan = source_plan(narrow, **options).select("source_key", "rows", "rate")
     row = F.struct(*[docs[c] for c in columns]).alias("row")
-    rows = by_source(docs.select(row, "doc_id", source_key().alias("source_key"), n_words(F.col("text")).alias("size")), plan)
-    rows = rows.select("row", "doc_id", "size", "_plan.rate", "_plan.seed")
-    copies = F.when(F.col("size") > 0, F.floor("rate") + (_draw(F.col("seed")) < _fraction()).cast("long")).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    rows = by_source(docs.select(row, "doc_id", source_key().alias("source_key"), n_words(F.col("text")).alias("size"), draw_key().alias("draw")), plan)
+    copies = rows.select("row", n_copies(seed).alias("copies")).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
