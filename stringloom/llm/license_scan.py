@@ -1,11 +1,14 @@
 """License scans: an exact set-similarity join of license templates with the text blocks of documents.
 
-Blocks are runs of BLOCK words that start every BLOCK / 2 words, so every run of half a block lies in one.
-A template matches a block that holds at least its threshold's share of the template's distinct words. Words
-are ordered by their frequency in the whole corpus, rarest first; a matching block must hold one of the first
-|T| - need + 1 words of the template (prefix filter), have at least `need` distinct words (length filter), and
-what is left of the template behind the first shared word must still reach `need` (positional filter). What
-passes is counted exactly. The templates are a fixed set, so they travel with the tasks: no text is shuffled.
+A template goes with blocks of 64 words, or of the next power of two that is twice its length; blocks start
+every half block, so every run of half a block lies in one. A template matches a block that holds at least its
+threshold's share of the template's distinct words; one of fewer than SHORT words needs them all, since licenses
+of one family differ in a single word. Words are ordered by their frequency in the whole corpus, rarest first.
+A matching block must hold one of the first |T| - need + 1 words of the template (prefix filter) and at least
+`need` words of any template (length filter). From the first word that they share on, both the template and the
+block, in that order, must have `need` words (positional filter: the block's place is what prunes, a prefix word
+leaves enough of the template by itself). What passes is counted exactly. The templates are a bounded set, so
+they travel with the tasks: no text is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from stringloom.llm.common import text_of
 
 BLOCK = 64
 THRESHOLD = 0.8
+#: Templates of fewer distinct words have to be there whole.
+SHORT = 10
 #: Phrases whose words have to stand consecutively, and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Templates of common license notices and their labels (fixed values, in words of the public license texts).
@@ -41,6 +46,9 @@ TEMPLATES = (
     ("cc-by-nd", "licensed under cc by nd 4.0"),
     ("cc0", "released under cc0 1.0 universal public domain dedication"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
 #: A-Z to a-z; 0-9, a-z and all bytes of characters from 0x80 on stay; the rest separates words.
@@ -52,13 +60,15 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Template:
-    """A template's distinct words in the global order, and the overlap that it needs."""
+    """A template's distinct words in the global order, the overlap that it needs, and its size of blocks."""
 
     def __init__(self, label: str, words: list[bytes], threshold: float, frequency: dict[bytes, int], phrase: bool = False):
         self.label, self.sequence, self.phrase = label, words, phrase
         self.words = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
-        self.need = -(-len(self.words) * round(threshold * 1000) // 1000)
+        whole = phrase or len(self.words) < SHORT
+        self.need = len(self.words) if whole else -(-len(self.words) * round(threshold * 1000) // 1000)
         self.prefix = self.words[: len(self.words) - self.need + 1]
+        self.block = max(BLOCK, 1 << (2 * len(words) - 1).bit_length())
 
 
 def global_frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
@@ -76,59 +86,86 @@ def global_frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in counts.collect()}
 
 
-def _all_words() -> list[bytes]:
-    return sorted({w for _, text in TEMPLATES for w in words_of(text)} | {w for p in PHRASES for w in words_of(p)})
+class Templates:
+    """All templates, their words' places in the global order, and by size of blocks which ones a prefix word belongs to."""
 
+    def __init__(self, templates: list[Template], frequency: dict[bytes, int]):
+        self.all = templates
+        order = sorted({w for t in templates for w in t.words}, key=lambda w: (frequency.get(w, 0), w))
+        self.order = {w: i for i, w in enumerate(order)}
+        self.phrases: dict[bytes, list[Template]] = {}
+        self.by_block: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for k, t in enumerate(templates):
+            for i, w in enumerate(t.prefix):
+                if t.phrase:
+                    self.phrases.setdefault(w, []).append(t)
+                else:
+                    self.by_block.setdefault(t.block, {}).setdefault(w, []).append((k, i))
+        self.wanted = frozenset(self.phrases).union(*self.by_block.values())
 
-def scan(words: list[bytes], templates: list[Template], by_prefix: dict[bytes, list[tuple[int, int]]], block: int = BLOCK):
-    """(starts of phrases by label, [(label, first word of the block, containment)]) of a document's words.
 
-    by_prefix: of each prefix word its (template, place in the template's order).
+def block_matches(own: list[bytes], templates: Templates, prefixes: dict[bytes, list[tuple[int, int]]], pruned: list[int] | None = None) -> list[tuple[int, int]]:
+    """(template, overlap) of the templates that a block holds; own: its template words in the global order.
+
+    pruned: counts what the length filter and the positional filter leave out.
     """
-    step, hits = block // 2, {}
+    held, seen, found = set(own), set(), []
+    for j, w in enumerate(own):
+        for k, i in prefixes.get(w, ()):
+            if k in seen:
+                continue
+            seen.add(k)  # w is the first word that the two share
+            t = templates.all[k]
+            if len(own) < t.need:  # length filter
+                which = 0
+            elif min(len(t.words) - i, len(own) - j) < t.need:  # positional filter
+                which = 1
+            else:
+                overlap = len(held.intersection(t.words))
+                if overlap >= t.need:
+                    found.append((k, overlap))
+                continue
+            if pruned is not None:
+                pruned[which] += 1
+    return found
+
+
+def scan(words: list[bytes], templates: Templates):
+    """(starts of phrases by label, [(label, first word of the block, containment)]) of a document's words."""
+    hits: dict[bytes, list[int]] = {}
+    wanted = templates.wanted
     for at, w in enumerate(words):
-        if w in by_prefix:
+        if w in wanted:
             hits.setdefault(w, []).append(at)
-    starts, found, blocks, seen = {}, [], {}, set()
-    last = max(0, (len(words) - 1) // step)
+    starts, found = {}, []
     for w, places in hits.items():
-        for t, order in by_prefix[w]:
-            template = templates[t]
-            if len(template.words) - order < template.need:  # positional filter: too little of the template is left
-                continue
-            if template.phrase:  # its rarest word alone is the prefix: the phrase's words must stand around it
-                shift, n = template.sequence.index(w), len(template.sequence)
-                own = [at - shift for at in places if at >= shift and words[at - shift : at - shift + n] == template.sequence]
-                if own:
-                    starts.setdefault(template.label, []).extend(own)
-                continue
-            for at in places:
-                for b in {max(0, at // step - 1), min(last, at // step)}:
-                    if (t, b) in seen:
-                        continue
-                    seen.add((t, b))
-                    if b not in blocks:
-                        blocks[b] = set(words[b * step : b * step + block])
-                    if len(blocks[b]) < template.need:  # length filter
-                        continue
-                    overlap = sum(x in blocks[b] for x in template.words)
-                    if overlap >= template.need:
-                        found.append((template.label, b * step, overlap / len(template.words)))
+        for t in templates.phrases.get(w, ()):  # a phrase's rarest word alone is its prefix: the others must stand around it
+            shift, n = t.sequence.index(w), len(t.sequence)
+            own = [at - shift for at in places if at >= shift and words[at - shift : at - shift + n] == t.sequence]
+            if own:
+                starts.setdefault(t.label, []).extend(own)
+    for block, prefixes in templates.by_block.items():
+        step = block // 2
+        last = max(0, (len(words) - 1) // step)
+        blocks = {b for w, places in hits.items() if w in prefixes for at in places for b in (max(0, at // step - 1), min(last, at // step))}
+        for b in sorted(blocks):
+            own = sorted({w for w in words[b * step : b * step + block] if w in templates.order}, key=templates.order.__getitem__)
+            found += [(templates.all[k].label, b * step, n / len(templates.all[k].words)) for k, n in block_matches(own, templates, prefixes)]
     return starts, found
 
 
-def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scanned(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, phrases (label, start) and blocks (label, start, containment).
 
-    A null or empty text has no words; repeated rows each have a row; an empty table gives no rows.
+    templates: (label, text) pairs, a bounded set that travels with the tasks. A null or empty text has no words;
+    a text of any length is scanned whole, block by block. Repeated rows each have a row, a null doc_id stays
+    null, an empty table gives no rows. Other columns of docs are not read, so their names may clash.
     """
-    frequency = global_frequencies(docs, _all_words())
-    templates = [Template(label, words_of(p), 1.0, frequency, True) for p, label in PHRASES.items()]
-    templates += [Template(label, words_of(text), threshold, frequency) for label, text in TEMPLATES]
-    by_prefix: dict[bytes, list[tuple[int, int]]] = {}
-    for t, template in enumerate(templates):
-        for order, w in enumerate(template.prefix):
-            by_prefix.setdefault(w, []).append((t, order))
+    vocabulary = sorted({w for _, text in templates for w in words_of(text)} | {w for p in PHRASES for w in words_of(p)})
+    frequency = global_frequencies(docs, vocabulary)
+    known = [Template(label, words_of(p), 1.0, frequency, True) for p, label in PHRASES.items()]
+    known += [Template(label, words_of(text), threshold, frequency) for label, text in templates]
+    ready = Templates(known, frequency)
     place = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
     block = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())]))
 
@@ -137,7 +174,7 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             n, phrases, blocks = [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
-                starts, found = scan(words, templates, by_prefix)
+                starts, found = scan(words, ready)
                 n.append(len(words))
                 phrases.append(sorted(({"label": k, "start": s} for k, own in starts.items() for s in own), key=lambda r: (r["start"], r["label"])))
                 blocks.append([{"label": a, "start": s, "containment": c} for a, s, c in sorted(found)])
