@@ -1,16 +1,16 @@
 """Quality classifier: hashed word n-gram logistic regression trained with FTRL updates, scored as sparse dot products.
 
-Words are runs of letters and digits, and runs of other signs. Features are the words, and n-grams of one
-to three words reduced to their shape (case, length class, repetition of the word before; signs stay as
-they are), which carry over to words that training never saw. Values are log term frequencies, normalised
-to length 1, so a text's length alone says nothing.
+Words are runs of letters and digits, and runs of other signs. Features are the n-grams of one to three words,
+and those of one to three words reduced to their shape (case, length class, repetition of the word before;
+signs stay as they are), which carry over to words that training never saw. A word is hashed once a text, and
+the n-grams are mixed from the words' hashes by array arithmetic. Values are log term frequencies, and each of
+the two kinds is normalised to length 1, so a text's length alone says nothing.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,30 +35,41 @@ def shape(word: str) -> str:
     return case + str(min(len(word), 16) // 4)
 
 
+def _grams(hashes: np.ndarray, first: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (`number` ones from `first` on) and normalised values of the n-grams of one to three of the hashed words."""
+    grams, own = [], hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(first)
+    for n in range(1, min(3, len(hashes)) + 1):
+        mixed = own[: len(own) - n + 1]
+        for k in range(1, n):
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + own[k : len(own) - n + 1 + k]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        grams.append((mixed ^ (mixed >> np.uint64(31))) % np.uint64(number) + np.uint64(first))
+    at, counts = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_counts=True)
+    values = np.log1p(counts)
+    return at.astype(np.int64), values / max(1e-12, float(np.sqrt(values @ values)))
+
+
 def features(text: str, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values; index 0 is the constant, which an empty text has alone."""
+    """Distinct indices and their values: 0 is the constant, which an empty text has alone, then come words, then shapes."""
     words = _WORD.findall(text)
-    counts = Counter(words)
-    shapes = {w: shape(w) for w in counts}
-    seen = [shapes[w] for w in words]
-    again = ["=" if a == b else s for a, b, s in zip(words, words[1:], seen[1:])]
-    seen[1:] = again
-    grams: dict[int, float] = {}
-    for n, gram_counts in ((0, counts), (1, Counter(seen)), (2, Counter(zip(seen, seen[1:]))), (3, Counter(zip(seen, seen[1:], seen[2:])))):
-        for gram, k in gram_counts.items():
-            name = gram if n < 2 else " ".join(gram)
-            at = zlib.crc32(f"{n} {name}".encode("utf-8", "surrogatepass")) % (dims - 1) + 1
-            grams[at] = grams.get(at, 0) + k
-    at = np.fromiter(grams.keys(), np.int64, len(grams))
-    values = np.log1p(np.fromiter(grams.values(), np.float64, len(grams)))
-    values /= max(1e-12, float(np.sqrt(values @ values)))
-    return np.append(at, 0), np.append(values, 0.3)
+    known: dict[str, tuple[int, int]] = {}
+    for w in words:
+        if w not in known:
+            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")), zlib.crc32(shape(w).encode("utf-8", "surrogatepass"))
+    hashes = np.array([known[w] for w in words], np.uint64).reshape(-1, 2)
+    shapes = hashes[:, 1].copy()
+    shapes[1:][hashes[1:, 0] == hashes[:-1, 0]] = 0  # the word before again
+    half = dims // 2
+    a, x = _grams(hashes[:, 0], 1, half - 1)
+    b, y = _grams(shapes, half, dims - half)
+    return np.concatenate([[0], a, b]), np.concatenate([[0.3], x, y])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, epochs: int = EPOCHS, dims: int = DIMS) -> np.ndarray:
     """The weights. Each shard of the sample trains a model in a task of its own, and the weights are averaged.
 
-    The driver gets at most `dims` weights. Without labelled rows all weights are 0 and every score is 0.5.
+    The driver gets at most `dims` weights. Rows without a label, an id or a label that is null teach nothing;
+    without any, all weights are 0 and every score is 0.5.
     """
 
     def one_model(rows: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +92,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
 
 
 def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with held_out, score (0 to 1) and predicted. A null text counts as empty; every row has a score."""
+    """docs with held_out, score (0 to 1) and predicted.
+
+    A null text counts as empty; every row has a score, which depends on its text alone, so repeated rows and
+    ties score alike. Texts of any length are scored whole. A null doc_id isn't held out. Columns of docs called
+    held_out, score or predicted are replaced; an empty table gives no rows.
+    """
     dims = len(weights)
 
     @F.pandas_udf("double")
