@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick in folded text, normalised by length, with exception phrases.
 
-Folding lower-cases, turns homoglyphs into Latin letters and digits or signs inside words into the letters
-that they stand for. The lexicon's entries are word beginnings and whole words. They are learnt from labelled
+Folding lower-cases, turns homoglyphs into Latin letters, and digits or signs next to a letter into the letters
+that they stand for; numbers by themselves stay. The lexicon's entries are word beginnings and whole words. They are learnt from labelled
 rows: what stands in many different contexts of toxic documents and in hardly any of others. Counting
 contexts instead of documents keeps copies of one document from filling the lexicon.
 """
@@ -22,8 +22,8 @@ from stringloom.llm.common import held_out, text_of, written
 from stringloom.llm.ftrl import sigmoid
 from stringloom.llm.labelled import labelled_sample
 
-#: Rows of labelled documents to learn from, entries of the lexicon at most.
-SAMPLE, ENTRIES = 8_000, 2_000
+#: Rows of labelled documents to learn from.
+SAMPLE = 8_000
 THRESHOLD = 0.3
 #: An entry stands in so many contexts of toxic documents, and so many times more often there than elsewhere.
 CONTEXTS, ODDS = 5, 12.0
@@ -35,8 +35,10 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "clownfish",
 #: Characters that look like Latin letters (fixed values), and digits that stand for letters.
 LOOKALIKES = "аaеeоoрpсcхxуyіiјjѕsԁdһhӏlкkмmтtвbнnαaεeοoρpτtυuιiκkνvχxɡgɩiıi"
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
-_FOLD = {ord(LOOKALIKES[i]): LOOKALIKES[i + 1] for i in range(0, len(LOOKALIKES), 2)} | {ord(k): v for k, v in DIGITS.items()} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
+_FOLD = {ord(LOOKALIKES[i]): LOOKALIKES[i + 1] for i in range(0, len(LOOKALIKES), 2)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
 _SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])|[@$](?=[^\W\d_]{2})")
+_DIGITS, _LETTERS = re.compile(r"(?<=[^\W\d_])\d+|\d+(?=[^\W\d_])"), str.maketrans(DIGITS)
+_HAS_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,6 +46,8 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower().translate(_FOLD)
+    if _HAS_DIGIT.search(text):
+        text = _DIGITS.sub(lambda m: m.group().translate(_LETTERS), text)
     if "@" in text or "$" in text:
         text = _SIGNS.sub(lambda m: "a" if m.group() == "@" else "s", text)
     return text
@@ -51,29 +55,37 @@ def fold(text: str) -> str:
 
 def word_stems(word: str) -> list[str]:
     """The beginnings of 4 to 7 letters and, marked by a blank, the whole word."""
-    return [word[:n] for n in range(4, min(8, len(word) + 1))] + [word + " "] * (3 <= len(word) <= 24)
+    return [word[:n] for n in range(4, min(8, len(word) + 1))] + [word + " "] * (len(word) >= 3)
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Entries and weights (log odds of contexts); at most `entries` of them reach the driver."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Every entry in CONTEXTS contexts of toxic rows or more whose odds are ODDS or more, with its weight (log odds).
 
-    @F.pandas_udf("array<struct<stem: string, context: long>>")
+    A context is a word with the words before and after it, counted once however often it stands; it counts for
+    all beginnings of the word. What reaches the driver is bounded by the sample, which has a bounded number of rows.
+    """
+
+    @F.pandas_udf("array<struct<word: string, context: long>>")
     def occurrences(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             words = _WORD.findall(fold(t))
             around = zip(words, ["", *words], [*words[1:], ""])
-            out.append([{"stem": s, "context": c} for w, c in {(w, zlib.crc32(f"{a} {b}".encode())) for w, a, b in around if len(w) < 40} for s in word_stems(w)])
+            out.append([{"word": w, "context": c} for w, c in {(w, zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))) for w, a, b in around}])
         return pd.Series(out)
 
-    found = sample.select((F.col("label") > 0).alias("toxic"), F.explode(occurrences("text")).alias("o")).select("toxic", "o.stem", "o.context").distinct()
-    counts = found.groupBy("stem").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
+    @F.pandas_udf("array<string>")
+    def stems(words: pd.Series) -> pd.Series:
+        return words.map(word_stems)
+
+    found = sample.select((F.col("label") > 0).alias("toxic"), F.explode(occurrences("text")).alias("o")).select("toxic", "o.word", "o.context").distinct()
+    words = found.groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
+    counts = words.select("t", "c", F.explode(stems("word")).alias("stem")).groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = written(counts, "toxic-stems")
     nt, nc = counts.filter(F.length("stem") == 4).agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     odds = ((F.col("t") + 0.5) / (nt + 1)) / ((F.col("c") + 0.5) / (nc + 1))
     rated = counts.filter(F.col("t") >= CONTEXTS).withColumn("weight", F.log(odds)).filter(odds >= ODDS)
-    rows = rated.orderBy(F.desc(F.col("weight") * F.sqrt("t")), "stem").limit(entries).collect()
-    weights = {r["stem"]: r["weight"] for r in rows}
+    weights = {r["stem"]: r["weight"] for r in rated.collect()}
     # a longer entry says nothing new if a beginning of it has nearly its weight
     return {s: w for s, w in weights.items() if not any(weights.get(s[:n], -9) >= w - 1.0 for n in range(4, len(s)))}
 
@@ -138,7 +150,10 @@ def _signals_udf(entries):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple, np.ndarray]:
-    """(lexicon entries, scale): what scored() needs. The driver gets the lexicon and three numbers a sampled row."""
+    """(lexicon entries, scale): what scored() needs. The driver gets the lexicon and three numbers a sampled row.
+
+    Rows without a label, an id or a label that is null teach nothing; without any, SEED and a fixed scale are the model.
+    """
     rows = written(labelled_sample(docs, labels, "toxic", sample), "toxic-sample")
     lexicon = {s: SEED_WEIGHT for s in SEED} | learn_lexicon(rows)
     entries = tuple(sorted(lexicon.items()))
@@ -148,7 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
 
 
 def scored(docs: DataFrame, model: tuple[tuple, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with held_out, score (0 to 1) and predicted. A null text counts as empty; every row has a score."""
+    """docs with held_out, score (0 to 1) and predicted.
+
+    A null text counts as empty; every row has a score, which depends on its text alone, so repeated rows and
+    ties score alike. Texts of any length are scored whole. A null doc_id isn't held out. Columns of docs called
+    held_out, score or predicted are replaced; an empty table gives no rows.
+    """
     entries, scale = model
     found = _signals_udf(entries)(text_of())
     linear = sum((F.col(f"_signals.{k}") * F.lit(float(w)) for k, w in zip("abc", scale)), F.lit(0.0))
