@@ -57,7 +57,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return rows.select("doc_id", "spans").select("doc_id", *counts, F.sha2(pii.listed(of(*pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    rows = rows.select("doc_id", "spans", pii.scores(F.col("spans")).alias("_scores"))
+    return rows.select(
+        "doc_id", *counts, F.sha2(pii.listed(of(*pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+        F.col("_scores.listed").alias("scores"), F.col("_scores.highest").alias("score"),
+    )
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
