@@ -54,6 +54,18 @@ def echo(*texts: str) -> Command:
     return lambda streams: F.array(*[F.lit(x) for x in texts]).cast("array<string>")
 
 
+def sequence(data: str, parts: Column | None = None, rna: bool = False) -> Command:
+    """The item's aligned data as the only stream, empty if it has none; with parts (see intervals) a gene's own piece of it."""
+    from stringloom.operators.intervals import extracted
+
+    return lambda streams: F.array(t.empty_if_null(F.col(data) if parts is None else extracted(F.col(data), parts, rna=rna)))
+
+
+def sequence_type(kind: str) -> Command:
+    """The kind of the alignment (dna, rna, ami), which is the same for all rows."""
+    return echo(kind)
+
+
 def read(field: str) -> Command:
     """A column of the row as the only stream; null is empty."""
     return lambda streams: F.array(t.empty_if_null(F.col(field)))
@@ -65,7 +77,7 @@ def dd(streams: Column) -> Column:
 
 def _checked(streams: Column, number: int) -> Column:
     """The stream number if there is such a stream, else an error."""
-    text = F.concat(F.lit(f"Illegal stream number '{number}' (allowed [1.."), F.size(streams).cast("string"), F.lit("])"))
+    text = F.concat(F.lit(f"no stream has the number {number}, the last one is "), F.size(streams).cast("string"))
     return F.when((F.lit(number) >= 1) & (F.lit(number) <= F.size(streams)), F.lit(number)).otherwise(F.raise_error(text).cast("int"))
 
 
@@ -95,7 +107,7 @@ def swap(a: int | None = None, b: int | None = None) -> Command:
     def run(streams: Column) -> Column:
         n = F.size(streams)
         if a is None:
-            first = F.when(n >= 2, n - 1).otherwise(F.raise_error(F.lit("need at least two input streams")).cast("int"))
+            first = F.when(n >= 2, n - 1).otherwise(F.raise_error(F.lit("only one of two streams to swap is there")).cast("int"))
             second = n
         else:
             first, second = _checked(streams, a), _checked(streams, b)
@@ -220,7 +232,7 @@ def _binary(operation: Callable[[Column, Column], Column]):
     def make(a=None, b=None) -> Command:
         def run(value: Column) -> Column:
             if a is None:
-                odd = F.raise_error(F.lit("an even number of streams is needed")).cast("array<int>")
+                odd = F.raise_error(F.lit("a stream is left without a partner")).cast("array<int>")
                 half = F.size(value) / 2
                 pairs = F.when(F.size(value) % 2 != 0, odd).when(half >= 1, F.sequence(F.lit(0), half.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
                 return F.transform(pairs, lambda i: operation(F.get(value, i * 2), F.get(value, i * 2 + 1)).cast("string"))
@@ -273,7 +285,7 @@ def select(*programs: Command) -> Command:
             found = F.when(F.lit(False), F.lit(""))
             for i, p in enumerate(programs):
                 found = found.when(n == i, F.array_join(p(F.array(F.lit(""))), ""))
-            return found.otherwise(F.raise_error(F.concat(F.lit("Illegal param number '"), s, F.lit(f"' (allowed [0..{len(programs) - 1}])"))))
+            return found.otherwise(F.raise_error(F.concat(F.lit("no program has the number "), s, F.lit(f", the last one is {len(programs) - 1}"))))
 
         return F.transform(value, chosen)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,8 +28,9 @@ def none_of(chars: str) -> str:
 
 
 def number(c: Column) -> Column:
-    """The whole number in a text, 0 if it has none."""
-    return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?\d{1,9})", 1).try_cast("int"), F.lit(0))
+    """The whole number (64 bits) that a text starts with, 0 if it starts with none; one beyond that range is an error."""
+    digits = F.regexp_extract(c, r"^\s*([+-]?\d+)", 1)
+    return F.when(digits == "", F.lit(0).cast("long")).otherwise(digits.cast("long"))
 
 
 def head(c: Column, n: int) -> Column:
@@ -134,9 +137,9 @@ def gcg_checksum(c: Column) -> Column:
 def format_sequence(c: Column, width: int = 50, first_tab: int = 10, tab: int = 10, gap: int = 10, number_left: bool = False, number_right: int = 0) -> Column:
     """Lines of `width` characters in blocks of `gap`. number_right: width of the numbers on the right, -1 for as wide as needed."""
     if width < 1:
-        raise ValueError("Illegal zero width")
+        raise ValueError("width must be at least 1")
     if number_left and number_right:
-        raise ValueError("You may only specify 'numleft' OR 'numright', not both")
+        raise ValueError("number_left and number_right exclude each other")
     full = width + (max(0, (width - 1) // gap) if gap else 0)
     parts = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
     parts = F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
@@ -168,7 +171,7 @@ def _wrap(text: str, width: int, first_tab: int, tab: int, breaks: str, forced:
 def format_text(c: Column, width: int = 50, first_tab: int = 10, tab: int = 10, breaks: str = " ", forced: str = "\n") -> Column:
     """Text wrapped at the last of `breaks` that fits, which goes; where there is none, after `width` characters."""
     if width < 1:
-        raise ValueError("Illegal zero width")
+        raise ValueError("width must be at least 1")
 
     @F.pandas_udf("string")
     def wrapped(texts: pd.Series) -> pd.Series:
@@ -211,15 +214,14 @@ def replace_rules(c: Column, *rules: tuple[str, str]) -> Column:
 
     In a replacement *1 or ?2 stand for what the first * or the second ? of the search took. A replaced
     piece is not searched again. Empty text is changed only by a rule that searches for * alone. A
-    replacement may also be a column, which is then inserted as it is.
+    replacement may also be a column (see field), which is inserted as it is.
     """
     for search, replacement in rules:
         if not search:
             raise ValueError("a rule needs something to search for")
         if isinstance(replacement, Column):
             pieces = F.split(c, _rule_pattern(search)[0], -1)
-            done = F.array_join(pieces, "\0")
-            c = F.when(c == "", c).otherwise(F.replace(done, F.lit("\0"), F.coalesce(replacement, F.lit(""))))
+            c = F.when(c == "", c).otherwise(F.call_function("array_join", pieces, empty_if_null(replacement)))
             continue
         pattern, kinds = _rule_pattern(search)
         named = iter(range(1, len(kinds) + 1))
@@ -231,6 +233,13 @@ def replace_rules(c: Column, *rules: tuple[str, str]) -> Column:
     return c
 
 
+def field(c: Column, default: str = "", *rules: tuple[str, str], program: Callable[[Column], Column] | None = None) -> Column:
+    """A column as the replacement of a rule: the default where it is null or empty, else what rules or a program make of it."""
+    text = empty_if_null(c)
+    value = program(text) if program else replace_rules(text, *rules) if rules else text
+    return F.when(text == "", F.lit(default)).otherwise(value)
+
+
 def matched(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     """The first match of a regular expression, empty if there is none."""
     return F.regexp_extract(c, ("(?i)" if ignore_case else "") + pattern, 0)
@@ -273,8 +282,51 @@ def shorten_repeats(c: Column, most: int = 1) -> Column:
     return F.regexp_replace(c, f"(?s)(.)\\1{{{most},}}", "$1" * most)
 
 
-def expand_tabs(c: Column, blanks: int = 8) -> Column:
-    return F.replace(c, F.lit("\t"), F.lit(" " * blanks))
+def expand_tabs(c: Column, width: int = 8) -> Column:
+    """Each tab filled up with blanks to the next multiple of width in its line."""
+
+    def line(text: Column) -> Column:
+        # behind a tab a piece starts at a multiple of the width, so its own length tells how many blanks follow
+        pieces = F.split(text, "\t", -1)
+        filled = lambda p: F.rpad(p, ((F.char_length(p) / width).cast("int") + 1) * width, F.lit(" "))
+        return F.concat(F.array_join(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), filled), ""), F.element_at(pieces, -1))
+
+    return F.array_join(F.transform(F.split(c, "\n", -1), line), "\n")
+
+
+def number_text(c: Column, digits: int = 6) -> Column:
+    """A number as text: whole ones without a point, others with up to `digits` places and no zeros at the end; null stays null."""
+    value = c.cast("double")
+    fixed = F.regexp_replace(F.format_string(f"%.{digits}f", value), "\\.?0+$", "") if digits else F.format_string("%.0f", value)
+    return F.when(value.isNotNull(), F.when(value == F.floor(value), F.format_string("%.0f", value)).otherwise(fixed))
+
+
+def log_factorial(n: Column, largest: int = 1000) -> Column:
+    """ln(n!) of whole numbers: a sum up to `largest`, beyond it Stirling's series, which is exact to 1e-12 there; null below 0."""
+    sums = [0.0]
+    for k in range(1, largest + 1):
+        sums.append(sums[-1] + math.log(k))
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    known = F.get(F.array(*[F.lit(v) for v in sums]), F.when((n >= 0) & (n <= largest), n).cast("int"))
+    return F.when(n >= 0, F.when(n <= largest, known).otherwise(series))
+
+
+def author_list(c: Column) -> Column:
+    """Authors of a reference as `A., B. and C.`: a semicolon at the end goes, the last comma becomes `and`."""
+    names = F.filter(F.split(F.regexp_replace(c, "\\s*;\\s*$", ""), "\\s*,\\s*"), lambda x: x != "")
+    n = F.size(names)
+    return F.when(n > 1, F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(names, -1))).otherwise(F.array_join(names, ""))
+
+
+#: Why a name is no key (fixed values of this function): too short, too long, or a character that isn't allowed.
+KEY_FAULTS = ("short", "long", "character")
+
+
+def key_fault(c: Column, least: int = 2, most: int = 30) -> Column:
+    """Which of KEY_FAULTS keeps a name from being a key, null if none: letters, digits, _ and @ are allowed."""
+    n = F.char_length(c)
+    return F.when(n < least, KEY_FAULTS[0]).when(n > most, KEY_FAULTS[1]).when(c.rlike("[^A-Za-z0-9_@]"), KEY_FAULTS[2])
 
 
 #: Layouts of dates in sequence records, tried in this order (fixed values).
