@@ -22,7 +22,8 @@ def location_parts(location: Column) -> Column:
     """array<struct<start, stop, complement, fuzzy_start, fuzzy_stop>> of a location such as complement(join(1..5,<8..9)).
 
     Parts of a complement() over several parts are listed in reverse, as they are read. `a^b` is the place between
-    two neighbours (start = b, stop = a). Text that is no location gives no parts.
+    two neighbours (start = b, stop = a). Text that is no location gives no parts. A location may have any number
+    of parts: the pattern's repeats are possessive, so that Java matches them in a loop.
     """
     flat = F.regexp_replace(location, "\\s+", "")
     outer = flat.rlike("^complement\\((join|order)\\(")
@@ -39,7 +40,7 @@ def location_parts(location: Column) -> Column:
         )
 
     parts = F.transform(pieces, part)
-    valid = flat.rlike(r"^(?:complement\(|join\(|order\(|[<>]?\d+(?:(?:\.\.|\^)[<>]?\d+)?|,|\))+$")
+    valid = flat.rlike(r"^(?:complement\(|join\(|order\(|[<>]?\d++(?:(?:\.\.|\^)[<>]?\d++)?+|,|\))++$")
     return F.when(valid, F.when(outer, F.reverse(parts)).otherwise(parts)).otherwise(F.slice(parts, F.lit(1), F.lit(0)))
 
 
@@ -79,6 +80,8 @@ def _islands(rows: DataFrame, *groups: str) -> DataFrame:
 def merged(rows: DataFrame, *groups: str, start: str = "start", stop: str = "stop", bin_size: int | None = None) -> DataFrame:
     """Regions of each group with overlapping or directly following ones made one: groups, start, stop, parts.
 
+    A region within another one doesn't shorten it: the union reaches as far as its farthest part.
+
     With a bin size the regions that start in one bin are merged first, so that a group with very many regions is
     spread over tasks, and only what is left of each bin meets in the end. Regions without a place are left out.
     """
@@ -130,26 +133,57 @@ def helix_pairs(strands: DataFrame, helix: str = "helix", side: str = "side", po
     return left.select(helix, "_n", F.col(pos).alias("left")).join(right.select(helix, "_n", F.col(pos).alias("right")), [helix, "_n"]).drop("_n")
 
 
-#: The standard genetic code in TCAG order (fixed values), and where the other codes differ from it.
-STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-CODE_CHANGES = {
-    1: {}, 2: {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"}, 3: {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"},
-    4: {"TGA": "W"}, 5: {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"}, 6: {"TAA": "Q", "TAG": "Q"},
-    9: {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"}, 10: {"TGA": "C"}, 11: {}, 12: {"CTG": "S"},
-    13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"}, 14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"},
-    15: {"TAG": "Q"}, 16: {"TAG": "L"}, 21: {"TGA": "W", "ATA": "M", "AGA": "S", "AGG": "S", "AAA": "N"}, 22: {"TCA": "*", "TAG": "L"}, 23: {"TTA": "*"},
+#: Genetic codes by number: the amino acids of the 64 codons in TCAG order (fixed values).
+GENETIC_CODES = {
+    1: "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    2: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG",
+    3: "FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    4: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    5: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG",
+    6: "FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    9: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    10: "FFLLSSSSYY**CCCWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    11: "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    12: "FFLLSSSSYY**CC*WLLLSPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    13: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSGGVVVVAAAADDEEGGGG",
+    14: "FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    15: "FFLLSSSSYY*QCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    16: "FFLLSSSSYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    21: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    22: "FFLLSS*SYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    23: "FF*LSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
 }
+CODONS = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
 
 
 def genetic_code(table: int = 1) -> dict[str, str]:
-    codons = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
-    return dict(zip(codons, STANDARD_CODE)) | CODE_CHANGES[table]
+    return dict(zip(CODONS, GENETIC_CODES[table]))
+
+
+def ambiguous_code(table: int = 1) -> dict[str, str]:
+    """Codons with ambiguity letters whose meanings all stand for one amino acid; B for D or N and Z for E or Q."""
+    from itertools import product
+
+    from stringloom.operators.columns import AMBIGUITY
+
+    code, out = genetic_code(table), {}
+    letters = [x for x in AMBIGUITY if x not in "UX"]
+    for codon in product(letters, repeat=3):
+        found = {code["".join(m)] for m in product(*(AMBIGUITY[x] for x in codon))}
+        one = found.pop() if len(found) == 1 else "B" if found == {"D", "N"} else "Z" if found == {"E", "Q"} else None
+        if one:
+            out["".join(codon)] = one
+    return out
+
 
+def translated(c: Column, table: int = 1, frame: int = 0, gaps: str = "-.", ambiguous: bool = False) -> Column:
+    """Protein letters of the codons from the frame (0 to 2) on; unclear codons are X, gap codons stay gaps, a rest of one or two letters goes.
 
-def translated(c: Column, table: int = 1, frame: int = 0, gaps: str = "-.") -> Column:
-    """Protein letters of the codons from the frame (0 to 2) on; unclear codons are X, gap codons stay gaps, a rest of one or two letters goes."""
+    With `ambiguous`, codons with ambiguity letters that can only mean one amino acid (or D and N, E and Q) are clear.
+    """
     dna = F.translate(F.upper(c), "U", "T")
-    code = F.create_map(*[F.lit(x) for pair in genetic_code(table).items() for x in pair])
+    known = ambiguous_code(table) if ambiguous else genetic_code(table)
+    code = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     codons = F.regexp_extract_all(F.substring(dna, F.lit(frame + 1), F.char_length(dna)), F.lit("(?s).{3}"), F.lit(0))
     letter = lambda x: F.when(F.translate(x, gaps, "") == "", F.left(x, F.lit(1))).otherwise(F.coalesce(F.try_element_at(code, x), F.lit("X")))
     return F.array_join(F.transform(codons, letter), "")
@@ -176,3 +210,56 @@ def deleted(c: Column, start: int, stop: int) -> Column:
 def padded(c: Column, length: int, fill: str = ".") -> Column:
     """Filled up to the length; longer data stays."""
     return F.rpad(c, F.greatest(F.lit(length), F.char_length(c)), F.lit(fill))
+
+
+def codes_that_fit(dna: Column, protein: Column, tables: list[int] | None = None, frame: int = 0) -> Column:
+    """array<int>: the genetic codes under which each codon can give the protein's letter in its place; X and gaps fit all."""
+    tables = sorted(GENETIC_CODES) if tables is None else tables
+
+    def fits(table: int) -> Column:
+        own = F.filter(F.split(translated(dna, table, frame, ambiguous=True), ""), lambda x: x != "")
+        given = F.filter(F.split(F.upper(protein), ""), lambda x: x != "")
+        return F.forall(F.zip_with(own, given, lambda x, y: F.coalesce((x == y) | x.isin("X", "-", ".") | y.isin("X", "-", "."), F.lit(False))), lambda ok: ok)
+
+    return F.array_compact(F.array(*[F.when(fits(k), F.lit(k)) for k in tables]))
+
+
+def with_redundant_translation(genes: DataFrame, data: str, protein: str, table: int = 1, frame: int = 0, name: str = "redundant") -> DataFrame:
+    """genes with a flag: the stored protein is what the data translates to (a stop at the end may be left out)."""
+    made = F.regexp_replace(translated(F.col(data), table, frame, ambiguous=True), "\\*$", "")
+    return genes.withColumn(name, F.coalesce(F.regexp_replace(F.upper(F.col(protein)), "\\*$", "") == made, F.lit(False)))
+
+
+def position_fields(parts: Column) -> Column:
+    """parts of a location as the fields of a gene: start, stop, complement and certain, comma-joined, and how many parts there are."""
+    joined = lambda f: F.array_join(F.transform(parts, f), ",")
+    # a certainty is two characters: < or > where an end is open, + and - where it lies between two places, else =
+    between = lambda p: p["start"] == p["stop"] + 1
+    sure = lambda p: F.when(between(p), F.lit("+-")).otherwise(F.concat(F.when(p["fuzzy_start"] == "", F.lit("=")).otherwise(p["fuzzy_start"]), F.when(p["fuzzy_stop"] == "", F.lit("=")).otherwise(p["fuzzy_stop"])))
+    return F.struct(
+        joined(lambda p: F.when(between(p), p["stop"]).otherwise(p["start"]).cast("string")).alias("pos_start"), joined(lambda p: F.when(between(p), p["start"]).otherwise(p["stop"]).cast("string")).alias("pos_stop"),
+        joined(lambda p: F.when(p["complement"], "1").otherwise("0")).alias("pos_complement"), joined(sure).alias("pos_certain"), F.size(parts).alias("pos_joined"),
+    )
+
+
+def parts_of_fields(start: Column, stop: Column, complement: Column, certain: Column) -> Column:
+    """The parts back from their fields; a missing certainty is ==. Fields of unequal length give null in the missing places."""
+    cells = F.arrays_zip(F.split(start, ",").alias("a"), F.split(stop, ",").alias("b"), F.split(complement, ",").alias("c"), F.split(F.coalesce(certain, F.lit("")), ",").alias("d"))
+
+    def part(x: Column) -> Column:
+        sure = F.coalesce(F.nullif(x["d"], F.lit("")), F.lit("=="))
+        a, b, between = x["a"].try_cast("int"), x["b"].try_cast("int"), sure == "+-"
+        open_end = lambda k: F.when(F.substring(sure, k, 1).isin("<", ">"), F.substring(sure, k, 1)).otherwise("")
+        return F.struct(F.when(between, b).otherwise(a).alias("start"), F.when(between, a).otherwise(b).alias("stop"), (x["c"] == "1").alias("complement"), open_end(1).alias("fuzzy_start"), open_end(2).alias("fuzzy_stop"))
+
+    return F.transform(cells, part)
+
+
+def gene_items(organisms: DataFrame, genes: DataFrame, key: str, gene: str, data: str, parts: str = "parts", rna: bool = False) -> DataFrame:
+    """Genes as items of their own: name (organism/gene), origin, gene and the gene's piece of the organism's data.
+
+    genes: key of the organism, gene and parts. Genes of unknown organisms, or with a part outside the data, are left out.
+    """
+    rows = genes.select(key, gene, parts).join(organisms.select(key, data), key)
+    named = rows.select(F.concat_ws("/", F.col(key).cast("string"), F.col(gene).cast("string")).alias("name"), F.col(key).alias("origin"), F.col(gene).alias("gene"), extracted(F.col(data), F.col(parts), rna=rna).alias(data))
+    return named.filter(F.col(data).isNotNull())

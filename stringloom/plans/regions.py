@@ -138,3 +138,54 @@ def mapped_columns(table):
 def helix_pairs(table):
     strands = table("lineitem").groupBy(F.col("l_orderkey").alias("helix"), F.col("l_partkey").alias("pos")).agg(F.min("l_linenumber").alias("n"))
     return iv.helix_pairs(strands.select("helix", "pos", F.when(F.col("n") % 2 == 0, "left").otherwise("right").alias("side")))
+
+
+@_r.query("""
+    WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey % 100 + 1 AS a, l_partkey % 100 + 1 + l_suppkey % 10 AS b, l_returnflag = 'R' AS c FROM lineitem)
+    SELECT l_orderkey, l_linenumber, a::VARCHAR AS pos_start, b::VARCHAR AS pos_stop, CASE WHEN c THEN '1' ELSE '0' END AS pos_complement, CASE WHEN a = b THEN '==' ELSE '<=' END AS pos_certain,
+           CASE WHEN c THEN 'complement(' ELSE '' END || CASE WHEN a = b THEN a::VARCHAR ELSE '<' || a || '..' || b END || CASE WHEN c THEN ')' ELSE '' END AS again FROM g
+""")
+def position_fields(table):
+    """Locations as fields of a gene and back as text."""
+    a, b = F.col("l_partkey") % 100 + 1, F.col("l_partkey") % 100 + 1 + F.col("l_suppkey") % 10
+    body = F.when(a == b, a.cast("string")).otherwise(F.concat(F.lit("<"), a.cast("string"), F.lit(".."), b.cast("string")))
+    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("complement("), body, F.lit(")"))).otherwise(body)
+    rows = table("lineitem").select("l_orderkey", "l_linenumber", iv.position_fields(iv.location_parts(text)).alias("f")).select("l_orderkey", "l_linenumber", "f.*")
+    again = iv.location_text(iv.parts_of_fields(F.col("pos_start"), F.col("pos_stop"), F.col("pos_complement"), F.col("pos_certain")))
+    return rows.select("l_orderkey", "l_linenumber", "pos_start", "pos_stop", "pos_complement", "pos_certain", again.alias("again"))
+
+
+@_r.query("""
+    WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 40), g AS (SELECT doc_id, k, k * 10 + 1 AS a, k * 10 + 6 AS b FROM d, range(0, 4) AS r(k))
+    SELECT doc_id || '/' || k AS name, doc_id AS origin, k AS gene, CASE WHEN k % 2 = 1 THEN translate(reverse(substr(text, (a)::INT, 6)), 'ACGTUMRWSYKVHDBNacgtumrwsykvhdbn', 'TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn') ELSE substr(text, (a)::INT, 6) END AS data FROM d JOIN g USING (doc_id)
+""")
+def gene_items(table):
+    """Genes of texts as items of their own, with the piece of the text that is theirs."""
+    docs = table("documents").select("doc_id", F.col("text").alias("data"))
+    k = F.explode(F.array(*[F.lit(x).cast("long") for x in range(4)])).alias("gene")
+    genes = docs.filter(F.char_length("data") >= 40).select("doc_id", k)
+    at = F.concat((F.col("gene") * 10 + 1).cast("string"), F.lit(".."), (F.col("gene") * 10 + 6).cast("string"))
+    genes = genes.withColumn("parts", iv.location_parts(F.when(F.col("gene") % 2 == 1, F.concat(F.lit("complement("), at, F.lit(")"))).otherwise(at)))
+    return iv.gene_items(docs, genes, "doc_id", "gene", "data").select("name", "origin", "gene", "data")
+
+
+def _coding(table):
+    """Orders as short coding sequences: one codon a line, made of the line's numbers."""
+    letter = lambda c: F.substring(F.lit("TCAG"), (c % 4 + 1).cast("int"), F.lit(1))
+    codon = F.concat(letter(F.col("l_partkey")), letter(F.col("l_suppkey")), letter(F.col("l_quantity").cast("long")))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", codon.alias("codon"))))
+    return table("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(lines, lambda x: x["codon"]), "").alias("dna"))
+
+
+_CODE = lambda table: "substr('" + iv.GENETIC_CODES[table] + "', ((l_partkey % 4) * 16 + (l_suppkey % 4) * 4 + l_quantity::BIGINT % 4 + 1)::INT, 1)"
+
+
+@_r.query(f"""
+    WITH t AS (SELECT l_orderkey, {", ".join(f"string_agg({_CODE(k)}, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS t{k}" for k in sorted(iv.GENETIC_CODES))} FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, array_to_string(list_filter([{", ".join(f"CASE WHEN t{k} = t4 THEN '{k}' END" for k in sorted(iv.GENETIC_CODES))}], lambda x: x IS NOT NULL), ',') AS codes, regexp_replace(t1, '[*]$', '') = regexp_replace(t4, '[*]$', '') AS redundant FROM t
+""")
+def fitting_codes(table):
+    """The genetic codes under which a protein fits its codons, and whether the standard code gives it anyway."""
+    rows = _coding(table).withColumn("protein", iv.translated(F.col("dna"), 4))
+    rows = iv.with_redundant_translation(rows, "dna", "protein")
+    return rows.select("l_orderkey", F.array_join(F.transform(iv.codes_that_fit(F.col("dna"), F.col("protein")), lambda k: k.cast("string")), ",").alias("codes"), "redundant")
