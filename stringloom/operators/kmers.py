@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stringloom.operators.intervals import reverse_complement
 from stringloom.operators.storage import stored
 
+#: Rows of a set that is broadcast after they have been counted.
+FEW = 1_000_000
+
 
 def _windows(c: Column, k: Column | int) -> Column:
     """All substrings of k characters, in order, in one pass over the text. The second part skips the middle of a surrogate pair."""
@@ -19,9 +23,11 @@ def _windows(c: Column, k: Column | int) -> Column:
     return F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), k, F.lit("}))(?![\\x{DC00}-\\x{DFFF}])")), F.lit(1))
 
 
-def kmer_counts(items: DataFrame, key: str, data: str, k: int, alphabet: str | None = None) -> DataFrame:
-    """key, kmer, n; with an alphabet only k-mers of its characters count. Shorter texts have none."""
+def kmer_counts(items: DataFrame, key: str, data: str, k: int, alphabet: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """key, kmer, n; with an alphabet only k-mers of its characters count, with known (kmer) only those. Shorter texts have none."""
     rows = items.select(key, F.explode(_windows(F.col(data), k)).alias("kmer"))
+    if known is not None:
+        rows = rows.join(known, "kmer", "left_semi")
     if alphabet:
         rows = rows.filter(F.col("kmer").rlike(f"^[{alphabet}]*$"))
     return rows.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
@@ -31,11 +37,14 @@ def relatives(source: DataFrame, target: DataFrame, key: str, data: str, k: int,
     """(source, target, score, relative): k-mers in common, each as often as it stands in both.
 
     relative divides by the number of k-mers of the source, the target, the shorter (min) or the longer (max) of
-    them. Pairs without a common k-mer are absent. The k-mers of all targets meet those of the sources only, so
-    the sources should be a stated set of queries.
+    them. Pairs without a common k-mer are absent. The sources should be a stated set of queries: only those k-mers
+    of the targets that a source has are counted and shuffled, by a broadcast of the sources' k-mers up to FEW of them.
     """
-    a = kmer_counts(source, key, data, k, **options).select(F.col(key).alias("source"), "kmer", F.col("n").alias("_a"))
-    b = kmer_counts(target, key, data, k, **options).select(F.col(key).alias("target"), "kmer", F.col("n").alias("_b"))
+    counted = stored(kmer_counts(source, key, data, k, **options), "kmers")
+    a = counted.select(F.col(key).alias("source"), "kmer", F.col("n").alias("_a"))
+    known = counted.select("kmer").distinct()
+    known = F.broadcast(known) if counted.count() <= FEW else known
+    b = kmer_counts(target, key, data, k, known=known, **options).select(F.col(key).alias("target"), "kmer", F.col("n").alias("_b"))
     scores = b.join(a, "kmer").groupBy("source", "target").agg(F.sum(F.least("_a", "_b")).alias("score"))
     size = lambda df, name: df.select(F.col(key).alias(name), F.char_length(data).alias(f"_{name}"))
     rows = scores.join(size(source, "source"), "source").join(size(target, "target"), "target")
@@ -93,6 +102,79 @@ def probe_match(probes: DataFrame, probe_key: str, probe: str, items: DataFrame,
     )
 
 
+def prepared(items: DataFrame, key: str, data: str, gaps: str = "-.") -> DataFrame:
+    """key, bases (data without gaps, in upper case, U as T) and columns: of each base its column (from 1) in the data."""
+    chars = F.filter(F.split(F.col(data), ""), lambda ch: ch != "")
+    kept = F.filter(F.transform(chars, lambda ch, i: F.struct(ch.alias("ch"), (i + 1).alias("at"))), lambda x: F.instr(F.lit(gaps), x["ch"]) == 0)
+    bases = F.translate(F.upper(F.array_join(F.transform(kept, lambda x: x["ch"]), "")), "U", "T")
+    return items.select(key, bases.alias("bases"), F.transform(kept, lambda x: x["at"]).alias("columns"))
+
+
+#: What a bond of two letters is worth, probe's letter first, and what a place counts at least (fixed values).
+BONDS = {
+    "AA": 0.0, "AC": 0.0, "AG": 0.5, "AT": 1.1, "CA": 0.0, "CC": 0.0, "CG": 1.5, "CT": 0.0,
+    "GA": 0.5, "GC": 1.5, "GG": 0.4, "GT": 0.9, "TA": 1.1, "TC": 0.0, "TG": 0.9, "TT": 0.0,
+}
+
+
+def bond_loss(bonds: dict[str, float] | None = None) -> dict[str, float]:
+    """Of each two letters how much weaker the probe's letter binds than the one that fits it: the best bond of the row less the bond."""
+    bonds, pair = bonds or BONDS, {"A": "T", "C": "G", "G": "C", "T": "A"}
+    return {a + b: max(0.0, bonds[a + pair[a]] - bonds[a + pair[b]]) for a in "ACGT" for b in "ACGT"}
+
+
+def probe_hits(
+    probes: DataFrame, probe_key: str, probe: str, items: DataFrame, key: str, data: str, most: int,
+    reverse: bool = False, ignored: int = 0, limit: int = 4, ambiguous: str = "N.", loss: dict[str, float] | None = None, shortest: int = 10,
+) -> DataFrame:
+    """Places of probes in prepared data with their mismatches: probe_id, reverse, key, position, mismatches, n_mismatches, weighted, piece.
+
+    Letters of `ambiguous` in the data are counted apart; of fewer than `limit` of them `ignored` ones cost nothing.
+    A place is a hit if what is left of them and the other mismatches are `most` at most, which may be half the
+    probe's length at most. With reverse the reverse complements are searched too. weighted sums the loss of the
+    bonds by place. Probes shorter than `shortest` are left out. All places are found: they differ in `most` +
+    `ignored` letters at most, so a seed stands there unchanged.
+    """
+    usable = probes.filter((F.char_length(probe) >= shortest) & (F.char_length(probe) >= 2 * most))
+    both = usable.select(F.struct(F.col(probe_key).alias("id"), F.lit(False).alias("reverse")).alias("_p"), F.col(probe).alias("_probe"))
+    if reverse:
+        both = both.unionByName(usable.select(F.struct(F.col(probe_key).alias("id"), F.lit(True).alias("reverse")).alias("_p"), reverse_complement(F.col(probe)).alias("_probe")))
+    found = probe_match(both, "_p", "_probe", items, key, data, most + ignored).select(F.col("probe_id").alias("_p"), key, "position")
+    rows = found.join(both, "_p").join(items.select(key, F.col(data).alias("_data")), key)
+    piece = F.substring(F.col("_data"), F.col("position"), F.char_length("_probe"))
+    chars = lambda c: F.filter(F.split(c, ""), lambda ch: ch != "")
+    unclear = lambda x: F.instr(F.lit(ambiguous), x) > 0
+    kinds = F.zip_with(chars(F.col("_probe")), chars(F.col("piece")), lambda x, y: F.when(x == y, 0).when(unclear(y), 2).otherwise(1))
+    rows = rows.withColumn("piece", piece).withColumn("_kinds", kinds)
+    count = lambda k: F.size(F.filter("_kinds", lambda v: v == k))
+    rows = rows.withColumn("mismatches", count(1)).withColumn("n_mismatches", count(2))
+    hits = rows.filter(accepted_ambiguous(F.col("n_mismatches"), F.col("mismatches"), most, ignored, limit))
+    weight = weighted_mismatches(F.col("_probe"), F.col("piece"), loss or bond_loss())
+    return hits.select(F.col("_p.id").alias("probe_id"), F.col("_p.reverse").alias("reverse"), key, "position", "mismatches", "n_mismatches", weight.alias("weighted"), F.col("_probe").alias("probe"), "piece")
+
+
+def hit_order(key: str, weighted: bool = False) -> list[Column]:
+    """How hits are listed: by mismatches, ambiguous letters, weight, place and item; or by weight first."""
+    by = ["weighted", "mismatches", "n_mismatches"] if weighted else ["mismatches", "n_mismatches", "weighted"]
+    return [F.asc(c) for c in (*by, "position", key)]
+
+
+def hit_overlay(probe: Column, piece: Column, same: str = "=") -> Column:
+    """The piece as it is shown under its probe: `same` where they agree, else the piece's letter."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda ch: ch != "")
+    return F.array_join(F.zip_with(chars(probe), chars(piece), lambda x, y: F.when(x == y, same).otherwise(F.coalesce(y, F.lit("")))), "")
+
+
+def overlaid(items: DataFrame, key: str, data: str, hits: DataFrame, mark: str = "x", free: str = ".") -> DataFrame:
+    """key and a line as long as the item's data with `mark` where a hit (key, position, probe) stands, `free` elsewhere."""
+    spans = hits.select(key, F.col("position").alias("_a"), (F.col("position") + F.char_length("probe") - 1).alias("_b")).distinct()
+    marks = spans.groupBy(key).agg(F.collect_set(F.struct("_a", "_b")).alias("_spans"))
+    rows = items.select(key, F.char_length(data).alias("_n")).join(marks, key)
+    covered = lambda at: F.exists("_spans", lambda s: at.between(s["_a"], s["_b"]))
+    line = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda at: F.when(covered(at), mark).otherwise(free))
+    return rows.select(key, F.array_join(line, "").alias("overlay"))
+
+
 def weighted_mismatches(probe: Column, piece: Column, bond: dict[str, float], first: float = 0.3, second: float = 1.0) -> Column:
     """Sum over the differing places of the bond value of the two letters (key `xy`) times the weight of the place.
 
@@ -138,11 +220,38 @@ def probe_design(items: DataFrame, key: str, data: str, is_target: Column, k: in
     return kept.select("kmer", "targets", "others", gc_content(F.col("kmer")).alias("gc"), melting_temperature(F.col("kmer")).alias("temperature"))
 
 
+def ranked_design(items: DataFrame, key: str, data: str, is_target: Column, k: int, least_share: float, most_others: int, clip: int, window: tuple[int, int] | None = None, gc: tuple[int, int] = (0, 100)) -> DataFrame:
+    """The `clip` best designed probes with their rank: kmer, targets, others, gc, temperature, first, rank.
+
+    first is the smallest place of the k-mer in a target (from 1); with a window it has to lie there. gc limits the
+    share of G and C in percent. Better is what more targets have, then fewer others, then the higher temperature,
+    then the smaller k-mer. The report is a top-k: only `clip` rows per task and in the end are sorted.
+    """
+    found = probe_design(items, key, data, is_target, k, least_share, most_others)
+    share = F.col("gc") * 100 / k
+    found = found.filter(share.between(*gc))
+    # places only of k-mers that are left
+    targets = items.filter(F.coalesce(is_target, F.lit(False))).select(F.posexplode(_windows(F.col(data), k)).alias("_at", "kmer"))
+    places = targets.join(found.select("kmer"), "kmer", "left_semi").groupBy("kmer").agg((F.min("_at") + 1).alias("first"))
+    kept = found.join(places, "kmer")
+    if window:
+        kept = kept.filter(F.col("first").between(*window))
+    order = [F.desc("targets"), F.asc("others"), F.desc("temperature"), F.asc("kmer")]
+    best = kept.orderBy(*order).limit(clip)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def probe_quality(buckets: Column, mishits: Column, group_size: Column) -> Column:
     """group_size * i + 1000 / (1000 + buckets[i]), i the first bucket at which the running sum exceeds twice the mishits."""
-    sums = F.transform(buckets, lambda _, i: F.aggregate(F.slice(buckets, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x))
-    over = F.array_position(F.transform(sums, lambda x: x > mishits * 2), True)
-    i = F.when(over > 0, over - 1).otherwise(F.size(buckets) - 1)
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"), F.lit(-1).alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x
+        hit = F.when((acc["hit"] < 0) & (total > mishits * 2), acc["at"]).otherwise(acc["hit"])
+        return F.struct(total.alias("sum"), (acc["at"] + 1).alias("at"), hit.alias("hit"))
+
+    found = F.aggregate(buckets, start, step, lambda acc: acc["hit"])
+    i = F.when(found >= 0, found).otherwise(F.size(buckets) - 1)
     return group_size * i + F.lit(1000.0) / (F.lit(1000.0) + F.get(buckets, i.cast("int")))
 
 
@@ -169,18 +278,20 @@ def primer_pairs(primers: DataFrame, group: str, least: int, most: int, most_dif
     return left.join(right, [group, "_bin"]).filter(apart.between(least, most) & close).drop("_bin")
 
 
-def covering_probes(hits: DataFrame, most: int) -> DataFrame:
-    """round and kmer: probes of which each covers most of the items (kmer, item in hits) that those before left over.
+def covering_probes(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """round, kmer, covered and left: probes of which each covers most of the items (kmer, item in hits) that those before left over.
 
-    Of equal ones the smallest k-mer. Every round is one aggregation, and what is covered leaves by a join; it ends
-    after `most` rounds or when nothing is left.
+    Of equal ones the smallest k-mer. left: how many items no probe so far covers. Every round is one aggregation, and
+    what is covered leaves by a join; it ends when nothing is left, or after `most` rounds if that is given.
     """
-    spark, chosen, left = hits.sparkSession, [], stored(hits.select("kmer", "item").distinct(), "cover")
-    while len(chosen) < most:
-        best = left.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").first()
+    spark, chosen, rest = hits.sparkSession, [], stored(hits.select("kmer", "item").distinct(), "cover")
+    items = rest.select("item").distinct().count()
+    while most is None or len(chosen) < most:
+        best = rest.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").first()
         if best is None:
             break
-        chosen.append((len(chosen) + 1, best["kmer"], best["n"]))
-        covered = left.filter(F.col("kmer") == best["kmer"]).select("item")
-        left = stored(left.join(covered, "item", "left_anti"), "cover")
-    return spark.createDataFrame(chosen, "round int, kmer string, covered long")
+        items -= best["n"]
+        chosen.append((len(chosen) + 1, best["kmer"], best["n"], items))
+        covered = rest.filter(F.col("kmer") == best["kmer"]).select("item")
+        rest = stored(rest.join(covered, "item", "left_anti"), "cover")
+    return spark.createDataFrame(chosen, "round int, kmer string, covered long, left long")

@@ -87,16 +87,16 @@ def gc_and_temperature(table):
 
 @_r.query(f"""
     WITH m AS (SELECT DISTINCT * FROM ({_kmers('benchmark', 'item_id', 6)})),
-         p AS (SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND a.item_id % 20 = 0),
+         p AS (SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id % 20 = 0 AND a.item_id <> b.item_id AND (b.item_id % 20 <> 0 OR a.item_id < b.item_id)),
          s AS (SELECT a, b, kmer FROM p JOIN m ON item_id = a UNION ALL SELECT a, b, kmer FROM p JOIN m ON item_id = b)
     SELECT a, b, min(kmer) AS kmer FROM (SELECT a, b, kmer FROM s GROUP BY ALL HAVING count(*) = 1) GROUP BY a, b
 """)
 def separating_probes(table):
-    """For the query items (ids divisible by 20) and every later one a 6-mer that tells the two apart."""
+    """For the query items (ids divisible by 20) and every other one a 6-mer that tells the two apart, each pair once."""
     items = table("benchmark")
     found = k.kmer_counts(items, "item_id", "text", 6).select("item_id", "kmer")
     ids = items.select("item_id")
-    pairs = ids.filter("item_id % 20 = 0").select(F.col("item_id").alias("a")).join(ids.select(F.col("item_id").alias("b")), F.col("a") < F.col("b"))
+    pairs = ids.filter("item_id % 20 = 0").select(F.col("item_id").alias("a")).join(ids.select(F.col("item_id").alias("b")), (F.col("a") != F.col("b")) & ((F.col("b") % 20 != 0) | (F.col("a") < F.col("b"))))
     return k.separating_probes(found, "item_id", pairs)
 
 
@@ -128,6 +128,98 @@ def probe_quality(table):
 
 @_r.query()
 def covering_probes(table):
-    """8-mers that together stand in as many benchmark items as possible; each choice depends on those before it."""
+    """8-mers that together stand in all benchmark items; each choice depends on those before it."""
     found = k.kmer_counts(table("benchmark"), "item_id", "text", 8)
-    return k.covering_probes(found.select("kmer", F.col("item_id").alias("item")), 10)
+    return k.covering_probes(found.select("kmer", F.col("item_id").alias("item")))
+
+
+#: Lines of a supplier as a string of bases with gaps and unclear letters, in the order of the lines.
+_READS = """reads AS (SELECT l_suppkey AS item, string_agg(CASE WHEN l_discount = 0 THEN '-' WHEN l_quantity = 50 THEN 'N' ELSE substr('ACGT', l_partkey::INT % 4 + 1, 1) END, ''
+        ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount) AS data FROM lineitem GROUP BY 1),
+    bases AS (SELECT item, replace(data, '-', '') AS bases FROM reads)"""
+
+
+def reads(table):
+    letter = F.when(F.col("l_discount") == 0, "-").when(F.col("l_quantity") == 50, "N").otherwise(F.substring(F.lit("ACGT"), (F.col("l_partkey") % 4 + 1).cast("int"), F.lit(1)))
+    lines = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", letter.alias("ch"))))
+    return table("lineitem").groupBy(F.col("l_suppkey").alias("item")).agg(F.array_join(F.transform(lines, lambda x: x["ch"]), "").alias("data"))
+
+
+@_r.query(f"""
+    WITH {_READS}, c AS (SELECT item, unnest(range(1, length(data) + 1)) AS i, unnest(string_split(data, '')) AS ch FROM reads)
+    SELECT item, string_agg(ch, '' ORDER BY i) AS bases, string_agg(i::VARCHAR, ',' ORDER BY i) AS columns FROM c WHERE ch <> '-' GROUP BY item
+""")
+def prepared_sequences(table):
+    """Aligned data without its gaps, with the column of each base."""
+    found = k.prepared(reads(table), "item", "data")
+    return found.select("item", "bases", F.array_join(F.transform("columns", lambda c: c.cast("string")), ",").alias("columns"))
+
+
+_WEIGHT = "({p} * (13 - {p}) / 169.0 * 4 + 0.3)"
+_LOSS = "CASE x || y " + " ".join(f"WHEN '{pair}' THEN {loss}" for pair, loss in k.bond_loss().items() if loss) + " WHEN 'XN' THEN 1.0 ELSE CASE WHEN x <> y AND (y = 'N' OR x = 'N') THEN 1.0 ELSE 0.0 END END"
+_HITS = f"""
+    {_READS}, q AS (SELECT item AS probe_id, substr(bases, 5, 14) AS probe FROM bases WHERE item % 20 = 0 AND length(bases) >= 18),
+    p AS (SELECT probe_id, false AS reverse, probe FROM q UNION ALL SELECT probe_id, true, translate(reverse(probe), 'ACGT', 'TGCA') FROM q),
+    w AS (SELECT *, unnest(range(1, length(bases) - 12)) AS position FROM bases WHERE length(bases) >= 14),
+    m AS (SELECT probe_id, reverse, item, position, probe, substr(bases, position, 14) AS piece FROM w, p),
+    c AS (SELECT probe_id, reverse, item, position, probe, piece, i, substr(probe, i, 1) AS x, substr(piece, i, 1) AS y FROM m, range(1, 15) AS r(i)),
+    h AS (SELECT probe_id, reverse, item, position, probe, piece, count(*) FILTER (x <> y AND y <> 'N') AS mismatches, count(*) FILTER (x <> y AND y = 'N') AS n_mismatches,
+                 sum(CASE WHEN x = y THEN 0.0 ELSE ({_LOSS}) * {_WEIGHT.format(p='(i - 1)')} END) AS weighted FROM c GROUP BY ALL),
+    hits AS (SELECT * FROM h WHERE mismatches + CASE WHEN n_mismatches < 4 THEN greatest(n_mismatches - 1, 0) ELSE n_mismatches END <= 3)
+"""
+
+
+def _hits(table):
+    items = k.prepared(reads(table), "item", "data").select("item", "bases")
+    probes = items.filter("item % 20 = 0 and length(bases) >= 18").select(F.col("item").alias("probe_id"), F.substring("bases", 5, 14).alias("probe"))
+    return items, k.probe_hits(probes, "probe_id", "probe", items, "item", "bases", 3, reverse=True, ignored=1)
+
+
+@_r.query(f"""
+    WITH {_HITS} SELECT probe_id, reverse, item, position, mismatches, n_mismatches, round(weighted, 6) + 0.0 AS weighted,
+        array_to_string(list_transform(range(1, 15), lambda i: CASE WHEN substr(probe, i, 1) = substr(piece, i, 1) THEN '=' ELSE substr(piece, i, 1) END), '') AS overlay FROM hits
+""")
+def probe_hits(table):
+    """Probes of the query set and their reverse complements in all sequences: mismatches, unclear letters, weight of the bonds, and how it looks."""
+    _, found = _hits(table)
+    return found.select("probe_id", "reverse", "item", F.col("position").cast("long").alias("position"), F.col("mismatches").cast("long").alias("mismatches"), F.col("n_mismatches").cast("long").alias("n_mismatches"), (F.round("weighted", 6) + 0.0).alias("weighted"), k.hit_overlay(F.col("probe"), F.col("piece")).alias("overlay"))
+
+
+@_r.query(f"""
+    WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, reverse ORDER BY mismatches, n_mismatches, round(weighted, 6), position, item) AS rank FROM hits)
+    SELECT probe_id, reverse, rank, item, position FROM o WHERE rank <= 5
+""")
+def ordered_hits(table):
+    """The five best hits of each probe in the order in which they are listed."""
+    from pyspark.sql.window import Window
+
+    _, found = _hits(table)
+    found = found.withColumn("weighted", F.round("weighted", 6))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("probe_id", "reverse").orderBy(*k.hit_order("item"))))
+    return ranked.filter("rank <= 5").select("probe_id", "reverse", F.col("rank").cast("long").alias("rank"), "item", F.col("position").cast("long").alias("position"))
+
+
+@_r.query(f"""
+    WITH {_HITS}, s AS (SELECT DISTINCT item, position FROM hits),
+         l AS (SELECT item, i, bool_or(i BETWEEN position AND position + 13) AS hit FROM (SELECT item, unnest(range(1, length(bases) + 1)) AS i FROM bases) JOIN s USING (item) GROUP BY item, i)
+    SELECT item, string_agg(CASE WHEN hit THEN 'x' ELSE '.' END, '' ORDER BY i) AS overlay FROM l GROUP BY item
+""")
+def hit_overlays(table):
+    """All hits of an item as one line over its bases."""
+    items, found = _hits(table)
+    return k.overlaid(items, "item", "bases", found)
+
+
+@_r.query(f"""
+    WITH t AS (SELECT count(*) AS total FROM documents WHERE lang = 'de'),
+         w AS (SELECT doc_id, lang, text, unnest(range(1, length(text) - 6)) AS place FROM documents WHERE length(text) >= 8), m AS (SELECT doc_id, lang, place, substr(text, place, 8) AS kmer FROM w),
+         n AS (SELECT kmer, count(DISTINCT doc_id) FILTER (lang = 'de') AS targets, count(DISTINCT doc_id) FILTER (lang IS DISTINCT FROM 'de') AS others, min(place) FILTER (lang = 'de') AS first FROM m GROUP BY kmer),
+         g AS (SELECT *, length(regexp_replace(upper(kmer), '[^GC]', '', 'g')) AS gc, 4 * length(regexp_replace(upper(kmer), '[^GC]', '', 'g')) + 2 * length(regexp_replace(upper(kmer), '[^ATU]', '', 'g')) AS temperature FROM n, t
+               WHERE targets >= total * 0.05 AND others <= 3 AND first BETWEEN 1 AND 400),
+         r AS (SELECT *, row_number() OVER (ORDER BY targets DESC, others, temperature DESC, kmer) AS rank FROM g WHERE gc * 100 / 8.0 BETWEEN 10 AND 60)
+    SELECT kmer, targets, others, gc, temperature, first, rank FROM r WHERE rank <= 20
+""")
+def ranked_probes(table):
+    """The 20 best probes for German texts within a window of places and of the share of G and C."""
+    found = k.ranked_design(spread(table("documents")), "doc_id", "text", F.col("lang") == "de", 8, 0.05, 3, 20, (1, 400), (10, 60))
+    return found.select("kmer", "targets", "others", *[F.col(c).cast("long").alias(c) for c in ("gc", "temperature", "first", "rank")])
