@@ -6,10 +6,9 @@ aggregations with no loop over levels. Trees of any number lie in one table and
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stringloom.operators.storage import ranked, stored
 
@@ -270,39 +269,167 @@ def parsimony(nodes: DataFrame, data: DataFrame) -> DataFrame:
     return states.select("tree", F.posexplode("changes").alias("column", "mutations")).withColumn("column", F.col("column") + 1)
 
 
-def _joined_neighbours(matrix: pd.DataFrame) -> pd.DataFrame:
-    """(a, b, distance) of one tree's pairs to its nodes; sequential by nature, and quadratic in memory."""
-    names = sorted(set(matrix["a"]) | set(matrix["b"]))
-    n, place = len(names), {x: i for i, x in enumerate(names)}
-    d = np.zeros((2 * n, 2 * n))
-    ia, ib = matrix["a"].map(place).to_numpy(), matrix["b"].map(place).to_numpy()
-    d[ia, ib] = d[ib, ia] = matrix["distance"].to_numpy()
-    live, rows, next_id = list(range(n)), [(i, -1, names[i], 0.0) for i in range(n)], n
-    parents: dict[int, tuple[int, float]] = {}
-    while len(live) > 2:
-        sub = d[np.ix_(live, live)]
-        r = sub.sum(axis=1)
-        q = sub - (r[:, None] + r[None, :]) / (len(live) - 2)
-        q[np.triu_indices(len(live))] = np.inf
-        i, j = np.unravel_index(np.argmin(q), q.shape)
-        a, b = live[j], live[i]
-        left = sub[i, j] / 2 + (r[j] - r[i]) / (2 * (len(live) - 2))
-        parents[a], parents[b] = (next_id, left), (next_id, sub[i, j] - left)
-        others = [k for k in live if k not in (a, b)]
-        d[next_id, others] = d[others, next_id] = (d[a, others] + d[b, others] - d[a, b]) / 2
-        live, next_id = [*others, next_id], next_id + 1
-    if len(live) == 2:
-        for k in live:
-            parents[k] = (next_id, d[live[0], live[1]] / 2)
-        next_id += 1
-    nodes = [(k, parents.get(k, (None, None))[0], names[k] if k < n else None, parents.get(k, (None, None))[1]) for k in range(next_id if n > 1 else n)]
-    out = pd.DataFrame(nodes, columns=["node", "parent", "name", "length"])
-    return out.astype({"node": "int64", "parent": "Int64"}).assign(tree=matrix["tree"].iloc[0])[["tree", "node", "parent", "name", "length"]]
-
-
-def neighbour_joining(distances: DataFrame) -> DataFrame:
-    """tree, node, parent, name, length from the pairs (tree, a, b, distance) of each tree's leaves.
-
-    Trees are independent groups, one a task. A group is the matrix of one tree, which the method needs whole.
+def neighbour_joining(pairs: DataFrame) -> DataFrame:
+    """tree, node, parent, name and length of the trees that neighbour joining makes of pairs (tree, a, b, distance), each pair once.
+
+    A round joins, in every tree at once, the two nodes with the least distance less their mean distances to the
+    others (of equal ones those with the smaller numbers), so there are as many rounds as the largest tree has
+    leaves, less two. A round is joins and aggregations over the distances that are left, which no task holds
+    whole. Leaves are numbered by name, joined nodes behind them; the last two hang at a root halfway between.
+    """
+    names = pairs.select("tree", F.col("a").alias("name")).unionByName(pairs.select("tree", F.col("b").alias("name"))).distinct()
+    order = Window.partitionBy("tree").orderBy("name")
+    ends = stored(names.withColumn("node", (F.row_number().over(order) - 1).cast("long")), "nj-leaves")
+    of = lambda end, at: ends.select("tree", F.col("name").alias(end), F.col("node").alias(at))
+    half = pairs.join(of("a", "i"), ["tree", "a"]).join(of("b", "j"), ["tree", "b"]).select("tree", "i", "j", F.col("distance").cast("double").alias("d"))
+    left = stored(half.unionByName(half.select("tree", F.col("j").alias("i"), F.col("i").alias("j"), "d")), "nj-distances")
+    size = ends.groupBy("tree").agg(F.count(F.lit(1)).alias("new"))
+    joined, turn = [], 0
+    while left.groupBy("tree", "i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1):
+        sums = left.groupBy("tree", "i").agg(F.sum("d").alias("r"), (F.count(F.lit(1)) + 1).alias("n"))
+        both = left.filter("i < j").join(sums, ["tree", "i"]).join(sums.select("tree", F.col("i").alias("j"), F.col("r").alias("r_j")), ["tree", "j"])
+        score = F.col("d") - (F.col("r") + F.col("r_j")) / (F.col("n") - 2)
+        first = F.min(F.struct(score.alias("q"), "j", "i", "d", (F.col("d") / 2 + (F.col("r") - F.col("r_j")) / (2 * (F.col("n") - 2))).alias("own"))).alias("x")
+        best = both.filter("n > 2").groupBy("tree").agg(first).join(size, "tree").select("tree", F.col("x.i").alias("a"), F.col("x.j").alias("b"), F.col("x.d").alias("ab"), F.col("x.own").alias("own"), (F.col("new") + turn).alias("new"))
+        best = stored(best, "nj-joined")
+        joined.append(best.select("tree", F.inline(F.array(F.struct(F.col("a").alias("node"), "new", F.col("own").alias("length")), F.struct(F.col("b").alias("node"), "new", (F.col("ab") - F.col("own")).alias("length"))))))
+        # one row a tree: what is joined leaves, and the new node's distances come from both
+        rows = left.join(best, "tree", "left")
+        is_end = lambda c: F.coalesce((F.col(c) == F.col("a")) | (F.col(c) == F.col("b")), F.lit(False))
+        kept = rows.filter(~is_end("i") & ~is_end("j")).select("tree", "i", "j", "d")
+        new = rows.filter(is_end("i") & ~is_end("j")).groupBy("tree", F.col("new").alias("i"), "j").agg(((F.sum("d") - F.first("ab")) / 2).alias("d"))
+        left = stored(kept.unionByName(new).unionByName(new.select("tree", F.col("j").alias("i"), F.col("i").alias("j"), "d")), "nj-distances")
+        turn += 1
+    # trees end in different rounds: the root's number follows the last one that was given
+    root = left.groupBy("tree").agg(F.max("i").alias("_last")).join(size, "tree").select("tree", F.greatest(F.col("_last") + 1, "new").alias("root"))
+    above = left.join(root, "tree").select("tree", F.col("i").alias("node"), F.col("root").alias("new"), (F.col("d") / 2).alias("length"))
+    for step in joined:
+        above = above.unionByName(step)
+    above = above.withColumnRenamed("new", "parent")
+    inner = above.select("tree", F.col("parent").alias("node")).distinct()
+    nodes = ends.select("tree", "node", "name").unionByName(inner.withColumn("name", F.lit(None).cast("string")))
+    return stored(nodes.join(above, ["tree", "node"], "left").select("tree", "node", "parent", "name", "length"), "nj-nodes")
+
+
+def scaled(nodes: DataFrame, factor: float) -> DataFrame:
+    """All branch lengths times the factor."""
+    return nodes.withColumn("length", F.col("length") * F.lit(float(factor)))
+
+
+def with_lengths(nodes: DataFrame, length: float | None = None, leaf: float = 1.0) -> DataFrame:
+    """All branch lengths reset, or (without a length) the support in percent taken as length, and leaves get theirs."""
+    if length is not None:
+        return nodes.withColumn("length", F.when(F.col("parent").isNotNull(), F.lit(float(length))))
+    return nodes.withColumn("length", F.when(F.col("parent").isNotNull(), F.coalesce(F.col("support") / 100, F.lit(float(leaf)))))
+
+
+def with_supports(nodes: DataFrame) -> DataFrame:
+    """Lengths of inner branches taken as support in percent, rounded, 100 at most; leaves and the root have none."""
+    inner = nodes.select("tree", F.col("parent").alias("node"), F.lit(True).alias("_inner")).filter("node is not null").distinct()
+    percent = F.least(F.round(F.col("length") * 100), F.lit(100.0))
+    return nodes.join(inner, ["tree", "node"], "left").withColumn("support", F.when(F.col("_inner") & F.col("parent").isNotNull(), percent)).drop("_inner")
+
+
+def bootstrap_estimate(gain: Column, sites: Column, changes: Column) -> Column:
+    """Support (0 to 1) of a branch that saves `gain` of `changes` over `sites`: the chance that a resampling keeps the gain, by a normal approximation."""
+    spread = F.sqrt(F.greatest(changes * (1 - F.least(changes / F.greatest(sites, F.lit(1)), F.lit(1.0))), F.lit(1e-9)))
+    z = gain / spread
+    # the logistic form of the normal distribution function, within 2 percent of it
+    return 1 / (1 + F.exp(-1.702 * z))
+
+
+def subtree(nodes: DataFrame, top: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """tree, node: all nodes below those in top (tree, node), themselves included."""
+    pairs = closure(nodes) if pairs is None else pairs
+    return pairs.join(top.select("tree", F.col("node").alias("ancestor")), ["tree", "ancestor"], "left_semi").select("tree", "node").distinct()
+
+
+def without_subtrees(nodes: DataFrame, top: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    return nodes.join(subtree(nodes, top, pairs), ["tree", "node"], "left_anti")
+
+
+def with_copies(nodes: DataFrame, top: DataFrame, new_id, pairs: DataFrame | None = None) -> DataFrame:
+    """nodes and a copy of what lies below each node in top (tree, node, under): its top hangs under `under`.
+
+    new_id: a function of a column of ids that gives the copies' ids, which must be free.
+    """
+    below = nodes.join(subtree(nodes, top, pairs), ["tree", "node"], "left_semi").join(top.select("tree", "node", "under"), ["tree", "node"], "left")
+    copies = below.withColumn("parent", F.when(F.col("under").isNotNull(), F.col("under")).otherwise(new_id(F.col("parent")))).withColumn("node", new_id(F.col("node")))
+    return nodes.unionByName(copies.select(*nodes.columns))
+
+
+def moved(nodes: DataFrame, moves: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Each node of moves (tree, node, under) with all below it under its new parent; a move below itself is an error."""
+    pairs = closure(nodes) if pairs is None else pairs
+    loops = moves.join(pairs.select("tree", F.col("node").alias("under"), F.col("ancestor").alias("node"), F.lit(True).alias("_loop")), ["tree", "node", "under"], "left")
+    checked = loops.withColumn("under", F.when(F.col("_loop"), F.raise_error(F.lit("a node can't move below itself")).cast(dict(nodes.dtypes)["node"])).otherwise(F.col("under"))).drop("_loop")
+    return nodes.join(checked, ["tree", "node"], "left").withColumn("parent", F.coalesce("under", "parent")).select(*nodes.columns)
+
+
+def swapped(nodes: DataFrame, pairs_of_nodes: DataFrame) -> DataFrame:
+    """The nodes a and b (tree, a, b), neither of which lies below the other, change places with all below them."""
+    of = lambda x: nodes.select("tree", F.col("node").alias(x), F.col("parent").alias(f"_{x}"))
+    both = pairs_of_nodes.join(of("a"), ["tree", "a"]).join(of("b"), ["tree", "b"])
+    moves = both.select("tree", F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("_b").alias("under")), F.struct(F.col("b").alias("node"), F.col("_a").alias("under")))))
+    return moved(nodes, moves)
+
+
+def with_leaf(nodes: DataFrame, at: DataFrame) -> DataFrame:
+    """A leaf put into the branch above a node, which it halves: at has tree, node, new_node, new_leaf, name and length."""
+    half = nodes.join(at.select("tree", "node", "new_node"), ["tree", "node"], "left")
+    on_branch = F.col("new_node").isNotNull()
+    kept = half.withColumn("_up", F.col("parent")).withColumn("_half", F.col("length") / 2).withColumn("parent", F.when(on_branch, F.col("new_node")).otherwise(F.col("parent"))).withColumn("length", F.when(on_branch, F.col("_half")).otherwise(F.col("length")))
+    blank = {c: F.lit(None).cast(t) for c, t in nodes.dtypes}
+    row = lambda df, **known: df.select(*[known.get(c, blank[c]).alias(c) for c in nodes.columns])
+    joints = row(kept.filter(on_branch), tree=F.col("tree"), node=F.col("new_node"), parent=F.col("_up"), length=F.col("_half"))
+    ends = row(at, tree=F.col("tree"), node=F.col("new_leaf"), parent=F.col("new_node"), name=F.col("name"), length=F.col("length"))
+    return kept.select(*nodes.columns).unionByName(joints).unionByName(ends)
+
+
+def long_branches(nodes: DataFrame, least: float) -> DataFrame:
+    """tree, node, length of the branches of at least that length."""
+    return nodes.filter(F.col("parent").isNotNull() & (F.col("length") >= least)).select("tree", "node", "length")
+
+
+def configuration(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """tree, name, place: the marked leaves (tree, name) in the order of the tree, numbered from 1."""
+    found = leaf_order(nodes).join(marks.select("tree", "name").distinct(), ["tree", "name"], "left_semi")
+    placed = ranked(found, [F.asc("tree"), F.asc("position")], "_rank")
+    first = placed.groupBy("tree").agg(F.min("_rank").alias("_first"))
+    return placed.join(first, "tree").select("tree", "name", (F.col("_rank") - F.col("_first") + 1).alias("place"))
+
+
+def order_like(nodes: DataFrame, positions: DataFrame) -> DataFrame:
+    """tree, name, position: leaves from top to bottom, brothers sorted by the mean of their leaves' positions (name, position) elsewhere.
+
+    Leaves without a position there come last within their brothers; ties go by the smallest leaf name below.
+    """
+    pairs = stored(closure(nodes), "tree-pairs")
+    named = members(nodes, pairs).join(positions.select(F.col("name").alias("leaf"), "position"), "leaf", "left")
+    means = named.groupBy("tree", "node").agg(F.avg("position").alias("_mean"), F.min("leaf").alias("_least"))
+    key = F.struct(F.col("_mean").isNull().alias("none"), F.col("_mean").alias("mean"), F.col("_least").alias("least"), F.col("ancestor").alias("id"))
+    way = pairs.join(means.withColumnRenamed("node", "ancestor"), ["tree", "ancestor"]).groupBy("tree", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), key.alias("key")))), lambda x: x["key"]).alias("_way"))
+    placed = ranked(leaves(nodes).join(way, ["tree", "node"]).select("tree", "name", "_way"), [F.asc("tree"), F.asc("_way")], "_rank")
+    first = placed.groupBy("tree").agg(F.min("_rank").alias("_first"))
+    return placed.join(first, "tree").select("tree", "name", (F.col("_rank") - F.col("_first") + 1).alias("position"))
+
+
+def representatives(found: DataFrame, below: DataFrame, distances: DataFrame) -> DataFrame:
+    """tree, node, name, mean of each cluster's leaf with the least mean distance to its other leaves (the smallest name of equal ones).
+
+    found: tree, node; below: tree, node, leaf; distances: tree, a, b, distance, each pair once.
     """
-    return distances.select("tree", "a", "b", F.col("distance").cast("double").alias("distance")).groupBy("tree").applyInPandas(_joined_neighbours, "tree string, node long, parent long, name string, length double")
+    inside = below.join(found.select("tree", "node"), ["tree", "node"], "left_semi")
+    both = distances.select("tree", "a", "b", "distance").unionByName(distances.select("tree", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    ends = lambda name: inside.select("tree", "node", F.col("leaf").alias(name))
+    means = both.join(ends("a"), ["tree", "a"]).join(ends("b"), ["tree", "b", "node"]).groupBy("tree", "node", "a").agg(F.avg("distance").alias("mean"))
+    return means.groupBy("tree", "node").agg(F.min(F.struct(F.round("mean", 9).alias("mean"), F.col("a").alias("name"))).alias("_x")).select("tree", "node", "_x.name", "_x.mean")
+
+
+def set_relations(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, common, size_a, size_b and relation (equal, subset, superset, overlap) of sets (set, leaf) that share a leaf."""
+    sizes = lambda df, key: df.groupBy(F.col("set").alias(key)).agg(F.count_distinct("leaf").alias(f"size_{key}"))
+    common = left.distinct().select(F.col("set").alias("a"), "leaf").join(right.distinct().select(F.col("set").alias("b"), "leaf"), "leaf").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    rows = common.join(sizes(left, "a"), "a").join(sizes(right, "b"), "b")
+    in_b, in_a = F.col("common") == F.col("size_a"), F.col("common") == F.col("size_b")
+    return rows.withColumn("relation", F.when(in_a & in_b, "equal").when(in_b, "subset").when(in_a, "superset").otherwise("overlap"))

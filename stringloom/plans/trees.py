@@ -71,14 +71,16 @@ def tree_distances(table):
 
 
 @_r.query(f"""
-    WITH {_NODES}, s AS (SELECT c_name, c_mktsegment FROM customer)
-    SELECT leaf AS name, 4 + 3 AS difference FROM up JOIN s ON leaf = c_name
+    WITH {_NODES}, o AS (SELECT c_name, c_custkey, 'n' || (c_custkey % 25) AS n2 FROM customer), m AS (SELECT n.node, n.name AS nation2, r.name AS region2 FROM nodes n JOIN nodes r ON n.parent = r.node WHERE n.node LIKE 'n%')
+    SELECT leaf AS name, CASE WHEN region <> region2 THEN 6 WHEN nation <> nation2 THEN 4 ELSE 0 END AS difference FROM up JOIN o ON leaf = c_name JOIN m ON m.node = n2
 """)
 def taxonomy_differences(table):
-    """Steps between a customer's paths in the two trees, which have no level in common."""
-    a = tr.paths(world(table)).filter("node like 'c%'").select("node", F.col("path").alias("_a"))
-    b = tr.paths(segments(table)).filter("node like 'c%'").select("node", F.col("path").alias("_b"))
-    both = a.join(b, "node").join(table("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_name").alias("name")), "node")
+    """Steps between a customer's paths in two trees of the same nations, in the second of which other customers belong to a nation."""
+    n = world(table)
+    c = table("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.concat(F.lit("n"), (F.col("c_custkey") % 25).cast("string")).alias("_p"))
+    other = n.join(c, "node", "left").withColumn("parent", F.coalesce("_p", "parent")).select(*n.columns)
+    of = lambda nodes, name: tr.paths(nodes).filter("node like 'c%'").select("node", F.col("path").alias(name))
+    both = of(n, "_a").join(of(other, "_b"), "node").join(n.select("node", "name"), "node")
     return both.select("name", tr.path_difference(F.col("_a"), F.col("_b")).alias("difference"))
 
 
@@ -121,11 +123,11 @@ def moved_groups(table):
 
 
 @_r.query("""
-    SELECT c_mktsegment AS label, count(*)::BIGINT AS size, 2.0 / 3 AS support FROM customer WHERE c_nationkey < 12 GROUP BY c_mktsegment
+    SELECT c_mktsegment AS label, count(*)::BIGINT AS size, 2.0 / 3 AS support FROM customer GROUP BY c_mktsegment
 """)
 def consensus_of_trees(table):
     """Majority sets of three trees over the same customers: two by segment, one by nation."""
-    c = table("customer").filter("c_nationkey < 12")
+    c = table("customer")
 
     def tree(name, group):
         leaf = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
@@ -159,14 +161,137 @@ def lopsided_brothers(table):
 
 @_r.query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
 def not_in_tree(table):
-    """Suppliers whose nation is no leaf of the tree of one region."""
-    tree = table("nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("s_nationkey"))
-    return table("supplier").join(tree, "s_nationkey", "left_anti").select("s_suppkey")
+    """Suppliers whose nation is no leaf of the tree of one region, which is cut out of the tree of all nations."""
+    nations = world(table).filter("node not like 'c%'")
+    tree = tr.leaves(nations.join(tr.subtree(nations, nations.filter("node = 'r0'")), ["tree", "node"], "left_semi"))
+    keys = tree.select(F.substring("node", 2, 20).try_cast("int").alias("s_nationkey"))
+    return table("supplier").join(keys, "s_nationkey", "left_anti").select("s_suppkey")
+
+
+_FLAT = "n AS (SELECT node, parent, name, length, CASE WHEN node LIKE 'n%' THEN substr(node, 2)::INT * 4.0 END AS support FROM nodes)"
+
+
+def supported(table):
+    """The world with a support of the nations' branches."""
+    return world(table).withColumn("support", F.when(F.col("node").like("n%"), F.substring("node", 2, 20).try_cast("double") * 4))
+
+
+@_r.query(f"""
+    WITH {_NODES}, {_FLAT} SELECT a.node, CASE WHEN b.support < 40 THEN b.parent ELSE a.parent END AS parent, a.length + CASE WHEN b.support < 40 THEN b.length ELSE 0 END AS length
+    FROM n a LEFT JOIN n b ON a.parent = b.node WHERE a.support IS NULL OR a.support >= 40
+""")
+def multifurcated_tree(table):
+    """Branches of little support go, what hangs below them moves up."""
+    return tr.multifurcated(supported(table), 40).select("node", "parent", "length")
+
+
+@_r.query("SELECT p_name AS name, count(*) AS copies FROM part GROUP BY p_name HAVING count(*) > 1")
+def duplicate_leaves(table):
+    parts = table("part")
+    inner = parts.select(F.col("p_type").alias("node"), F.lit("root").alias("parent"), F.lit(None).cast("string").alias("name")).distinct()
+    tree = inner.unionByName(parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("parent"), F.col("p_name").alias("name")))
+    return tr.duplicate_leaves(tree.withColumn("tree", F.lit("parts"))).select("name", "copies")
+
+
+@_r.query(f"""
+    WITH {_NODES}, {_FLAT} SELECT node, length * 2.5 AS scaled, CASE WHEN parent IS NOT NULL THEN 0.1 END AS reset, CASE WHEN parent IS NOT NULL THEN coalesce(support / 100, 1.0) END AS from_support,
+        CASE WHEN parent IS NOT NULL AND (node IN (SELECT DISTINCT parent FROM nodes)) THEN least(round(length * 100), 100) END AS support FROM n
+""")
+def changed_lengths(table):
+    """Branch lengths scaled, reset, taken from the support, and made the support."""
+    n = supported(table)
+    one = lambda df, column, name: df.select("node", F.col(column).alias(name))
+    found = one(tr.scaled(n, 2.5), "length", "scaled").join(one(tr.with_lengths(n, 0.1), "length", "reset"), "node").join(one(tr.with_lengths(n), "length", "from_support"), "node")
+    return found.join(one(tr.with_supports(n), "support", "support"), "node")
+
+
+@_r.query(f"""
+    WITH {_NODES} SELECT node, CASE node WHEN 'n3' THEN (SELECT parent FROM nodes WHERE node = 'n17') WHEN 'n17' THEN (SELECT parent FROM nodes WHERE node = 'n3') WHEN 'r4' THEN 'r2' WHEN 'c7' THEN 'joint' ELSE parent END AS parent,
+           CASE node WHEN 'c7' THEN length / 2 ELSE length END AS length FROM nodes WHERE node <> 'r1' AND node NOT IN (SELECT node FROM up WHERE l2 = 'r1') AND parent IS DISTINCT FROM 'r1'
+    UNION ALL SELECT 'joint', parent, length / 2 FROM nodes WHERE node = 'c7' AND parent IN (SELECT node FROM nodes WHERE parent <> 'r1') UNION ALL SELECT 'new', 'joint', 0.25
+""")
+def rearranged_tree(table):
+    """A region's subtree goes, two nations change places, a region moves below another, and a leaf comes into the branch above a customer."""
+    n = world(table)
+    top = lambda node: n.filter(F.col("node") == node).select("tree", "node")
+    kept = stored(tr.without_subtrees(n, top("r1")), "tree-kept")
+    spark = kept.sparkSession
+    turned = tr.swapped(kept, spark.createDataFrame([("nations", "n3", "n17")], "tree string, a string, b string"))
+    moved = tr.moved(stored(turned, "tree-swapped"), spark.createDataFrame([("nations", "r4", "r2")], "tree string, node string, under string"))
+    leaf = spark.createDataFrame([("nations", "c7", "joint", "new", "new leaf", 0.25)], "tree string, node string, new_node string, new_leaf string, name string, length double")
+    return tr.with_leaf(moved, leaf).select("node", "parent", "length")
+
+
+@_r.query(f"""
+    WITH {_NODES}, below AS (SELECT node, parent, length FROM nodes WHERE node = 'r2' OR parent = 'r2' OR parent IN (SELECT node FROM nodes WHERE parent = 'r2'))
+    SELECT node, parent, length FROM nodes UNION ALL SELECT node || '+', CASE WHEN node = 'r2' THEN 'r0' ELSE parent || '+' END, length FROM below
+""")
+def copied_subtree(table):
+    """A region with all below it, copied under another one."""
+    n = world(table)
+    top = n.filter("node = 'r2'").select("tree", "node", F.lit("r0").alias("under"))
+    return tr.with_copies(n, top, lambda c: F.concat(c, F.lit("+"))).select("node", "parent", "length")
+
+
+@_r.query(f"WITH {_NODES} SELECT node, length FROM nodes WHERE parent IS NOT NULL AND length >= 1.0")
+def long_branches(table):
+    return tr.long_branches(world(table), 1.0).select("node", "length")
+
+
+@_r.query(f"""
+    WITH {_NODES}, s AS (SELECT *, count(*) OVER (PARTITION BY l1) AS n1, count(*) OVER (PARTITION BY l2) AS n2, min(leaf) OVER (PARTITION BY l1) AS f1, min(leaf) OVER (PARTITION BY l2) AS f2 FROM up),
+         o AS (SELECT leaf, row_number() OVER (ORDER BY n2 DESC, f2, l2, n1 DESC, f1, l1, leaf, l0) AS position FROM s)
+    SELECT leaf AS name, row_number() OVER (ORDER BY position) AS place FROM o JOIN customer ON leaf = c_name WHERE c_acctbal < 0
+""")
+def tree_configuration(table):
+    """The marked customers in the order of the tree."""
+    marks = table("customer").filter("c_acctbal < 0").select(F.lit("nations").alias("tree"), F.col("c_name").alias("name"))
+    return tr.configuration(world(table), marks).select("name", F.col("place").cast("long").alias("place"))
+
+
+@_r.query(f"""
+    WITH {_NODES}, p AS (SELECT up.*, c_acctbal AS v FROM up JOIN customer ON leaf = c_name),
+         s AS (SELECT *, avg(v::DECIMAL(18, 2)) OVER (PARTITION BY l1) AS m1, avg(v::DECIMAL(18, 2)) OVER (PARTITION BY l2) AS m2, min(leaf) OVER (PARTITION BY l1) AS f1, min(leaf) OVER (PARTITION BY l2) AS f2 FROM p)
+    SELECT leaf AS name, row_number() OVER (ORDER BY round(m2, 6), f2, l2, round(m1, 6), f1, l1, v, leaf, l0) AS position FROM s
+""")
+def order_like_other(table):
+    """Leaves in the order that their positions elsewhere (here the balances) give to brothers."""
+    balance = table("customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("position"))
+    return tr.order_like(world(table), balance).select("name", F.col("position").cast("long").alias("position"))
+
+
+@_r.query("""
+    WITH d AS (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING max(s_acctbal) - min(s_acctbal) <= 8000 AND count(*) >= 3),
+         m AS (SELECT s_nationkey, a.s_name, round(avg(abs(a.s_acctbal - b.s_acctbal)), 9) AS mean FROM supplier a JOIN supplier b USING (s_nationkey) JOIN d USING (s_nationkey) WHERE a.s_name <> b.s_name GROUP BY ALL),
+         r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY mean, s_name) AS k FROM m)
+    SELECT 'n' || s_nationkey AS node, s_name AS name, round(mean, 6) AS mean FROM r WHERE k = 1
+""")
+def cluster_representatives(table):
+    """Of each cluster the supplier that is nearest to the others in the mean."""
+    s = table("supplier")
+    tree, pairs = _supplier_tree(table)
+    found = tr.clusters(tree, pairs, 8000, 3).filter("node like 'n%'").select("tree", "node")
+    below = s.select(F.lit("suppliers").alias("tree"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("node"), F.col("s_name").alias("leaf"))
+    return tr.representatives(found, below, pairs).select("node", "name", F.round("mean", 6).alias("mean"))
+
+
+@_r.query("""
+    WITH l AS (SELECT 'n' || c_nationkey AS a, c_custkey AS leaf FROM customer WHERE c_acctbal > 9000), r AS (SELECT 's' || c_mktsegment AS b, c_custkey AS leaf FROM customer WHERE c_acctbal > 8000 AND c_nationkey % 5 = 0 UNION ALL SELECT 'n' || c_nationkey, c_custkey FROM customer WHERE c_acctbal > 8500),
+         c AS (SELECT a, b, count(*) AS common FROM l JOIN r USING (leaf) GROUP BY ALL), x AS (SELECT *, (SELECT count(*) FROM l WHERE l.a = c.a) AS size_a, (SELECT count(*) FROM r WHERE r.b = c.b) AS size_b FROM c)
+    SELECT *, CASE WHEN common = size_a AND common = size_b THEN 'equal' WHEN common = size_a THEN 'subset' WHEN common = size_b THEN 'superset' ELSE 'overlap' END AS relation FROM x
+""")
+def set_relations(table):
+    """How sets of customers with high balances lie to each other."""
+    c, leaf = table("customer"), F.col("c_custkey").alias("leaf")
+    by_nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("set")
+    left = c.filter("c_acctbal > 9000").select(by_nation, leaf)
+    right = c.filter("c_acctbal > 8000 and c_nationkey % 5 = 0").select(F.concat(F.lit("s"), "c_mktsegment").alias("set"), leaf).unionByName(c.filter("c_acctbal > 8500").select(by_nation, leaf))
+    return tr.set_relations(left, right).select("a", "b", "common", "size_a", "size_b", "relation")
 
 
 @_r.query()
 def neighbour_joining(table):
-    """One tree a region, from the differences of the nations' mean balances; the method is sequential and not SQL."""
+    """One tree a region, from the differences of the nations' mean balances; what a round joins depends on those before it, so there is no SQL."""
     means = table("customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m")).join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     side = lambda k: means.select(F.col("n_regionkey").cast("string").alias("tree"), F.col("n_name").alias(k), F.col("m").alias(f"m_{k}"))
     pairs = side("a").join(side("b"), "tree").filter("a < b").select("tree", "a", "b", F.abs(F.col("m_a") - F.col("m_b")).alias("distance"))
@@ -195,6 +320,12 @@ def parsimony(table):
 """)
 def clusters(table):
     """Nations whose suppliers' balances all lie close together."""
+    tree, pairs = _supplier_tree(table)
+    return tr.clusters(tree, pairs, 8000, 3).filter("node like 'n%'").select("node", "size", F.round("widest", 4).alias("widest"))
+
+
+def _supplier_tree(table):
+    """Suppliers under their nations, and the distances of their balances within a nation."""
     s, n = table("supplier"), table("nation")
     root = n.agg(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"))
     inner = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.lit("root").alias("parent"), F.lit(None).cast("string").alias("name"))
@@ -202,7 +333,7 @@ def clusters(table):
     tree = root.unionByName(inner).unionByName(ends).withColumn("length", F.lit(1.0)).withColumn("tree", F.lit("suppliers"))
     side = lambda k: s.select("s_nationkey", F.col("s_name").alias(k), F.col("s_acctbal").alias(f"_{k}"))
     pairs = side("a").join(side("b"), "s_nationkey").filter("a < b").select(F.lit("suppliers").alias("tree"), "a", "b", F.abs(F.col("_a") - F.col("_b")).alias("distance"))
-    return tr.clusters(tree, pairs, 8000, 3).filter("node like 'n%'").select("node", "size", F.round("widest", 4).alias("widest"))
+    return tree, pairs
 
 
 @_r.query(f"""
