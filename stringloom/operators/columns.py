@@ -158,7 +158,8 @@ def kept_columns(df: DataFrame, data: str, keep: DataFrame, *groups: str, name:
     kept = keep.select(*groups, "pos", F.lit(True).alias("_keep")).distinct()
     whole = kept.groupBy(*groups).agg(F.max("pos").alias("_last")).select(*groups, F.explode(F.sequence(F.lit(1), F.col("_last").cast("int"))).alias("pos"))
     flags = whole.join(kept, [*groups, "pos"], "left").groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_keep", F.lit(False)).alias("keep")))), lambda x: x["keep"]).alias("_flags"))
-    wide = df.join(F.broadcast(flags), list(groups), "left") if groups else df.crossJoin(F.broadcast(flags))
+    # without groups the flags are one row; with groups Spark broadcasts them only if their measured size allows it
+    wide = df.join(flags, list(groups), "left") if groups else df.crossJoin(F.broadcast(flags))
     chars = F.filter(F.split(F.col(data), ""), lambda ch: ch != "")
     picked = F.filter(F.zip_with(chars, "_flags", lambda ch, keep_it: F.when(keep_it, ch)), lambda ch: ch.isNotNull())
     return wide.withColumn(name, F.coalesce(F.array_join(picked, ""), F.lit(""))).drop("_flags")
@@ -299,3 +300,19 @@ def combined_code(letters: Column) -> Column:
     bits = F.create_map(*[F.lit(x) for code, m in AMBIGUITY.items() for x in (code, sum(1 << "ACGT".index(b) for b in m))])
     whole = F.aggregate(F.transform(letters, lambda ch: F.coalesce(F.try_element_at(bits, F.upper(ch)), F.lit(0))), F.lit(0), lambda a, x: a.bitwiseOR(x))
     return F.substring(F.lit(CODES), whole + 1, F.lit(1))
+
+
+def columns_between(rated: DataFrame, low: float, high: float, value: str = "homology") -> DataFrame:
+    """The valid columns (see homology) whose value lies from low to high."""
+    return rated.filter(F.col(value).between(low, high))
+
+
+#: Pairs of bases that bind in a helix: strong ones and weak ones (fixed values).
+STRONG_PAIRS, WEAK_PAIRS = ("GC", "CG", "AU", "UA"), ("GU", "UG")
+
+
+def pair_kind(a: Column, b: Column) -> Column:
+    """strong, weak, none, or gap of two bases that stand opposite each other; T is U."""
+    up = lambda c: F.translate(F.upper(c), "T", "U")
+    pair = F.concat(up(a), up(b))
+    return F.when(a.isin("-", ".") | b.isin("-", "."), "gap").when(pair.isin(*STRONG_PAIRS), "strong").when(pair.isin(*WEAK_PAIRS), "weak").otherwise("none")

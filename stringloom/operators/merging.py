@@ -93,3 +93,37 @@ def remapped(df: DataFrame, data: str, mapping: DataFrame, length: int, gap: str
 def zombies(leaves: DataFrame, items: DataFrame, name: str) -> DataFrame:
     """Names of leaves without an item."""
     return leaves.select(name).distinct().join(items.select(name), name, "left_anti")
+
+
+def group_joined(items: DataFrame, group: str, order: str, texts: list[str], others: list[str], separator: str = " ") -> DataFrame:
+    """One row a group: different texts of each field joined in order, equal ones kept once, other fields from the first row.
+
+    Texts are made distinct before they meet, so a group holds as many as it has different values.
+    """
+    out = items.groupBy(group).agg(*[F.min(F.struct(F.col(order), F.col(c))).alias(f"_{c}") for c in others], F.count(F.lit(1)).alias("rows"))
+    out = out.select(group, "rows", *[F.col(f"_{c}")[c].alias(c) for c in others])
+    for c in texts:
+        first = items.filter(F.col(c).isNotNull()).groupBy(group, c).agg(F.min(order).alias("_at"))
+        joined = first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c]), separator).alias(c))
+        out = out.join(joined, group, "left")
+    return out
+
+
+def transferred(base: DataFrame, more: DataFrame, key: str, overwrite: bool = True) -> DataFrame:
+    """Whole objects (trees, annotations, configurations, names) of another table put in by key: equal keys are replaced, or kept without overwrite."""
+    if overwrite:
+        return base.join(more.select(key).distinct(), key, "left_anti").select(*base.columns).unionByName(more.select(*base.columns))
+    return base.unionByName(more.join(base.select(key).distinct(), key, "left_anti").select(*base.columns))
+
+
+def data_changes(now: DataFrame, before: DataFrame, key: str, data: str) -> DataFrame:
+    """key and change (new, gone, changed, same) of each item's data against an earlier version; only digests are shuffled."""
+    digest = lambda df, name: df.select(key, F.sha2(F.coalesce(F.col(data), F.lit("")), 256).alias(name))
+    both = digest(now, "_now").join(digest(before, "_before"), key, "full_outer")
+    change = F.when(F.col("_before").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("_before"), "changed").otherwise("same")
+    return both.select(key, change.alias("change"))
+
+
+def stamped(history: Column, change: Column, at: Column) -> Column:
+    """history with a line for the change put behind it; the same items keep theirs."""
+    return F.when(change == "same", history).otherwise(F.concat_ws("\n", history, F.concat_ws(" ", F.date_format(at, "yyyy-MM-dd"), change)))

@@ -6,8 +6,11 @@ value; long texts are never shuffled, and the joins are plain ones, so that adap
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stringloom.functions import text as t
 from stringloom.functions.predicates import any_field
@@ -143,3 +146,54 @@ def in_fields(items: DataFrame, fields: list[str], expression: str) -> Column:
     """The any-field predicate over the named columns."""
     return any_field([F.col(f) for f in fields], expression)
 
+
+
+def stored_marks(items: DataFrame, key: str, name: str = "marked", slot: str = "default") -> DataFrame:
+    """slot and key of the marked items, to be kept and restored later; several slots lie in one table."""
+    return items.filter(F.coalesce(F.col(name), F.lit(False))).select(F.lit(slot).alias("slot"), key)
+
+
+def restored_marks(items: DataFrame, kept: DataFrame, key: str, slot: str = "default", name: str = "marked") -> DataFrame:
+    """items marked as they were when the slot was stored; ids that are gone since are no error."""
+    return marked(items, kept.filter(F.col("slot") == slot).select(key), key, name)
+
+
+def followed(items: DataFrame, link: str, targets: dict[str, tuple[DataFrame, str]], *fields: str) -> DataFrame:
+    """items with fields of what their link (`type:id`) points to: targets has (table, key) by type; a dead link gives null."""
+    kind, at = F.substring_index(link, ":", 1), F.regexp_extract(link, "^[^:]*:(.*)$", 1)
+    rows = None
+    for name, (table, key) in targets.items():
+        own = table.select(F.lit(name).alias("_type"), F.col(key).cast("string").alias("_id"), *[F.col(f).cast("string").alias(f) for f in fields])
+        rows = own if rows is None else rows.unionByName(own)
+    found = items.withColumn("_type", kind).withColumn("_id", at).join(rows, ["_type", "_id"], "left")
+    return found.select(*items.columns, *fields)
+
+
+def partial_flag(field: Column, default: int) -> Column:
+    """1 for a partial sequence, 0 for a whole one; a missing flag is the default, another value an error."""
+    value = F.coalesce(field.cast("int"), F.lit(default))
+    return F.when(value.isin(0, 1), value).otherwise(F.raise_error(F.lit("a partial flag is 0 or 1")).cast("int"))
+
+
+def limited(items: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first rows in that order, with truncated: whether there were more. One row more than asked for is taken, not all."""
+    rows = items.orderBy(*order).limit(most + 1)
+    numbered = rows.withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+    return numbered.withColumn("truncated", F.max("_at").over(Window.partitionBy()) > most).filter(F.col("_at") <= most).drop("_at")
+
+
+def faults(items: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key and fault, one row for each rule that an item breaks; a rule that gives null isn't kept."""
+    found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    return items.select(key, F.explode(found).alias("fault"))
+
+
+def repaired(items: DataFrame, version: str, passes: list[tuple[int, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """items after all passes with a number above their version, in order; a second run changes nothing.
+
+    A pass maps all items with all columns; it takes effect only on rows whose version lies below its number.
+    """
+    for number, change in sorted(passes, key=lambda p: p[0]):
+        old = F.coalesce(F.col(version), F.lit(0)) < number
+        items = items.filter(~old).unionByName(change(items.filter(old)).withColumn(version, F.lit(number)).select(*items.columns))
+    return items

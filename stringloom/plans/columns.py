@@ -179,27 +179,27 @@ def aligned_distances(table):
 
 
 @_r.query("""
-    WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, abs(a.s_acctbal - b.s_acctbal) AS distance, a.s_nationkey AS na, b.s_nationkey AS nb FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey % 20 = 0)
+    WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, abs(a.s_acctbal - b.s_acctbal) AS distance, a.s_nationkey AS na, b.s_nationkey AS nb
+               FROM supplier a JOIN supplier b ON a.s_suppkey % 20 = 0 AND a.s_suppkey <> b.s_suppkey AND (b.s_suppkey % 20 <> 0 OR a.s_suppkey < b.s_suppkey))
     SELECT least(na, nb) AS group_a, greatest(na, nb) AS group_b, round(avg(distance), 9) AS distance, count(*) AS pairs FROM p GROUP BY 1, 2
 """)
 def group_distances(table):
+    """Mean distances between nations over the pairs that hold an item of the query set (ids divisible by 20), each pair once."""
     sup = table("supplier")
     q = sup.filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("_a"))
-    pairs = sup.select(F.col("s_suppkey").alias("b"), "s_acctbal").join(q, F.col("a") < F.col("b")).select("a", "b", F.abs(F.col("_a") - F.col("s_acctbal")).alias("distance"))
+    pairs = sup.select(F.col("s_suppkey").alias("b"), "s_acctbal").join(q, (F.col("a") != F.col("b")) & ((F.col("b") % 20 != 0) | (F.col("a") < F.col("b")))).select("a", "b", F.abs(F.col("_a") - F.col("s_acctbal")).alias("distance"))
     return distances.compressed(pairs, sup, "s_suppkey", "s_nationkey").withColumn("distance", F.round("distance", 9))
 
 
 @_r.query("""
     SELECT c_custkey, left(c_name, 4) || '--' || substr(c_name, 5) AS wider, left(c_name, 2) || substr(c_name, 6) AS narrower, rpad(c_name, 24, '.') AS padded,
-           repeat('.', length(c_name) - length(ltrim(c_name, 'C'))) || ltrim(rtrim(c_name, '0'), 'C') || repeat('.', length(c_name) - length(rtrim(c_name, '0'))) AS dotted
+           repeat('.', length(c_name) - length(ltrim(c_name, 'C0'))) || translate(trim(c_name, 'C0'), 'C0', '--') || repeat('.', length(c_name) - length(rtrim(c_name, 'C0'))) AS dotted
     FROM customer
 """)
 def edited_columns(table):
     name = F.col("c_name")
-    dotted = intervals.ends_dotted(F.concat(F.regexp_replace(name, "^C", "-"), F.lit("")), "-")
-    trailing = F.regexp_extract(name, "0*$", 0)
-    dotted = F.concat(F.left(dotted, F.char_length(name) - F.char_length(trailing)), F.repeat(F.lit("."), F.char_length(trailing)))
-    return table("customer").select("c_custkey", intervals.inserted(name, 4, 2).alias("wider"), intervals.deleted(name, 3, 5).alias("narrower"), intervals.padded(name, 24).alias("padded"), dotted.alias("dotted"))
+    gapped = F.translate(name, "C0", "--")
+    return table("customer").select("c_custkey", intervals.inserted(name, 4, 2).alias("wider"), intervals.deleted(name, 3, 5).alias("narrower"), intervals.padded(name, 24).alias("padded"), intervals.ends_dotted(gapped).alias("dotted"))
 
 
 @_r.query("""
@@ -223,6 +223,68 @@ def shaded_items(table):
     return c.shaded(table("customer"), "c_acctbal", 16).select("c_custkey", "shade")
 
 
+@_r.query("""
+    WITH q AS (SELECT * FROM supplier WHERE s_suppkey % 20 = 0), p AS (SELECT a.s_name AS x, b.s_name AS y, a.s_suppkey AS a, b.s_suppkey AS b FROM q a JOIN supplier b ON a.s_suppkey <> b.s_suppkey),
+         c AS (SELECT a, b, substr(x, i, 1) AS l, substr(y, i, 1) AS r FROM (SELECT *, unnest(range(1, least(length(x), length(y)) + 1)) AS i FROM p)),
+         v AS (SELECT a, b, CASE WHEN l = r THEN 0.0 WHEN l || r IN ('01', '10') THEN 0.25 ELSE 1.0 END AS cost, CASE WHEN l = r THEN 0.0 WHEN upper(l) IN ('S', 'T', 'P', 'A', 'G') AND upper(r) IN ('S', 'T', 'P', 'A', 'G') THEN 0.5 ELSE 1.0 END AS grouped, l <> r AS off FROM c)
+    SELECT a, b, round(avg(cost), 9) AS by_matrix, round(avg(grouped), 9) AS grouped, round(-ln(1 - avg(off::INT) - avg(off::INT) * avg(off::INT) / 5), 9) + 0.0 AS kimura FROM v GROUP BY a, b
+""")
+def corrected_distances(table):
+    """Distances by a user's matrix of letters, by groups of amino acids, and corrected for hidden changes of proteins, for a query set."""
+    names = table("supplier").select("s_suppkey", "s_name")
+    q = names.filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("a"), F.col("s_name").alias("x"))
+    rows = names.select(F.col("s_suppkey").alias("b"), F.col("s_name").alias("y")).join(q, F.col("a") != F.col("b"))
+    x, y = F.col("x"), F.col("y")
+    return rows.select(
+        "a", "b", F.round(distances.by_matrix(x, y, {"01": 0.25, "10": 0.25}), 9).alias("by_matrix"), F.round(distances.grouped_difference(x, y), 9).alias("grouped"),
+        (F.round(distances.kimura_protein(distances.share_different(x, y)), 9) + 0.0).alias("kimura"),
+    )
+
+
+@_r.query("""
+    WITH p AS (SELECT p_partkey, p_name AS whole, CASE p_partkey % 3 WHEN 0 THEN '--' || substr(p_name, 3) WHEN 1 THEN left(p_name, 5) || '..' ELSE '-' || substr(p_type, 2, 4) END AS partial FROM part),
+         c AS (SELECT *, unnest(range(1, least(length(whole), length(partial)) + 1)) AS i, length(partial) - length(ltrim(partial, '-.')) + 1 AS first, length(rtrim(partial, '-.')) AS last FROM p),
+         n AS (SELECT p_partkey, count(*) AS overlap, count(*) FILTER (substr(whole, i, 1) <> substr(partial, i, 1)) AS different FROM c WHERE i BETWEEN first AND last GROUP BY 1)
+    SELECT p_partkey, overlap, different, round((overlap - different) / overlap - greatest(6 - overlap, 0) * 0.1, 9) AS score FROM n
+""")
+def partial_matches(table):
+    """Partial strings against whole ones: only the columns that the partial one covers count, short overlaps cost."""
+    parts = table("part").select("p_partkey", F.col("p_name").alias("whole"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("--"), F.substring("p_name", 3, 1000))).when(F.col("p_partkey") % 3 == 1, F.concat(F.left("p_name", F.lit(5)), F.lit(".."))).otherwise(F.concat(F.lit("-"), F.substring("p_type", 2, 4))).alias("partial"))
+    found = parts.select("p_partkey", distances.overlap_match(F.col("whole"), F.col("partial"), least=6, outside=0.1).alias("m"))
+    return found.select("p_partkey", F.col("m.overlap").cast("long").alias("overlap"), F.col("m.different").cast("long").alias("different"), F.round("m.score", 9).alias("score"))
+
+
+@_r.query("""
+    WITH l AS (SELECT o_orderpriority, substr('ACGTRYKMN', (l_linenumber + l_partkey)::INT % 9 + 1, 1) AS ch FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity < 3 AND l_discount < 0.02 AND l_tax = 0),
+         b AS (SELECT *, CASE ch WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN 'R' THEN 5 WHEN 'Y' THEN 10 WHEN 'K' THEN 12 WHEN 'M' THEN 3 ELSE 15 END AS bits FROM l)
+    SELECT o_orderpriority, substr('-ACMGRSVTWYHKDBN', bit_or(bits)::INT + 1, 1) AS code FROM b GROUP BY 1
+""")
+def combined_codes(table):
+    """The ambiguity code of all letters of a group."""
+    lines = table("lineitem").filter("l_quantity < 3 and l_discount < 0.02 and l_tax = 0").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ch = F.substring(F.lit("ACGTRYKMN"), ((F.col("l_linenumber") + F.col("l_partkey")) % 9 + 1).cast("int"), F.lit(1))
+    return lines.groupBy("o_orderpriority").agg(F.collect_set(ch).alias("letters")).select("o_orderpriority", c.combined_code(F.col("letters")).alias("code"))
+
+
+@_r.query("""
+    WITH cells AS (SELECT unnest(range(1, length(c_name) + 1)) AS pos, unnest(string_split(c_name, '')) AS ch FROM customer), n AS (SELECT pos, ch, count(*) AS n FROM cells GROUP BY ALL)
+    SELECT pos, max(n) * 100 // sum(n)::BIGINT AS homology FROM n GROUP BY pos HAVING max(n) * 100 // sum(n)::BIGINT BETWEEN 9 AND 60
+""")
+def filtered_columns(table):
+    """The columns of which the most frequent letter has a share within limits."""
+    rated = c.homology(c.counts(table("customer"), "c_name", fill=None))
+    return c.columns_between(rated, 9, 60).select(F.col("pos").cast("long").alias("pos"), "homology")
+
+
+@_r.query("""
+    SELECT p_partkey, CASE WHEN a || b IN ('GC', 'CG', 'AU', 'UA') THEN 'strong' WHEN a || b IN ('GU', 'UG') THEN 'weak' WHEN a = '-' OR b = '-' THEN 'gap' ELSE 'none' END AS kind
+    FROM (SELECT p_partkey, substr('ACGU-', p_partkey::INT % 5 + 1, 1) AS a, substr('UGCA-', p_size % 5 + 1, 1) AS b FROM part)
+""")
+def pair_kinds(table):
+    a, b = (F.substring(F.lit(letters), (F.col(name) % 5 + 1).cast("int"), F.lit(1)) for letters, name in (("acgt-", "p_partkey"), ("UGCA-", "p_size")))
+    return table("part").select("p_partkey", c.pair_kind(a, b).alias("kind"))
+
+
 @_r.query()
 def aligned_pairs(table):
     """Names and types of parts aligned letter by letter; dynamic programming isn't SQL."""

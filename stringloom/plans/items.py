@@ -270,3 +270,122 @@ def typed_fields(table):
     e = table("events").withColumn("k", F.get_json_object("props", "$.k"))
     whole = F.when(F.round("value") == F.col("value"), F.round("value").cast("int"))
     return e.select("event_id", F.coalesce(search.lossless(F.col("k"), "int"), F.lit(-1)).alias("k"), whole.alias("whole"))
+
+
+@_r.query("SELECT c_custkey, c_acctbal < 0 AS marked FROM customer")
+def restored_marks(table):
+    """Marks that were stored under a name come back on items that lost them."""
+    c = table("customer").select("c_custkey", (F.col("c_acctbal") < 0).alias("marked"))
+    kept = search.stored_marks(c, "c_custkey", slot="debt").unionByName(search.stored_marks(search.inverted(c), "c_custkey", slot="rest"))
+    return search.restored_marks(c.withColumn("marked", F.lit(False)), kept, "c_custkey", "debt").select("c_custkey", "marked")
+
+
+@_r.query("""
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN c_name WHEN 1 THEN s_name END AS name, CASE o_orderkey % 3 WHEN 0 THEN c_nationkey WHEN 1 THEN s_nationkey END::VARCHAR AS nation
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON o_custkey = s_suppkey
+""")
+def followed_links(table):
+    """Links `type:id` to tables of several types; links to nothing give null."""
+    link = F.concat(F.element_at(F.array(F.lit("customer"), F.lit("supplier"), F.lit("gone")), (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit(":"), F.col("o_custkey").cast("string"))
+    c = table("customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    sup = table("supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    found = search.followed(table("orders").select("o_orderkey", link.alias("link")), "link", {"customer": (c, "c_custkey"), "supplier": (sup, "s_suppkey")}, "name", "nation")
+    return found.select("o_orderkey", "name", "nation")
+
+
+@_r.query("SELECT doc_id, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 ELSE 1 END AS partial FROM documents")
+def partial_flags(table):
+    flag = F.when(F.col("lang") == "en", "0").when(F.col("lang") == "de", "1")
+    return table("documents").select("doc_id", search.partial_flag(flag, 1).alias("partial"))
+
+
+@_r.query("""
+    WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+    SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 25 AS truncated FROM o WHERE k <= 25
+""")
+def limited_orders(table):
+    """The first rows of an order, and whether there were more."""
+    return search.limited(table("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 25)
+
+
+@_r.query("""
+    SELECT p_partkey, unnest(list_filter([CASE WHEN NOT regexp_matches(p_name, '^[a-z]+ [a-z]+$') THEN 'two words' END, CASE WHEN p_size > 45 THEN 'size' END, CASE WHEN p_brand LIKE '%1%' THEN 'brand' END], lambda x: x IS NOT NULL)) AS fault FROM part
+""")
+def name_faults(table):
+    """Rules that names and fields have to keep, and which of them a row breaks."""
+    rules = {"two words": F.col("p_name").rlike("^[a-z]+ [a-z]+$"), "size": F.col("p_size") <= 45, "brand": ~F.col("p_brand").contains("1")}
+    return search.faults(table("part"), "p_partkey", rules)
+
+
+@_r.query("""
+    SELECT p_partkey, CASE WHEN p_size % 3 < 1 THEN upper(p_name) ELSE p_name END || CASE WHEN p_size % 3 < 2 THEN '!' ELSE '' END AS p_name, greatest(p_size % 3, 2) AS version FROM part
+""")
+def repaired_items(table):
+    """Passes with numbers, of which each row gets those that its version lacks; a second run changes nothing."""
+    passes = [(2, lambda df: df.withColumn("p_name", F.concat("p_name", F.lit("!")))), (1, lambda df: df.withColumn("p_name", F.upper("p_name")))]
+    once = search.repaired(table("part").select("p_partkey", "p_name", (F.col("p_size") % 3).alias("version")), "version", passes)
+    return search.repaired(once, "version", passes)
+
+
+@_r.query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '%A%' AND n_regionkey < 3)")
+def items_of_parents(table):
+    """The items below the parents of a hit set."""
+    hits = search.generate(table("nation"), "n_nationkey", p.matches(F.col("n_name"), "*A*") & (F.col("n_regionkey") < 3))
+    return search.of_parents(table("customer"), hits.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey")
+
+
+@_r.query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def unknown_names(table):
+    """Names in another table that no item has."""
+    return merging.zombies(table("orders").select(F.col("o_custkey").alias("c_custkey")), table("customer").filter("c_acctbal > 0"), "c_custkey")
+
+
+@_r.query("SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'new' || o_custkey ELSE o_custkey::VARCHAR END AS name FROM orders")
+def renamed_references(table):
+    """A dependent table after some of the names in it were changed."""
+    mapping = table("customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("old"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("new"))
+    names = table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("name"))
+    return search.renamed(names, "name", mapping)
+
+
+@_r.query("""
+    WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY ALL), t AS (SELECT p_brand, string_agg(p_type, ' ' ORDER BY k, p_type) AS types FROM f GROUP BY 1)
+    SELECT p_brand, types AS p_type, count(*) AS rows, arg_min(p_size, p_partkey) AS p_size FROM part JOIN t USING (p_brand) GROUP BY p_brand, types
+""")
+def group_joined_items(table):
+    """Rows of a group as one: different texts joined in order, equal ones once, other fields from the first row."""
+    return merging.group_joined(table("part"), "p_brand", "p_partkey", ["p_type"], ["p_size"])
+
+
+@_r.query("""
+    SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 10) UNION ALL SELECT s_suppkey::INT, s_name FROM supplier WHERE s_suppkey < 10
+""")
+def transferred_objects(table):
+    """Whole objects of another table, which replace those of the same key."""
+    more = table("supplier").filter("s_suppkey < 10").select(F.col("s_suppkey").cast("int").alias("n_nationkey"), F.col("s_name").alias("n_name"))
+    return merging.transferred(table("nation").select("n_nationkey", "n_name"), more, "n_nationkey")
+
+
+@_r.query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'new' WHEN p_partkey % 5 = 1 THEN 'gone' WHEN p_partkey % 5 = 2 AND p_name LIKE '%a%' THEN 'changed' ELSE 'same' END AS change,
+           CASE WHEN p_partkey % 5 = 0 THEN 'made' || chr(10) || '2024-02-03 new' WHEN p_partkey % 5 = 1 THEN 'made' || chr(10) || '2024-02-03 gone' WHEN p_partkey % 5 = 2 AND p_name LIKE '%a%' THEN 'made' || chr(10) || '2024-02-03 changed' ELSE 'made' END AS history FROM part
+""")
+def tracked_changes(table):
+    """What happened to each item's data since an earlier version, and its history with a line for it."""
+    part = table("part").select("p_partkey", "p_name")
+    now = part.filter("p_partkey % 5 <> 1").withColumn("p_name", F.when(F.col("p_partkey") % 5 == 2, F.translate("p_name", "a", "b")).otherwise(F.col("p_name")))
+    found = merging.data_changes(now, part.filter("p_partkey % 5 <> 0"), "p_partkey", "p_name")
+    return found.select("p_partkey", "change", merging.stamped(F.lit("made"), F.col("change"), F.lit("2024-02-03").cast("date")).alias("history"))
+
+
+@_r.query("""
+    WITH r AS (SELECT p_partkey, p_name AS src, left(p_name, 2) || '--' || substr(p_name, 3) AS dst FROM part WHERE p_partkey = 1), m AS (SELECT unnest(range(1, length(src) + 1)) AS s, length(src) AS n FROM r)
+    SELECT p_partkey, rpad(left(p_name, least(2, n::INT)) || '--' || substr(p_name, 3, n - 2), n::INT + 2, '-') AS data FROM part, (SELECT max(n) AS n FROM m)
+""")
+def remapped_data(table):
+    """All strings moved to the columns that a reference has in another alignment."""
+    part = table("part").select("p_partkey", F.col("p_name").alias("data"))
+    source = part.filter("p_partkey = 1")
+    target = source.withColumn("data", F.concat(F.left("data", F.lit(2)), F.lit("--"), F.substring("data", 3, 1000)))
+    length = source.agg(F.max(F.char_length("data"))).first()[0] + 2
+    return merging.remapped(part, "data", merging.column_map(source, target, "p_partkey", "data"), length).select("p_partkey", "data")

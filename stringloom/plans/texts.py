@@ -176,3 +176,50 @@ def display_lines(table):
     csv = [("name", F.col("c_name"), 20), ("nation", F.col("c_nationkey"), 4), ("segment", F.col("c_mktsegment"), 8)]
     c = table("customer")
     return c.select("c_custkey", search.display(c, columns).alias("padded"), search.display(c, csv, "csv").alias("csv"))
+
+
+@_r.query("""
+    WITH l AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_size || ' 0', ' ') AS w FROM part)
+    SELECT p_partkey, array_to_string(w[1:1] || w[3:], ',') AS dropped, array_to_string(w[1:1] || w[3:] || w[2:2], ',') AS back, array_to_string(w[3:3] || w[1:2] || w[4:], ',') AS front,
+           array_to_string(list_filter(w, lambda x: coalesce(try_cast(x AS BIGINT), 0) <> 0), ',') AS numbers, array_to_string(list_filter(string_split(replace(array_to_string(w, ','), 'e', ','), ','), lambda x: x <> ''), ',') AS filled,
+           array_to_string(w, '') || '/' || array_to_string(w, '') AS twice FROM l
+""")
+def list_commands(table):
+    """Commands on lists of streams: drop, toback, tofront, dropzero, dropempty, do."""
+    words = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"), F.lit("0"))
+    run = lambda *commands: s.apply(words, s.split(" "), *commands, s.merge(","))
+    both = s.apply(words, s.split(" "), s.fork(s.do(s.dd), s.echo("/"), s.do(s.dd)))
+    return table("part").select(
+        "p_partkey", run(s.drop(2)).alias("dropped"), run(s.toback(2)).alias("back"), run(s.tofront(3)).alias("front"), run(s.dropzero).alias("numbers"),
+        s.apply(words, s.split(" "), s.merge(","), s.split("e"), s.merge(","), s.split(","), s.dropempty, s.merge(",")).alias("filled"), both.alias("twice"),
+    )
+
+
+@_r.query("""
+    SELECT o_orderkey, (o_totalprice::DECIMAL(18, 2)::VARCHAR) AS price, (4000000000 + o_orderkey)::VARCHAR AS big, CASE WHEN o_custkey % 4 = 0 THEN (o_custkey // 4)::VARCHAR ELSE rtrim(printf('%.2f', o_custkey / 4.0), '0') END AS quarter,
+           CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE round(list_sum(list_transform(range(1, o_orderkey % 50 + 1), lambda i: ln(i))), 9) + 0.0 END AS log_factorial
+    FROM orders
+""")
+def numbers_as_texts(table):
+    """Numbers of more digits than 32 bits hold in calculations, numbers as texts, and logarithms of factorials."""
+    big = s.apply(F.lit("4000000000"), s.fork(s.dd, s.read("o_orderkey")), s.plus())
+    return table("orders").select(
+        "o_orderkey", F.format_string("%.2f", "o_totalprice").alias("price"), big.alias("big"), t.number_text(F.col("o_custkey") / 4, 2).alias("quarter"),
+        (F.round(t.log_factorial((F.col("o_orderkey") % 50).cast("int")), 9) + 0.0).alias("log_factorial"),
+    )
+
+
+@_r.query("""
+    WITH x AS (SELECT p_partkey, p_name AS a, p_type AS b, p_brand AS c FROM part)
+    SELECT p_partkey, rpad(a, (length(a) // 8 + 1)::INT * 8, ' ') || b || chr(10) || rpad(c, (length(c) // 8 + 1)::INT * 8, ' ') || a AS expanded,
+           replace(replace(a, ' ', ', '), ', ', ' and ') AS authors, replace(a, 'e', CASE WHEN p_partkey % 2 = 0 THEN '[' || b || ']' ELSE '[none]' END) AS filled, CASE WHEN length(c) < 9 THEN 'short' WHEN c LIKE '%#%' THEN 'character' END AS fault FROM x
+""")
+def record_texts(table):
+    """Tabs filled up, lists of authors, rules that insert a field or its default, and names that are no keys."""
+    tabbed = F.concat("p_name", F.lit("\t"), "p_type", F.lit("\n"), "p_brand", F.lit("\t"), "p_name")
+    optional = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type"))
+    value = t.field(optional, "none")
+    return table("part").select(
+        "p_partkey", t.expand_tabs(tabbed).alias("expanded"), t.author_list(F.concat(F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(" ;"))).alias("authors"),
+        t.replace_rules(F.col("p_name"), ("e", F.concat(F.lit("["), value, F.lit("]")))).alias("filled"), t.key_fault(F.col("p_brand"), 9).alias("fault"),
+    )
