@@ -25,12 +25,15 @@ def location_parts(location: Column) -> Column:
     two neighbours (start = b, stop = a). Text that is no location gives no parts. A location may have any number
     of parts: the pattern's repeats are possessive, so that Java matches them in a loop.
     """
+    pattern = r"(complement\()?([<>]?)(\d+)(?:(\.\.|\^)([<>]?)(\d+))?"
     flat = F.regexp_replace(location, "\\s+", "")
-    outer = flat.rlike("^complement\\((join|order)\\(")
-    pieces = F.regexp_extract_all(flat, F.lit(r"(complement\()?([<>]?)(\d+)(?:(\.\.|\^)([<>]?)(\d+))?"), F.lit(0))
+    valid = flat.rlike(r"^(?:complement\(|join\(|order\(|[<>]?\d++(?:(?:\.\.|\^)[<>]?\d++)?+|,|\))++$")
+    pieces = F.when(valid, F.regexp_extract_all(flat, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # bound once for the text: what a function of an array takes from outside is worked out again for every element
+    whole = F.array(F.struct(pieces.alias("pieces"), flat.rlike("^complement\\((join|order)\\(").alias("outer")))
 
-    def part(p: Column) -> Column:
-        get = lambda i: F.regexp_extract(p, r"(complement\()?([<>]?)(\d+)(?:(\.\.|\^)([<>]?)(\d+))?", i)
+    def part(p: Column, outer: Column) -> Column:
+        get = lambda i: F.regexp_extract(p, pattern, i)
         first = get(3).try_cast("int")
         second = F.coalesce(get(6).try_cast("int"), first)
         between = get(4) == "^"
@@ -39,9 +42,8 @@ def location_parts(location: Column) -> Column:
             ((get(1) != "") != outer).alias("complement"), get(2).alias("fuzzy_start"), get(5).alias("fuzzy_stop"),
         )
 
-    parts = F.transform(pieces, part)
-    valid = flat.rlike(r"^(?:complement\(|join\(|order\(|[<>]?\d++(?:(?:\.\.|\^)[<>]?\d++)?+|,|\))++$")
-    return F.when(valid, F.when(outer, F.reverse(parts)).otherwise(parts)).otherwise(F.slice(parts, F.lit(1), F.lit(0)))
+    in_order = lambda w: F.transform(F.when(w["outer"], F.reverse(w["pieces"])).otherwise(w["pieces"]), lambda p: part(p, w["outer"]))
+    return F.when(location.isNotNull(), F.transform(whole, in_order)[0])
 
 
 def location_text(parts: Column, joinable: Column | None = None) -> Column:
