@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stringloom.functions import predicates as p
@@ -132,13 +133,46 @@ def test_weights_and_acceptance(spark):
     assert accepted == [True, False, True, False]
 
 
-@pytest.mark.parametrize("text, again", [
-    ("1725", "1725"), ("3..77", "3..77"), ("<3..77", "<3..77"), ("3..>77", "3..>77"), ("7^8", "7^8"), ("complement(3..77)", "complement(3..77)"),
-    ("join(3..77,100..200)", "join(3..77,100..200)"), ("join(3..77)", "3..77"), ("join(3..77,100,130..177)", "join(3..77,100,130..177)"),
-    ("complement(join(100..200,3..77))", "join(complement(3..77),complement(100..200))"), ("3-77", None), ("", None),
-])
-def test_locations(spark, text, again):
-    assert one(spark, intervals.location_text(intervals.location_parts(F.lit(text)))) == again
+def made_up_location(rng):
+    """A location as text, and its parts (start, stop, complement, fuzzy start, fuzzy stop) in the order in which they are read."""
+    parts, texts = [], []
+    for _ in range(rng.randint(1, 4)):
+        a = rng.randint(1, 900)
+        kind, complement = rng.choice(["one", "range", "between"]), rng.random() < 0.3
+        if kind == "one":
+            part, text = (a, a, complement, "", ""), str(a)
+        elif kind == "between":
+            part, text = (a + 1, a, complement, "", ""), f"{a}^{a + 1}"
+        else:
+            b, f, g = a + rng.randint(1, 50), rng.choice(["", "<"]), rng.choice(["", ">"])
+            part, text = (a, b, complement, f, g), f"{f}{a}..{g}{b}"
+        parts.append(part)
+        texts.append(f"complement({text})" if complement else text)
+    text = texts[0] if len(texts) == 1 else f"{rng.choice(['join', 'order'])}({','.join(texts)})"
+    if len(texts) > 1 and rng.random() < 0.3:
+        text, parts = f"complement({text})", [(a, b, not c, f, g) for a, b, c, f, g in reversed(parts)]
+    return text, parts
+
+
+def test_locations(spark):
+    """Random locations against their parts, as text again, and as fields; what is no location has no parts."""
+    rng = random.Random(3)
+    made = [made_up_location(rng) for _ in range(300)]
+    df = spark.createDataFrame([(k, text if k % 2 else text.replace(",", " , ")) for k, (text, _) in enumerate(made)], "id int, text string")
+    parts = intervals.location_parts(F.col("text"))
+    fields = intervals.position_fields(F.col("parts"))
+    placed = spark.createDataFrame(df.select("id", parts.alias("parts")).collect(), "id int, parts array<struct<start: int, stop: int, complement: boolean, fuzzy_start: string, fuzzy_stop: string>>")
+    rows = spark.createDataFrame(placed.select("id", "parts", fields.alias("f"), intervals.location_text(F.col("parts")).alias("text")).collect()).select("id", "parts", "f", intervals.parts_of_fields(F.col("f.pos_start"), F.col("f.pos_stop"), F.col("f.pos_complement"), F.col("f.pos_certain")).alias("again"), intervals.location_parts(F.col("text")).alias("read"))
+    for r in rows.collect():
+        assert [tuple(p) for p in r.parts] == [tuple(p) for p in r.again] == [tuple(p) for p in r.read] == made[r.id][1]
+        assert r.f.pos_joined == len(r.parts)
+    assert [len(one(spark, intervals.location_parts(F.lit(x)))) for x in ("5-9", "", "join(x)", "five")] == [0, 0, 0, 0]
+
+
+def test_location_of_very_many_parts(spark):
+    text = "join(" + ",".join(f"{10 * k + 1}..{10 * k + 5}" for k in range(100_000)) + ")"
+    row = spark.createDataFrame([(text,)], "text string").select(intervals.location_parts(F.col("text")).alias("p")).select(F.size("p"), F.element_at("p", -1)["stop"]).first()
+    assert tuple(row) == (100_000, 999_995)
 
 
 def test_extraction(spark):
@@ -167,17 +201,17 @@ def test_remapped_columns(spark):
     assert [r.data for r in merging.remapped(a, "data", mapping, 6).orderBy("name").collect()] == ["A-CG-T", "A--G-T"]
 
 
-NEWICK = "[a [nested] comment]((s1:0.2, s2:0.4)group:0.6,(s3 : 0.3,'s 4':0.1)80:0.1,(s5:0.02, \"s-6\":0.04)'90:named':0.06):0.2;"
+NEWICK = "[made up [twice] here]((oak:0.2, elm:0.4)broad:0.6,(fir : 0.3,'red pine':0.1)80:0.1,(fern:0.02, \"tall-moss\":0.04)'90:low':0.06):0.2;"
 
 
 def test_newick(spark):
-    df = spark.createDataFrame([("t", NEWICK), ("u", "(a,b);")], "tree string, text string")
+    df = spark.createDataFrame([("t", NEWICK), ("u", "(x,y);")], "tree string, text string")
     found = node_io.trees(df, "tree", "text")
     t = {r.node: r for r in found.filter("tree = 't'").collect()}
-    assert [t[k].name for k in sorted(t)] == [None, "group", "s1", "s2", None, "s3", "s 4", "named", "s5", "s-6"]
+    assert [t[k].name for k in sorted(t)] == [None, "broad", "oak", "elm", None, "fir", "red pine", "low", "fern", "tall-moss"]
     assert t[4].support == 80 and t[7].support == 90 and t[2].length == 0.2 and t[1].length == 0.6 and t[0].parent is None
     again = {r.tree: r.newick for r in node_io.newick(found).collect()}
-    assert again["u"] == "(a,b);" and again["t"].startswith("((s1:0.2,s2:0.4)group:0.6,(s3:0.3,'s 4':0.1):0.1,")
+    assert again["u"] == "(x,y);" and again["t"].startswith("((oak:0.2,elm:0.4)broad:0.6,(fir:0.3,'red pine':0.1):0.1,")
     assert {r.tree: (r.leaves, r.inner_nodes, r.groups) for r in trees.info(found).collect()} == {"t": (6, 4, 2), "u": (2, 1, 0)}
 
 
@@ -207,14 +241,21 @@ def test_consensus_keeps_sets_as_rows(spark):
 
 def test_tree_changes(spark):
     found = node_io.trees(spark.createDataFrame([("t", NEWICK)], "tree string, text string"), "tree", "text")
-    pruned = trees.pruned(found, spark.createDataFrame([("t", "s1"), ("t", "s3"), ("t", "s 4")], "tree string, name string"))
+    pruned = trees.pruned(found, spark.createDataFrame([("t", "oak"), ("t", "fir"), ("t", "red pine")], "tree string, name string"))
     got = {r.name: r for r in pruned.collect() if r.name}
-    assert math.isclose(got["s1"].length, 0.8) and got["s1"].parent == 0 and got["s3"].parent == got["s 4"].parent == 4
-    flat = trees.multifurcated(found, 85).filter("name in ('s3', 's5')").collect()
-    assert {r.name: r.parent for r in flat} == {"s3": 0, "s5": 7}
+    assert math.isclose(got["oak"].length, 0.8) and got["oak"].parent == 0 and got["fir"].parent == got["red pine"].parent == 4
+    flat = trees.multifurcated(found, 85).filter("name in ('fir', 'fern')").collect()
+    assert {r.name: r.parent for r in flat} == {"fir": 0, "fern": 7}
     d = trees.common_ancestors(spark.createDataFrame([("t", 2, 8), ("t", 2, 3)], "tree string, a long, b long"), trees.closure(found))
     assert {(r.a, r.b): (r.ancestor, round(r.distance, 6)) for r in d.collect()} == {(2, 8): (0, 0.88), (2, 3): (1, 0.6)}
-    assert {r.name: r.position for r in trees.leaf_order(found).collect()} == {"s 4": 1, "s3": 2, "s-6": 3, "s5": 4, "s1": 5, "s2": 6}
+    # brothers are equally large, so the smallest name below decides
+    assert {r.name: r.position for r in trees.leaf_order(found).collect()} == {"elm": 1, "oak": 2, "fern": 3, "tall-moss": 4, "fir": 5, "red pine": 6}
+
+
+def test_moves_below_itself_are_an_error(spark):
+    found = node_io.trees(spark.createDataFrame([("t", NEWICK)], "tree string, text string"), "tree", "text")
+    with pytest.raises(PySparkException, match="below itself"):
+        trees.moved(found, spark.createDataFrame([("t", 1, 2)], "tree string, node long, under long")).collect()
 
 
 @pytest.mark.parametrize("a, b, d", [(None, None, 0), ("x/y", None, 2), ("x/y", "x/y", 0), ("x/y/z", "x/q", 3), ("", "x", 1)])
@@ -222,13 +263,40 @@ def test_path_difference(spark, a, b, d):
     assert one(spark, trees.path_difference(F.lit(a).cast("string"), F.lit(b).cast("string"))) == d
 
 
+def plain_neighbour_joining(names, d):
+    """Steps of neighbour joining on one tree: {node: (parent, length)}; nodes by number, leaves by name first."""
+    d = {frozenset((names.index(a), names.index(b))): x for (a, b), x in d.items()}
+    live, parents, new = list(range(len(names))), {}, len(names)
+    while len(live) > 2:
+        r = {i: sum(d[frozenset((i, k))] for k in live if k != i) for i in live}
+        _, j, i = min((d[frozenset((i, j))] - (r[i] + r[j]) / (len(live) - 2), j, i) for i in live for j in live if i < j)
+        ij = d[frozenset((i, j))]
+        own = ij / 2 + (r[i] - r[j]) / (2 * (len(live) - 2))
+        parents[i], parents[j] = (new, own), (new, ij - own)
+        live = [k for k in live if k not in (i, j)]
+        for k in live:
+            d[frozenset((k, new))] = (d[frozenset((i, k))] + d[frozenset((j, k))] - ij) / 2
+        live.append(new)
+        new += 1
+    for k in live:
+        parents[k] = (new, d[frozenset(live)] / 2)
+    return parents
+
+
 def test_neighbour_joining(spark):
-    rows = [("A", "B", 0.0765), ("A", "C", 0.1619), ("A", "D", 0.2266), ("B", "C", 0.1278), ("B", "D", 0.2061), ("C", "D", 0.1646)]
-    df = spark.createDataFrame([("t", *r) for r in rows], "tree string, a string, b string, distance double")
-    found = {r.name: r for r in trees.neighbour_joining(df).collect() if r.name}
-    # the pair with the least d - (r_i + r_j) / 2 is A, B (0.0765 - (0.4650 + 0.4104) / 2 = -0.3612)
-    assert found["A"].parent == found["B"].parent
-    assert math.isclose(found["A"].length, 0.0765 / 2 + (0.4650 - 0.4104) / 4) and math.isclose(found["A"].length + found["B"].length, 0.0765)
+    """Every join of several trees of different sizes, made in the same rounds, against one tree after the other."""
+    rng, rows, expected = random.Random(8), [], {}
+    for tree, n in (("two", 2), ("three", 3), ("six", 6), ("nine", 9)):
+        names = [f"leaf{k}" for k in range(n)]
+        d = {(a, b): round(rng.uniform(0.1, 2.0), 3) for i, a in enumerate(names) for b in names[i + 1 :]}
+        rows += [(tree, *(pair if rng.random() < 0.5 else pair[::-1]), x) for pair, x in d.items()]
+        expected[tree] = (names, plain_neighbour_joining(names, d))
+    found = trees.neighbour_joining(spark.createDataFrame(rows, "tree string, a string, b string, distance double")).collect()
+    for tree, (names, parents) in expected.items():
+        own = {r.node: r for r in found if r.tree == tree}
+        assert {k: r.name for k, r in own.items() if r.name} == dict(enumerate(names))
+        assert {k: r.parent for k, r in own.items() if r.parent is not None} == {k: p for k, (p, _) in parents.items()}
+        assert all(math.isclose(own[k].length, x, abs_tol=1e-9) for k, (_, x) in parents.items()) and len(own) == len(parents) + 1
 
 
 def test_parsimony(spark):
@@ -375,4 +443,61 @@ def test_more_writers(spark):
 def test_codes_and_cover(spark):
     assert [one(spark, columns.combined_code(F.array(*map(F.lit, x)))) for x in ("AG", "acgt", "-A", "YR", "--")] == ["R", "N", "A", "N", "-"]
     hits = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 3), ("z", 3)], "kmer string, item int")
-    assert [tuple(r) for r in kmers.covering_probes(hits, 5).collect()] == [(1, "x", 2), (2, "y", 1)]
+    assert [tuple(r) for r in kmers.covering_probes(hits, 5).collect()] == [(1, "x", 2, 1), (2, "y", 1, 0)]
+
+
+def test_covering_goes_on_to_the_end(spark):
+    hits = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("b", 4), ("c", 5), ("a", 1)], "kmer string, item long")
+    rows = lambda most: [tuple(r) for r in kmers.covering_probes(hits, most).collect()]
+    assert rows(None) == [(1, "b", 3, 2), (2, "a", 1, 1), (3, "c", 1, 0)] and rows(1) == [(1, "b", 3, 2)]
+
+
+def test_probe_hits_against_brute_force(spark):
+    """Both strands, unclear letters and mismatches at every place, in random sequences with planted probes."""
+    rng = random.Random(4)
+    probes = ["".join(rng.choice("ACGT") for _ in range(12)) for _ in range(3)]
+    turned = [p[::-1].translate(str.maketrans("ACGT", "TGCA")) for p in probes]
+    items = {}
+    for k in range(25):
+        data = [rng.choice("ACGTACGTACGTN") for _ in range(60)]
+        planted = list(rng.choice(probes + turned))
+        for i in rng.sample(range(12), rng.randint(0, 5)):
+            planted[i] = rng.choice("ACGTN")
+        data[20:32] = planted
+        items[k] = "".join(data)
+    expected = set()
+    for n, (p, q) in enumerate(zip(probes, turned)):
+        for reverse, probe in ((False, p), (True, q)):
+            for k, data in items.items():
+                for at in range(len(data) - 11):
+                    piece = data[at : at + 12]
+                    plain = sum(x != y and y != "N" for x, y in zip(probe, piece))
+                    unclear = sum(x != y and y == "N" for x, y in zip(probe, piece))
+                    if plain + (max(unclear - 1, 0) if unclear < 4 else unclear) <= 2:
+                        expected.add((n, reverse, k, at + 1, plain, unclear))
+    df = spark.createDataFrame(list(items.items()), "item long, data string")
+    found = kmers.probe_hits(spark.createDataFrame(list(enumerate(probes)), "id long, probe string"), "id", "probe", df, "item", "data", 2, reverse=True, ignored=1)
+    assert {(r.probe_id, r.reverse, r.item, r.position, r.mismatches, r.n_mismatches) for r in found.collect()} == expected and len(expected) > 10
+
+
+def test_kept_columns_of_groups(spark):
+    df = spark.createDataFrame([("g", "abc"), ("h", "abc"), ("i", "abc")], "g string, data string")
+    keep = spark.createDataFrame([("g", 1), ("g", 3), ("h", 2), ("h", 9)], "g string, pos int")
+    assert {r.g: r.data for r in columns.kept_columns(df, "data", keep, "g").collect()} == {"g": "ac", "h": "b", "i": ""}
+
+
+def test_ambiguous_codons(spark):
+    table = [("GAR", "E"), ("RAY", "B"), ("SAR", "Z"), ("CTN", "L"), ("YTR", "L"), ("NNN", "X"), ("ATH", "I"), ("---", "-")]
+    text = "".join(c for c, _ in table)
+    assert one(spark, intervals.translated(F.lit(text), ambiguous=True)) == "".join(a for _, a in table)
+    assert one(spark, intervals.translated(F.lit("GARATG"))) == "XM"
+    assert one(spark, intervals.codes_that_fit(F.lit("TGAATA"), F.lit("WM"))) == [2, 3, 5, 13, 21]
+    assert all(len(x) == 64 for x in intervals.GENETIC_CODES.values())
+
+
+def test_flags_and_bootstrap(spark):
+    with pytest.raises(PySparkException, match="0 or 1"):
+        one(spark, search.partial_flag(F.lit("2"), 0))
+    assert one(spark, search.partial_flag(F.lit(None).cast("string"), 1)) == 1
+    low, high = (one(spark, trees.bootstrap_estimate(F.lit(g), F.lit(100), F.lit(20))) for g in (0, 12))
+    assert low == 0.5 and high > 0.99
