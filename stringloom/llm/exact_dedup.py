@@ -1,9 +1,9 @@
 """Exact deduplication with streaming state: digests fold into keyed state on disk, hits are compared byte by byte.
 
 The state (RocksDB, no expiry) holds for each digest the row that stays: its length, its identifier and
-the locator of its content (file and row number), and how many rows share the digest. Text is shuffled
-only to compare each hit with the row that the state points to; digests that turn out to cover different
-texts are regrouped by the texts themselves. DataFrame and SQL functions only.
+the locator of its content (file and row number), and how many rows share the digest. To compare each hit with
+the row that the state points to, only texts whose locator a bitmap knows are shuffled; digests that turn out to
+cover different texts are regrouped by the texts themselves. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from stringloom.llm.common import SPACE, free_name, join_by_key, new_path, text_
 
 #: Rows of one group that are compared in one task's partition of the join.
 SUBGROUP = 5000
+#: Bits of the bitmap for each row that it knows, and bits at most (32 MB): what is broadcast never grows beyond.
+BITS, MOST_BITS = 256, 1 << 28
 
 
 def normalised(text: Column) -> Column:
@@ -103,13 +105,35 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     return _regrouped(rows, source.select("locator", content.alias("content")), wrong)
 
 
+def _bit(locator: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(locator, F.lit("bitmap")), F.lit(bits))
+
+
+def only_known(contents: DataFrame, known: DataFrame, bits: int | None = None) -> DataFrame:
+    """The rows of contents whose locator may be in known: all that are, and few others.
+
+    One bit for each locator of known, in a bitmap of at most MOST_BITS that is broadcast in pieces of 4 kB; with
+    very many rows in known it lets more of the others through, which costs time but no rows.
+    """
+    if bits is None:
+        bits = min(MOST_BITS, 1 << max(15, (BITS * known.count()).bit_length()))
+    at = _bit(F.col("locator"), bits)
+    pieces = known.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap"))
+    place = F.bitmap_bit_position(at)
+    octet = F.conv(F.hex(F.substring(F.col("_bitmap"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_octet, cast(_place % 8 as int)) & 1 = 1")
+    found = contents.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(pieces), "_bucket")
+    return found.withColumn("_octet", octet).withColumn("_place", place).filter(hit).select(*contents.columns)
+
+
 def _unequal_hits(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """Digests for which some hit's bytes differ from those of the row that stays.
 
     A group is compared in subgroups of about SUBGROUP rows, each of which gets a copy of the kept text.
     """
     parts = (F.col("group_size") / SUBGROUP).cast("int") + 1
-    shared = rows.filter("group_size > 1").select("locator", "digest", "keep_locator", "kept", parts.alias("parts")).join(contents, "locator")
+    grouped = rows.filter("group_size > 1").select("locator", "digest", "keep_locator", "kept", parts.alias("parts"))
+    shared = grouped.join(only_known(contents, grouped.select("locator")), "locator")
     kept = shared.filter("kept").select(
         F.col("keep_locator"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("content").alias("kept_content")
     )
@@ -119,7 +143,8 @@ def _unequal_hits(rows: DataFrame, contents: DataFrame) -> DataFrame:
 
 def _regrouped(rows: DataFrame, contents: DataFrame, wrong: DataFrame) -> DataFrame:
     """rows, with the groups of the digests in wrong formed by their texts instead."""
-    mixed = rows.join(wrong, "digest", "left_semi").select("locator", "doc_id", "n_chars", "digest").join(contents, "locator")
+    mixed = written(rows.join(wrong, "digest", "left_semi").select("locator", "doc_id", "n_chars", "digest"), "dedup-mixed")
+    mixed = mixed.join(only_known(contents, mixed.select("locator")), "locator")
     best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("_not_id"), "locator")).alias("best")
     groups = mixed.groupBy("content").agg(best, F.count(F.lit(1)).alias("group_size"))
     again = mixed.join(groups, "content").select(
@@ -130,7 +155,7 @@ def _regrouped(rows: DataFrame, contents: DataFrame, wrong: DataFrame) -> DataFr
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all its columns."""
+    """The rows of docs that stay, with all its columns, whatever they are called; rows are treated as exact_groups() says."""
     name, columns = free_name(docs, "_locator"), docs.columns
     kept = exact_groups(docs).filter("kept").select(F.col("locator").alias(name))
     return with_locator(docs, name).join(kept, name, "left_semi").select(*columns)
