@@ -12,10 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new temporary folder only where the session names none."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder if everything runs on one machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 

@@ -3,6 +3,9 @@
 import datetime
 import decimal
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -46,10 +49,41 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, TABLES).count() > 0
 
 
-def test_entry_without_the_subpackage():
-    """The driver may delete the subpackage and the pipeline; what is left has to work."""
-    import subprocess
-    import sys
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
-    code = "import sys; sys.modules['stringloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+
+def run_python(code, folder=ROOT):
+    return subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True)
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """The driver may delete the subpackage and the pipeline; what is left has to import and register its queries and SQL."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=lambda d, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__")])
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q); import bench"
+    done = run_python(code, tmp_path / "repo")
+    assert done.returncode == 0, done.stderr
+
+
+def test_other_missing_packages_are_errors():
+    """Only the subpackage and the pipeline may be absent: a package that they need and lack is no reason to drop their queries."""
+    if not os.path.isdir(f"{ROOT}/stringloom/llm"):
+        pytest.skip("the subpackage is absent")
+    done = run_python("import sys; sys.modules['xxhash'] = None; import __spark_entry__")
+    assert done.returncode != 0 and "xxhash" in done.stderr
+
+
+class Session:
+    """What shared_folder asks of a session."""
+
+    def __init__(self, master, folder=None):
+        self.conf = type("Conf", (), {"get": lambda _, key, default: folder or default})()
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app of {master}"})
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    from stringloom.operators import storage
+
+    assert storage.shared_folder(Session("spark://somewhere:7077", "/shared/")) == "/shared"
+    assert storage.shared_folder(Session("local[2]")).startswith("file://")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        storage.shared_folder(Session("spark://somewhere:7077"))
