@@ -1,11 +1,10 @@
-"""The registered queries of the ten operators, their SQL where SQL can express them, and the pipeline."""
+"""The registered queries of the ten operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from stringloom.llm import exact_dedup, fingerprint, license_scan, packing, pii, quality, simhash, source_mixing, token_files, toxicity
 
 
@@ -75,7 +74,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_best_fit_packing, op4_simhash, op5_token_counts, op6_fingerprint, op7_quality, op8_pii, op9_toxicity, op10_exact_dedup)}
-QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
@@ -85,5 +83,3 @@ ORACLE_SQL = {
         FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
     """,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

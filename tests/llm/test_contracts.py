@@ -700,8 +700,10 @@ def test_bitmap_keeps_what_it_knows(spark, bits):
     assert kept >= set(range(7, 50_000, 50)) and len(kept) < (1_500 if bits is None else 5_000)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES])
+@pytest.mark.parametrize("name", [*queries.QUERIES, "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
+    import corpus_pipeline
+
     for table in ("documents", "labels"):
         spark.read.parquet(f"{TABLES}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
+    assert (queries.QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, str(tmp_path)).collect() == []
