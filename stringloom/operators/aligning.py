@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -15,32 +17,52 @@ def align(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int
     """Both texts with gaps put in, and the score: the best over all alignments from end to end.
 
     A row of the table is one vector operation: running along it costs `gap` a column, so the best of all ways
-    from the left is a running maximum. On ties letters are put together first, then b gets the gap.
+    from the left is a running maximum. On ties letters are put together first, then b gets the gap. Of the rows
+    one in each step is kept, about the root of a's length; the way back works out the rows between them again.
     """
     x, y = np.array([ord(c) for c in a], np.int64), np.array([ord(c) for c in b], np.int64)
-    table = np.empty((len(x) + 1, len(y) + 1), np.int64)
-    slope = np.arange(len(y) + 1) * gap
-    table[0] = slope
+    slope, step = np.arange(len(y) + 1) * gap, max(1, math.isqrt(len(x)))
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        best = row + gap
+        best[1:] = np.maximum(best[1:], row[:-1] + np.where(y == x[i - 1], match, mismatch))
+        return np.maximum.accumulate(best - slope) + slope
+
+    kept, row = [slope], slope
     for i in range(1, len(x) + 1):
-        best = table[i - 1] + gap
-        best[1:] = np.maximum(best[1:], table[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch))
-        table[i] = np.maximum.accumulate(best - slope) + slope
-    i, j, left, right = len(x), len(y), [], []
+        row = after(row, i)
+        if i % step == 0:
+            kept.append(row)
+    between: dict[int, np.ndarray] = {}
+
+    def table(i: int) -> np.ndarray:
+        if i % step == 0:
+            return kept[i // step]
+        if i not in between:
+            between.clear()
+            start = i // step * step
+            between[start] = kept[i // step]
+            for k in range(start + 1, i + 1):
+                between[k] = after(between[k - 1], k)
+        return between[i]
+
+    score, i, j, left, right = int(row[-1]), len(x), len(y), [], []
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
+        here, above = table(i), table(i - 1) if i else None
+        if i and j and here[j] == above[j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
             i, j = i - 1, j - 1
             left.append(a[i]), right.append(b[j])
-        elif i and table[i, j] == table[i - 1, j] + gap:
+        elif i and here[j] == above[j] + gap:
             i -= 1
             left.append(a[i]), right.append("-")
         else:
             j -= 1
             left.append("-"), right.append(b[j])
-    return "".join(reversed(left)), "".join(reversed(right)), int(table[-1, -1])
+    return "".join(reversed(left)), "".join(reversed(right)), score
 
 
 def aligned(a: Column, b: Column, **points) -> Column:
-    """struct<a, b, score> of each pair; null counts as empty. Memory is the product of the two lengths."""
+    """struct<a, b, score> of each pair; null counts as empty. Memory is b's length times twice the root of a's, time the product of both lengths."""
 
     @F.pandas_udf("struct<a: string, b: string, score: long>")
     def pairs(left: pd.Series, right: pd.Series) -> pd.DataFrame:

@@ -55,9 +55,9 @@ def location_text(parts: Column, joinable: Column | None = None) -> Column:
         body = F.when(p["start"] == p["stop"] + 1, between).when((p["start"] == p["stop"]) & (p["fuzzy_start"] == "") & (p["fuzzy_stop"] == ""), p["start"].cast("string")).otherwise(ends)
         return F.when(p["complement"], F.concat(F.lit("complement("), body, F.lit(")"))).otherwise(body)
 
-    texts = F.transform(parts, one)
     kind = F.lit("join(") if joinable is None else F.when(joinable, F.lit("join(")).otherwise(F.lit("order("))
-    return F.when(F.size(parts) == 1, texts[0]).when(F.size(parts) > 1, F.concat(kind, F.array_join(texts, ","), F.lit(")")))
+    whole = lambda texts: F.when(F.size(texts) == 1, texts[0]).when(F.size(texts) > 1, F.concat(kind, F.array_join(texts, ","), F.lit(")")))
+    return F.transform(F.array(F.transform(parts, one)), whole)[0]
 
 
 def extracted(data: Column, parts: Column, separator: str = "", rna: bool = False) -> Column:
@@ -233,15 +233,21 @@ def with_redundant_translation(genes: DataFrame, data: str, protein: str, table:
 
 
 def position_fields(parts: Column) -> Column:
-    """parts of a location as the fields of a gene: start, stop, complement and certain, comma-joined, and how many parts there are."""
-    joined = lambda f: F.array_join(F.transform(parts, f), ",")
-    # a certainty is two characters: < or > where an end is open, + and - where it lies between two places, else =
+    """parts of a location as the fields of a gene: start, stop, complement and certain, comma-joined, and how many parts there are.
+
+    A certainty is two characters: < or > where an end is open, + and - for the place between two neighbours, else =.
+    """
     between = lambda p: p["start"] == p["stop"] + 1
     sure = lambda p: F.when(between(p), F.lit("+-")).otherwise(F.concat(F.when(p["fuzzy_start"] == "", F.lit("=")).otherwise(p["fuzzy_start"]), F.when(p["fuzzy_stop"] == "", F.lit("=")).otherwise(p["fuzzy_stop"])))
-    return F.struct(
-        joined(lambda p: F.when(between(p), p["stop"]).otherwise(p["start"]).cast("string")).alias("pos_start"), joined(lambda p: F.when(between(p), p["start"]).otherwise(p["stop"]).cast("string")).alias("pos_stop"),
-        joined(lambda p: F.when(p["complement"], "1").otherwise("0")).alias("pos_complement"), joined(sure).alias("pos_certain"), F.size(parts).alias("pos_joined"),
-    )
+
+    def fields(own: Column) -> Column:
+        joined = lambda f: F.array_join(F.transform(own, f), ",")
+        return F.struct(
+            joined(lambda p: F.when(between(p), p["stop"]).otherwise(p["start"]).cast("string")).alias("pos_start"), joined(lambda p: F.when(between(p), p["start"]).otherwise(p["stop"]).cast("string")).alias("pos_stop"),
+            joined(lambda p: F.when(p["complement"], "1").otherwise("0")).alias("pos_complement"), joined(sure).alias("pos_certain"), F.size(own).alias("pos_joined"),
+        )
+
+    return F.transform(F.array(parts), fields)[0]  # the parts are worked out once
 
 
 def parts_of_fields(start: Column, stop: Column, complement: Column, certain: Column) -> Column:
