@@ -389,3 +389,41 @@ def remapped_data(table):
     target = source.withColumn("data", F.concat(F.left("data", F.lit(2)), F.lit("--"), F.substring("data", 3, 1000)))
     length = source.agg(F.max(F.char_length("data"))).first()[0] + 2
     return merging.remapped(part, "data", merging.column_map(source, target, "p_partkey", "data"), length).select("p_partkey", "data")
+
+
+def _file_of(df, value, name):
+    """value written as a text file of the shared folder, and its path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    records.write_text(df, value, path)
+    return path
+
+
+@_r.query("""
+    SELECT 'macke' AS format, s_name AS name, replace(s_name, '#', '') || repeat('ACGU', 20) AS data, 'supplier ' || s_suppkey AS title FROM supplier
+    UNION ALL SELECT 'swissprot', s_name, replace(s_name, '#', 'X').replace('0', 'A').replace('1', 'C') || repeat('MKLV', 20), 'supplier ' || s_suppkey FROM supplier WHERE NOT regexp_matches(replace(replace(s_name, '0', ''), '1', ''), '[0-9]')
+    UNION ALL SELECT 'phylip', 's' || s_suppkey, repeat('ACGU', 20), NULL FROM supplier UNION ALL SELECT 'nexus', s_name || chr(39) || 's', repeat('ACGU', 20), NULL FROM supplier
+""".replace("replace(s_name, '#', 'X').replace('0', 'A').replace('1', 'C')", "replace(replace(replace(s_name, '#', 'X'), '0', 'A'), '1', 'C')"))
+def format_round_trips(table):
+    """Items written in several formats and read again."""
+    sup = table("supplier").withColumn("title", F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")))
+    spark, bases = sup.sparkSession, F.repeat(F.lit("ACGU"), 20)
+    name = F.col("s_name")
+    m = records.read_macke(spark, _file_of(sup, records.macke(name, {"title": F.col("title"), "none": F.lit(None).cast("string")}, F.concat(F.replace(name, F.lit("#"), F.lit("")), bases)), "macke"))
+    lettered = F.concat(F.translate(name, "#01", "XAC"), F.repeat(F.lit("MKLV"), 20))
+    few = sup.filter(~F.translate(name, "01", "").rlike("[0-9]"))
+    p_ = records.read_swissprot(spark, _file_of(few, records.swissprot({"ID": name, "DE": F.col("title")}, lettered), "swissprot"))
+    short = sup.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), bases.alias("data"))
+    h = records.read_phylip(spark, _file_of(records.phylip(short, "name", "data"), F.col("value"), "phylip"))
+    n = records.read_nexus(spark, _file_of(records.nexus(sup.select(F.concat(name, F.lit("'s")).alias("name"), bases.alias("data")), "name", "data"), F.col("value"), "nexus"))
+    row = lambda kind, df, title: df.select(F.lit(kind).alias("format"), "name", "data", title.cast("string").alias("title"))
+    return row("macke", m, F.col("fields")["title"]).unionByName(row("swissprot", p_, F.col("full_name"))).unionByName(row("phylip", h, F.lit(None))).unionByName(row("nexus", n, F.lit(None)))
+
+
+@_r.query("""
+    SELECT p_partkey, '<' || upper(p_name) || '> ' || CASE WHEN p_size > 25 THEN p_size::VARCHAR ELSE 'small' END || chr(10) || p_brand || ' end' AS record FROM part
+""")
+def exported_records(table):
+    """Items after a template with fields, a default, and a program on a field."""
+    fields = {"name": F.col("p_name"), "size": F.when(F.col("p_size") > 25, F.col("p_size")), "brand": F.col("p_brand")}
+    text = records.exported("<$(name)> $(size|small)\n$(brand) end", fields, {"name": lambda c: s.apply(c, s.upper)})
+    return table("part").select("p_partkey", text.alias("record"))

@@ -5,6 +5,8 @@ Records are cut by the reader's line separator, so large files are split among t
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +100,9 @@ EMBL = [Rule("ID", "name", (s.matched("^[^; ]+"),)), Rule("AC", "acc", (s.matche
 GENBANK = [Rule("LOCUS", "name", (s.matched("^[^; ]+"),)), Rule("ACCESSION", "acc", (s.matched("^[^; ]+"),)), Rule("DEFINITION", "full_name"), Rule("ORGANISM", "tax"), Rule("AUTHORS", "author", append=True), Rule("KEYWORDS", "keywords")]
 
 
+SWISSPROT = [Rule("ID", "name", (s.matched("^[^; ]+"),)), Rule("AC", "acc", (s.matched("^[^; ]+"),)), Rule("DE", "full_name"), Rule("GN", "gene"), Rule("OS", "organism"), Rule("OC", "tax"), Rule("RA", "author", (s.remove(";"),), append=True), Rule("KW", "keywords")]
+
+
 def sequence_of(record: Column, start: str) -> Column:
     """What follows the line that starts with the given word, without numbers and white space."""
     return F.regexp_replace(F.regexp_extract(record, f"(?s)(?:^|\\n){start}[^\\n]*\\n(.*)$", 1), "[\\s0-9/]+", "")
@@ -113,6 +118,54 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     return imported(entries.withColumn("data", sequence_of(F.col("record"), "ORIGIN")), GENBANK, "data")
 
 
+def read_swissprot(spark: SparkSession, path: str) -> DataFrame:
+    entries = read_entries(spark, path, 5, until="SQ")
+    return imported(entries.withColumn("data", sequence_of(F.col("record"), "SQ")), SWISSPROT, "data")
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value without carriage returns, and _at, which grows along each file: its path, the start of the range and the line in it."""
+    rows = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), "_metadata.file_path", "_metadata.file_block_start")
+    return rows.select("value", F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("line")).alias("_at"))
+
+
+def _joined_by_name(rows: DataFrame, name: str, value: str, separator: str = "") -> DataFrame:
+    """name and the values of its rows in the order of _at, joined."""
+    ordered = F.array_sort(F.collect_list(F.struct("_at", value)))
+    return rows.groupBy(name).agg(F.array_join(F.transform(ordered, lambda x: x[value]), separator).alias(value))
+
+
+def read_macke(spark: SparkSession, path: str) -> DataFrame:
+    """name, fields (map of key to its values joined by blanks) and data of a Macke file.
+
+    Lines `#:name:key:value` give fields, lines of a name, a position and bases give data; all other lines that start with # are comments.
+    """
+    lines = _numbered_lines(spark, path)
+    part = lambda k: F.regexp_extract("value", "^#:([^:]*):([^:]*):(.*)$", k)
+    fields = lines.filter(F.col("value").startswith("#:")).select("_at", part(1).alias("name"), part(2).alias("key"), F.trim(part(3)).alias("value"))
+    each = fields.groupBy("name", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), " ").alias("value"))
+    mapped = each.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
+    cells = F.split(F.trim("value"), "\\s+", 3)
+    data = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select("_at", F.get(cells, F.lit(0)).alias("name"), F.regexp_replace(F.get(cells, F.lit(2)), "\\s+", "").alias("data"))
+    return mapped.join(_joined_by_name(data, "name", "data"), "name", "full_outer")
+
+
+def read_phylip(spark: SparkSession, path: str, width: int = 10) -> DataFrame:
+    """name and data of a PHYLIP file whose lines each start with a name of `width` characters; the line of counts goes."""
+    lines = _numbered_lines(spark, path).filter(F.trim("value") != "").filter(~F.col("value").rlike("^\\s*[0-9]+\\s+[0-9]+\\s*$"))
+    rows = lines.select("_at", F.trim(F.left("value", F.lit(width))).alias("name"), F.regexp_replace(F.substring("value", width + 1, 1 << 30), "\\s+", "").alias("data"))
+    return _joined_by_name(rows, "name", "data")
+
+
+def read_nexus(spark: SparkSession, path: str) -> DataFrame:
+    """name and data of the matrix of a NEXUS file: lines of a quoted or plain name and bases; commands end with a semicolon and go."""
+    quoted, plain = "^\\s*'((?:[^']|'')*)'\\s+(\\S+)\\s*$", "^\\s*([^'\\s;=\\[#]+)\\s+([^;=\\s]+)\\s*$"
+    lines = _numbered_lines(spark, path).filter((F.col("value").rlike(quoted) | F.col("value").rlike(plain)) & ~F.col("value").rlike("(?i)^\\s*(begin|matrix|end)\\b"))
+    is_quoted = F.col("value").rlike(quoted)
+    pick = lambda k: F.when(is_quoted, F.replace(F.regexp_extract("value", quoted, k), F.lit("''"), F.lit("'"))).otherwise(F.regexp_extract("value", plain, k))
+    return _joined_by_name(lines.select("_at", pick(1).alias("name"), pick(2).alias("data")), "name", "data")
+
+
 def features(record: Column) -> Column:
     """array<struct<kind, location, qualifiers>> of a record's feature table."""
     short = F.transform(F.regexp_extract_all(record, F.lit("(?m)^FT(.*)$"), F.lit(1)), lambda x: F.concat(F.lit("  "), x))
@@ -191,5 +244,38 @@ def nexus(items: DataFrame, name: str, data: str, kind: str = "DNA") -> DataFram
     return whole.orderBy("_at", "_name").select("value")
 
 
+def macke(name: Column, fields: dict[str, Column], data: Column, width: int = 50) -> Column:
+    """The lines of an item in a Macke file: its fields that aren't empty, then its data in pieces behind their first position."""
+    lines = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit("#:"), name, F.lit(f":{key}:"), c)) for key, c in fields.items()]
+    pieces = F.regexp_extract_all(data, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    placed = F.transform(pieces, lambda p, i: F.concat_ws(" ", name, (i * width).cast("string"), p))
+    return F.concat_ws("\n", *lines, F.array_join(placed, "\n"))
+
+
+def swissprot(fields: dict[str, Column], data: Column) -> Column:
+    """A protein record: as EMBL, with the length in amino acids."""
+    lines = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{key:<5}"), c)) for key, c in fields.items()]
+    size = F.concat(F.lit("SQ   SEQUENCE   "), F.char_length(data).cast("string"), F.lit(" AA;"))
+    return F.concat_ws("\n", *lines, size, format_sequence(data, 60, 5, 5, 10), F.lit("//"))
+
+
+#: Marks of an export template: $(field) is a field's text, $(field|default) has a default for a missing one.
+_MARK = re.compile(r"\$\(([A-Za-z0-9_]+)(?:\|([^)]*))?\)")
+
+
+def exported(template: str, fields: dict[str, Column], programs: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The text of an item after a template; a field's program works on its text. A name that is no field is an error."""
+    parts, at = [], 0
+    for m in _MARK.finditer(template):
+        if m[1] not in fields:
+            raise ValueError(f"the template asks for {m[1]}, which is no field")
+        text = F.coalesce(fields[m[1]].cast("string"), F.lit(""))
+        if programs and m[1] in programs:
+            text = programs[m[1]](text)
+        parts += [F.lit(template[at : m.start()]), F.when(text == "", F.lit(m[2] or "")).otherwise(text)]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
 def write_text(df: DataFrame, value: Column, path: str, **options) -> None:
     df.select(value.alias("value")).write.options(**options).text(path)
