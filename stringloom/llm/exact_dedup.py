@@ -77,7 +77,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     Texts are equal when identical without white space; null counts as empty, so null and empty texts form
     one group. Of equal texts the row with most code points stays, then the smallest doc_id (a null id
     loses), then, for repeated rows, the greatest locator: exactly one row of a group is kept. An empty
-    table gives no rows. Other columns of docs are not read. digest: any string function of the
+    table gives no rows. Texts of any length are compared whole. Other columns of docs are not read. digest: any string function of the
     normalised text; whatever it confuses is told apart by comparing the texts.
     """
     spark = docs.sparkSession

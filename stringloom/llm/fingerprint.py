@@ -124,7 +124,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per row of docs: its fingerprint, that of its edited text, and likenesses to that and to the next row.
 
-    A null text counts as empty, a single row is its own next, an empty table gives no rows.
+    A null text counts as empty, a single row is its own next, an empty table gives no rows. Repeated rows each have
+    a row; rows of one doc_id follow each other by text, and lie in one range, as rows without a doc_id do. Texts of
+    any length are hashed whole, three at a time in memory; other columns of docs are not read.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, range_rows).mapInArrow(_compared, schema)

@@ -208,7 +208,8 @@ def near_groups(docs: DataFrame, width: int = 3, max_bucket: int = MAX_BUCKET, s
 
     Null and empty texts have the fingerprint 0 and are linked like any other. A null doc_id keeps its row,
     and its group's id is the smallest id that is not null (null if there is none). Equal fingerprints are
-    one node, so copies cost no links. Repeated rows each have a row. An empty table gives no rows.
+    one node, so copies cost no links. Repeated rows each have a row. An empty table gives no rows. Texts of any
+    length are hashed whole; other columns of docs are not read, so their names may clash.
     With a similarity, texts whose sets of shingles have that Jaccard similarity are linked too, whatever
     their distance.
     """
@@ -232,7 +233,8 @@ def near_groups(docs: DataFrame, width: int = 3, max_bucket: int = MAX_BUCKET, s
 def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs with the smallest doc_id of their group; of repeated rows the one with the smallest locator.
 
-    Rows that have no fingerprint of their own (no words) are all near each other and leave one row.
+    Rows without words are all near each other and leave one row. Columns keep their names and values, whatever they
+    are called; nulls, long texts and empty tables are treated as near_groups() says.
     """
     name, columns = free_name(docs, "_locator"), docs.columns
     kept = (
