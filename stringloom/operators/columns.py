@@ -316,3 +316,11 @@ def pair_kind(a: Column, b: Column) -> Column:
     up = lambda c: F.translate(F.upper(c), "T", "U")
     pair = F.concat(up(a), up(b))
     return F.when(a.isin("-", ".") | b.isin("-", "."), "gap").when(pair.isin(*STRONG_PAIRS), "strong").when(pair.isin(*WEAK_PAIRS), "weak").otherwise("none")
+
+
+def alignment_check(items: DataFrame, data: str, *groups: str) -> DataFrame:
+    """groups, sequences, empty, shortest, longest and aligned (all that aren't empty are equally long), for each alignment."""
+    n = F.char_length(F.coalesce(F.col(data), F.lit("")))
+    filled = F.when(n > 0, n)
+    checked = items.groupBy(*groups).agg(F.count(F.lit(1)).alias("sequences"), F.count_if(n == 0).alias("empty"), F.min(filled).alias("shortest"), F.max(filled).alias("longest"))
+    return checked.withColumn("aligned", F.coalesce(F.col("shortest") == F.col("longest"), F.lit(True)))

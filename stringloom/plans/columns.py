@@ -285,6 +285,18 @@ def pair_kinds(table):
     return table("part").select("p_partkey", c.pair_kind(a, b).alias("kind"))
 
 
+@_r.query("""
+    WITH p AS (SELECT p_brand, CASE WHEN p_size < 5 THEN '' WHEN p_size < 10 THEN NULL ELSE left(p_type, p_size % 2 + 4) END AS data FROM part)
+    SELECT p_brand, count(*) AS sequences, count(*) FILTER (coalesce(data, '') = '') AS empty, min(length(data)) FILTER (data <> '') AS shortest, max(length(data)) FILTER (data <> '') AS longest,
+           coalesce(min(length(data)) FILTER (data <> '') = max(length(data)) FILTER (data <> ''), true) AS aligned FROM p GROUP BY 1
+""")
+def alignment_checks(table):
+    """Whether the strings of each group are equally long."""
+    data = F.when(F.col("p_size") < 5, "").when(F.col("p_size") >= 10, F.left("p_type", (F.col("p_size") % 2 + 4).cast("int")))
+    found = c.alignment_check(table("part").select("p_brand", data.alias("data")), "data", "p_brand")
+    return found.select("p_brand", "sequences", "empty", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"), "aligned")
+
+
 @_r.query()
 def aligned_pairs(table):
     """Names and types of parts aligned letter by letter; dynamic programming isn't SQL."""

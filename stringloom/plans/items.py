@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stringloom.functions import predicates as p
 from stringloom.functions import streams as s
+from stringloom.functions import text as t
 from stringloom.operators import merging, search
 from stringloom.operators.columns import smoothed
 from stringloom.operators.storage import ranked, shared_folder
@@ -427,3 +428,28 @@ def exported_records(table):
     fields = {"name": F.col("p_name"), "size": F.when(F.col("p_size") > 25, F.col("p_size")), "brand": F.col("p_brand")}
     text = records.exported("<$(name)> $(size|small)\n$(brand) end", fields, {"name": lambda c: s.apply(c, s.upper)})
     return table("part").select("p_partkey", text.alias("record"))
+
+
+@_r.query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'fasta' WHEN p_partkey % 4 = 1 THEN 'embl' WHEN p_partkey % 4 = 2 THEN 'genbank' END AS format, p_size AS size, 'none' AS nothing,
+           'Tue Jan 02 03:04:05 2024 ' || p_name || chr(10) || 'before' AS log FROM part
+""")
+def detected_formats(table):
+    """The format of a file by its beginning, the first of several fields that is there, and a log with a dated line put before it."""
+    part = table("part")
+    head = F.element_at(F.array(F.concat(F.lit(">"), "p_name"), F.concat(F.lit("ID   "), "p_name"), F.concat(F.lit("LOCUS "), "p_name"), F.lit("something else")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    formats = {"fasta": ">*", "embl": "ID   *", "genbank": "LOCUS*"}
+    return part.select(
+        "p_partkey", records.detected(head, formats).alias("format"), search.first_field(part, ["absent", "p_size"], 0).alias("size"), search.first_field(part, ["absent"], "none").alias("nothing"),
+        t.dated_line(F.lit("before"), F.col("p_name"), F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("log"),
+    )
+
+
+@_r.query("""
+    WITH sheet AS (SELECT o_custkey AS c_custkey, min(o_orderpriority) AS priority, 'from sheet' AS c_mktsegment FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+    SELECT c_custkey, coalesce(sheet.c_mktsegment, customer.c_mktsegment) AS c_mktsegment, priority FROM customer LEFT JOIN sheet USING (c_custkey)
+""")
+def imported_sheet(table):
+    """Items with the columns of a sheet of the same key: new columns are added, values of known ones win."""
+    sheet = table("orders").filter("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("priority")).withColumn("c_mktsegment", F.lit("from sheet"))
+    return records.import_sheet(table("customer").select("c_custkey", "c_mktsegment"), sheet, "c_custkey")
