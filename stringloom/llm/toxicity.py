@@ -36,18 +36,24 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "clownfish",
 LOOKALIKES = "аaеeоoрpсcхxуyіiјjѕsԁdһhӏlкkмmтtвbнnαaεeοoρpτtυuιiκkνvχxɡgɩiıi"
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _FOLD = {ord(LOOKALIKES[i]): LOOKALIKES[i + 1] for i in range(0, len(LOOKALIKES), 2)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
+_LOOKALIKE = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 _SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])|[@$](?=[^\W\d_]{2})")
-_DIGITS, _LETTERS = re.compile(r"(?<=[^\W\d_])\d+|\d+(?=[^\W\d_])"), str.maketrans(DIGITS)
-_HAS_DIGIT = re.compile(r"\d")
+_DIGITS, _LETTERS = re.compile("[0-9]+"), str.maketrans(DIGITS)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _letters(digits: re.Match) -> str:
+    """Digits next to a letter as the letters that they stand for."""
+    start, end, text = digits.start(), digits.end(), digits.string
+    beside = text[start - 1 : start].isalpha() or text[end : end + 1].isalpha()
+    return digits.group().translate(_LETTERS) if beside else digits.group()
+
+
 def fold(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    text = text.lower().translate(_FOLD)
-    if _HAS_DIGIT.search(text):
-        text = _DIGITS.sub(lambda m: m.group().translate(_LETTERS), text)
+        text = _LOOKALIKE.sub(lambda m: _FOLD[ord(m.group())] or "", unicodedata.normalize("NFKC", text).lower())
+    text = text.lower()
+    text = _DIGITS.sub(_letters, text)
     if "@" in text or "$" in text:
         text = _SIGNS.sub(lambda m: "a" if m.group() == "@" else "s", text)
     return text
