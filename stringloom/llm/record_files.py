@@ -3,7 +3,8 @@
 A file is a sequence of frames: the payload's length (unsigned 64-bit), the masked checksum of these 8 bytes, the
 payload, and its masked checksum; numbers are little-endian, checksums are CRC-32C, masked by a rotation and an
 addition, which is the usual framing of record files, so other readers open them. A payload is a document's key
-(its length as unsigned 32-bit, then UTF-8; the length 0xFFFFFFFF stands for a null key) and its ids (unsigned 32-bit).
+(its length as unsigned 32-bit, then UTF-8; the length 0xFFFFFFFF stands for a null key), the number of bytes of an
+id (unsigned 8-bit: 2 if that is enough for all ids of the document, else 4) and the ids.
 
 The index is a Parquet table with a row a record: part, number, file, offset, n_bytes, tokens_before and n_tokens.
 Spark commits it, and a task names its files anew at each attempt, so a lost or repeated attempt leaves files that
@@ -17,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ BLOCK_BYTES = 4 << 20
 NO_KEY = 0xFFFFFFFF
 #: What the masked checksum adds (fixed value of the framing).
 MASK_DELTA = 0xA282EAD8
-#: Entries and characters of what the encoder remembers.
-REMEMBERED, LONGEST = 1 << 18, 32
+#: Entries, and characters of each, of what the encoder remembers.
+REMEMBERED, LONGEST = 1 << 19, 32
 
 
 # CRC-32C of many byte strings at once: lanes of equal length side by side, then shifted to their places and added.
@@ -111,24 +113,31 @@ def masked(crc: np.ndarray) -> np.ndarray:
 #: What the fast path relies on: the vocabulary's own normalizers and the pattern by which it cuts texts (fixed values).
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same pattern for lower-cased texts of ASCII characters.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+#: Texts of the fast path, where the normalizers only lower letters and join white space, and the pattern for them when lowered.
+_PLAIN = re.compile(r"[ \t\n\x0b\x0c\r!-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9ß-öø-ÿ]+")
 _CHUNKS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
-class Encoder(dict):
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(others)}
+
+
+class Encoder:
     """Text to its ids (little-endian unsigned 32-bit, as bytes), equal to the tokenizer's own for the whole text.
 
-    The vocabulary drops white space and cuts at it, so a text's ids are those of its chunks; those of short chunks
-    are remembered, up to a bound. A chunk of printable ASCII characters is cut by the vocabulary's pattern and goes
-    to the model piece by piece; any other chunk, and any that may hold an added token, goes to the tokenizer. A
-    vocabulary with other rules is used for whole texts.
+    The vocabulary drops white space and cuts at it, so a text's ids are those of its chunks. What consists of ASCII
+    characters and western letters is cut by the vocabulary's pattern and goes to the model piece by piece; a chunk with
+    any other character, or that may hold an added token, goes to the tokenizer. The ids of short pieces and chunks are
+    remembered, the REMEMBERED newest ones and the as many before. A vocabulary with other rules is used for whole texts.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         rules = json.loads(self.tokenizer.to_str())
         try:
@@ -136,27 +145,42 @@ class Encoder(dict):
             self.by_chunks = cuts == [_PATTERN, _NORMALIZERS] and all("<|" in t["content"] and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
         except (KeyError, TypeError, IndexError):
             self.by_chunks = False
+        letters, model = _byte_letters(), self.tokenizer.model
+        ids = lambda found: np.array(found, "<u4").tobytes()
+        self.encoded = lambda text: ids(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        self.piece = _Remembered(lambda piece: ids([t.id for t in model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters))]))
+        self.chunk = _Remembered(lambda chunk: self.plain(chunk) if self.is_plain(chunk) else self.encoded(chunk))
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
-            pieces = _ASCII_PIECES.findall(chunk.lower())
-            if pieces == [chunk]:
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(chunk)], "<u4").tobytes()
-            else:
-                ids = b"".join([self[p] for p in pieces])
-        else:
-            ids = self.encoded(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def is_plain(self, text: str) -> bool:
+        return "<|" not in text and _PLAIN.fullmatch(text) is not None
+
+    def plain(self, text: str) -> bytes:
+        pieces = _PIECES.findall(text.lower())
+        return b"".join(itemgetter(*pieces)(self.piece)) if len(pieces) > 1 else b"".join(map(self.piece.__getitem__, pieces))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNKS.findall(text))) if self.by_chunks else self.encoded(text)
+        if not self.by_chunks:
+            return self.encoded(text)
+        return self.plain(text) if self.is_plain(text) else b"".join(map(self.chunk.__getitem__, _CHUNKS.findall(text)))
+
+
+class _Remembered(dict):
+    """A function's values for short keys, a bounded number of them."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f, self.older = f, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.f(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 _encoders: dict[str, Encoder] = {}
@@ -179,14 +203,17 @@ def default_vocabulary() -> str:
 
 
 def payload(key: str | None, ids: bytes) -> bytes:
-    name = b"" if key is None else key.encode()
-    return (NO_KEY if key is None else len(name)).to_bytes(4, "little") + name + ids
+    """ids: unsigned 32-bit."""
+    name, wide = b"" if key is None else key.encode(), np.frombuffer(ids, "<u4")
+    narrow = wide.max(initial=0) < 1 << 16
+    return (NO_KEY if key is None else len(name)).to_bytes(4, "little") + name + (b"\2" + wide.astype("<u2").tobytes() if narrow else b"\4" + ids)
 
 
 def opened_payload(data: bytes) -> tuple[str | None, bytes]:
-    """(key, ids) of a payload."""
+    """(key, ids) of a payload, the ids as unsigned 32-bit again."""
     n = int.from_bytes(data[:4], "little")
-    return (None, data[4:]) if n == NO_KEY else (data[4 : 4 + n].decode(), data[4 + n :])
+    key, at = (None, 4) if n == NO_KEY else (data[4 : 4 + n].decode(), 4 + n)
+    return key, np.frombuffer(data, f"<u{data[at]}", offset=at + 1).astype("<u4").tobytes()
 
 
 def frames(payloads: list[bytes]) -> list[bytes]:
