@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stringloom.operators.storage import before
+
 #: Letters and their complements, with ambiguity codes (fixed values).
 DNA, DNA_COMPLEMENT = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
 
@@ -135,6 +137,55 @@ def helix_pairs(strands: DataFrame, helix: str = "helix", side: str = "side", po
     return left.select(helix, "_n", F.col(pos).alias("left")).join(right.select(helix, "_n", F.col(pos).alias("right")), [helix, "_n"]).drop("_n")
 
 
+#: Characters of a helix line that open and close a pair; letters of equal name form pairs of their own kind (fixed values).
+LEFT_PAIRS, RIGHT_PAIRS = "{[<(", "}]>)"
+LEFT_KINDS, RIGHT_KINDS = "#*abcdefghij", "ABCDEFGHIJ"
+#: Columns of an alignment that one task scans.
+HELIX_BLOCK = 1 << 16
+
+
+def bracket_pairs(lines: DataFrame, key: str, numbers: str, helix: str) -> DataFrame:
+    """Pairs of positions of helix lines: key, helix, left, right, kind (pair, or a letter) and fault.
+
+    numbers has the name of a helix above its first columns, and a name holds until the next one; case doesn't count,
+    and before the first one the name is 0. Brackets pair within their helix, so helices may cross. There is no
+    stack: the running depth of a helix gives each bracket its level, and the n-th opening of a level pairs
+    with its n-th end. What opens or closes nothing is a row of its own with the fault `unpaired`; a pair of two kinds has the
+    fault `kind`. A bracket behind the end of numbers belongs to the last name. Null lines have no pairs.
+    """
+    letters = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
+    wide = lines.select(key, letters(F.col(numbers)).alias("_nr"), letters(F.col(helix)).alias("_hx"))
+    named = lambda x: F.coalesce(x.rlike("^[A-Za-z0-9]$"), F.lit(False))
+    # names as (first column, name), from the string itself
+    cells = F.transform("_nr", lambda x, i: F.struct((i + 1).alias("pos"), x.alias("ch"), (named(x) & ~named(F.when(i > 0, F.get("_nr", i - 1)))).alias("first")))
+    names = wide.select(key, F.inline(F.filter(cells, lambda c: named(c["ch"])))).withColumn("block", F.floor(F.col("pos") / HELIX_BLOCK)).withColumn("line", F.col("pos"))
+    runs = before(names, "_run", F.col("first").cast("long"), F.sum, key).withColumn("_run", F.col("_run") + F.col("first").cast("long"))
+    name = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), ""))
+    runs = runs.groupBy(key, "_run").agg(F.min("pos").alias("pos"), name.alias("helix"))
+    signs = F.transform("_hx", lambda x, i: F.struct((i + 1).alias("pos"), x.alias("ch")))
+    known = LEFT_PAIRS + LEFT_KINDS + RIGHT_PAIRS + RIGHT_KINDS
+    marks = wide.select(key, F.inline(F.filter(signs, lambda c: F.instr(F.lit(known), c["ch"]) > 0)))
+    # the name that holds at a bracket: the last one that starts at or before it, as the largest (column, name)
+    at = lambda df: df.withColumn("block", F.floor(F.col("pos") / HELIX_BLOCK))
+    both = at(marks.select(key, "pos", "ch", (F.col("pos") * 2 + 1).alias("line"), F.lit(None).cast("struct<pos: int, helix: string>").alias("_name")).unionByName(
+        runs.select(key, "pos", F.lit(None).cast("string").alias("ch"), (F.col("pos") * 2).alias("line"), F.struct("pos", "helix").alias("_name"))))
+    rows = before(both, "_held", F.col("_name"), F.max, key).filter("ch is not null")
+    rows = rows.select(key, "pos", "line", "block", "ch", F.coalesce("_held.helix", F.lit("0")).alias("helix"), (F.instr(F.lit(LEFT_PAIRS + LEFT_KINDS), F.col("ch")) > 0).alias("left"))
+    rows = before(rows, "_sum", F.when(F.col("left"), 1).otherwise(-1), F.sum, key, "helix")
+    after = F.col("_sum") + F.when(F.col("left"), 1).otherwise(-1)
+    rows = before(rows, "_least", after, F.min, key, "helix")
+    least = F.least(F.coalesce("_least", F.lit(0)), F.lit(0))
+    rows = rows.withColumns({"_stray": ~F.col("left") & (after < least), "_level": F.col("_sum") - least + F.when(F.col("left"), 1).otherwise(0)})
+    sound = before(rows.filter("not _stray").withColumn("_side", F.col("left").cast("int")), "_n", F.lit(1), F.sum, key, "helix", "_level", "_side")
+    side = lambda left, own: sound.filter("left" if left else "not left").select(key, "helix", "_level", "_n", F.col("pos").alias("left" if left else "right"), F.col("ch").alias(own))
+    pairs = side(True, "_open").join(side(False, "_close"), [key, "helix", "_level", "_n"], "full_outer")
+    plain = F.instr(F.lit(RIGHT_PAIRS), F.col("_close")) > 0
+    kind = F.when(plain, "pair").otherwise(F.lower("_close"))
+    fault = F.when(F.col("left").isNull() | F.col("right").isNull(), "unpaired").when(~plain & (F.lower("_close") != F.col("_open")), "kind")
+    stray = rows.filter("_stray").select(key, "helix", F.lit(None).cast("int").alias("left"), F.col("pos").alias("right"), F.lit(None).cast("string").alias("kind"), F.lit("unpaired").alias("fault"))
+    return pairs.select(key, "helix", "left", "right", F.when(fault.isNull(), kind).alias("kind"), fault.alias("fault")).unionByName(stray)
+
+
 #: Genetic codes by number: the amino acids of the 64 codons in TCAG order (fixed values).
 GENETIC_CODES = {
     1: "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORDS = "[^\\p{L}\\p{N}]+"
 
@@ -90,6 +91,69 @@ def remapped(df: DataFrame, data: str, mapping: DataFrame, length: int, gap: str
     return df.crossJoin(F.broadcast(entries)).withColumn(data, F.array_join(chars, "")).drop("_map")
 
 
+def soft_columns(mapping: DataFrame) -> DataFrame:
+    """source, left, right, first, last and target of every column between the mapped ones, and of these.
+
+    mapping: source and target column, both growing. A column between two mapped ones has those as left and right
+    neighbours (their targets are first and last) and a share of the targets between them: evenly spread, or, if
+    there is more room than columns, half of them at either end. A mapped column is its own neighbour. A join in
+    both directions: the map's entries in order give the neighbours, and what lies between is made from each pair.
+    """
+    order = Window.orderBy("source")  # one entry a column of the alignment
+    pairs = mapping.select("source", "target", F.lead("source").over(order).alias("_next"), F.lead("target").over(order).alias("_to"))
+    fixed = mapping.select("source", F.col("source").alias("left"), F.col("source").alias("right"), F.col("target").alias("first"), F.col("target").alias("last"), "target")
+    n, room = F.col("_next") - F.col("source") - 1, F.col("_to") - F.col("target") - 1
+    step = F.when((n > 1) & (room > 1), (room - 1) / (n - 1)).otherwise(0.0)
+    off = F.col("_off")
+    halves = F.col("target") + 1 + off + F.when(off < F.floor(n / 2), 0).otherwise(room - n)
+    even = F.floor(F.col("target") + 1 + off * step + 0.5)
+    between = pairs.filter(n > 0).withColumn("_off", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    soft = between.select((F.col("source") + 1 + off).cast("int").alias("source"), F.col("source").alias("left"), F.col("_next").alias("right"), F.col("target").alias("first"), F.col("_to").alias("last"), F.when((step >= 1) & (room > n), halves).otherwise(even).cast("int").alias("target"))
+    return fixed.unionByName(soft)
+
+
+def soft_remapped(df: DataFrame, key: str, data: str, mapping: DataFrame, gaps: str = "-.") -> DataFrame:
+    """key and data with every base at its column's target, or near it; no base is lost.
+
+    Bases between two mapped columns go to their soft targets (see soft_columns); if two want one place the left one
+    gives way to the left, and where there are as many bases as places or more they stand side by side, and what does not fit
+    moves everything behind it. Bases before the first mapped column end right before its target, those behind the
+    last one follow it. Gaps are `-` or, where the gap in the data began with a dot, dots; both ends are dots.
+    An item without bases, or without data, is dots up to the last mapped place.
+    """
+    columns = soft_columns(mapping)
+    ends = mapping.agg(F.min("source").alias("_s0"), F.max("source").alias("_s1"), F.min("target").alias("_t0"), F.max("target").alias("_t1"))
+    chars = F.filter(F.split(F.col(data), ""), lambda c: c != "")
+    rows = df.select(key, F.posexplode(chars).alias("_at", "ch")).withColumn("source", F.col("_at") + 1)
+    is_gap = F.instr(F.lit(gaps), F.col("ch")) > 0
+    item = Window.partitionBy(key)  # the characters of one text
+    # the base before tells where a gap began
+    rows = rows.withColumn("_last", F.max(F.when(~is_gap, F.col("source"))).over(item.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)))
+    began = F.min(F.when(is_gap, F.struct("source", "ch"))).over(item.partitionBy(key, "_last").orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
+    bases = rows.withColumn("_gap", F.coalesce(began["ch"], F.lit("-"))).filter(~is_gap).join(F.broadcast(columns), "source", "left").crossJoin(F.broadcast(ends))
+    segment = F.when(F.col("source") < F.col("_s0"), -1).when(F.col("source") > F.col("_s1"), F.col("_s1")).otherwise(F.coalesce("left", F.lit(0)))
+    bases = bases.withColumn("_segment", segment).withColumn("_fixed", F.coalesce(F.col("left") == F.col("right"), F.lit(False)))
+    own = Window.partitionBy(key, "_segment", "_fixed")
+    bases = bases.withColumns({"_k": F.row_number().over(own.orderBy("source")), "_n": F.count(F.lit(1)).over(own)})
+    tight = F.col("_n") >= F.col("last") - F.col("first") - 1
+    wanted = (
+        F.when(F.col("source") < F.col("_s0"), F.col("_t0") - F.col("_n") + F.col("_k") - 1).when(F.col("source") > F.col("_s1"), F.col("_t1") + F.col("_k"))
+        .when(F.col("_fixed"), F.col("target")).when(tight, F.col("first") + F.col("_k")).otherwise(F.col("target"))
+    )
+    bases = bases.withColumn("_want", wanted.cast("int"))
+    # from the right end of a segment: each base at least one place before the one behind it, the last one within the segment
+    roomy = ~F.col("_fixed") & (F.col("source") > F.col("_s0")) & (F.col("source") < F.col("_s1")) & ~tight
+    capped = F.least(F.min(F.col("_want") - F.col("_k")).over(own.orderBy(F.desc("source"))), F.col("last") - 1 - F.col("_n")) + F.col("_k")
+    bases = bases.withColumn("_want", F.when(roomy, capped).otherwise(F.col("_want")))
+    whole = item.orderBy("source")
+    bases = bases.withColumn("_i", F.row_number().over(whole))
+    bases = bases.withColumn("_place", F.greatest(F.max(F.col("_want") - F.col("_i")).over(whole), F.lit(0)) + F.col("_i"))
+    bases = bases.withColumn("_before", F.coalesce(F.lag("_place").over(whole), F.lit(0)))
+    piece = F.concat(F.repeat(F.when(F.col("_i") == 1, ".").otherwise(F.col("_gap")), (F.col("_place") - F.col("_before") - 1).cast("int")), F.col("ch"))
+    texts = bases.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", piece.alias("piece")))), lambda x: x["piece"]), "").alias("_text"), F.max("_place").alias("_end"))
+    return df.select(key).join(texts, key, "left").crossJoin(F.broadcast(ends.select("_t1"))).select(key, F.rpad(F.coalesce("_text", F.lit("")), F.greatest(F.coalesce("_end", F.lit(0)), F.coalesce("_t1", F.lit(0))), F.lit(".")).alias(data))
+
+
 def zombies(leaves: DataFrame, items: DataFrame, name: str) -> DataFrame:
     """Names of leaves without an item."""
     return leaves.select(name).distinct().join(items.select(name), name, "left_anti")

@@ -1,12 +1,13 @@
-"""Intermediate tables in the folder that all executors share, and global ranks without a global window."""
+"""Intermediate tables in the folder that all executors share, and global ranks and prefix scans without a global window."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own: dict[str, str] = {}
 
@@ -43,3 +44,20 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     starts = df.sparkSession.createDataFrame(before, "_part long, _before long")
     row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + row + 1).drop("_part", "_before", "_at")
+
+
+def before(rows: DataFrame, name: str, value: Column, fold, *keys: str) -> DataFrame:
+    """rows with `name`: the fold (F.sum, F.min or F.max) of value over the rows of the same keys that stand before; null without any.
+
+    A prefix scan: rows are folded within their block, the blocks' results over the blocks, and both are put together.
+    No task has more rows than a block, or than a key has blocks. rows are written first, since they are read twice: keep them narrow.
+    """
+    behind = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    rows = stored(rows.withColumn("_value", value), "scan").withColumn("_within", fold("_value").over(behind(Window.partitionBy(*keys, "block").orderBy("line"))))
+    blocks = rows.groupBy(*keys, "block").agg(fold("_value").alias("_whole"))
+    carried = blocks.select(*keys, "block", fold("_whole").over(behind(Window.partitionBy(*keys).orderBy("block"))).alias("_carried"))
+    both = F.filter(F.array("_within", "_carried"), lambda x: x.isNotNull())
+    joined = rows.join(carried, [*keys, "block"])
+    # the fold of both, of which either may be missing
+    put = {F.sum: F.coalesce("_within", F.lit(0)) + F.coalesce("_carried", F.lit(0)), F.min: F.array_min(both), F.max: F.array_max(both)}[fold]
+    return joined.withColumn(name, put).drop("_value", "_within", "_carried")

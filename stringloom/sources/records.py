@@ -16,6 +16,7 @@ from stringloom.functions import streams as s
 from stringloom.functions.predicates import wildcard
 from stringloom.functions.text import format_sequence, gcg_checksum
 from stringloom.operators.merging import upserted
+from stringloom.operators.storage import before
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +28,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(title, "^(\\S+)", 1).alias("name"), F.trim(F.regexp_extract(title, "^\\S+\\s+(.*)$", 1)).alias("full_name"), data.alias("data"))
 
 
-def read_entries(spark: SparkSession, path: str, key_width: int, separator: str = "\n//\n", until: str | None = None) -> DataFrame:
+def read_entries(spark: SparkSession, path: str, key_width: int, separator: str = "\n//", until: str | None = None) -> DataFrame:
     """Records whose lines start with a key in the first key_width characters: record and lines, array<struct<key, value>>.
 
-    record is the whole text; the line that starts with `until`, and what follows it, has no keys.
+    record is the whole text; the line that starts with `until`, and what follows it, has no keys. A record ends with a
+    line that starts with //; line ends may be LF or CR LF.
     """
     rows = spark.read.option("lineSep", separator).text(path)
-    text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n//\\s*$", "")
-    return rows.filter(F.length(F.trim("value")) > 0).select(text.alias("record"), keyed_lines(F.regexp_replace(text, f"(?s)\n{until}.*$", "") if until else text, key_width).alias("lines"))
+    # what is left of the line that ended the record before, its line end at least
+    text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^[ \t]*\n", "")
+    return rows.filter(F.col("value").rlike("\\S")).select(text.alias("record"), keyed_lines(F.regexp_replace(text, f"(?s)\n{until}.*$", "") if until else text, key_width).alias("lines"))
 
 
 def keyed_lines(text: Column, key_width: int) -> Column:
@@ -130,40 +133,50 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined_by_name(rows: DataFrame, name: str, value: str, separator: str = "") -> DataFrame:
-    """name and the values of its rows in the order of _at, joined."""
+    """file, name and the values of its rows there in the order of _at, joined. Equal names of several files are items of their own."""
     ordered = F.array_sort(F.collect_list(F.struct("_at", value)))
-    return rows.groupBy(name).agg(F.array_join(F.transform(ordered, lambda x: x[value]), separator).alias(value))
+    return rows.groupBy(F.col("_at.file_path").alias("file"), name).agg(F.array_join(F.transform(ordered, lambda x: x[value]), separator).alias(value))
 
 
 def read_macke(spark: SparkSession, path: str) -> DataFrame:
-    """name, fields (map of key to its values joined by blanks) and data of a Macke file.
+    """file, name, fields (map of key to its values joined by blanks) and data of Macke files.
 
     Lines `#:name:key:value` give fields, lines of a name, a position and bases give data; all other lines that start with # are comments.
     """
     lines = _numbered_lines(spark, path)
     part = lambda k: F.regexp_extract("value", "^#:([^:]*):([^:]*):(.*)$", k)
-    fields = lines.filter(F.col("value").startswith("#:")).select("_at", part(1).alias("name"), part(2).alias("key"), F.trim(part(3)).alias("value"))
-    each = fields.groupBy("name", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), " ").alias("value"))
-    mapped = each.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
+    fields = lines.filter(F.col("value").startswith("#:")).select("_at", F.col("_at.file_path").alias("file"), part(1).alias("name"), part(2).alias("key"), F.trim(part(3)).alias("value"))
+    each = fields.groupBy("file", "name", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), " ").alias("value"))
+    mapped = each.groupBy("file", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
     cells = F.split(F.trim("value"), "\\s+", 3)
     data = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select("_at", F.get(cells, F.lit(0)).alias("name"), F.regexp_replace(F.get(cells, F.lit(2)), "\\s+", "").alias("data"))
-    return mapped.join(_joined_by_name(data, "name", "data"), "name", "full_outer")
+    return mapped.join(_joined_by_name(data, "name", "data"), ["file", "name"], "full_outer")
 
 
 def read_phylip(spark: SparkSession, path: str, width: int = 10) -> DataFrame:
-    """name and data of a PHYLIP file whose lines each start with a name of `width` characters; the line of counts goes."""
+    """file, name and data of PHYLIP files whose lines each start with a name of `width` characters; the line of counts goes."""
     lines = _numbered_lines(spark, path).filter(F.trim("value") != "").filter(~F.col("value").rlike("^\\s*[0-9]+\\s+[0-9]+\\s*$"))
     rows = lines.select("_at", F.trim(F.left("value", F.lit(width))).alias("name"), F.regexp_replace(F.substring("value", width + 1, 1 << 30), "\\s+", "").alias("data"))
     return _joined_by_name(rows, "name", "data")
 
 
 def read_nexus(spark: SparkSession, path: str) -> DataFrame:
-    """name and data of the matrix of a NEXUS file: lines of a quoted or plain name and bases; commands end with a semicolon and go."""
-    quoted, plain = "^\\s*'((?:[^']|'')*)'\\s+(\\S+)\\s*$", "^\\s*([^'\\s;=\\[#]+)\\s+([^;=\\s]+)\\s*$"
-    lines = _numbered_lines(spark, path).filter((F.col("value").rlike(quoted) | F.col("value").rlike(plain)) & ~F.col("value").rlike("(?i)^\\s*(begin|matrix|end)\\b"))
-    is_quoted = F.col("value").rlike(quoted)
-    pick = lambda k: F.when(is_quoted, F.replace(F.regexp_extract("value", quoted, k), F.lit("''"), F.lit("'"))).otherwise(F.regexp_extract("value", plain, k))
-    return _joined_by_name(lines.select("_at", pick(1).alias("name"), pick(2).alias("data")), "name", "data")
+    """file, name and data of the matrix of NEXUS files: lines of a quoted or plain name and bases, up to the semicolon.
+
+    Only lines between a line `matrix` and the next one that holds a semicolon count, so other blocks and commands
+    are no sequences; which lines those are is a scan over the files' byte ranges. Comments in brackets go, each in one line.
+    """
+    rows = _numbered_lines(spark, path).select(F.col("_at.file_path").alias("file"), F.col("_at.file_block_start").alias("block"), F.col("_at.line").alias("line"), F.trim(F.regexp_replace("value", "\\[[^\\]]*\\]", "")).alias("value"))
+    # the newest line that opened or closed a matrix, as a growing number that is odd for one that opened it
+    opens, closes = F.lower("value").rlike("^matrix\\b"), F.contains("value", F.lit(";"))
+    turn = F.when(opens & ~closes, F.struct("block", F.col("line").alias("at"), F.lit(1).alias("open"))).when(closes, F.struct("block", F.col("line").alias("at"), F.lit(0).alias("open")))
+    inside = before(rows, "_turn", turn, F.max, "file").filter("_turn.open = 1").filter(~opens)
+    cells = F.regexp_replace("value", ";.*$", "")
+    quoted, plain = "^'((?:[^']|'')*+)'\\s+(.+)$", "^([^'\\s]+)\\s+(.+)$"
+    is_quoted = cells.rlike(quoted)
+    pick = lambda k: F.when(is_quoted, F.replace(F.regexp_extract(cells, quoted, k), F.lit("''"), F.lit("'"))).otherwise(F.regexp_extract(cells, plain, k))
+    lines = inside.filter(is_quoted | cells.rlike(plain)).select(F.struct(F.col("file").alias("file_path"), F.col("block"), "line").alias("_at"), pick(1).alias("name"), F.regexp_replace(pick(2), "\\s+", "").alias("data"))
+    return _joined_by_name(lines, "name", "data")
 
 
 def features(record: Column) -> Column:

@@ -346,7 +346,7 @@ def test_node_dump(spark, tmp_path):
     assert [r.value for r in node_io.at_path(nodes, "/item_data/*/ali/data").collect()] == ["AC-GT"]
     first = nodes.filter("path = '/item_data/item'").orderBy("id").limit(1)
     assert [r.value for r in node_io.children(nodes, first, "number").orderBy("ord").collect()] == ["3.14", "2.71"]
-    assert nodes.filter("key = 'bits'").select(node_io.dump_line(F.col("key"), F.col("type"), F.col("value"))).first()[0] == "bits\t\t%I -+-"
+    assert nodes.filter("key = 'bits'").select(node_io.dump_line(F.col("key"), F.col("type"), F.col("value"))).first()[0] == 'bits\t\t%I "-+-"'
 
 
 def test_record_files(spark, tmp_path):
