@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = license_scan.scanned(_table(spark, sf_dir, "documents"))
     starts = F.transform("phrases", lambda p: p["start"])
-    base, own = F.transform("phrases", lambda p: p["label"]), F.transform("blocks", lambda b: b["label"])
+    base, own = F.transform("phrases", lambda p: p["label"]), F.transform(F.filter("blocks", lambda b: b["named"]), lambda b: b["label"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
     return rows.select(

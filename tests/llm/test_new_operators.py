@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.llm import filter_audit, impact_index, queries, record_files
+from stringloom.llm import filter_audit, impact_index, license_scan, pii, queries, record_files, toxicity
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
@@ -269,3 +269,51 @@ def test_empty_tables(spark, folder, tmp_path):
         assert queries.QUERIES[name](spark, empty).count() == 0
     none = impact_index.search(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{empty}/benchmark.parquet"))
     assert none.count() == 0 and none.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+# limits that are gone: short templates, long keys, many matches in one text
+
+
+def test_short_templates_have_the_threshold_of_all(spark):
+    texts = [
+        "This work is licensed under the MIT License.", "The license was released; the mit campus is under water", "released under the apache license", "licensed under cc by nc 4.0",
+        "released under the mit license", "Licensed under the GNU General Public License version 2",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = lambda **o: [sorted({b.label for b in r.blocks if b.named}) for r in sorted(license_scan.scanned(docs, **o).collect(), key=lambda r: r.doc_id)]
+    assert named() == [["mit"], [], [], ["cc-by-nc"], ["mit"], ["gpl-2.0"]]
+    assert named(threshold=1.0)[0] == [] and named(threshold=1.0)[4] == ["mit"]
+    held = [r.blocks for r in sorted(license_scan.scanned(docs).collect(), key=lambda r: r.doc_id)]
+    assert [b.containment for b in held[1] if b.label == "mit"] == [1.0]  # the join itself knows no order
+
+
+def test_order_of_a_template():
+    rng = random.Random(4)
+    for _ in range(300):
+        own, words = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        table = [[0] * (len(words) + 1) for _ in range(len(own) + 1)]
+        for i, x in enumerate(own):
+            for j, y in enumerate(words):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert license_scan.Template("x", own, 0.8, {}).in_order(words) == pytest.approx(table[-1][-1] / len(own))
+
+
+def test_keys_of_any_length(spark):
+    texts = [f"token {'0123456789abcdef' * n} end" for n in (2, 8, 9, 400)] + ["token " + "a1" * 15 + " end"]
+    rows = pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans if s.kind == "secret"] for r in rows} == {0: [("secret", 32)], 1: [("secret", 128)], 2: [("secret", 144)], 3: [("secret", 6400)], 4: []}
+
+
+def test_many_matches_and_exceptions_in_one_text():
+    import time
+
+    entries, exceptions = (("idiot", 2.0), ("stupid", 1.5)), ("idiot proof", "stupid simple")
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["idiot", "stupid", "idiot proof", "stupid simple", "calm"]) for _ in range(60)) for _ in range(20)]
+    for text in texts:
+        plain = [(m.start(), m.end(), dict(entries)[m[0]]) for m in re.finditer("idiot|stupid", text) if not any(text.startswith(x, m.start()) for x in exceptions)]
+        assert toxicity.matches(text, entries, exceptions) == plain
+    long = "idiot idiot proof " * 100_000
+    start = time.perf_counter()
+    assert len(toxicity.matches(long, entries, exceptions)) == 100_000
+    assert time.perf_counter() - start < 20
