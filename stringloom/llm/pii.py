@@ -32,7 +32,7 @@ IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(
     for n, countries in IBAN_LENGTHS.items()
 ) + ")(?![A-Za-z0-9])"
 #: A hexadecimal key or token. It has no checksum, so a context word has to confirm it.
-SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: What a match needs before any pattern is tried on a text.
 HINTS = {"email": "@", "ip": "[0-9][.][0-9]", "phone": "[+][0-9]", "card": "[0-9]", "iban": "[A-Z][A-Z][0-9]", "secret": "[0-9A-Fa-f]{32}"}
