@@ -126,7 +126,14 @@ def matches(text: str, entries: tuple[tuple[str, float], ...], exceptions: tuple
             excused.append((start, end + 1))
         elif weight > best.get(start, (0, 0.0))[1]:
             best[start] = (end + 1, weight)
-    return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in excused)]
+    out, reach, at = [], 0, 0
+    excused.sort()
+    for s, (e, w) in sorted(best.items()):  # one sweep: the farthest end of the phrases that start here or before
+        while at < len(excused) and excused[at][0] <= s:
+            reach, at = max(reach, excused[at][1]), at + 1
+        if e > reach:
+            out.append((s, e, w))
+    return out
 
 
 def signals(text: str, entries: tuple[tuple[str, float], ...]) -> tuple[float, float, float]:
