@@ -6,6 +6,9 @@ m + 1 pieces of a probe at least one stands unchanged wherever it matches with m
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -278,20 +281,29 @@ def primer_pairs(primers: DataFrame, group: str, least: int, most: int, most_dif
     return left.join(right, [group, "_bin"]).filter(apart.between(least, most) & close).drop("_bin")
 
 
-def covering_probes(hits: DataFrame, most: int | None = None) -> DataFrame:
-    """round, kmer, covered and left: probes of which each covers most of the items (kmer, item in hits) that those before left over.
+def covering_probes(hits: DataFrame, excluded: DataFrame | None = None, share: float = 0.5, most: int | None = None) -> DataFrame:
+    """round, kmer and covered: probes that together stand in every item (kmer, item in hits) that any allowed probe stands in.
 
-    Of equal ones the smallest k-mer. left: how many items no probe so far covers. Every round is one aggregation, and
-    what is covered leaves by a join; it ends when nothing is left, or after `most` rounds if that is given.
+    Many probes a round: every item that is left votes for the probe that covers most of what is left, by buckets whose
+    counts differ by less than half, and within a bucket by a hash that each round has anew, so that ties don't wait
+    for each other; each probe that gets `share` of its items' votes is taken. The best probe always gets all of its own, and a
+    taken one covers at least two thirds of that share of what greedy choice would take. The rounds grow with the
+    logarithm of the items, not with the probes. covered: the items that voted for it.
+    excluded: kmer of a second group, whose probes are out. most: ends after so many rounds. Nothing is collected.
     """
-    spark, chosen, rest = hits.sparkSession, [], stored(hits.select("kmer", "item").distinct(), "cover")
-    items = rest.select("item").distinct().count()
-    while most is None or len(chosen) < most:
-        best = rest.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").first()
-        if best is None:
-            break
-        items -= best["n"]
-        chosen.append((len(chosen) + 1, best["kmer"], best["n"], items))
-        covered = rest.filter(F.col("kmer") == best["kmer"]).select("item")
+    allowed = hits.select("kmer", "item").distinct()
+    if excluded is not None:
+        allowed = allowed.join(excluded.select("kmer").distinct(), "kmer", "left_anti")
+    spark, number, chosen = hits.sparkSession, 0, []
+    rest = stored(allowed, "cover")
+    while (most is None or number < most) and rest.head(1):
+        number += 1
+        gains = rest.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+        bucket = -F.floor(F.log("n") / math.log(1.5))
+        votes = rest.join(gains, "kmer").groupBy("item").agg(F.min(F.struct(bucket.alias("bucket"), F.xxhash64("kmer", F.lit(number)).alias("turn"), "kmer", "n")).alias("_best"))
+        won = votes.groupBy(F.col("_best.kmer").alias("kmer"), F.col("_best.n").alias("n")).agg(F.count(F.lit(1)).alias("covered"))
+        taken = stored(won.filter(F.col("covered") >= F.col("n") * share).select(F.lit(number).alias("round"), "kmer", "covered"), "cover-taken")
+        covered = rest.join(taken.select("kmer"), "kmer", "left_semi").select("item").distinct()
         rest = stored(rest.join(covered, "item", "left_anti"), "cover")
-    return spark.createDataFrame(chosen, "round int, kmer string, covered long, left long")
+        chosen.append(taken)
+    return reduce(DataFrame.unionByName, chosen) if chosen else spark.createDataFrame([], "round int, kmer string, covered long")

@@ -192,6 +192,63 @@ def consensus(found: DataFrame, total: float, share: float = 0.5) -> DataFrame:
     return kept.join(parents, "node", "left").select("node", F.col("_x._p").alias("parent"), "leaf", "size", (F.col("weight") / total).alias("support"))
 
 
+def partial_consensus(nodes: DataFrame, weights: DataFrame | None = None, share: float = 0.5) -> DataFrame:
+    """Majority-rule consensus of trees over different leaves: node, parent, leaf, size and support, one row a leaf.
+
+    A set of leaves below an inner node is compared with another tree on the leaves that both trees have. If more than one
+    and not all of them are in the set, the tree has a say; it agrees if one of its own sets has just the same of
+    these leaves. support is the weight (tree and weight, else 1) of the trees that agree by that of all with a
+    say; sets with over `share` stay. Sets of different trees that are equal on the leaves of both are one set,
+    with the leaves of all of them; a set that crosses one of higher support (then higher weight, then size,
+    then its hash) goes. parent is the smallest set that holds a common leaf and is larger; null is the root.
+
+    Restricted sets are known by size and two hashes, so trees meet by equi-joins, never set by set.
+    """
+    below = stored(members(nodes).select("tree", "node", "leaf").distinct(), "tree-members")
+    own = stored(leaves(nodes).select("tree", F.col("name").alias("leaf")).distinct(), "tree-leaves")
+    inner = below.join(nodes.filter("parent is null").select("tree", "node"), ["tree", "node"], "left_anti")
+    other = own.withColumnRenamed("tree", "other")
+    mixed = F.sum(F.pmod(F.xxhash64("leaf", F.lit("set")), F.lit(1 << 31)))
+    cut = inner.join(other, "leaf").groupBy("tree", "node", "other").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("leaf")).alias("_x"), mixed.alias("_y"))
+    common = own.join(other, "leaf").groupBy("tree", "other").agg(F.count(F.lit(1)).alias("_common"))
+    # one node a set and tree: nodes with a single child have the same set
+    key = F.concat_ws("-", "n", F.hex("_x"), F.hex("_y"))
+    cut = stored(cut.join(common, ["tree", "other"]).select("tree", "node", "other", "n", key.alias("key"), ((F.col("n") > 1) & (F.col("n") < F.col("_common"))).alias("asked")), "tree-cuts")
+    sets = cut.filter("tree = other and asked").groupBy("tree", F.col("key").alias("set"), F.col("n").alias("size")).agg(F.min("node").alias("node"))
+    asked = cut.filter("asked").join(sets.select("tree", "node"), ["tree", "node"], "left_semi")
+    mirrored = cut.select(F.col("other").alias("tree"), F.col("tree").alias("other"), "key", F.lit(1).alias("_same")).distinct()
+    weighed = own.select(F.col("tree").alias("other")).distinct().withColumn("_w", F.lit(1.0)) if weights is None else weights.select(F.col("tree").alias("other"), F.col("weight").cast("double").alias("_w"))
+    votes = asked.join(mirrored, ["tree", "other", "key"], "left").join(weighed, "other").groupBy("tree", "node").agg(F.sum(F.when(F.col("_same") == 1, F.col("_w")).otherwise(0.0)).alias("weight"), F.sum("_w").alias("possible"))
+    rank = F.struct((-F.col("weight") / F.col("possible")).alias("a"), (-F.col("weight")).alias("b"), (-F.col("size")).alias("c"), F.col("set").alias("d"), F.col("tree").cast("string").alias("e"))
+    kept = sets.join(votes, ["tree", "node"]).filter(F.col("weight") > F.col("possible") * share).withColumn("rank", rank)
+    kept = stored(kept.select("tree", "node", "size", "rank", (F.col("weight") / F.col("possible")).alias("support")), "partial-majority")
+    spread = kept.select("tree", "node").join(below, ["tree", "node"])
+    restricted = stored(cut.join(kept.select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node", "other", "n"), "partial-cuts")
+    second = lambda df, *names: df.select(*[F.col(c).alias(f"{c}_2") for c in names])
+    both = spread.join(second(spread, "tree", "node", "leaf").withColumnRenamed("leaf_2", "leaf"), "leaf").groupBy("tree", "node", "tree_2", "node_2").agg(F.count(F.lit(1)).alias("c"))
+    both = both.filter("tree != tree_2 or node != node_2").join(restricted.withColumnRenamed("other", "tree_2"), ["tree", "node", "tree_2"])
+    both = both.join(restricted.select(F.col("tree").alias("tree_2"), F.col("node").alias("node_2"), F.col("other").alias("tree"), F.col("n").alias("n_2")), ["tree_2", "node_2", "tree"])
+    both = stored(both.join(kept.select("tree", "node", "rank"), ["tree", "node"]).join(second(kept, "tree", "node", "rank"), ["tree_2", "node_2"]), "partial-pairs")
+    crossed = both.filter("c < n and c < n_2 and rank_2 < rank").select("tree", "node").distinct()
+    left = kept.join(crossed, ["tree", "node"], "left_anti")
+    # equal sets take the name of the best one they are equal with, until no name changes; chains are no longer than there are trees
+    equal = both.filter("c = n and c = n_2").select("tree", "node", "tree_2", "node_2")
+    names = stored(left.select("tree", "node", "rank", F.col("rank").alias("best"), "support"), "partial-names")
+    while True:
+        near = equal.join(second(names, "tree", "node", "best"), ["tree_2", "node_2"]).groupBy("tree", "node").agg(F.min("best_2").alias("_b"))
+        newer = stored(names.join(near, ["tree", "node"], "left").select("tree", "node", "rank", F.least("best", F.coalesce("_b", "best")).alias("best"), "support", (F.col("_b") < F.col("best")).alias("_new")), "partial-names")
+        names = newer.drop("_new")
+        if not newer.filter("_new").head(1):
+            break
+    named = names.select("tree", "node", F.concat_ws("/", "best.d", "best.e").alias("set"), F.when(F.col("rank") == F.col("best"), F.col("support")).alias("support"))
+    rows = stored(named.join(below, ["tree", "node"]).groupBy("set", "leaf").agg(F.max("support").alias("support")), "partial-sets")
+    sized = rows.groupBy("set").agg(F.count(F.lit(1)).alias("size"), F.max("support").alias("support"))
+    rows = stored(rows.drop("support").join(sized, "set"), "partial-consensus")
+    larger = rows.select(F.col("set").alias("_p"), F.col("size").alias("_s"), "leaf")
+    parents = rows.join(larger, "leaf").filter("_s > size").groupBy("set").agg(F.min(F.struct("_s", "_p")).alias("_x"))
+    return rows.join(parents, "set", "left").select(F.col("set").alias("node"), F.col("_x._p").alias("parent"), "leaf", "size", "support")
+
+
 def best_groups(left: DataFrame, right: DataFrame, leaves_in_both: DataFrame) -> DataFrame:
     """For each node of left (node, leaf) the node of right whose leaves differ least: node, match, difference.
 

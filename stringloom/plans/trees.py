@@ -143,6 +143,26 @@ def consensus_of_trees(table):
     return named.select("label", F.col("size").cast("long").alias("size"), "support")
 
 
+@_r.query("""
+    SELECT c_mktsegment AS label, count(*)::BIGINT AS size, 2.0 / 3 AS support FROM customer GROUP BY c_mktsegment
+""")
+def consensus_of_partial_trees(table):
+    """Majority sets of three trees, of which two by segment lack a third of the customers each, and one by nation has all."""
+    c = table("customer")
+
+    def tree(name, group, part):
+        leaf = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+        ends = part.select(leaf.alias("node"), group.alias("parent"), F.col("c_name").alias("name"))
+        inner = part.select(group.alias("node"), F.lit("root").alias("parent"), F.lit(None).cast("string").alias("name")).distinct()
+        root = part.agg(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"))
+        return root.unionByName(inner).unionByName(ends).withColumn("length", F.lit(1.0)).withColumn("tree", F.lit(name))
+
+    segment, nation = F.concat(F.lit("s"), F.col("c_mktsegment")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    forest = tree("a", segment, c.filter("c_custkey % 3 != 0")).unionByName(tree("b", segment, c.filter("c_custkey % 3 != 1"))).unionByName(tree("c", nation, c))
+    found = tr.partial_consensus(forest).groupBy("node", "size", "support").agg(F.min("leaf").alias("first"))
+    return found.join(c.select(F.col("c_name").alias("first"), F.col("c_mktsegment").alias("label")), "first").select("label", "size", "support")
+
+
 @_r.query(f"""
     WITH {_NODES}, s AS (SELECT *, count(*) OVER (PARTITION BY l1) AS n1, count(*) OVER (PARTITION BY l2) AS n2, min(leaf) OVER (PARTITION BY l1) AS f1, min(leaf) OVER (PARTITION BY l2) AS f2 FROM up)
     SELECT leaf AS name, row_number() OVER (ORDER BY n2 DESC, f2, l2, n1 DESC, f1, l1, leaf, l0) AS position FROM s

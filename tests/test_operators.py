@@ -443,13 +443,78 @@ def test_more_writers(spark):
 def test_codes_and_cover(spark):
     assert [one(spark, columns.combined_code(F.array(*map(F.lit, x)))) for x in ("AG", "acgt", "-A", "YR", "--")] == ["R", "N", "A", "N", "-"]
     hits = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 3), ("z", 3)], "kmer string, item int")
-    assert [tuple(r) for r in kmers.covering_probes(hits, 5).collect()] == [(1, "x", 2, 1), (2, "y", 1, 0)]
-
-
-def test_covering_goes_on_to_the_end(spark):
-    hits = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("b", 4), ("c", 5), ("a", 1)], "kmer string, item long")
-    rows = lambda most: [tuple(r) for r in kmers.covering_probes(hits, most).collect()]
-    assert rows(None) == [(1, "b", 3, 2), (2, "a", 1, 1), (3, "c", 1, 0)] and rows(1) == [(1, "b", 3, 2)]
+    assert {r.kmer for r in kmers.covering_probes(hits).collect()} in ({"x", "y"}, {"x", "z"}, {"y", "x", "z"})
+
+
+def test_covering_takes_many_probes_a_round(spark):
+    """Every item is covered, in few rounds, by not many more probes than one after the other would take; a second group's probes are out."""
+    rng = random.Random(12)
+    sets = {f"k{j:03}": set(rng.sample(range(400), rng.choice([1, 3, 10, 60]))) for j in range(300)}
+    hits = spark.createDataFrame([(k, i) for k, own in sets.items() for i in own] * 2, "kmer string, item long")
+    out = spark.createDataFrame([(f"k{j:03}",) for j in range(40)], "kmer string")
+    for excluded in (None, out):
+        usable = {k: v for k, v in sets.items() if excluded is None or k >= "k040"}
+        rows = kmers.covering_probes(hits, excluded).collect()
+        whole = set().union(*usable.values())
+        assert set().union(*(usable[r.kmer] for r in rows)) == whole and sum(r.covered for r in rows) <= len(whole)
+        left, greedy = set(whole), 0
+        while left:
+            left, greedy = left - usable[max(sorted(usable), key=lambda k: len(usable[k] & left))], greedy + 1
+        assert len(rows) <= 2 * greedy and max(r["round"] for r in rows) <= 12 < greedy
+    assert kmers.covering_probes(hits, most=1).agg(F.max("round")).first()[0] == 1
+    assert kmers.covering_probes(hits.limit(0)).count() == 0
+
+
+def plain_partial(trees, share):
+    """trees: name to (leaves, sets). Kept sets (leaves, support) after comparing every set with every tree."""
+    found = []
+    for name, (all_, sets) in trees.items():
+        for own in sets:
+            if not 1 < len(own) < len(all_):
+                continue
+            asked = agree = 0
+            for other, more in trees.values():
+                cut, common = own & other, all_ & other
+                if 1 < len(cut) < len(common):
+                    asked += 1
+                    agree += any(x & all_ == cut for x in more)
+            if agree > asked * share:
+                found.append((own, all_, agree / asked, agree))
+    return found
+
+
+def test_consensus_of_partial_trees(spark):
+    rng, forest, plain = random.Random(15), [], {}
+    names = [f"l{k:02}" for k in range(14)]
+    true = [set(names[:7]), set(names[7:]), set(names[:3]), set(names[9:])]
+    for t in range(5):
+        own = set(rng.sample(names, 11))
+        sets = {frozenset(x & own) for x in true if rng.random() < 0.85 and len(x & own) > 1}
+        if t == 4:
+            sets = {frozenset(sorted(own)[::2])}  # crosses the others
+        plain[f"t{t}"] = (own, sets)
+        forest.append((f"t{t}", "root", None, None))
+        ids = {x: f"n{k}" for k, x in enumerate(sorted(sets, key=lambda x: (len(x), sorted(x))))}
+        above = lambda x, ids=ids: next((i for y, i in ids.items() if x < y or len(x) == 1 and x <= y), "root")
+        forest += [(f"t{t}", i, above(x), None) for x, i in ids.items()] + [(f"t{t}", x, above(frozenset([x])), x) for x in own]
+    nodes = spark.createDataFrame(forest, "tree string, node string, parent string, name string").withColumn("length", F.lit(1.0))
+    got = {}
+    for r in trees.partial_consensus(nodes).collect():
+        got.setdefault((r.node, r.support, r.parent), set()).add(r.leaf)
+    kept = plain_partial(plain, 0.5)
+    # the leaves of every set that stays lie in one result, and results don't cross
+    assert kept and got
+    for own, _, support, _ in kept:
+        assert any(own <= x for x in got.values())
+    assert {round(s, 9) for _, s, _ in got} <= {round(s, 9) for _, _, s, _ in kept}
+    for x in got.values():
+        assert any(x <= y or x - y == x for y in true)
+        for y in got.values():
+            assert not x & y or x <= y or y <= x
+    sizes = {n: len(x) for (n, _, _), x in got.items()}
+    for (n, _, parent), x in got.items():
+        holders = [m for (m, _, _), y in got.items() if x & y and len(y) > len(x)]
+        assert (parent in holders and sizes[parent] == min(sizes[m] for m in holders)) if holders else parent is None
 
 
 def test_probe_hits_against_brute_force(spark):
