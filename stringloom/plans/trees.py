@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stringloom.operators import likelihood as ml
 from stringloom.operators import trees as tr
 from stringloom.operators.storage import stored
 from stringloom.plans.registry import Registry
@@ -373,3 +374,49 @@ def rerooted_tree(table):
     """The new root lies above one region."""
     n = world(table)
     return tr.rerooted(n, n.filter("node = 'r1'").select("tree", "node"), "new").select("node", "parent", "length")
+
+
+_MODEL = ml.Model((0.2, 0.3, 0.3, 0.2), 1.5)
+_SITES = 6
+
+
+def sites(table):
+    """Letters of six columns for each customer: alike within a nation in the first ones, mixed in the last."""
+    c = table("customer").withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(_SITES))))
+    code = F.col("c_nationkey") * F.col("col") + F.floor(F.col("c_custkey") * F.col("col") / 24) % (F.col("col") + 1)
+    return c.select(F.lit("nations").alias("tree"), F.col("c_name").alias("name"), "col", F.substring(F.lit("ACGU"), (code % 4 + 1).cast("int"), F.lit(1)).alias("ch"))
+
+
+def _moved_sql(v: str, time: str) -> list[str]:
+    """The four entries of a vector behind a branch, as ml.Model.moved has them."""
+    b, a = _MODEL.speeds()
+    p = _MODEL.frequencies
+    mean = " + ".join(f"{v}{i} * {p[i]}" for i in range(4))
+    kind = lambda i: f"({v}{i % 2} * {p[i % 2]} + {v}{i % 2 + 2} * {p[i % 2 + 2]}) / {p[i % 2] + p[i % 2 + 2]}"
+    return [f"exp(-{a + b!r} * {time}) * {v}{i} + (exp(-{b!r} * {time}) - exp(-{a + b!r} * {time})) * ({kind(i)}) + (1 - exp(-{b!r} * {time})) * ({mean})" for i in range(4)]
+
+
+def _level_sql(name: str, below: str, up: str, time: str) -> str:
+    moved = ", ".join(f"sum(ln({m}))  AS s{i}" for i, m in enumerate(_moved_sql("v", f"(greatest({time}, 1e-9) * rate)")))
+    return f"{name}_sums AS (SELECT {up}, col, rate, {moved}, sum(scale) AS scale FROM {below} GROUP BY ALL), {name} AS (SELECT * REPLACE (scale + greatest(s0, s1, s2, s3) AS scale), {', '.join(f'exp(s{i} - greatest(s0, s1, s2, s3)) AS v{i}' for i in range(4))} FROM {name}_sums)"
+
+
+@_r.query(f"""
+    WITH k AS (SELECT k, (1 / 64.0) * pow(1024, k / 16.0) AS rate FROM range(17) t(k)),
+    z AS (SELECT c_custkey, 'n' || c_nationkey AS nation, n_regionkey AS region, (c_custkey % 10) / 4.0 AS time, col, substr('ACGT', (c_nationkey * col + (c_custkey * col // 24) % (col + 1)) % 4 + 1, 1) AS ch FROM customer JOIN nation ON c_nationkey = n_nationkey, range(1, {_SITES + 1}) t(col)),
+    leaf AS (SELECT z.*, rate, 0.0 AS scale, {", ".join(f"CASE WHEN ch = '{b}' THEN 1.0 ELSE 0.0 END::DOUBLE AS v{i}" for i, b in enumerate("ACGT"))} FROM z, k),
+    {_level_sql("a", "leaf", "nation, region", "time")}, {_level_sql("b", "a", "region", "0.5")}, {_level_sql("w", "b", "'world' AS world", "1.0")},
+    f AS (SELECT col, rate, scale + ln({" + ".join(f"v{i} * {p}" for i, p in enumerate(_MODEL.frequencies))}) AS value FROM w)
+    SELECT col, round(max_by(rate, value), 9) AS rate, round(max(value), 6) AS log_likelihood FROM f GROUP BY col
+""")
+def column_rates(table):
+    """The likeliest of 17 rates for each of six columns of the customers, on the tree of regions and nations."""
+    found = ml.column_rates(world(table), sites(table), _MODEL, rounds=1)
+    return found.select("col", F.round("rate", 9).alias("rate"), F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
+@_r.query()
+def ancestral_bases(table):
+    """The likeliest bases of regions, nations and the world at six columns; tested against sums over all choices."""
+    found = ml.ancestors(world(table), sites(table), model=_MODEL)
+    return found.select("node", "col", "base", F.round("share", 6).alias("share"))
