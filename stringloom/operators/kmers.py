@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stringloom.operators.intervals import reverse_complement
+from stringloom.operators.intervals import merged, reverse_complement
 from stringloom.operators.storage import stored
 
 #: Rows of a set that is broadcast after they have been counted.
@@ -170,12 +170,13 @@ def hit_overlay(probe: Column, piece: Column, same: str = "=") -> Column:
 
 def overlaid(items: DataFrame, key: str, data: str, hits: DataFrame, mark: str = "x", free: str = ".") -> DataFrame:
     """key and a line as long as the item's data with `mark` where a hit (key, position, probe) stands, `free` elsewhere."""
-    spans = hits.select(key, F.col("position").alias("_a"), (F.col("position") + F.char_length("probe") - 1).alias("_b")).distinct()
-    marks = spans.groupBy(key).agg(F.collect_set(F.struct("_a", "_b")).alias("_spans"))
-    rows = items.select(key, F.char_length(data).alias("_n")).join(marks, key)
-    covered = lambda at: F.exists("_spans", lambda s: at.between(s["_a"], s["_b"]))
-    line = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda at: F.when(covered(at), mark).otherwise(free))
-    return rows.select(key, F.array_join(line, "").alias("overlay"))
+    spans = hits.select(key, F.col("position").alias("start"), (F.col("position") + F.char_length("probe") - 1).alias("stop")).distinct()
+    # disjoint spans, so an item has no more of them than half its length
+    apart = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    rows = items.select(key, F.char_length(data).alias("_n")).join(merged(spans, key, bin_size=1 << 16).groupBy(key).agg(apart.alias("_spans")), key)
+    before = F.transform("_spans", lambda s, i: s["start"] - F.when(i > 0, F.get("_spans", i - 1)["stop"]).otherwise(0) - 1)
+    pieces = F.zip_with("_spans", before, lambda s, n: F.concat(F.repeat(F.lit(free), n.cast("int")), F.repeat(F.lit(mark), (s["stop"] - s["start"] + 1).cast("int"))))
+    return rows.select(key, F.rpad(F.array_join(pieces, ""), F.col("_n"), F.lit(free)).alias("overlay"))
 
 
 def weighted_mismatches(probe: Column, piece: Column, bond: dict[str, float], first: float = 0.3, second: float = 1.0) -> Column:

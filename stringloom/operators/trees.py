@@ -161,6 +161,15 @@ def leaf_order(nodes: DataFrame, big_first: bool = True) -> DataFrame:
     return placed.join(first, "tree").select("tree", "name", (F.col("_rank") - F.col("_first") + 1).alias("position"))
 
 
+def innermost_edge(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """tree, node and leaves: the node whose edge to its parent splits the tree's leaves most evenly; of equal ones the smallest."""
+    below = members(nodes, pairs).groupBy("tree", "node").agg(F.count(F.lit(1)).alias("leaves"))
+    whole = leaves(nodes).groupBy("tree").agg(F.count(F.lit(1)).alias("_all"))
+    edges = below.join(nodes.filter("parent is not null").select("tree", "node"), ["tree", "node"], "left_semi").join(whole, "tree")
+    best = edges.groupBy("tree").agg(F.min(F.struct(F.abs(2 * F.col("leaves") - F.col("_all")).alias("off"), "node", "leaves")).alias("_x"))
+    return best.select("tree", "_x.node", "_x.leaves")
+
+
 def splits(nodes: DataFrame, weights: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """set, size, weight and leaf, one row a leaf: the sets of leaves below inner nodes, summed over all trees.
 

@@ -420,3 +420,12 @@ def ancestral_bases(table):
     """The likeliest bases of regions, nations and the world at six columns; tested against sums over all choices."""
     found = ml.ancestors(world(table), sites(table), model=_MODEL)
     return found.select("node", "col", "base", F.round("share", 6).alias("share"))
+
+
+@_r.query("""
+    WITH e AS (SELECT 'r' || n_regionkey AS node, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT 'n' || c_nationkey, count(*) FROM customer GROUP BY 1 UNION ALL SELECT 'c' || c_custkey, 1 FROM customer)
+    SELECT 'nations' AS tree, node, n::BIGINT AS leaves FROM e ORDER BY abs(2 * n - (SELECT count(*) FROM customer)), node LIMIT 1
+""")
+def innermost_edges(table):
+    """The edge that halves the tree of regions, nations and customers best."""
+    return tr.innermost_edge(world(table))
