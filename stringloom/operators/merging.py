@@ -44,6 +44,28 @@ def fresh_delta(base: DataFrame, delta: DataFrame, key: str, deleted: str) -> Da
     return kept.unionByName(delta.filter(~F.coalesce(F.col(deleted), F.lit(False))).select(*base.columns))
 
 
+def saved_delta(before: DataFrame, now: DataFrame, key: str, deleted: str = "deleted") -> DataFrame:
+    """What fresh_delta needs to make now from before: rows that are new or differ in any column, and the keys that are gone, flagged.
+
+    Rows meet by key, and only a hash of the other columns of before is shuffled. Keys are unique; null is no key.
+    """
+    others = [c for c in now.columns if c != key]
+    digest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in others]), 256)
+    old = before.select(key, digest.alias("_old"))
+    both = now.withColumn("_new", digest).join(old, key, "full_outer")
+    changed = both.filter(~F.col("_new").eqNullSafe(F.col("_old")))
+    return changed.select(*now.columns, F.col("_new").isNull().alias(deleted))
+
+
+def with_origin(items: DataFrame, link: str, origins: DataFrame, key: str, name: str = "origin") -> DataFrame:
+    """items with a struct of the fields of what each was taken from (the organism or the gene of a pseudo item).
+
+    Commands then work on a field of it, as on one of the item's own; items without an origin, or with one that is absent, have null.
+    """
+    fields = origins.select(F.col(key).alias("_origin_key"), F.struct(*origins.columns).alias(name))
+    return items.join(fields, F.col(link) == F.col("_origin_key"), "left").drop("_origin_key")
+
+
 def joined_items(items: DataFrame, group: str, order: str, field: str, separator: str) -> DataFrame:
     """group, the field's values in order joined by the separator, and the number of rows; missing values are left out."""
     ordered = F.array_sort(F.collect_list(F.when(F.col(field).isNotNull(), F.struct(order, field))))

@@ -176,3 +176,35 @@ def soft_remapped_data(table):
     part = table("part").select("p_partkey", F.translate(F.concat_ws("-", "p_name", "p_type"), " i", "-.").alias("data"))
     mapping = part.sparkSession.createDataFrame([(3, 4), (4, 5), (8, 20), (12, 22), (13, 23)], "source int, target int")
     return merging.soft_remapped(part, "p_partkey", "data", mapping)
+
+
+@_r.query("""
+    SELECT c_name AS name, 'DB' AS source, c_acctbal < 0 AS marked, c_mktsegment AS first_tag, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS tags, '/customer/account/balance=' || printf('%.2f', c_acctbal) AS child FROM customer
+""")
+def dump_items(table):
+    """Customers from dumps: one row an item, its repeated fields in order, and the children of a container of it."""
+    c = table("customer")
+    lines = [
+        F.concat(F.lit("customer\t\t%"), F.when(F.col("c_acctbal") < 0, "$").otherwise("%"), F.lit(" (%")), F.concat(F.lit('\tname\t\t"'), "c_name", F.lit('"')), F.concat(F.lit('\ttag\t\t"'), "c_mktsegment", F.lit('"')),
+        F.lit("\taccount\t\t%% (%"), F.concat(F.lit("\t\tbalance\t%f "), F.format_string("%.2f", F.col("c_acctbal"))), F.lit("\t\t%)"), F.when(F.col("c_custkey") % 2 == 0, '\ttag\t\t"more"'), F.lit('\tsource\t\t"DB"'), F.lit("\t%)"),
+    ]
+    read = nodes.read_nodes(c.sparkSession, _text_files(c.select(F.concat_ws("\n", *lines).alias("value")), "dump-items"))
+    items = nodes.items_of(read, "/customer", ["name", "source", "tag"])
+    tags = nodes.children(read, nodes.at_path(read, "/customer"), "tag").groupBy("file", F.col("parent").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("tags"))
+    account = nodes.at_path(read, "/*/account")
+    below = nodes.children(read, account).select("file", F.col("parent").alias("_a"), F.concat_ws("=", "path", "value").alias("child")).join(account.select("file", F.col("id").alias("_a"), F.col("parent").alias("id")), ["file", "_a"])
+    return items.join(tags, ["file", "id"]).join(below, ["file", "id"]).select("name", "source", "marked", F.col("tag").alias("first_tag"), "tags", "child")
+
+
+@_r.query("""
+    SELECT p_partkey, p_name AS sequence, 'dna/' || p_brand AS kind_and_field, regexp_replace(p_name, '[A-Za-z]', 'N', 'g') AS changed, CASE WHEN p_partkey % 2 = 0 THEN left(p_name, 3) ELSE p_name END AS piece FROM part
+""")
+def sequence_commands(table):
+    """An item's sequence, its kind and fields as streams, letters changed by another sequence, and a gene's own piece."""
+    part = table("part")
+    spot = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"), F.lit(False).alias("complement"), F.lit("").alias("fuzzy_start"), F.lit("").alias("fuzzy_stop"))
+    stop = F.when(F.col("p_partkey") % 2 == 0, F.lit(3)).otherwise(F.char_length("p_name"))
+    return part.select(
+        "p_partkey", s.apply(F.lit(""), s.sequence("p_name")).alias("sequence"), s.apply(F.lit(""), s.fork(s.sequence_type("dna"), s.read("p_brand")), s.merge("/")).alias("kind_and_field"),
+        s.changed(F.col("p_name"), F.repeat(F.lit("x"), F.char_length("p_name")), "x", "N").alias("changed"), s.apply(F.lit(""), s.sequence("p_name", F.array(spot(F.lit(1), stop)))).alias("piece"),
+    )

@@ -175,6 +175,27 @@ def replayed_delta(table):
     return merging.fresh_delta(base, delta, "s_suppkey", "deleted")
 
 
+@_r.query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END END AS c_acctbal, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment, c_custkey % 5 = 0 AS deleted
+    FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR c_custkey % 7 = 0 OR c_custkey % 4 = 0
+""")
+def saved_deltas(table):
+    """Only what changed: new customers, some with another balance or without a segment, and those that are gone."""
+    c = table("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    before = c.filter("c_custkey % 4 != 0 or c_custkey % 5 = 0")
+    now = c.filter("c_custkey % 5 != 0").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return merging.saved_delta(before, now, "c_custkey")
+
+
+@_r.query("""
+    SELECT o_orderkey, coalesce(c_name, '') AS organism, (length(coalesce(c_mktsegment, '')) - length(replace(coalesce(c_mktsegment, ''), 'E', '')))::VARCHAR AS letters FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey < 20
+""")
+def origin_fields(table):
+    """Orders as items taken from customers: commands on fields of the origin, of which some are absent."""
+    found = merging.with_origin(table("orders"), "o_custkey", table("customer").filter("c_nationkey < 20"), "c_custkey")
+    return found.select("o_orderkey", s.apply(t.empty_if_null(F.col("origin.c_name"))).alias("organism"), s.apply(t.empty_if_null(F.col("origin.c_mktsegment")), s.count("E")).alias("letters"))
+
+
 @_r.query("""SELECT conv_id, string_agg(text, ' / ' ORDER BY turn) AS text, count(*) AS rows FROM conversations GROUP BY conv_id""")
 def joined_turns(table):
     return merging.joined_items(table("conversations"), "conv_id", "turn", "text", " / ")
@@ -237,6 +258,23 @@ def streamed_column_counts(table):
     return _collected(changes.column_counts(rows), "counts")
 
 
+@_r.query("""
+    SELECT '/user/' || user_id || '/' || event_type AS path, CASE WHEN event_id % 3 = 0 THEN 'insert' ELSE 'update' END AS op, count(*)::BIGINT AS n, max(event_id) AS last
+    FROM events WHERE event_type LIKE 'c%' AND event_id % 3 <> 2 GROUP BY ALL
+""")
+def streamed_commits(table):
+    """A callback on every batch of changes at watched paths; what it wrote under each batch's number, counted by path."""
+    events = table("events")
+    spark, out = events.sparkSession, f"{shared_folder(events.sparkSession)}/commits-{uuid.uuid4().hex}"
+    op = F.when(F.col("event_id") % 3 == 0, "insert").when(F.col("event_id") % 3 == 1, "update").otherwise("delete")
+    rows = _feed(events).select(F.col("event_id").alias("seq"), F.concat(F.lit("/user/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"), op.alias("op"))
+    kept = changes.watched(rows, "/user/*/c*", "insert", "update")
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/data/batch={batch}")
+    changes.on_commit(kept, write, f"{out}/state").awaitTermination()
+    done = spark.read.schema(kept.schema).parquet(f"{out}/data")
+    return done.groupBy("path", "op").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+
+
 def _feed(table):
     """A table's files as a stream; the table is a folder of files or one file."""
     reader = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 100)
