@@ -704,6 +704,6 @@ def test_bitmap_keeps_what_it_knows(spark, bits):
 def test_empty_tables(spark, tmp_path, name):
     import corpus_pipeline
 
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{TABLES}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert (queries.QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, str(tmp_path)).collect() == []
