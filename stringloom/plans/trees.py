@@ -407,7 +407,7 @@ def _level_sql(name: str, below: str, up: str, time: str) -> str:
     leaf AS (SELECT z.*, rate, 0.0 AS scale, {", ".join(f"CASE WHEN ch = '{b}' THEN 1.0 ELSE 0.0 END::DOUBLE AS v{i}" for i, b in enumerate("ACGT"))} FROM z, k),
     {_level_sql("a", "leaf", "nation, region", "time")}, {_level_sql("b", "a", "region", "0.5")}, {_level_sql("w", "b", "'world' AS world", "1.0")},
     f AS (SELECT col, rate, scale + ln({" + ".join(f"v{i} * {p}" for i, p in enumerate(_MODEL.frequencies))}) AS value FROM w)
-    SELECT col, round(max_by(rate, value), 9) AS rate, round(max(value), 6) AS log_likelihood FROM f GROUP BY col
+    SELECT col::INTEGER AS col, round(max_by(rate, value), 9) AS rate, round(max(value), 6) AS log_likelihood FROM f GROUP BY col
 """)
 def column_rates(table):
     """The likeliest of 17 rates for each of six columns of the customers, on the tree of regions and nations."""
