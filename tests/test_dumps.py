@@ -59,9 +59,9 @@ def made_dump(seed, size, damage):
     return "\n".join([*lines, *["%)"] * rng.randint(0, depth)]) + "\n"
 
 
-@pytest.mark.parametrize("split, end", [(150, "\n"), (700, "\r\n"), (1 << 20, "\n")])
+@pytest.mark.parametrize("split, end", [(300, "\n"), (700, "\r\n"), (1 << 20, "\n")])
 def test_any_split_gives_the_same_nodes(spark, tmp_path, split, end):
-    dumps = {f"d{k}.dump": made_dump(k, 120, 0.1) for k in range(3)}
+    dumps = {f"d{k}.dump": made_dump(k, 80, 0.1) for k in range(3)}
     for name, text in dumps.items():
         (tmp_path / name).write_bytes(text.replace("\n", end).encode())
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
