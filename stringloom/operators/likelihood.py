@@ -113,17 +113,18 @@ def column_rates(nodes: DataFrame, letters: DataFrame, model: Model = Model(), l
     return columns.select("tree", "col", "rate", "log_likelihood")
 
 
-def ancestors(nodes: DataFrame, letters: DataFrame, rates: DataFrame | None = None, model: Model = Model(), ambiguous: dict[str, str] | None = None) -> DataFrame:
-    """tree, node, col, base and share: of each inner node and column the likeliest base, and its share of the likelihood.
-
-    What lies outside a node's subtree comes down level by level: from its parent, what lies outside that one, times what
-    its other children say. rates: tree, col and rate, else 1 everywhere. Of equal bases the first of ACGT counts;
-    columns without a base have no ancestors.
-    """
-    depths = _depths(nodes)
-    ends = _leaf_vectors(nodes, letters, ambiguous or {})
+def _rated(ends: DataFrame, rates: DataFrame | None) -> DataFrame:
+    """Leaf vectors with the rate of their column, 1 everywhere if none are given."""
     ends = ends.withColumn("rate", F.lit(1.0)) if rates is None else ends.join(rates.select("tree", "col", "rate"), ["tree", "col"])
-    ends = stored(ends, "leaf-vectors")
+    return stored(ends, "leaf-vectors")
+
+
+def _inner(depths: DataFrame) -> DataFrame:
+    return depths.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
+
+
+def _outside(depths: DataFrame, ends: DataFrame, model: Model, inner: DataFrame, with_leaves: bool) -> tuple[DataFrame, DataFrame]:
+    """Vectors from below (up) and of what lies outside each node's subtree (out): of inner nodes, or also of leaves that have a letter."""
     up = stored(_upwards(depths, ends, model).join(depths, ["tree", "node"]), "up-vectors")
     branch = up.withColumn("moved", model.moved(F.col("v"), F.col("time") * F.col("rate"))).select("tree", "node", "parent", "col", "rate", "time", "depth", "moved")
     # all children of a node together, of which each one's own part is taken out again
@@ -131,7 +132,6 @@ def ancestors(nodes: DataFrame, letters: DataFrame, rates: DataFrame | None = No
     columns = up.filter("depth = 0").select("tree", "col", "rate").distinct()
     down = depths.filter("depth = 0").select("tree", "node").join(columns, "tree").withColumn("out", ones)
     all_, deepest = [down], depths.agg(F.max("depth")).first()[0] or 0
-    inner = depths.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
     for depth in range(1, deepest + 1):
         own = branch.filter(F.col("depth") == depth)
         whole = up.filter(F.col("depth") == depth - 1).select("tree", F.col("node").alias("parent"), "col", F.col("v").alias("whole"))
@@ -139,15 +139,76 @@ def ancestors(nodes: DataFrame, letters: DataFrame, rates: DataFrame | None = No
         # nodes without a letter below them have no vector; what is outside them is what their parent says
         silent = depths.filter(F.col("depth") == depth).select("tree", "node", "parent", "time").join(above.select("tree", "parent", "col"), ["tree", "parent"]).join(inner, ["tree", "node"], "left_semi")
         silent = silent.join(own.select("tree", "node", "col"), ["tree", "node", "col"], "left_anti").join(columns, ["tree", "col"]).withColumn("moved", ones)
-        rows = own.join(inner, ["tree", "node"], "left_semi").select("tree", "node", "parent", "col", "rate", "time", "moved").unionByName(silent.select("tree", "node", "parent", "col", "rate", "time", "moved"))
+        asked = own if with_leaves else own.join(inner, ["tree", "node"], "left_semi")
+        rows = asked.select("tree", "node", "parent", "col", "rate", "time", "moved").unionByName(silent.select("tree", "node", "parent", "col", "rate", "time", "moved"))
         rows = rows.join(above, ["tree", "parent", "col"]).join(whole, ["tree", "parent", "col"], "left")
         rest = [F.get("above", F.lit(i)) * F.coalesce(F.get("whole", F.lit(i)), F.lit(1.0)) / F.greatest(F.get("moved", F.lit(i)), F.lit(1e-300)) for i in range(4)]
         top = F.greatest(*[F.get("_rest", F.lit(i)) for i in range(4)])
         scaled = rows.withColumn("_rest", F.array(*rest)).withColumn("_rest", F.transform("_rest", lambda x: x / top))
         down = stored(scaled.select("tree", "node", "col", "rate", model.moved(F.col("_rest"), F.col("time") * F.col("rate")).alias("out")), "down")
         all_.append(down)
-    both = reduce(DataFrame.unionByName, all_).join(inner, ["tree", "node"], "left_semi").join(up.select("tree", "node", "col", "v"), ["tree", "node", "col"], "left")
+    return up, reduce(DataFrame.unionByName, all_)
+
+
+def ancestors(nodes: DataFrame, letters: DataFrame, rates: DataFrame | None = None, model: Model = Model(), ambiguous: dict[str, str] | None = None) -> DataFrame:
+    """tree, node, col, base and share: of each inner node and column the likeliest base, and its share of the likelihood.
+
+    What lies outside a node's subtree comes down level by level: from its parent, what lies outside that one, times what
+    its other children say. rates: tree, col and rate, else 1 everywhere. Of equal bases the first of ACGT counts;
+    columns without a base have no ancestors.
+    """
+    depths = _depths(nodes)
+    ends, inner = _rated(_leaf_vectors(nodes, letters, ambiguous or {}), rates), _inner(depths)
+    up, out = _outside(depths, ends, model, inner, False)
+    both = out.join(inner, ["tree", "node"], "left_semi").join(up.select("tree", "node", "col", "v"), ["tree", "node", "col"], "left")
     shares = [F.get("out", F.lit(i)) * F.coalesce(F.get("v", F.lit(i)), F.lit(1.0)) * p for i, p in enumerate(model.frequencies)]
     rows = both.select("tree", "node", "col", F.array(*shares).alias("_p")).withColumn("_sum", F.aggregate("_p", F.lit(0.0), lambda s, x: s + x))
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     return rows.select("tree", "node", "col", F.substring(F.lit(BASES), best, F.lit(1)).alias("base"), (F.array_max("_p") / F.col("_sum")).alias("share"))
+
+
+def leaf_surprises(nodes: DataFrame, letters: DataFrame, rates: DataFrame | None = None, model: Model = Model(), ambiguous: dict[str, str] | None = None) -> DataFrame:
+    """tree, name, col and surprise: how unlike what the rest of the tree expects of it a leaf's base is.
+
+    With the shares of the four bases that all other leaves give a leaf, it is ln(the largest share / (the share of its
+    own base + 0.0001)); so a leaf says nothing about itself. Letters that aren't one base are left out, their vectors
+    still count for the others. In a tree of one leaf the shares are the model's.
+    """
+    depths = _depths(nodes)
+    letter = F.translate(F.upper("ch"), "U", "T")
+    ends, inner = _rated(_leaf_vectors(nodes, letters, ambiguous or {}), rates), _inner(depths)
+    _, out = _outside(depths, ends, model, inner, True)
+    named = leaves(nodes).select("tree", "node", "name")
+    bases = letters.select("tree", "name", "col", letter.alias("base")).filter(F.col("base").isin(*BASES)).join(named, ["tree", "name"])
+    shares = [F.get("out", F.lit(i)) * p for i, p in enumerate(model.frequencies)]
+    own = reduce(lambda found, i: F.when(F.col("base") == BASES[i], shares[i]).otherwise(found), range(4), F.lit(None))
+    surprise = F.log(F.greatest(*shares) / (own + 0.0001 * reduce(lambda x, y: x + y, shares)))
+    return bases.join(out.select("tree", "node", "col", "out"), ["tree", "node", "col"]).select("tree", "name", "col", surprise.alias("surprise"))
+
+
+def chimera_quality(surprises: DataFrame, length: int, width: int) -> DataFrame:
+    """tree, name, mean_t, sum_t, halves, fifths and windows: where the surprises of a leaf differ from those of its whole text.
+
+    Columns are numbered from 1 to length, which is cut into equal parts: two, five, and length // width + 1. A part's t is
+    the difference of its mean surprise and that of the leaf over the standard error (the leaf's deviation over the root of
+    the part's number of bases). Each part gets a character: 0 to 4 for a mean below, 6 to 9 above, `-` for a part like
+    the whole (0.7 t, moved by a half and cut to a whole number, is 0), `.` for a part of fewer than two bases. mean_t and
+    sum_t are over the sizes of all t, null and 0 without any; a leaf without deviation has only t of 0.
+    """
+    kinds = {"halves": 2, "fifths": 5, "windows": length // width + 1}
+    at = F.struct(*[F.floor((F.col("col") - 1) * n / length).cast("int").alias(k) for k, n in kinds.items()])
+    # sums by leaf and the least common parts first, so that a leaf's columns are met once
+    value = F.col("surprise")
+    fine = surprises.groupBy("tree", "name", at.alias("at")).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"at.{k}").alias("part")) for k in kinds]))
+    parts = fine.select("tree", "name", each.alias("k"), "n", "s", "q").groupBy("tree", "name", "k.kind", "k.part").agg(*[F.sum(x).alias(x) for x in "nsq"])
+    whole = fine.groupBy("tree", "name").agg(F.sum("n").alias("all"), (F.sum("s") / F.sum("n")).alias("mean"), (F.sum("q") / F.sum("n")).alias("squares"))
+    deviation = F.sqrt(F.greatest(F.col("squares") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    t = F.when(F.col("deviation") < 1e-9, 0.0).otherwise((F.col("s") / F.col("n") - F.col("mean")) / (F.col("deviation") / F.sqrt("n")))
+    rows = parts.join(whole.withColumn("deviation", deviation), ["tree", "name"]).withColumn("t", F.when(F.col("n") > 1, t))
+    step = F.least(F.greatest((F.col("t") * 0.7 + 0.5).cast("int") + 5, F.lit(0)), F.lit(9))
+    marked = rows.select("tree", "name", "kind", "part", "t", F.when(F.col("t").isNotNull(), F.when(step == 5, "-").otherwise(step.cast("string"))).alias("mark"))
+    entry = lambda k: F.collect_list(F.when((F.col("kind") == k) & F.col("mark").isNotNull(), F.struct("part", "mark")))
+    lines = marked.groupBy("tree", "name").agg(F.avg(F.abs("t")).alias("mean_t"), F.coalesce(F.sum(F.abs("t")), F.lit(0.0)).alias("sum_t"), *[F.map_from_entries(entry(k)).alias(k) for k in kinds])
+    line = lambda k, n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(F.col(k), i), F.lit("."))), "")
+    return lines.select("tree", "name", "mean_t", "sum_t", *[line(k, n).alias(k) for k, n in kinds.items()])

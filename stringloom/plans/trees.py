@@ -380,9 +380,9 @@ _MODEL = ml.Model((0.2, 0.3, 0.3, 0.2), 1.5)
 _SITES = 6
 
 
-def sites(table):
-    """Letters of six columns for each customer: alike within a nation in the first ones, mixed in the last."""
-    c = table("customer").withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(_SITES))))
+def sites(table, n=_SITES):
+    """Letters of n columns for each customer: alike within a nation in the first ones, more and more mixed behind."""
+    c = table("customer").withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(n))))
     code = F.col("c_nationkey") * F.col("col") + F.floor(F.col("c_custkey") * F.col("col") / 24) % (F.col("col") + 1)
     return c.select(F.lit("nations").alias("tree"), F.col("c_name").alias("name"), "col", F.substring(F.lit("ACGU"), (code % 4 + 1).cast("int"), F.lit(1)).alias("ch"))
 
@@ -415,6 +415,44 @@ def column_rates(table):
     return found.select("col", F.round("rate", 9).alias("rate"), F.round("log_likelihood", 6).alias("log_likelihood"))
 
 
+_LONG, _WIDTH = 40, 8
+_PARTS = (("halves", 2), ("fifths", 5), ("windows", _LONG // _WIDTH + 1))
+
+
+def _down_sql(name: str, keys: str, source: str, rest: list[str], time: str) -> str:
+    """What lies outside of nodes, brought to 1 at most and moved along their branches."""
+    r = ", ".join(f"{x} AS r{i}" for i, x in enumerate(rest))
+    q = ", ".join(f"r{i} / greatest(r0, r1, r2, r3) AS q{i}" for i in range(4))
+    o = ", ".join(f"{x} AS o{i}" for i, x in enumerate(_moved_sql("q", "time")))
+    return f"{name} AS (SELECT {keys}, col, {o} FROM (SELECT *, {q} FROM (SELECT {keys}, col, {time} AS time, {r} FROM {source})))"
+
+
+def _rest_sql(own: str, whole: str, above: str, time: str) -> list[str]:
+    return [f"{above}{whole}.v{i} / ({m})".replace("{i}", str(i)) for i, m in enumerate(_moved_sql(f"{own}.v", time))]
+
+
+@_r.query(f"""
+    WITH z AS (SELECT c_name AS name, 'n' || c_nationkey AS nation, n_regionkey AS region, greatest((c_custkey % 10) / 4.0, 1e-9)::DOUBLE AS time, col, 1.0 AS rate, (c_nationkey * col + (c_custkey * col // 24) % (col + 1)) % 4 AS base FROM customer JOIN nation ON c_nationkey = n_nationkey, range(1, {_LONG + 1}) t(col)),
+    leaf AS (SELECT z.*, 0.0 AS scale, {", ".join(f"(base = {i})::INTEGER::DOUBLE AS v{i}" for i in range(4))} FROM z),
+    {_level_sql("a", "leaf", "nation, region", "time")}, {_level_sql("b", "a", "region", "0.5")}, {_level_sql("w", "b", "'world' AS world", "1.0")},
+    {_down_sql("ob", "region", "b JOIN w USING (col)", _rest_sql("b", "w", "", "1.0"), "1.0")},
+    {_down_sql("oa", "region, nation", "a JOIN b USING (region, col) JOIN ob USING (region, col)", _rest_sql("a", "b", "ob.o{i} * ", "0.5"), "0.5")},
+    {_down_sql("ol", "name, base", "leaf JOIN a USING (nation, col) JOIN oa USING (nation, col)", _rest_sql("leaf", "a", "oa.o{i} * ", "leaf.time"), "leaf.time")},
+    f AS (SELECT name, col, base, {", ".join(f"o{i} * {p} AS f{i}" for i, p in enumerate(_MODEL.frequencies))} FROM ol),
+    x AS (SELECT name, col, ln(greatest(f0, f1, f2, f3) / (CASE base WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END + 0.0001 * (f0 + f1 + f2 + f3))) AS s FROM f),
+    k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {n})" for k, n in _PARTS)}) t(kind, n)),
+    p AS (SELECT name, kind, (col - 1) * n // {_LONG} AS part, count(*) AS c, avg(s) AS m FROM x, k GROUP BY ALL),
+    t AS (SELECT name, kind, part, CASE WHEN c > 1 THEN CASE WHEN d < 1e-9 THEN 0 ELSE (m - mean) / (d / sqrt(c)) END END AS t FROM p JOIN (SELECT name, avg(s) AS mean, sqrt(greatest(avg(s * s) - avg(s) * avg(s), 0)) AS d FROM x GROUP BY name) USING (name)),
+    c AS (SELECT *, least(greatest(trunc(0.7 * t + 0.5)::INTEGER + 5, 0), 9) AS step FROM t),
+    l AS (SELECT name, kind, string_agg(CASE WHEN t IS NULL THEN '.' WHEN step = 5 THEN '-' ELSE step::VARCHAR END, '' ORDER BY part) AS line FROM c GROUP BY ALL)
+    SELECT name, round((SELECT avg(abs(t)) FROM t WHERE t.name = o.name), 6) AS mean_t, {", ".join(f"max(line) FILTER (kind = '{k}') AS {k}" for k, _ in _PARTS)} FROM l o GROUP BY name
+""")
+def chimera_quality(table):
+    """Where in a customer's 40 letters the surprises, given all other customers, differ from the rest of them."""
+    found = ml.chimera_quality(ml.leaf_surprises(world(table), sites(table, _LONG), model=_MODEL), _LONG, _WIDTH)
+    return found.select("name", F.round("mean_t", 6).alias("mean_t"), *[k for k, _ in _PARTS])
+
+
 @_r.query()
 def ancestral_bases(table):
     """The likeliest bases of regions, nations and the world at six columns; tested against sums over all choices."""

@@ -81,3 +81,53 @@ def test_many_leaves_do_not_underflow(spark):
     letters = spark.createDataFrame([("t", f"n{k}", 1, "ACGT"[k % 4]) for k in range(3000)], "tree string, name string, col int, ch string")
     row = ml.column_rates(nodes, letters, steps=4, rounds=1).first()
     assert math.isfinite(row.log_likelihood) and row.log_likelihood < -3000 and row.rate == 16.0
+
+
+def test_leaf_surprises(spark):
+    """Without its own letter, the tree gives a leaf the shares that trying all four bases for it gives."""
+    rng, model = random.Random(7), ml.Model((0.1, 0.2, 0.3, 0.4), 2.5)
+    columns = {k: {n: rng.choice("ACGT-") for n in "abcdef"} for k in range(1, 7)}
+    columns[3]["a"], columns[4] = "R", dict.fromkeys("bcdef", "-") | {"a": "G"}
+    nodes = spark.createDataFrame([("t", n, p, n if n in "abcdef" else None, t) for n, (p, t) in TREE.items()], "tree string, node string, parent string, name string, length double")
+    letters = spark.createDataFrame([("t", n, k, c.lower()) for k, own in columns.items() for n, c in own.items()], "tree string, name string, col int, ch string")
+    rates = spark.createDataFrame([("t", k, 0.5 + k / 4) for k in columns], "tree string, col int, rate double")
+    got = {(r.name, r.col): r.surprise for r in ml.leaf_surprises(nodes, letters, rates, model, {"R": "AG"}).collect()}
+    assert set(got) == {(n, k) for k, own in columns.items() for n, c in own.items() if c in "ACGT"}
+    for (n, k), surprise in got.items():
+        values = [all_bases(TREE, columns[k] | {n: b}, model, 0.5 + k / 4, CODES)[0] for b in "ACGT"]
+        shares = np.array(values) / sum(values)
+        assert surprise == pytest.approx(math.log(shares.max() / (shares["ACGT".index(columns[k][n])] + 0.0001)), abs=1e-6)
+
+
+def plain_quality(own, length, width):
+    """own: {column: surprise} of one leaf."""
+    all_, ts, lines = list(own.values()), [], []
+    mean = sum(all_) / len(all_)
+    deviation = math.sqrt(max(sum(x * x for x in all_) / len(all_) - mean * mean, 0))
+    for n in (2, 5, length // width + 1):
+        line = ""
+        for part in range(n):
+            here = [x for c, x in own.items() if (c - 1) * n // length == part]
+            if len(here) < 2:
+                line += "."
+                continue
+            t = 0 if deviation < 1e-9 else (sum(here) / len(here) - mean) / (deviation / math.sqrt(len(here)))
+            ts.append(abs(t))
+            step = min(max(int(0.7 * t + 0.5) + 5, 0), 9)
+            line += "-" if step == 5 else str(step)
+        lines.append(line)
+    return (sum(ts) / len(ts) if ts else None, sum(ts), *lines)
+
+
+def test_chimera_quality(spark):
+    rng, length = random.Random(3), 53
+    own = {f"n{k}": {c: rng.random() * (5 if c > 30 and k % 2 else 1) for c in range(1, length + 1) if rng.random() < 0.8} for k in range(8)}
+    own |= {"one": {5: 0.4}, "two": {5: 0.4, 50: 0.4}, "same": {c: 0.25 for c in range(1, length + 1)}, "planted": {c: 3.0 * (c > 26) + c % 2 / 9 for c in range(1, length + 1)}}
+    df = spark.createDataFrame([("t", n, c, x) for n, row in own.items() for c, x in row.items()], "tree string, name string, col int, surprise double")
+    got = {r.name: (r.mean_t, r.sum_t, r.halves, r.fifths, r.windows) for r in ml.chimera_quality(df, length, 7).collect()}
+    assert set(got) == set(own)
+    for n, row in own.items():
+        want = plain_quality(row, length, 7)
+        assert got[n][2:] == want[2:] and got[n][1] == pytest.approx(want[1]) and got[n][0] == (want[0] if want[0] is None else pytest.approx(want[0]))
+    assert got["planted"][2] == "38" and got["one"][2:] == ("..", ".....", "........") and set("".join(got["same"][2:])) == {"-"}
+    assert ml.chimera_quality(df.limit(0), length, 7).collect() == []
