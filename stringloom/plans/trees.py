@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stringloom.operators import likelihood as ml
+from stringloom.operators import rearranging as ra
 from stringloom.operators import trees as tr
 from stringloom.operators.storage import stored
 from stringloom.plans.registry import Registry
@@ -467,3 +468,45 @@ def ancestral_bases(table):
 def innermost_edges(table):
     """The edge that halves the tree of regions, nations and customers best."""
     return tr.innermost_edge(world(table))
+
+
+_QUARTET_SITES = 10
+
+
+def quartets(table):
+    """Binary trees of four customers each, the last of what is left, and the letters of their customers."""
+    c = table("customer").select(F.floor(F.col("c_custkey") / 4).alias("q"), (F.col("c_custkey") % 4).alias("at"), "c_name")
+    size = c.groupBy("q").agg(F.count(F.lit(1)).alias("m"))
+    tree = F.concat(F.lit("q"), F.col("q").cast("string")).alias("tree")
+    ends = c.join(size, "q").select(tree, (F.col("m") + F.col("at")).alias("node"), F.col("c_name").alias("name"))
+    inner = size.filter("m > 1").select(tree, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m") - 1)).alias("node"), F.lit(None).cast("string").alias("name"))
+    parent = F.when(F.col("node") > 1, F.floor(F.col("node") / 2)).alias("parent")
+    nodes = ends.unionByName(inner).select("tree", "node", parent, "name", F.lit(1.0).alias("length"))
+    return nodes, sites(table, _QUARTET_SITES).drop("tree").join(ends.select("tree", "name"), "name")
+
+
+_APART = lambda x, y: f"(({x} & {y}) = 0)::INTEGER"
+_BOTH = lambda x, y: f"(CASE WHEN ({x} & {y}) = 0 THEN {x} | {y} ELSE {x} & {y} END)"
+_PAIRED = lambda a, b, c, d: f"{_APART(a, b)} + {_APART(c, d)} + {_APART(_BOTH(a, b), _BOTH(c, d))}"
+_QUARTETS = f"""
+    z AS (SELECT c_custkey // 4 AS q, c_custkey % 4 AS place, col, (1 << ((c_nationkey * col + (c_custkey * col // 24) % (col + 1)) % 4)::INTEGER) AS bits FROM customer, range(1, {_QUARTET_SITES + 1}) t(col)),
+    m AS (SELECT *, count(*) OVER (PARTITION BY q, col) AS m FROM z),
+    role AS (SELECT q, col, m, bits, CASE m WHEN 4 THEN substr('abcd', place::INTEGER + 1, 1) WHEN 3 THEN substr('cab', place::INTEGER + 1, 1) ELSE substr('ac', place::INTEGER + 1, 1) END AS role FROM m),
+    four AS (SELECT q, col, m, {", ".join(f"coalesce(max(bits) FILTER (role = '{r}'), 15) AS {r}" for r in "abcd")} FROM role GROUP BY ALL),
+    costs AS (SELECT 'q' || q AS tree, m, sum({_PAIRED(*"abcd")})::DOUBLE AS own, sum({_PAIRED(*"cbad")})::DOUBLE AS by_a, sum({_PAIRED(*"acbd")})::DOUBLE AS by_b FROM four GROUP BY ALL)
+"""
+
+
+@_r.query(f"WITH {_QUARTETS} SELECT tree, 4::BIGINT AS x, 6::BIGINT AS y, own - by_a AS gain FROM costs WHERE m = 4 UNION ALL SELECT tree, 5, 6, own - by_b FROM costs WHERE m = 4")
+def branch_swaps(table):
+    """What each swap saves in trees of four customers."""
+    return ra.swaps(*quartets(table)).select("tree", "x", "y", "gain")
+
+
+@_r.query(f"WITH {_QUARTETS} SELECT tree, own AS before, CASE WHEN m = 4 THEN least(own, by_a, by_b) ELSE own END AS after FROM costs")
+def improved_trees(table):
+    """Changes of trees of four customers before and after all swaps that help; larger trees are tested against plain counts."""
+    nodes, letters = quartets(table)
+    nodes, letters = stored(nodes, "quartets"), stored(letters, "quartet-letters")
+    after = ra.changes(ra.improved(nodes, letters), letters).withColumnRenamed("changes", "after")
+    return ra.changes(nodes, letters).withColumnRenamed("changes", "before").join(after, "tree")
