@@ -3,7 +3,7 @@
 Texts are cut into blocks of residues, each with the ends of its neighbours, so that windows are settled within a
 block. How far an extension goes depends on what lies before it in the whole text; of a block it is enough to know
 its last site or stop in either direction, so the extensions are a prefix scan over the blocks. What comes out are
-runs of one structure, which are merged where they meet.
+runs of one structure; those that reach an end of a block are merged with what they meet there.
 """
 
 from __future__ import annotations
@@ -130,6 +130,31 @@ _NAMES = ["helix_right", "helix_left", "strand_right", "strand_left"]
 _KINDS = np.array(["", "H", "E", "X", "T"])
 
 
+def _closed(runs: list[tuple], first: int, last: int) -> list[tuple]:
+    """Runs (text, block, line, stop, kind, a, b, open) of a block from first to last, settled where they can be.
+
+    Runs that touch are a chain; one that reaches an end of the block may go on in the next, so its runs stay open. In
+    the other chains overlaps get their structure, and runs that have the same one then become one.
+    """
+    chains, out = [], []
+    for run in runs:
+        if chains and chains[-1][-1][3] + 1 == run[2]:
+            chains[-1].append(run)
+        else:
+            chains.append([run])
+    for chain in chains:
+        if chain[0][2] == first or chain[-1][3] == last:
+            out += [(*run[:-1], True) for run in chain]
+            continue
+        start = len(out)
+        for text, block, line, stop, kind, a, b, _ in chain:
+            kind = kind if kind != "X" else "H" if a > b else "E"
+            if len(out) > start and out[-1][4] == kind:
+                text, block, line, *_ = out.pop()
+            out.append((text, block, line, stop, kind, a, b, False))
+    return out
+
+
 def _merged(runs: DataFrame) -> DataFrame:
     """Runs of one kind that touch become one; runs: text, block, line (the start), stop, kind, a and b."""
     last = before(runs, "_last", F.struct("stop", "kind"), F.max, "text")
@@ -183,12 +208,15 @@ def predicted(df: DataFrame, key: str, text: str, gaps: str = "-.", block: int =
                 starts = np.flatnonzero(np.diff(kinds, prepend=-1))
                 formers = [np.add.reduceat(_VALUES[b.codes[b.own], s], starts).tolist() for s in (0, 1)]
                 stops, first = [*starts[1:].tolist(), len(kinds)], number * block + 1
-                out += [(text, number, first + i, first + j - 1, kind, *sums) for i, j, kind, *sums in zip(starts.tolist(), stops, _KINDS[kinds[starts]].tolist(), *formers) if kind]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["text", "block", "line", "stop", "kind", "a", "b"])
-
-    found = narrow.join(carried, ["text", "block"]).mapInArrow(runs, "text long, block int, line long, stop long, kind string, a long, b long")
-    whole = _merged(found)
+                found = [(text, number, first + i, first + j - 1, kind, *sums, False) for i, j, kind, *sums in zip(starts.tolist(), stops, _KINDS[kinds[starts]].tolist(), *formers) if kind]
+                out += _closed(found, first, first + len(kinds) - 1)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["text", "block", "line", "stop", "kind", "a", "b", "open"])
+
+    found = narrow.join(carried, ["text", "block"]).mapInArrow(runs, "text long, block int, line long, stop long, kind string, a long, b long, open boolean")
+    found = stored(found, "protein-runs")
+    whole = _merged(found.filter("open").drop("open"))
     settled = whole.withColumn("kind", F.when(F.col("kind") != "X", F.col("kind")).when(F.col("a") > F.col("b"), "H").otherwise("E"))
     keys = pieces.filter("block = 0").select("text", "key")
-    return _merged(settled).join(keys, "text").select(F.col("key").alias(key), F.col("kind").alias("structure"), F.col("line").alias("start"), "stop")
+    settled = _merged(settled).select("text", "line", "stop", "kind").unionByName(found.filter("not open").select("text", "line", "stop", "kind"))
+    return settled.join(keys, "text").select(F.col("key").alias(key), F.col("kind").alias("structure"), F.col("line").alias("start"), "stop")
