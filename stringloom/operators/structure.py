@@ -58,6 +58,7 @@ class _Block:
         self.known, self.n = self.codes >= 0, n
         self.places = np.arange(len(letters)) + start - len(left)
         self.own = slice(len(left), len(left) + len(chunk))
+        self._found: dict[int, np.ndarray] = {}
 
     def _at(self, values: np.ndarray, by: int, fill):
         """values of the places that lie `by` behind; fill beyond the ends."""
@@ -86,9 +87,12 @@ class _Block:
         return edges.cumsum()[:-1] > 0
 
     def sites(self, s: int) -> np.ndarray:
+        if s in self._found:
+            return self._found[s]
         former, breaker = _VALUES[self.codes, s], _VALUES[self.codes, s + 2]
         total = lambda values, at, k: sum(values[at + i] for i in range(k))
-        return self._in_windows(WINDOWS[s], lambda at, k: (total(former, at, k) > 100 * (WINDOWS[s] - 2)) & (total(breaker, at, k) < 200))
+        self._found[s] = self._in_windows(WINDOWS[s], lambda at, k: (total(former, at, k) > 100 * (WINDOWS[s] - 2)) & (total(breaker, at, k) < 200))
+        return self._found[s]
 
     def turns(self) -> np.ndarray:
         def good(at, k):
