@@ -202,12 +202,13 @@ def accepted_ambiguous(ambiguous: Column, plain: Column, most: int, ignored: int
 
 
 def gc_content(c: Column) -> Column:
-    return F.char_length(c) - F.char_length(F.translate(F.upper(c), "GC", ""))
+    """How many letters are G or C. Both cases are listed, since upper case can make two letters of one."""
+    return F.char_length(c) - F.char_length(F.translate(c, "GCgc", ""))
 
 
 def melting_temperature(c: Column) -> Column:
     """4 for each G or C, 2 for each A, T or U."""
-    at = F.char_length(c) - F.char_length(F.translate(F.upper(c), "ATU", ""))
+    at = F.char_length(c) - F.char_length(F.translate(c, "ATUatu", ""))
     return 4 * gc_content(c) + 2 * at
 
 
