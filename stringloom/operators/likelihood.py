@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.operators.storage import stored
+from stringloom.operators.storage import sized
 from stringloom.operators.trees import closure, leaves
 
 BASES = "ACGT"
@@ -52,7 +52,7 @@ class Model:
 def _depths(nodes: DataFrame) -> DataFrame:
     deep = closure(nodes).groupBy("tree", "node").agg(F.max("steps").alias("depth"))
     time = F.greatest(F.coalesce("length", F.lit(0.0)), F.lit(SHORTEST))
-    return stored(nodes.join(deep, ["tree", "node"]).select("tree", "node", "parent", time.alias("time"), "depth"), "tree-depths")
+    return sized(nodes.join(deep, ["tree", "node"]).select("tree", "node", "parent", time.alias("time"), "depth"), "tree-depths")
 
 
 def _leaf_vectors(nodes: DataFrame, letters: DataFrame, ambiguous: dict[str, str]) -> DataFrame:
@@ -61,7 +61,8 @@ def _leaf_vectors(nodes: DataFrame, letters: DataFrame, ambiguous: dict[str, str
     known = {b: b for b in BASES} | ambiguous
     vectors = F.create_map(*[x for k, bases in known.items() for x in (F.lit(k), F.array(*[F.lit(float(b in bases)) for b in BASES]))])
     ends = leaves(nodes).select("tree", "node", "name")
-    rows = letters.join(ends, ["tree", "name"]).select("tree", "node", "col", F.try_element_at(vectors, letter).alias("v"))
+    # letters are many rows of each row of their table, which Spark takes for their size
+    rows = letters.hint("merge").join(ends, ["tree", "name"]).select("tree", "node", "col", F.try_element_at(vectors, letter).alias("v"))
     return rows.filter(F.col("v").isNotNull()).withColumn("scale", F.lit(0.0))
 
 
@@ -75,12 +76,12 @@ def _product(rows: DataFrame, *keys: str) -> DataFrame:
 def _upwards(depths: DataFrame, ends: DataFrame, model: Model) -> DataFrame:
     """tree, node, col, rate, v and scale of all nodes that have a letter below them; ends: those of the leaves."""
     deepest = depths.agg(F.max("depth")).first()[0] or 0
-    placed = stored(ends.join(depths.select("tree", "node", "depth"), ["tree", "node"]), "up-0")
+    placed = sized(ends.join(depths.select("tree", "node", "depth"), ["tree", "node"]), "up-0")
     all_, level = [placed.drop("depth")], placed.filter(F.col("depth") == deepest).drop("depth")
     for depth in range(deepest, 0, -1):
         branch = depths.filter(F.col("depth") == depth).select("tree", "node", "parent", "time")
         moved = level.join(branch, ["tree", "node"]).select("tree", F.col("parent").alias("node"), "col", "rate", model.moved(F.col("v"), F.col("time") * F.col("rate")).alias("v"), "scale")
-        level = stored(_product(moved, "tree", "node", "col", "rate"), "up")
+        level = sized(_product(moved, "tree", "node", "col", "rate"), "up")
         all_.append(level)
         level = level.unionByName(placed.filter(F.col("depth") == depth - 1).drop("depth"))
     return reduce(DataFrame.unionByName, all_)
@@ -101,22 +102,22 @@ def column_rates(nodes: DataFrame, letters: DataFrame, model: Model = Model(), l
     smallest counts. Columns without a base are left out.
     """
     depths = _depths(nodes)
-    ends = stored(_leaf_vectors(nodes, letters, ambiguous or {}), "leaf-vectors")
+    ends = sized(_leaf_vectors(nodes, letters, ambiguous or {}), "leaf-vectors")
     columns = ends.select("tree", "col").distinct().withColumns({"low": F.lit(float(least)), "high": F.lit(float(most))})
     for _ in range(rounds):
         candidates = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.struct(k.alias("k"), (F.col("low") * F.pow(F.col("high") / F.col("low"), k / steps)).alias("rate")))
-        asked = stored(columns.select("tree", "col", "low", "high", F.inline(candidates)), "rates")
+        asked = sized(columns.select("tree", "col", "low", "high", F.inline(candidates)), "rates")
         found = _likelihoods(depths, ends.join(asked.select("tree", "col", "rate"), ["tree", "col"]), model)
         best = asked.join(found, ["tree", "col", "rate"]).groupBy("tree", "col").agg(F.max(F.struct("log_likelihood", (-F.col("k")).alias("k"), "rate", "low", "high")).alias("b"))
         ratio = F.pow(F.col("b.high") / F.col("b.low"), F.lit(1 / steps))
-        columns = stored(best.select("tree", "col", F.greatest(F.col("b.rate") / ratio, F.lit(float(least))).alias("low"), F.least(F.col("b.rate") * ratio, F.lit(float(most))).alias("high"), "b.rate", "b.log_likelihood"), "rates")
+        columns = sized(best.select("tree", "col", F.greatest(F.col("b.rate") / ratio, F.lit(float(least))).alias("low"), F.least(F.col("b.rate") * ratio, F.lit(float(most))).alias("high"), "b.rate", "b.log_likelihood"), "rates")
     return columns.select("tree", "col", "rate", "log_likelihood")
 
 
 def _rated(ends: DataFrame, rates: DataFrame | None) -> DataFrame:
     """Leaf vectors with the rate of their column, 1 everywhere if none are given."""
     ends = ends.withColumn("rate", F.lit(1.0)) if rates is None else ends.join(rates.select("tree", "col", "rate"), ["tree", "col"])
-    return stored(ends, "leaf-vectors")
+    return sized(ends, "leaf-vectors")
 
 
 def _inner(depths: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def _inner(depths: DataFrame) -> DataFrame:
 
 def _outside(depths: DataFrame, ends: DataFrame, model: Model, inner: DataFrame, with_leaves: bool) -> tuple[DataFrame, DataFrame]:
     """Vectors from below (up) and of what lies outside each node's subtree (out): of inner nodes, or also of leaves that have a letter."""
-    up = stored(_upwards(depths, ends, model).join(depths, ["tree", "node"]), "up-vectors")
+    up = sized(_upwards(depths, ends, model).join(depths, ["tree", "node"]), "up-vectors")
     branch = up.withColumn("moved", model.moved(F.col("v"), F.col("time") * F.col("rate"))).select("tree", "node", "parent", "col", "rate", "time", "depth", "moved")
     # all children of a node together, of which each one's own part is taken out again
     ones = F.array(*[F.lit(1.0)] * 4)
@@ -145,7 +146,7 @@ def _outside(depths: DataFrame, ends: DataFrame, model: Model, inner: DataFrame,
         rest = [F.get("above", F.lit(i)) * F.coalesce(F.get("whole", F.lit(i)), F.lit(1.0)) / F.greatest(F.get("moved", F.lit(i)), F.lit(1e-300)) for i in range(4)]
         top = F.greatest(*[F.get("_rest", F.lit(i)) for i in range(4)])
         scaled = rows.withColumn("_rest", F.array(*rest)).withColumn("_rest", F.transform("_rest", lambda x: x / top))
-        down = stored(scaled.select("tree", "node", "col", "rate", model.moved(F.col("_rest"), F.col("time") * F.col("rate")).alias("out")), "down")
+        down = sized(scaled.select("tree", "node", "col", "rate", model.moved(F.col("_rest"), F.col("time") * F.col("rate")).alias("out")), "down")
         all_.append(down)
     return up, reduce(DataFrame.unionByName, all_)
 
@@ -179,7 +180,7 @@ def leaf_surprises(nodes: DataFrame, letters: DataFrame, rates: DataFrame | None
     ends, inner = _rated(_leaf_vectors(nodes, letters, ambiguous or {}), rates), _inner(depths)
     _, out = _outside(depths, ends, model, inner, True)
     named = leaves(nodes).select("tree", "node", "name")
-    bases = letters.select("tree", "name", "col", letter.alias("base")).filter(F.col("base").isin(*BASES)).join(named, ["tree", "name"])
+    bases = letters.select("tree", "name", "col", letter.alias("base")).filter(F.col("base").isin(*BASES)).hint("merge").join(named, ["tree", "name"])
     shares = [F.get("out", F.lit(i)) * p for i, p in enumerate(model.frequencies)]
     own = reduce(lambda found, i: F.when(F.col("base") == BASES[i], shares[i]).otherwise(found), range(4), F.lit(None))
     surprise = F.log(F.greatest(*shares) / (own + 0.0001 * reduce(lambda x, y: x + y, shares)))

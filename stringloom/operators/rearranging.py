@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.operators.storage import stored
+from stringloom.operators.storage import sized
 from stringloom.operators.trees import BASE_BITS, closure, leaves
 
 _ANY = 15
@@ -27,24 +27,25 @@ def _meet(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _depths(nodes: DataFrame) -> DataFrame:
     deep = closure(nodes).groupBy("tree", "node").agg(F.max("steps").alias("depth"))
-    return stored(nodes.join(deep, ["tree", "node"]).select("tree", "node", "parent", "depth"), "swap-depths")
+    return sized(nodes.join(deep, ["tree", "node"]).select("tree", "node", "parent", "depth"), "swap-depths")
 
 
 def _leaf_sets(nodes: DataFrame, letters: DataFrame) -> DataFrame:
     """tree, node, col and bases of leaves whose letter says anything; a letter that can be any base is left out."""
     bits = F.create_map(*[F.lit(x) for pair in BASE_BITS.items() for x in pair])
-    rows = letters.join(leaves(nodes).select("tree", "node", "name"), ["tree", "name"]).select("tree", "node", "col", F.try_element_at(bits, F.upper("ch")).alias("bases"))
+    # letters are many rows of each row of their table, which Spark takes for their size
+    rows = letters.hint("merge").join(leaves(nodes).select("tree", "node", "name"), ["tree", "name"]).select("tree", "node", "col", F.try_element_at(bits, F.upper("ch")).alias("bases"))
     return rows.filter(F.col("bases") < _ANY)
 
 
 def _upwards(depths: DataFrame, ends: DataFrame) -> DataFrame:
     """tree, node, parent, depth, col, bases and changes: of each node the set of the subtree below it."""
     deepest = depths.agg(F.max("depth")).first()[0] or 0
-    placed = stored(ends.join(depths, ["tree", "node"]).withColumn("changes", F.lit(0).cast("long")), "swap-ends")
+    placed = sized(ends.join(depths, ["tree", "node"]).withColumn("changes", F.lit(0).cast("long")), "swap-ends")
     all_, level = [placed], placed.filter(F.col("depth") == deepest)
     for depth in range(deepest - 1, -1, -1):
         met = _meet(level.select("tree", F.col("parent").alias("node"), "col", "bases"), "tree", "node", "col")
-        above = stored(met.join(depths.filter(F.col("depth") == depth), ["tree", "node"]), "swap-up")
+        above = sized(met.join(depths.filter(F.col("depth") == depth), ["tree", "node"]), "swap-up")
         all_.append(above)
         level = above.unionByName(placed.filter(F.col("depth") == depth))
     return reduce(DataFrame.unionByName, all_)
@@ -76,7 +77,7 @@ def _downwards(up: DataFrame, depths: DataFrame) -> DataFrame:
         sets = pair.select("tree", "node", F.col("_other").alias("_from")).join(narrow.select("tree", F.col("node").alias("_from"), "col", "bases"), ["tree", "_from"]).select("tree", "node", "col", "bases")
         if above is not None:
             sets = sets.unionByName(nodes.select("tree", "node", "parent").join(above.select("tree", F.col("node").alias("parent"), "col", "bases"), ["tree", "parent"]).select("tree", "node", "col", "bases"))
-        above = stored(_meet(sets, "tree", "node", "col").drop("changes"), "swap-down")
+        above = sized(_meet(sets, "tree", "node", "col").drop("changes"), "swap-down")
         all_.append(above)
     return reduce(DataFrame.unionByName, all_)
 
@@ -109,11 +110,11 @@ def swaps(nodes: DataFrame, letters: DataFrame, weights: DataFrame | None = None
     edge and upper are the nodes at the edge's ends. Each swap is scored as if it were the only one.
     """
     depths = _depths(nodes)
-    return _scored(depths, stored(_upwards(depths, _leaf_sets(nodes, letters)), "swap-sets"), weights)
+    return _scored(depths, sized(_upwards(depths, _leaf_sets(nodes, letters)), "swap-sets"), weights)
 
 
 def _scored(depths: DataFrame, up: DataFrame, weights: DataFrame | None) -> DataFrame:
-    edges = stored(_edges(depths), "swap-edges")
+    edges = sized(_edges(depths), "swap-edges")
     if not edges.head(1):
         return edges.select("tree", "edge", "upper", F.col("a").alias("x"), F.col("c").alias("y"), F.lit(0.0).alias("gain"))
     below, beyond = up.select("tree", "node", "col", "bases"), _downwards(up, depths)
@@ -155,28 +156,28 @@ def improved(nodes: DataFrame, letters: DataFrame, weights: DataFrame | None = N
     odd = nodes.filter("parent is not null").groupBy("tree", "parent").count().filter("count != 2").head()
     if odd:
         raise ValueError(f"node {odd['parent']} of tree {odd['tree']} has {odd['count']} children, not two")
-    done, active, turn = [], stored(nodes, "swap-trees"), 0
+    done, active, turn = [], sized(nodes, "swap-trees"), 0
     depths = _depths(active)
-    up = stored(_upwards(depths, _leaf_sets(active, letters)), "swap-sets")
+    up = sized(_upwards(depths, _leaf_sets(active, letters)), "swap-sets")
     while rounds is None or turn < rounds:
-        helping = stored(_scored(depths, up, weights).filter("gain > 1e-9"), "swap-found")
+        helping = sized(_scored(depths, up, weights).filter("gain > 1e-9"), "swap-found")
         trees = helping.select("tree").distinct()
         done.append(active.join(trees, "tree", "left_anti"))
         if not helping.head(1):
             active = None
             break
-        active = stored(active.join(trees, "tree", "left_semi"), "swap-trees")
-        before = stored(_total(up, weights).join(trees, "tree", "left_semi"), "swap-scores")
-        chosen = stored(_free_of_conflict(helping), "swap-chosen")
-        trial = stored(_exchanged(active, chosen), "swap-trees")
+        active = sized(active.join(trees, "tree", "left_semi"), "swap-trees")
+        before = sized(_total(up, weights).join(trees, "tree", "left_semi"), "swap-scores")
+        chosen = sized(_free_of_conflict(helping), "swap-chosen")
+        trial = sized(_exchanged(active, chosen), "swap-trees")
         depths = _depths(trial)
-        up = stored(_upwards(depths, _leaf_sets(trial, letters)), "swap-sets")
-        failed = stored(before.join(_total(up, weights).select("tree", F.col("changes").alias("_now")), "tree").filter("_now >= changes - 1e-9").select("tree"), "swap-failed")
+        up = sized(_upwards(depths, _leaf_sets(trial, letters)), "swap-sets")
+        failed = sized(before.join(_total(up, weights).select("tree", F.col("changes").alias("_now")), "tree").filter("_now >= changes - 1e-9").select("tree"), "swap-failed")
         if failed.head(1):
             single = helping.join(failed, "tree", "left_semi").groupBy("tree").agg(F.max(F.struct("gain", "edge", "x", "y")).alias("s")).select("tree", "s.*")
             kept = chosen.join(failed, "tree", "left_anti").select("tree", "x", "y").unionByName(single.select("tree", "x", "y"))
-            trial = stored(_exchanged(active, kept), "swap-trees")
+            trial = sized(_exchanged(active, kept), "swap-trees")
             depths = _depths(trial)
-            up = stored(_upwards(depths, _leaf_sets(trial, letters)), "swap-sets")
+            up = sized(_upwards(depths, _leaf_sets(trial, letters)), "swap-sets")
         active, turn = trial, turn + 1
     return reduce(DataFrame.unionByName, done + ([] if active is None else [active]))

@@ -29,6 +29,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A written table of more rows is never broadcast, however small its files are.
+BROADCAST_ROWS = 100_000
+
+
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """stored, for tables of alike rows, whose files are so small that Spark would broadcast gigabytes through the driver.
+
+    The files' footers tell how many rows there are; many rows are joined by sorting.
+    """
+    written = stored(df, name)
+    return written.hint("merge") if written.count() > BROADCAST_ROWS else written
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with the place (from 1) of each row in the given order, which has to be total.
 
