@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stringloom.operators import blocks
 from stringloom.operators.intervals import merged, reverse_complement
 from stringloom.operators.storage import stored
 
@@ -135,25 +136,16 @@ def probe_hits(
     Letters of `ambiguous` in the data are counted apart; of fewer than `limit` of them `ignored` ones cost nothing.
     A place is a hit if what is left of them and the other mismatches are `most` at most, which may be half the
     probe's length at most. With reverse the reverse complements are searched too. weighted sums the loss of the
-    bonds by place. Probes shorter than `shortest` are left out. All places are found: they differ in `most` +
-    `ignored` letters at most, so a seed stands there unchanged.
+    bonds by place. Probes shorter than `shortest` are left out. All places are found: pieces of a short probe that stand
+    unchanged are so short that they stand nearly everywhere, so blocks of probes are held against blocks of texts.
     """
     usable = probes.filter((F.char_length(probe) >= shortest) & (F.char_length(probe) >= 2 * most))
-    both = usable.select(F.struct(F.col(probe_key).alias("id"), F.lit(False).alias("reverse")).alias("_p"), F.col(probe).alias("_probe"))
+    both = usable.select(F.col(probe_key).alias("probe_id"), F.lit(False).alias("reverse"), F.col(probe).alias("_probe"))
     if reverse:
-        both = both.unionByName(usable.select(F.struct(F.col(probe_key).alias("id"), F.lit(True).alias("reverse")).alias("_p"), reverse_complement(F.col(probe)).alias("_probe")))
-    found = probe_match(both, "_p", "_probe", items, key, data, most + ignored).select(F.col("probe_id").alias("_p"), key, "position")
-    rows = found.join(both, "_p").join(items.select(key, F.col(data).alias("_data")), key)
-    piece = F.substring(F.col("_data"), F.col("position"), F.char_length("_probe"))
-    chars = lambda c: F.filter(F.split(c, ""), lambda ch: ch != "")
-    unclear = lambda x: F.instr(F.lit(ambiguous), x) > 0
-    kinds = F.zip_with(chars(F.col("_probe")), chars(F.col("piece")), lambda x, y: F.when(x == y, 0).when(unclear(y), 2).otherwise(1))
-    rows = rows.withColumn("piece", piece).withColumn("_kinds", kinds)
-    count = lambda k: F.size(F.filter("_kinds", lambda v: v == k))
-    rows = rows.withColumn("mismatches", count(1)).withColumn("n_mismatches", count(2))
-    hits = rows.filter(accepted_ambiguous(F.col("n_mismatches"), F.col("mismatches"), most, ignored, limit))
+        both = both.unionByName(usable.select(F.col(probe_key).alias("probe_id"), F.lit(True).alias("reverse"), reverse_complement(F.col(probe)).alias("_probe")))
+    hits = blocks.probe_places(both, "_probe", items, key, data, most, ignored, limit, ambiguous)
     weight = weighted_mismatches(F.col("_probe"), F.col("piece"), loss or bond_loss())
-    return hits.select(F.col("_p.id").alias("probe_id"), F.col("_p.reverse").alias("reverse"), key, "position", "mismatches", "n_mismatches", weight.alias("weighted"), F.col("_probe").alias("probe"), "piece")
+    return hits.select("probe_id", "reverse", key, "position", "mismatches", "n_mismatches", weight.alias("weighted"), F.col("_probe").alias("probe"), "piece")
 
 
 def hit_order(key: str, weighted: bool = False) -> list[Column]:

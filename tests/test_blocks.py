@@ -70,3 +70,37 @@ def test_counts_explode_no_letters(spark):
 def test_gc_content_of_letters_that_upper_case_makes_longer(spark):
     found = spark.createDataFrame([("straße",), ("ﬆgc",), ("Gcau",)], "c string").select(kmers.gc_content(F.col("c")).alias("gc"), kmers.melting_temperature(F.col("c")).alias("t")).collect()
     assert [tuple(r) for r in found] == [(0, 4), (2, 8), (2, 12)]
+
+
+def test_many_alike_rows_are_not_broadcast(spark, monkeypatch):
+    """The files of alike rows are small, so Spark sent gigabytes of them through the driver."""
+    from stringloom.operators import storage
+
+    many = storage.sized(spark.range(200_000).select((F.col("id") % 3).alias("k"), F.lit(1.0).alias("v")), "many")
+    few = storage.sized(spark.range(3).withColumnRenamed("id", "k"), "few")
+    plan = lambda a, b: a.join(b, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(many, many.groupBy("k").count())
+    assert "BroadcastHashJoin" in plan(few, few.withColumn("v", F.lit(1)))
+
+
+def test_probe_hits_with_any_seeds(spark, small_blocks, monkeypatch):
+    """Every place, at the ends of texts and of parts too, also where no piece of the probe stands unchanged by itself."""
+    monkeypatch.setattr(blocks, "AT_ONCE", 16)
+    texts = [(1, "ACGTACGTAC" * 5), (2, "NNACGTNCGAAC"), (3, "ACGTACGTA"), (4, None), (5, ""), (6, "TTTTTTTTTTACGTTCGTAC")]
+    probes = spark.createDataFrame([(7, "ACGTACGTAC"), (8, "TTTTTTTTTTAC"), (9, "ACGT")], "p int, t string")
+    df = spark.createDataFrame(texts, "id int, data string")
+    found = kmers.probe_hits(probes, "p", "t", df, "id", "data", 2, ignored=1).collect()
+
+    def passes(a, b):
+        other = sum(x != y and y in "N." for x, y in zip(a, b))
+        plain = sum(x != y and y not in "N." for x, y in zip(a, b))
+        return plain + (max(other - 1, 0) if other < 4 else other) <= 2, plain, other
+
+    expected = []
+    for p, probe in [(7, "ACGTACGTAC"), (8, "TTTTTTTTTTAC")]:
+        for i, t in texts:
+            for at in range(len(t or "") - len(probe) + 1):
+                ok, plain, other = passes(probe, t[at : at + len(probe)])
+                expected += [(p, i, at + 1, plain, other, t[at : at + len(probe)])] if ok else []
+    assert sorted((r.probe_id, r.id, r.position, r.mismatches, r.n_mismatches, r.piece) for r in found) == sorted(expected)
+    assert blocks.near_places(["ACGTA" * 60], ["ACGTA" * 60], 3, 1, 4, "N")[2].tolist() == [1]  # more letters than a byte counts
