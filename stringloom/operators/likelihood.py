@@ -52,7 +52,7 @@ class Model:
 def _depths(nodes: DataFrame) -> DataFrame:
     deep = closure(nodes).groupBy("tree", "node").agg(F.max("steps").alias("depth"))
     time = F.greatest(F.coalesce("length", F.lit(0.0)), F.lit(SHORTEST))
-    return sized(nodes.join(deep, ["tree", "node"]).select("tree", "node", "parent", time.alias("time"), "depth"), "tree-depths")
+    return sized(nodes.hint("merge").join(deep, ["tree", "node"]).select("tree", "node", "parent", time.alias("time"), "depth"), "tree-depths")
 
 
 def _leaf_vectors(nodes: DataFrame, letters: DataFrame, ambiguous: dict[str, str]) -> DataFrame:

@@ -27,7 +27,7 @@ def _meet(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _depths(nodes: DataFrame) -> DataFrame:
     deep = closure(nodes).groupBy("tree", "node").agg(F.max("steps").alias("depth"))
-    return sized(nodes.join(deep, ["tree", "node"]).select("tree", "node", "parent", "depth"), "swap-depths")
+    return sized(nodes.hint("merge").join(deep, ["tree", "node"]).select("tree", "node", "parent", "depth"), "swap-depths")
 
 
 def _leaf_sets(nodes: DataFrame, letters: DataFrame) -> DataFrame:
