@@ -104,3 +104,14 @@ def test_probe_hits_with_any_seeds(spark, small_blocks, monkeypatch):
                 expected += [(p, i, at + 1, plain, other, t[at : at + len(probe)])] if ok else []
     assert sorted((r.probe_id, r.id, r.position, r.mismatches, r.n_mismatches, r.piece) for r in found) == sorted(expected)
     assert blocks.near_places(["ACGTA" * 60], ["ACGTA" * 60], 3, 1, 4, "N")[2].tolist() == [1]  # more letters than a byte counts
+
+
+def test_equal_pairs_are_aligned_once(spark, monkeypatch):
+    from stringloom.operators import aligning
+
+    calls, align = [], aligning.align
+    monkeypatch.setattr(aligning, "align", lambda *pair, **points: calls.append(pair) or align(*pair, **points))
+    found = aligning._each_once([("ACGT", "AGT")] * 50 + [("AC", "A")])
+    assert found == [("ACGT", "A-GT", 4)] * 50 + [("AC", "A-", 0)] and len(calls) == 2
+    rows = spark.createDataFrame([("ACGT", "AGT"), ("AC", "A"), ("ACGT", "AGT")], "a string, b string")
+    assert [tuple(r.x) for r in rows.select(aligning.aligned(F.col("a"), F.col("b")).alias("x")).collect()] == [found[0], found[-1], found[0]]
