@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -213,6 +215,7 @@ def genetic_code(table: int = 1) -> dict[str, str]:
     return dict(zip(CODONS, GENETIC_CODES[table]))
 
 
+@cache
 def ambiguous_code(table: int = 1) -> dict[str, str]:
     """Codons with ambiguity letters whose meanings all stand for one amino acid; B for D or N and Z for E or Q."""
     from itertools import product
@@ -234,12 +237,26 @@ def translated(c: Column, table: int = 1, frame: int = 0, gaps: str = "-.", ambi
 
     With `ambiguous`, codons with ambiguity letters that can only mean one amino acid (or D and N, E and Q) are clear.
     """
-    dna = F.translate(F.upper(c), "U", "T")
     known = ambiguous_code(table) if ambiguous else genetic_code(table)
-    code = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    codons = F.regexp_extract_all(F.substring(dna, F.lit(frame + 1), F.char_length(dna)), F.lit("(?s).{3}"), F.lit(0))
-    letter = lambda x: F.when(F.translate(x, gaps, "") == "", F.left(x, F.lit(1))).otherwise(F.coalesce(F.try_element_at(code, x), F.lit("X")))
-    return F.array_join(F.transform(codons, letter), "")
+    code = F.split(F.lit("".join(known.get(codon, "X") for codon in _NUMBERED)), "")
+    letter = lambda x: F.when(F.translate(x, gaps, "") == "", F.left(x, F.lit(1))).otherwise(F.get(code, _codon_number(x)))
+    return F.array_join(F.transform(_codons(c, frame), letter), "")
+
+
+def _codons(c: Column, frame: int) -> Column:
+    dna = F.translate(F.upper(c), "U", "T")
+    return F.regexp_extract_all(F.substring(dna, F.lit(frame + 1), F.char_length(dna)), F.lit("(?s).{3}"), F.lit(0))
+
+
+#: Letters that a clear codon may have, behind one for all others, and all codons of them in the order of their numbers.
+_CODON_LETTERS = "TCAGMRWSYKVHDBN"
+_NUMBERED = [a + b + c for a in "?" + _CODON_LETTERS for b in "?" + _CODON_LETTERS for c in "?" + _CODON_LETTERS]
+
+
+def _codon_number(codon: Column) -> Column:
+    """The place of a codon in _NUMBERED, so that what it means is an entry of an array; a map would be searched entry by entry."""
+    number = lambda i: F.instr(F.lit(_CODON_LETTERS), F.substring(codon, i, 1))
+    return (number(1) * 16 + number(2)) * 16 + number(3)
 
 
 def ends_dotted(c: Column, gap: str = "-") -> Column:
@@ -268,13 +285,28 @@ def padded(c: Column, length: int, fill: str = ".") -> Column:
 def codes_that_fit(dna: Column, protein: Column, tables: list[int] | None = None, frame: int = 0) -> Column:
     """array<int>: the genetic codes under which each codon can give the protein's letter in its place; X and gaps fit all."""
     tables = sorted(GENETIC_CODES) if tables is None else tables
-
-    def fits(table: int) -> Column:
-        own = F.filter(F.split(translated(dna, table, frame, ambiguous=True), ""), lambda x: x != "")
-        given = F.filter(F.split(F.upper(protein), ""), lambda x: x != "")
-        return F.forall(F.zip_with(own, given, lambda x, y: F.coalesce((x == y) | x.isin("X", "-", ".") | y.isin("X", "-", "."), F.lit(False))), lambda ok: ok)
-
-    return F.array_compact(F.array(*[F.when(fits(k), F.lit(k)) for k in tables]))
+    codes = [ambiguous_code(k) for k in tables]
+    letters = "X-." + "".join(sorted(set("".join("".join(code.values()) for code in codes))))
+    # codons that mean the same under every code are one kind; kind 0 is no codon, the next one is those that are clear under none
+    unclear = ("X",) * len(tables)
+    meanings = [tuple(code.get(codon, "X") for code in codes) for codon in _NUMBERED]
+    kinds = {meaning: i + 1 for i, meaning in enumerate(dict.fromkeys([unclear, *meanings]))}
+    # of each kind and letter the codes that fit, as bits; letter 0 is any other one, or none
+    everything = (1 << len(tables)) - 1
+    bits = lambda meaning, letter: sum(1 << i for i, own in enumerate(meaning) if own in ("X", letter))
+    none = [0] + [everything] * 3 + [0] * (len(letters) - 3)
+    masks = none + [x for meaning in kinds for x in (bits(meaning, ""), *[everything] * 3, *(bits(meaning, y) for y in letters[3:]))]
+    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    kind_of = listed([kinds[m] for m in meanings], "int")
+
+    def fits(codon: Column, letter: Column) -> Column:
+        kind = F.coalesce(F.get(kind_of, _codon_number(codon)), F.lit(0))
+        return F.get(listed(masks, "long"), kind * (len(letters) + 1) + F.coalesce(F.instr(F.lit(letters), letter), F.lit(0)))
+
+    given = F.filter(F.split(F.upper(protein), ""), lambda x: x != "")
+    both = F.aggregate(F.zip_with(_codons(dna, frame), given, fits), F.lit(everything).cast("long"), lambda found, x: found.bitwiseAND(x))
+    # the bits are made once, then read
+    return F.get(F.transform(F.array(both), lambda found: F.array_compact(F.array(*[F.when(found.bitwiseAND(1 << i) != 0, F.lit(k)) for i, k in enumerate(tables)]))), 0)
 
 
 def with_redundant_translation(genes: DataFrame, data: str, protein: str, table: int = 1, frame: int = 0, name: str = "redundant") -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries on made-up tables whose work once grew faster than the tables."""
 
+import itertools
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from stringloom import plans
-from stringloom.operators import trees
+from stringloom.operators import intervals, trees
 from tests.test_queries import comparable
 
 
@@ -44,3 +46,30 @@ def test_representatives_of_one_large_group(spark):
     [best] = trees.representatives_of_values(found, below).collect()
     # the middle one of 0 to 20000 is the nearest to the others
     assert best.name == f"L{next(i for i in range(20_001) if i * 7919 % 20_001 == 10_000)}" and abs(best.mean - 10_000 * 10_001 / 20_000) < 1e-6
+
+
+def test_codes_that_fit_one_pass(spark):
+    """All genetic codes are tried in one pass over the codons, with the answers of a plain loop over the codes."""
+    rng = random.Random(16)
+    rows = [("".join(rng.choice("ACGTUNRYryX-." if k % 2 else "ACGT") for _ in range(rng.randrange(12))), "".join(rng.choice("FLSYWMKNRTIQ*X-.bZé") for _ in range(rng.randrange(4)))) for k in range(1500)]
+    for dna, code in [("TGAATA", 2), ("CTGTGA", 12), ("AGAAGG", 13), ("TTATAG", 16)] * 10:
+        rows.append((dna, "".join(intervals.genetic_code(code)[dna[i:i + 3]] for i in (0, 3))))
+    rows += [(None, "M"), ("ATG", None)]
+
+    def plain(dna, protein):
+        if dna is None or protein is None:
+            return []
+        dna, out = dna.upper().replace("U", "T"), []
+        for k in sorted(intervals.GENETIC_CODES):
+            code = intervals.ambiguous_code(k)
+            codons = [dna[i:i + 3] for i in range(0, len(dna) // 3 * 3, 3)]
+            own = [c[0] if not c.strip("-.") else code.get(c, "X") for c in codons]
+            pairs = itertools.zip_longest(own, protein.upper())
+            if all(x == y or (x or "?") in "X-." or (y or "?") in "X-." for x, y in pairs):
+                out.append(k)
+        return out
+
+    df = spark.createDataFrame(rows, "dna string, protein string")
+    fit = intervals.codes_that_fit(F.col("dna"), F.col("protein"))
+    assert [r[0] for r in df.select(fit).collect()] == [plain(*r) for r in rows]
+    assert str(fit).count("regexp_extract_all") == 1
