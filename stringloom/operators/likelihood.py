@@ -67,9 +67,10 @@ def _leaf_vectors(nodes: DataFrame, letters: DataFrame, ambiguous: dict[str, str
 
 
 def _product(rows: DataFrame, *keys: str) -> DataFrame:
-    """v and scale: the products of the vectors of each key, the largest entry 1 and its logarithm in scale."""
-    logs = [F.sum(F.log(F.greatest(F.get("v", F.lit(i)), F.lit(1e-300)))).alias(f"_{i}") for i in range(4)]
-    summed = rows.groupBy(*keys).agg(*logs, F.sum("scale").alias("_scale")).withColumn("_top", F.greatest(*[f"_{i}" for i in range(4)]))
+    """v and scale: the products of the vectors of each key, n times each where rows have an n, the largest entry 1 and its logarithm in scale."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    logs = [F.sum(F.log(F.greatest(F.get("v", F.lit(i)), F.lit(1e-300))) * n).alias(f"_{i}") for i in range(4)]
+    summed = rows.groupBy(*keys).agg(*logs, F.sum(F.col("scale") * n).alias("_scale")).withColumn("_top", F.greatest(*[f"_{i}" for i in range(4)]))
     return summed.select(*keys, F.array(*[F.exp(F.col(f"_{i}") - F.col("_top")) for i in range(4)]).alias("v"), (F.col("_scale") + F.col("_top")).alias("scale"))
 
 
@@ -87,10 +88,22 @@ def _upwards(depths: DataFrame, ends: DataFrame, model: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, all_)
 
 
-def _likelihoods(depths: DataFrame, ends: DataFrame, model: Model) -> DataFrame:
-    up = _upwards(depths, ends, model).join(depths.filter("depth = 0").select("tree", "node"), ["tree", "node"])
+def _likelihoods(depths: DataFrame, alike: DataFrame, asked: DataFrame, model: Model) -> DataFrame:
+    """tree, col, rate and log_likelihood for the rates in asked (tree, col, rate); alike: n leaves of one parent, depth, time, col and v each."""
+    deepest, level = depths.agg(F.max("depth")).first()[0] or 0, None
+    at = lambda depth: alike.filter(F.col("depth") == depth).join(asked, ["tree", "col"]).withColumn("scale", F.lit(0.0))
+    for depth in range(deepest, 0, -1):
+        rows = at(depth).select("tree", "parent", "time", "col", "rate", "v", "scale", "n")
+        if level is not None:
+            branch = depths.filter(F.col("depth") == depth).select("tree", "node", "parent", "time")
+            rows = rows.unionByName(level.join(branch, ["tree", "node"]).select("tree", "parent", "time", "col", "rate", "v", "scale", F.lit(1).cast("long").alias("n")))
+        moved = rows.select("tree", F.col("parent").alias("node"), "col", "rate", model.moved(F.col("v"), F.col("time") * F.col("rate")).alias("v"), "scale", "n")
+        level = sized(_product(moved, "tree", "node", "col", "rate"), "up")
+    roots = at(0).select("tree", "col", "rate", "v", "scale")
+    if level is not None:
+        roots = roots.unionByName(level.select(*roots.columns))
     mean = reduce(lambda x, y: x + y, [F.get("v", F.lit(i)) * p for i, p in enumerate(model.frequencies)])
-    return up.select("tree", "col", "rate", (F.log(mean) + F.col("scale")).alias("log_likelihood"))
+    return roots.select("tree", "col", "rate", (F.log(mean) + F.col("scale")).alias("log_likelihood"))
 
 
 def column_rates(nodes: DataFrame, letters: DataFrame, model: Model = Model(), least: float = 1 / 64, most: float = 16.0, steps: int = 16, rounds: int = 3, ambiguous: dict[str, str] | None = None) -> DataFrame:
@@ -99,15 +112,17 @@ def column_rates(nodes: DataFrame, letters: DataFrame, model: Model = Model(), l
     letters: tree, name (of a leaf), col and ch; U is T, letters that `ambiguous` gives several bases may be any of
     them, all others say nothing. A column's search goes on in rounds, all columns at once: `steps` + 1 rates in equal
     ratios between the bounds, then as many between the neighbours of the best one, `rounds` times; of equal ones the
-    smallest counts. Columns without a base are left out.
+    smallest counts. Columns without a base are left out. Leaves of one parent with one branch length and letter are
+    counted before they meet the rates, since they stay alike under each.
     """
     depths = _depths(nodes)
-    ends = sized(_leaf_vectors(nodes, letters, ambiguous or {}), "leaf-vectors")
-    columns = ends.select("tree", "col").distinct().withColumns({"low": F.lit(float(least)), "high": F.lit(float(most))})
+    ends = _leaf_vectors(nodes, letters, ambiguous or {}).join(depths, ["tree", "node"])
+    alike = sized(ends.groupBy("tree", "parent", "depth", "time", "col", "v").agg(F.count(F.lit(1)).alias("n")), "leaf-vectors")
+    columns = alike.select("tree", "col").distinct().withColumns({"low": F.lit(float(least)), "high": F.lit(float(most))})
     for _ in range(rounds):
         candidates = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.struct(k.alias("k"), (F.col("low") * F.pow(F.col("high") / F.col("low"), k / steps)).alias("rate")))
         asked = sized(columns.select("tree", "col", "low", "high", F.inline(candidates)), "rates")
-        found = _likelihoods(depths, ends.join(asked.select("tree", "col", "rate"), ["tree", "col"]), model)
+        found = _likelihoods(depths, alike, asked.select("tree", "col", "rate"), model)
         best = asked.join(found, ["tree", "col", "rate"]).groupBy("tree", "col").agg(F.max(F.struct("log_likelihood", (-F.col("k")).alias("k"), "rate", "low", "high")).alias("b"))
         ratio = F.pow(F.col("b.high") / F.col("b.low"), F.lit(1 / steps))
         columns = sized(best.select("tree", "col", F.greatest(F.col("b.rate") / ratio, F.lit(float(least))).alias("low"), F.least(F.col("b.rate") * ratio, F.lit(float(most))).alias("high"), "b.rate", "b.log_likelihood"), "rates")

@@ -1,13 +1,14 @@
 """Queries on made-up tables whose work once grew faster than the tables."""
 
 import itertools
+import math
 import random
 
 import duckdb
 from pyspark.sql import functions as F
 
 from stringloom import plans
-from stringloom.operators import intervals, trees
+from stringloom.operators import intervals, likelihood, trees
 from tests.test_queries import comparable
 
 
@@ -73,3 +74,45 @@ def test_codes_that_fit_one_pass(spark):
     fit = intervals.codes_that_fit(F.col("dna"), F.col("protein"))
     assert [r[0] for r in df.select(fit).collect()] == [plain(*r) for r in rows]
     assert str(fit).count("regexp_extract_all") == 1
+
+
+def test_rates_of_alike_leaves(spark, monkeypatch):
+    """Leaves with one parent, branch length and letter are one row with a count; the rates are those of the leaves one by one."""
+    nodes = [("t", "root", None, None, None)] + [("t", f"n{k}", "root", None, 0.3 + k) for k in range(2)] + [("t", f"l{k}", f"n{k % 2}", f"L{k}", 0.5 * (k % 3)) for k in range(300)]
+    nodes += [("t", "l300", "root", "L300", 2.0), ("one", "r", None, "R", None)]
+    letters = [("t", f"L{k}", col, "ACGT"[(k // 7 * col + k % 2) % 4]) for k in range(301) for col in (1, 2)] + [("one", "R", 1, "G")]
+    df = spark.createDataFrame(nodes, "tree string, node string, parent string, name string, length double")
+    written, real = {}, likelihood.sized
+    monkeypatch.setattr(likelihood, "sized", lambda table, name: written.setdefault(name, real(table, name)) if name == "leaf-vectors" else real(table, name))
+    got = {(r.tree, r.col): r for r in likelihood.column_rates(df, spark.createDataFrame(letters, "tree string, name string, col int, ch string"), rounds=1, steps=4).collect()}
+    assert written["leaf-vectors"].count() <= 2 * 3 * 4 * 2 + 2 + 1
+    b = likelihood.Model().speeds()[0]
+
+    def value(col, rate):
+        def moved(v, time):
+            return [math.exp(-b * time * rate) * x + (1 - math.exp(-b * time * rate)) * sum(v) / 4 for x in v]
+
+        base = {name: [float(x == ch) for x in "ACGT"] for tree, name, c, ch in letters if tree == "t" and c == col}
+        logs = {p: [0.0] * 4 for p in ("root", "n0", "n1")}
+        for _, _, parent, name, length in nodes[3:-1]:
+            logs[parent] = [s + math.log(max(x, 1e-300)) for s, x in zip(logs[parent], moved(base[name], max(length, 1e-9)))]
+        for k in range(2):
+            top = max(logs[f"n{k}"])
+            logs["root"] = [s + top + math.log(x) for s, x in zip(logs["root"], moved([math.exp(y - top) for y in logs[f"n{k}"]], 0.3 + k))]
+        top = max(logs["root"])
+        return top + math.log(sum(math.exp(x - top) for x in logs["root"]) / 4)
+
+    for col in (1, 2):
+        best, rate = max((value(col, (1 / 64) * 1024 ** (k / 4)), (1 / 64) * 1024 ** (k / 4)) for k in range(5))
+        assert abs(got["t", col].rate - rate) < 1e-9 and abs(got["t", col].log_likelihood - best) < 1e-6
+    assert abs(got["one", 1].log_likelihood - math.log(0.25)) < 1e-9
+
+
+def test_rates_of_customers_of_one_name(spark, tmp_path):
+    """Customers are leaves by their keys, also where they share names."""
+    tables = {
+        "customer": spark.range(1, 61).selectExpr("id AS c_custkey", "concat('C', id % 5) AS c_name", "CAST(id % 4 AS int) AS c_nationkey"),
+        "nation": spark.range(4).selectExpr("CAST(id AS int) AS n_nationkey", "concat('N', id) AS n_name", "CAST(id % 2 AS int) AS n_regionkey"),
+        "region": spark.range(2).selectExpr("CAST(id AS int) AS r_regionkey", "concat('R', id) AS r_name"),
+    }
+    assert len(same_as_sql(spark, tmp_path, "column_rates", **tables)) == 6
