@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
 from stringloom import plans
-from stringloom.operators import intervals, likelihood, trees
+from stringloom.operators import distances, intervals, likelihood, trees
 from tests.test_queries import comparable
 
 
@@ -116,3 +117,24 @@ def test_rates_of_customers_of_one_name(spark, tmp_path):
         "region": spark.range(2).selectExpr("CAST(id AS int) AS r_regionkey", "concat('R', id) AS r_name"),
     }
     assert len(same_as_sql(spark, tmp_path, "column_rates", **tables)) == 6
+
+
+def test_partial_matches_of_long_texts(spark):
+    """Texts of 30,000 letters are compared in one pass; gaps at both ends, unequal lengths and missing texts as before."""
+    rng = random.Random(29)
+    rows = [("".join(rng.choice("ab-.😀") for _ in range(rng.randrange(8))), "".join(rng.choice("ab-.é") for _ in range(rng.randrange(8)))) for _ in range(300)] + [(None, "a"), ("a", None), ("", ""), ("a-b", "---")]
+    rows += [("ab" * 15_000, "-" * 100 + "b" * 29_000 + "..")] * 8
+
+    def plain(whole, partial):
+        if whole is None or partial is None:
+            return None, None, 0.0
+        places = [i for i, ch in enumerate(partial) if ch not in "-."]
+        inside = list(zip(whole, partial))[places[0]:places[-1] + 1] if places else []
+        off = sum(x != y for x, y in inside)
+        return len(inside), off, ((len(inside) - off) / len(inside) if inside else 0.0) - max(6 - len(inside), 0) * 0.1
+
+    df = spark.createDataFrame(rows, "whole string, partial string").coalesce(1)
+    start = time.perf_counter()
+    found = df.select(distances.overlap_match(F.col("whole"), F.col("partial"), least=6, outside=0.1).alias("m")).select("m.*").collect()
+    assert time.perf_counter() - start < 20
+    assert [(r.overlap, r.different, round(r.score, 9)) for r in found] == [(n, off, round(score, 9)) for n, off, score in (plain(*r) for r in rows)]
