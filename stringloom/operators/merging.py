@@ -98,8 +98,10 @@ def column_map(source: DataFrame, target: DataFrame, key: str, data: str, gaps:
 
     Of several references for a column the smallest target column counts.
     """
-    of = lambda df, name: df.select(key, F.posexplode(base_columns(F.col(data), gaps)).alias("_base", name))
-    return of(source, "source").join(of(target, "target"), [key, "_base"]).groupBy("source").agg(F.min("target").alias("target"))
+    # the texts meet once by their reference; a row for each base would be shuffled and sorted
+    both = source.select(key, F.col(data).alias("_s")).join(target.select(key, F.col(data).alias("_t")), key)
+    cells = F.zip_with(base_columns(F.col("_s"), gaps), base_columns(F.col("_t"), gaps), lambda s, t: F.struct(s.alias("source"), t.alias("target")))
+    return both.select(F.inline(cells)).filter("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target"))
 
 
 def remapped(df: DataFrame, data: str, mapping: DataFrame, length: int, gap: str = "-") -> DataFrame:

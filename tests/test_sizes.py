@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from stringloom import plans
-from stringloom.operators import distances, intervals, likelihood, trees
+from stringloom.operators import distances, intervals, likelihood, merging, trees
 from tests.test_queries import comparable
 
 
@@ -138,3 +138,22 @@ def test_partial_matches_of_long_texts(spark):
     found = df.select(distances.overlap_match(F.col("whole"), F.col("partial"), least=6, outside=0.1).alias("m")).select("m.*").collect()
     assert time.perf_counter() - start < 20
     assert [(r.overlap, r.different, round(r.score, 9)) for r in found] == [(n, off, round(score, 9)) for n, off, score in (plain(*r) for r in rows)]
+
+
+def test_column_map_moves_texts(spark):
+    """Of two alignments only the texts are joined, whatever their length; the map is a plain loop's, also where references repeat."""
+    rng = random.Random(26)
+    row = lambda: (rng.choice([None, *range(40)]), rng.choice([None, "", "--", "".join(rng.choice("ab-.é😀") for _ in range(12))]))
+    sides = [[row() for _ in range(100)] for _ in range(2)]
+    bases = lambda t: [i + 1 for i, ch in enumerate(t or "") if ch not in "-."]
+    plain = {}
+    for key, s in sides[0]:
+        for other, t in sides[1]:
+            if key is not None and key == other:
+                for x, y in zip(bases(s), bases(t)):
+                    plain[x] = min(plain.get(x, y), y)
+    dfs = [spark.createDataFrame(rows, "id int, data string") for rows in sides]
+    found = merging.column_map(*dfs, "id", "data")
+    assert {r.source: r.target for r in found.collect()} == plain
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join"), "texts are cut into rows only behind the join"
