@@ -93,7 +93,8 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
         paths = paths.unionByName(last)
     rows = placed.join(paths.withColumnRenamed("id", "_parent"), ["file", "_parent"], "left")
     path_of = F.concat(F.coalesce("_path", F.lit("")), F.lit("/"), F.coalesce("key", F.lit("")))
-    return rows.select("file", "id", "parent", F.col("ord").cast("int").alias("ord"), "key", path_of.alias("path"), F.col("kind").alias("type"), "value", "marked")
+    # written, since what is asked of nodes reads them several times
+    return stored(rows.select("file", "id", "parent", F.col("ord").cast("int").alias("ord"), "key", path_of.alias("path"), F.col("kind").alias("type"), "value", "marked"), "node-table")
 
 
 def items_of(nodes: DataFrame, container: str, fields: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stringloom import plans
 from stringloom.operators import distances, intervals, likelihood, merging, trees
+from stringloom.sources import nodes
 from tests.test_queries import comparable
 
 
@@ -157,3 +158,11 @@ def test_column_map_moves_texts(spark):
     assert {r.source: r.target for r in found.collect()} == plain
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join"), "texts are cut into rows only behind the join"
+
+
+def test_node_tables_are_made_once(spark, tmp_path):
+    """A node table that is read several times isn't joined together anew each time."""
+    (tmp_path / "a.arb").write_text('/*ARBDB ASCII*/\nitem\t\t%% (%\n\tname\t\t"x"\n\t%)\n')
+    found = nodes.read_nodes(spark, str(tmp_path / "a.arb"))
+    assert [(r.path, r.value) for r in found.orderBy("id").collect()] == [("/item", None), ("/item/name", "x")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
