@@ -59,5 +59,5 @@ _ISLANDS = "sum(CASE WHEN kind IS DISTINCT FROM kind_before THEN 1 ELSE 0 END) O
     SELECT doc_id, any_value(kind) AS structure, min(pos) + 1 AS start, max(pos) + 1 AS stop FROM j WHERE kind <> '' GROUP BY doc_id, island
 """)
 def predicted_structures(table):
-    letters = spread(table("documents")).select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("text"))
+    letters = spread(table("documents")).select("doc_id", F.regexp_replace("text", "[^A-Za-z]+", "").alias("text"))
     return st.predicted(letters, "doc_id", "text")

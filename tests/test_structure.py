@@ -103,3 +103,17 @@ def test_rows_of_one_key_and_empty_tables(spark):
     rows = [(r.k, r.structure, r.start, r.stop) for r in st.predicted(df, "k", "t").collect()]
     assert len(rows) == 3 * len(plain("AELMAELMAA")) and {r[1:] for r in rows} == set(plain("AELMAELMAA"))
     assert st.predicted(df.limit(0), "k", "t").collect() == []
+
+
+def test_texts_within_a_block_are_settled_at_once(spark, monkeypatch):
+    """Only texts of several blocks are written and joined; the others are settled many at a time, whatever letters they have."""
+    written, stored = {}, st.stored
+    monkeypatch.setattr(st, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("AELMVIYNGPDS\0é😀X") for _ in range(rng.randrange(40))) for _ in range(300)] + ["AELMKVIYVP" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {}
+    for r in st.predicted(df, "k", "t", block=64).collect():
+        got.setdefault(r.k, []).append((r.structure, r.start, r.stop))
+    assert {k: sorted(v, key=lambda r: r[1]) for k, v in got.items()} == {k: found for k, t in enumerate(texts) if (found := plain(t))}
+    assert written["protein-blocks"].count() == 5
