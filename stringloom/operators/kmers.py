@@ -7,8 +7,12 @@ m + 1 pieces of a probe at least one stands unchanged wherever it matches with m
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +23,10 @@ from stringloom.operators.storage import stored
 
 #: Rows of a set that is broadcast after they have been counted.
 FEW = 1_000_000
+#: Slots of k-mers by which those that can't count are left out.
+SLOT_BITS = 22
+#: Characters whose k-mers are counted at once, or one text.
+_AT_ONCE = 1 << 22
 
 
 def _windows(c: Column, k: Column | int) -> Column:
@@ -204,17 +212,110 @@ def melting_temperature(c: Column) -> Column:
     return 4 * gc_content(c) + 2 * at
 
 
+def _numbered(letters: np.ndarray, k: int) -> np.ndarray:
+    """Of each place a number that two places have in common if and only if their k characters are the same."""
+    found = np.unique(letters)
+    values, size, n = np.searchsorted(found, letters), len(found), 1
+    while n < k:
+        if size > 1 << 31:
+            found = np.unique(values)
+            values, size = np.searchsorted(found, values), len(found)
+        # the next characters may overlap those before
+        step = min(n, k - n)
+        values, size, n = values[:-step] * size + values[step:], size * size, n + step
+    return values
+
+
+def _slots(letters: np.ndarray, k: int) -> np.ndarray:
+    """Of each place a slot of its k characters, the same one wherever they stand."""
+    values, n = letters.astype(np.uint64) + np.uint64(1), 1
+    while n < k:
+        step = min(n, k - n)
+        values = (values[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ (values[step:] * np.uint64(0xC2B2AE3D27D4EB4F))
+        values, n = values ^ (values >> np.uint64(31)), n + step
+    return (values * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+
+
+def _strings(letters: np.ndarray, k: int) -> pa.Array:
+    """Rows of k characters as strings."""
+    if letters.dtype == np.uint8:
+        return pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(len(letters) + 1, dtype=np.int32) * np.int32(k)), pa.py_buffer(np.ascontiguousarray(letters)))
+    whole = np.ascontiguousarray(letters).tobytes().decode("utf-32-le")
+    return pa.array([whole[i:i + k] for i in range(0, len(whole), k)], pa.string())
+
+
+def _counts_at_once(texts: list[str], k: int, wanted: np.ndarray | None) -> pa.RecordBatch:
+    whole = "".join(texts)
+    letters = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(x) for x in texts])
+    windows = np.maximum(lengths - k + 1, 0)
+    text = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(len(text)) + np.repeat(lengths.cumsum() - lengths - windows.cumsum() + windows, windows)
+    slots = _slots(letters, k) if len(at) else np.zeros(0, np.int32)
+    if wanted is not None:
+        kept = wanted[slots[at]]
+        text, at = text[kept], at[kept]
+    values = _numbered(letters, k)[at] if len(at) else at
+    order = np.argsort(values)
+    values, text, at = values[order], text[order], at[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    firsts = np.flatnonzero(new)
+    pairs = np.sort((new.cumsum() - 1) * len(texts) + text)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+    place = at - (lengths.cumsum() - lengths)[text]
+    n, place = (np.bincount(pairs // len(texts)), np.minimum.reduceat(place, firsts) + 1) if len(at) else (at, at)
+    return pa.record_batch([_strings(letters[at[firsts][:, None] + np.arange(k)], k), pa.array(n), pa.array(place), pa.array(slots[at[firsts]])], names=["kmer", "n", "first", "slot"])
+
+
+def texts_with(texts: DataFrame, k: int, wanted: Broadcast | None = None) -> DataFrame:
+    """kmer, n (the texts that it stands in, rows of the one column), first (its smallest place in one, from 1) and slot.
+
+    k-mers are counted in tasks, about 4 million characters or one text at a time, before rows are made of them. wanted:
+    of each slot whether its k-mers count; others stay out before they are counted.
+    """
+
+    at_once = _AT_ONCE
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for x in batch.column(0).to_pylist():
+                if held and size + len(x) > at_once:
+                    yield _counts_at_once(held, k, wanted and wanted.value)
+                    held, size = [], 0
+                if len(x) >= k:
+                    held.append(x)
+                    size += len(x)
+            if held:
+                yield _counts_at_once(held, k, wanted and wanted.value)
+
+    counts = texts.dropna().mapInArrow(counted, "kmer string, n long, first long, slot int")
+    return counts.groupBy("kmer").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("slot").alias("slot"))
+
+
+def _designed(items: DataFrame, data: str, is_target: Column, k: int, least_share: float, most_others: int) -> DataFrame:
+    """What probe_design gives, and first: the smallest place (from 1) in a target."""
+    target = F.coalesce(is_target, F.lit(False))
+    whole = items.agg(F.count_if(target).alias("all"))
+    found = texts_with(items.filter(target).select(data), k).crossJoin(F.broadcast(whole)).filter(F.col("n") >= F.col("all") * least_share)
+    found = stored(found.select("kmer", F.col("n").alias("targets"), "first", "slot"), "designed")
+    # only what enough targets have is counted in the other texts
+    wanted = None
+    if found.count() <= FEW:
+        slots = np.zeros(1 << SLOT_BITS, bool)
+        slots[[r[0] for r in found.select("slot").distinct().collect()]] = True
+        wanted = items.sparkSession.sparkContext.broadcast(slots)
+    others = texts_with(items.filter(~target).select(data), k, wanted).select("kmer", F.col("n").alias("others"))
+    kept = found.join(others, "kmer", "left").withColumn("others", F.coalesce("others", F.lit(0).cast("long"))).filter(F.col("others") <= most_others)
+    return kept.select("kmer", "targets", "others", gc_content(F.col("kmer")).alias("gc"), melting_temperature(F.col("kmer")).alias("temperature"), "first")
+
+
 def probe_design(items: DataFrame, key: str, data: str, is_target: Column, k: int, least_share: float, most_others: int) -> DataFrame:
     """k-mers that stand in at least that share of the targets and in at most most_others other texts.
 
     Returns kmer, targets, others, gc and temperature. A missing flag counts as not a target.
     """
-    flagged = items.select(key, F.coalesce(is_target, F.lit(False)).alias("_target"), F.col(data).alias("_data"))
-    whole = flagged.agg(F.count_if("_target").alias("all"))
-    kmers = flagged.select("_target", F.explode(F.array_distinct(_windows(F.col("_data"), k))).alias("kmer"))
-    found = kmers.groupBy("kmer").agg(F.count_if("_target").alias("targets"), F.count_if(~F.col("_target")).alias("others"))
-    kept = found.filter((F.col("others") <= most_others) & (F.col("targets") > 0)).crossJoin(F.broadcast(whole)).filter(F.col("targets") >= F.col("all") * least_share)
-    return kept.select("kmer", "targets", "others", gc_content(F.col("kmer")).alias("gc"), melting_temperature(F.col("kmer")).alias("temperature"))
+    return _designed(items, data, is_target, k, least_share, most_others).drop("first")
 
 
 def ranked_design(items: DataFrame, key: str, data: str, is_target: Column, k: int, least_share: float, most_others: int, clip: int, window: tuple[int, int] | None = None, gc: tuple[int, int] = (0, 100)) -> DataFrame:
@@ -224,13 +325,8 @@ def ranked_design(items: DataFrame, key: str, data: str, is_target: Column, k: i
     share of G and C in percent. Better is what more targets have, then fewer others, then the higher temperature,
     then the smaller k-mer. The report is a top-k: only `clip` rows per task and in the end are sorted.
     """
-    found = probe_design(items, key, data, is_target, k, least_share, most_others)
-    share = F.col("gc") * 100 / k
-    found = found.filter(share.between(*gc))
-    # places only of k-mers that are left
-    targets = items.filter(F.coalesce(is_target, F.lit(False))).select(F.posexplode(_windows(F.col(data), k)).alias("_at", "kmer"))
-    places = targets.join(found.select("kmer"), "kmer", "left_semi").groupBy("kmer").agg((F.min("_at") + 1).alias("first"))
-    kept = found.join(places, "kmer")
+    found = _designed(items, data, is_target, k, least_share, most_others)
+    kept = found.filter((F.col("gc") * 100 / k).between(*gc))
     if window:
         kept = kept.filter(F.col("first").between(*window))
     order = [F.desc("targets"), F.asc("others"), F.desc("temperature"), F.asc("kmer")]

@@ -6,10 +6,11 @@ import random
 import time
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from stringloom import plans
-from stringloom.operators import distances, intervals, likelihood, merging, trees
+from stringloom.operators import distances, intervals, kmers, likelihood, merging, trees
 from stringloom.sources import nodes
 from tests.test_queries import comparable
 
@@ -166,3 +167,28 @@ def test_node_tables_are_made_once(spark, tmp_path):
     found = nodes.read_nodes(spark, str(tmp_path / "a.arb"))
     assert [(r.path, r.value) for r in found.orderBy("id").collect()] == [("/item", None), ("/item/name", "x")]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_designed_probes_are_counted_before_rows_are_made(spark, monkeypatch):
+    """k-mers are numbered in tasks whatever the alphabet; in other texts only those count that enough targets have."""
+    rng = random.Random(18)
+    letters = ["ACGT", "AC\0é😀", "".join(map(chr, range(0x4E00, 0x5200)))]
+    rows = [(n, ("xy", "x", None)[n % 3], "".join(rng.choice(letters[n % 5 % 3]) for _ in range(rng.randrange(60)))) for n in range(200)] + [(200, "x", None), (201, "xy", "ACG")]
+    items = spark.createDataFrame(rows, "item long, flag string, data string")
+    # a few texts at once, and all
+    for k, share, most, at_once in ((3, 0.1, 20, 1 << 22), (4, 0.02, 3, 500), (7, 0.0, 200, 1 << 22), (1, 0.0, 200, 500)):
+        monkeypatch.setattr(kmers, "_AT_ONCE", at_once)
+        of = lambda own: [{t[i:i + k]: i + 1 for i in reversed(range(len(t) - k + 1))} for t in own]
+        targets, others = (of(t or "" for _, flag, t in rows if (flag == "xy") == own) for own in (True, False))
+        want = {}
+        for kmer in set().union(*targets):
+            first = [d[kmer] for d in targets if kmer in d]
+            n = sum(kmer in d for d in others)
+            if len(first) >= len(targets) * share and n <= most:
+                want[kmer] = (len(first), n, min(first))
+        got = kmers._designed(items, "data", F.col("flag") == "xy", k, share, most).collect()
+        assert want and len(got) == len(want) and {r.kmer: (r.targets, r.others, r.first) for r in got} == want
+    line = np.array([ord(c) for c in "".join(rng.choice(letters[2]) for _ in range(3000))], np.uint32)
+    line = np.concatenate([line, line])
+    numbers = kmers._numbered(line, 20)
+    assert len(numbers) == 5981 and len(np.unique(numbers)) == 3000 and (numbers[:2981] == numbers[3000:]).all()
