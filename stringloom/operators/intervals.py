@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from stringloom.operators.storage import before
+from stringloom.operators.storage import before, stored
 
 #: Letters and their complements, with ambiguity codes (fixed values).
 DNA, DNA_COMPLEMENT = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
@@ -146,6 +150,34 @@ LEFT_KINDS, RIGHT_KINDS = "#*abcdefghij", "ABCDEFGHIJ"
 HELIX_BLOCK = 1 << 16
 
 
+#: Rows that a task holds before it passes them on.
+_HELIX_ROWS = 1 << 18
+_SIGNS, _NAMES = re.compile("[" + re.escape(LEFT_PAIRS + LEFT_KINDS + RIGHT_PAIRS + RIGHT_KINDS) + "]"), re.compile("[A-Za-z0-9]+")
+
+
+def _line_pairs(numbers: str, line: str) -> Iterator[tuple]:
+    """helix, left, right, kind and fault of one line's brackets."""
+    names, open_ = [("0", 0), *((m[0].lower(), m.start()) for m in _NAMES.finditer(numbers))], {}
+    at = 0
+    for m in _SIGNS.finditer(line):
+        pos, sign = m.start(), m[0]
+        while at + 1 < len(names) and names[at + 1][1] <= pos:
+            at += 1
+        helix = names[at][0]
+        own = open_.setdefault(helix, [])
+        if sign in LEFT_PAIRS or sign in LEFT_KINDS:
+            own.append((pos + 1, sign))
+        elif not own:
+            yield helix, None, pos + 1, None, "unpaired"
+        else:
+            left, other = own.pop()
+            kind = "pair" if sign in RIGHT_PAIRS else sign.lower()
+            yield (helix, left, pos + 1, kind, None) if kind in ("pair", other) else (helix, left, pos + 1, None, "kind")
+    for helix, own in open_.items():
+        for left, _ in own:
+            yield helix, left, None, None, "unpaired"
+
+
 def bracket_pairs(lines: DataFrame, key: str, numbers: str, helix: str) -> DataFrame:
     """Pairs of positions of helix lines: key, helix, left, right, kind (pair, or a letter) and fault.
 
@@ -153,8 +185,34 @@ def bracket_pairs(lines: DataFrame, key: str, numbers: str, helix: str) -> DataF
     and before the first one the name is 0. Brackets pair within their helix, so helices may cross. There is no
     stack: the running depth of a helix gives each bracket its level, and the n-th opening of a level pairs
     with its n-th end. What opens or closes nothing is a row of its own with the fault `unpaired`; a pair of two kinds has the
-    fault `kind`. A bracket behind the end of numbers belongs to the last name. Null lines have no pairs.
+    fault `kind`. Only lines of more than HELIX_BLOCK columns, whose keys have to be unique, are cut up for that; within others
+    the last open bracket of a helix is remembered. A bracket behind the end of numbers belongs to the last name. Null lines have no pairs.
     """
+    wide = lines.select(key, F.coalesce(numbers, F.lit("")).alias("_nr"), F.coalesce(helix, F.lit("")).alias("_hx"))
+    longer = F.greatest(F.char_length("_nr"), F.char_length("_hx")) > HELIX_BLOCK
+    longest, types = HELIX_BLOCK, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    names = ["helix", "left", "right", "kind", "fault"]
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            made = lambda out: pa.record_batch([batch.column(0).take(pa.array([r[0] for r in out], types[0])), *(pa.array([r[i] for r in out], types[i]) for i in range(1, 6))], names=[key, *names])  # noqa: B023, E731
+            for i, (nr, hx) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if max(len(nr), len(hx)) <= longest:
+                    out += [(i, *r) for r in _line_pairs(nr, hx)]
+                if len(out) > _HELIX_ROWS:
+                    yield made(out)
+                    out = []
+            yield made(out)
+
+    kinds = {"left": IntegerType(), "right": IntegerType()}
+    found = wide.mapInArrow(paired, StructType([wide.schema[key], *(StructField(n, kinds.get(n, StringType())) for n in names)]))
+    long = stored(wide.filter(longer), "helix-lines")
+    return found.unionByName(_pairs_of_blocks(long, key, "_nr", "_hx")) if long.head(1) else found
+
+
+def _pairs_of_blocks(lines: DataFrame, key: str, numbers: str, helix: str) -> DataFrame:
+    """bracket_pairs of lines that no task sees whole, by prefix scans over their columns."""
     letters = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
     wide = lines.select(key, letters(F.col(numbers)).alias("_nr"), letters(F.col(helix)).alias("_hx"))
     named = lambda x: F.coalesce(x.rlike("^[A-Za-z0-9]$"), F.lit(False))

@@ -198,6 +198,15 @@ def test_helix_lines(spark, monkeypatch):
     assert Counter((r.id, r.helix, r.left, r.right, r.kind, r.fault) for r in got) == expected
 
 
+def test_short_helix_lines_need_no_scans(spark, monkeypatch):
+    """Lines within a block are paired where they are, rows of one key or none as lines of their own."""
+    monkeypatch.setattr(intervals, "before", None)
+    rng = random.Random(27)
+    lines = [("ab"[k % 2] if k % 3 else None, "".join(rng.choice("..1aB") for _ in range(n)), "".join(rng.choice("((<[))]..#aAbB") for _ in range(n))) for k, n in enumerate(rng.choices(range(80), k=60))]
+    got = intervals.bracket_pairs(spark.createDataFrame(lines, "id string, nr string, hx string"), "id", "nr", "hx").collect()
+    assert Counter((r.id, r.helix, r.left, r.right, r.kind, r.fault) for r in got) == Counter((k, *p) for k, nr, hx in lines for p in plain_pairs(nr, hx))
+
+
 # soft mapping
 
 
