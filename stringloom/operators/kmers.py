@@ -23,6 +23,8 @@ from stringloom.operators.storage import stored
 
 #: Rows of a set that is broadcast after they have been counted.
 FEW = 1_000_000
+#: Probes of the best buckets that are broadcast.
+COVER_FEW = 10_000
 #: Slots of k-mers by which those that can't count are left out.
 SLOT_BITS = 22
 #: Characters whose k-mers are counted at once, or one text.
@@ -35,6 +37,11 @@ def _windows(c: Column, k: Column | int) -> Column:
     return F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), k, F.lit("}))(?![\\x{DC00}-\\x{DFFF}])")), F.lit(1))
 
 
+def kmer_set(texts: Column, k: int) -> Column:
+    """The k-mers of an array of texts, without repeats."""
+    return F.array_distinct(F.flatten(F.transform(texts, lambda x: _windows(x, k))))
+
+
 def kmer_counts(items: DataFrame, key: str, data: str, k: int, alphabet: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """key, kmer, n; with an alphabet only k-mers of its characters count, with known (kmer) only those. Shorter texts have none."""
     rows = items.select(key, F.explode(_windows(F.col(data), k)).alias("kmer"))
@@ -379,21 +386,54 @@ def covering_probes(hits: DataFrame, excluded: DataFrame | None = None, share: f
     for each other; each probe that gets `share` of its items' votes is taken. The best probe always gets all of its own, and a
     taken one covers at least two thirds of that share of what greedy choice would take. The rounds grow with the
     logarithm of the items, not with the probes. covered: the items that voted for it.
-    excluded: kmer of a second group, whose probes are out. most: ends after so many rounds. Nothing is collected.
+    excluded: kmer of a second group, whose probes are out. most: ends after so many rounds. Of each round only the number
+    of probes of each bucket is collected.
+    """
+    return covering_sets(hits.groupBy("item").agg(F.collect_set("kmer").alias("kmers")), excluded, share, most)
+
+
+def covering_sets(sets: DataFrame, excluded: DataFrame | None = None, share: float = 0.5, most: int | None = None) -> DataFrame:
+    """covering_probes of one row an item: kmers, its probes without repeats.
+
+    Probes are counted as they come out of the rows. The best buckets are few probes, which are broadcast, and have
+    a probe of nearly every item; only items without one meet all probes in a join.
     """
-    allowed = hits.select("kmer", "item").distinct()
-    if excluded is not None:
-        allowed = allowed.join(excluded.select("kmer").distinct(), "kmer", "left_anti")
-    spark, number, chosen = hits.sparkSession, 0, []
-    rest = stored(allowed, "cover")
-    while (most is None or number < most) and rest.head(1):
+    spark, number, chosen = sets.sparkSession, 0, []
+    out = excluded.select("kmer").distinct() if excluded is not None else None
+    rest = stored(sets.select(F.monotonically_increasing_id().alias("item"), "kmers"), "cover")
+    while most is None or number < most:
         number += 1
-        gains = rest.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+        each = lambda df: df.select("item", F.explode("kmers").alias("kmer"))
+        gains = each(rest).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+        if out is not None:
+            gains = gains.join(out, "kmer", "left_anti")
         bucket = -F.floor(F.log("n") / math.log(1.5))
-        votes = rest.join(gains, "kmer").groupBy("item").agg(F.min(F.struct(bucket.alias("bucket"), F.xxhash64("kmer", F.lit(number)).alias("turn"), "kmer", "n")).alias("_best"))
+        gains = stored(gains.select("kmer", "n", bucket.alias("bucket"), F.xxhash64("kmer", F.lit(number)).alias("turn")), "cover-gains")
+        sizes = sorted((r["bucket"], r["probes"]) for r in gains.groupBy("bucket").agg(F.count(F.lit(1)).alias("probes")).collect())
+        if not sizes:
+            break
+        upto, total = None, 0
+        for number_of, probes in sizes:
+            total += probes
+            if total > COVER_FEW:
+                break
+            upto = number_of
+        vote = lambda df, own: each(df).join(own, "kmer").groupBy("item").agg(F.min(F.struct("bucket", "turn", "kmer", "n")).alias("_best"))
+        if upto is None:
+            votes = vote(rest, gains)
+        else:
+            votes = vote(rest, F.broadcast(gains.filter(F.col("bucket") <= upto)))
+            if upto != sizes[-1][0]:
+                votes = stored(votes, "cover-votes")
+                votes = votes.unionByName(vote(rest.join(votes.select("item"), "item", "left_anti"), gains.filter(F.col("bucket") > upto)))
         won = votes.groupBy(F.col("_best.kmer").alias("kmer"), F.col("_best.n").alias("n")).agg(F.count(F.lit(1)).alias("covered"))
         taken = stored(won.filter(F.col("covered") >= F.col("n") * share).select(F.lit(number).alias("round"), "kmer", "covered"), "cover-taken")
-        covered = rest.join(taken.select("kmer"), "kmer", "left_semi").select("item").distinct()
-        rest = stored(rest.join(covered, "item", "left_anti"), "cover")
+        if taken.count() <= COVER_FEW:
+            row = taken.agg(F.collect_list("kmer").alias("_taken"))
+            rest = rest.crossJoin(F.broadcast(row)).filter(~F.coalesce(F.arrays_overlap("kmers", "_taken"), F.lit(False))).drop("_taken")
+        else:
+            covered = each(rest).join(taken.select("kmer"), "kmer", "left_semi").select("item").distinct()
+            rest = rest.join(covered, "item", "left_anti")
+        rest = stored(rest, "cover")
         chosen.append(taken)
     return reduce(DataFrame.unionByName, chosen) if chosen else spark.createDataFrame([], "round int, kmer string, covered long")

@@ -129,8 +129,11 @@ def probe_quality(table):
 @_r.query()
 def covering_probes(table):
     """8-mers that together stand in all turns of conversations and in no benchmark item; each round depends on those before it."""
-    found = k.kmer_counts(table("conversations").withColumn("item", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "item", "text", 8)
-    return k.covering_probes(found.select("kmer", "item"), k.kmer_counts(table("benchmark"), "item_id", "text", 8))
+    item = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item")
+    # texts of one turn are one item
+    texts = table("conversations").select(item, "text").groupBy("item").agg(F.collect_set("text").alias("texts"))
+    sets = spread(texts).select(k.kmer_set(F.col("texts"), 8).alias("kmers"))
+    return k.covering_sets(sets, k.kmer_counts(table("benchmark"), "item_id", "text", 8))
 
 
 #: Lines of a supplier as a string of bases with gaps and unclear letters, in the order of the lines.

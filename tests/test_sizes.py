@@ -192,3 +192,22 @@ def test_designed_probes_are_counted_before_rows_are_made(spark, monkeypatch):
     line = np.concatenate([line, line])
     numbers = kmers._numbered(line, 20)
     assert len(numbers) == 5981 and len(np.unique(numbers)) == 3000 and (numbers[:2981] == numbers[3000:]).all()
+
+
+def test_covering_probes_of_sets(spark, monkeypatch):
+    """The same probes whether the best buckets are broadcast, only some of them, or none; sets take the place of rows."""
+    rng = random.Random(19)
+    sets = [(k, sorted({min(int(rng.expovariate(0.03)), 150) for _ in range(rng.randrange(5))})) for k in range(300)] + [(300, []), (301, [900, 901])]
+    rows = [(f"p{x}", f"i{k}") for k, own in sets for x in own]
+    hits = spark.createDataFrame(rows, "kmer string, item string")
+    out = spark.createDataFrame([("p900",), ("p3",), ("p3",)], "kmer string")
+    held = spark.createDataFrame([([f"p{x}" for x in own],) for _, own in sets], "kmers array<string>")
+    found = []
+    for few in (10_000, 30, 0):
+        monkeypatch.setattr(kmers, "COVER_FEW", few)
+        for got in (kmers.covering_sets(held, out), kmers.covering_probes(hits.unionByName(hits), out)):
+            found.append(sorted(tuple(r) for r in got.collect()))
+    assert found[0] and all(f == found[0] for f in found)
+    taken = {kmer for _, kmer, _ in found[0]}
+    assert not taken & {"p900", "p3"}
+    assert all(taken & {f"p{x}" for x in own} for _, own in sets if set(own) - {900, 3})
