@@ -1,7 +1,10 @@
 """Distances by blocks against the same distances of single pairs, and character counts against plain ones."""
 
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +33,30 @@ def test_distances_by_blocks(spark, small_blocks):
     assert sorted(once) == sorted(pairs.filter("a < b").select("a", "b", distances.share_different(x, y)).collect())
 
 
+@pytest.mark.parametrize("product", [1, 5, 512])
+def test_costs_as_products(monkeypatch, product):
+    """Some places at a time are one product of matrices, whatever letters stand there and whichever are ignored."""
+    monkeypatch.setattr(blocks, "PRODUCT", product)
+    rng = random.Random(4)
+    x, y = ([rng.choice([None, "", "".join(rng.choice("ACGT-.é𝒳") for _ in range(rng.randrange(12)))]) for _ in range(n)] for n in (9, 14))
+    cost = lambda p, q: 0.0 if p == q else 0.25 if p + q in ("AC", "é𝒳") else 1.0
+    cells = lambda a, b: [cost(p, q) for p, q in zip(a or "", b or "") if p not in "-." and q not in "-."]
+    expected = [[sum(c) / len(c) if (c := cells(a, b)) else 0.0 for b in y] for a in x]
+    assert np.allclose(blocks.mean_cost(pa.array(x, pa.string()), pa.array(y, pa.string()), cost, "-."), expected, atol=1e-12)
+
+
+def test_fields_shown_by_block(spark, small_blocks):
+    """Rounded and corrected distances are made with a block's distances, not row by row in expressions."""
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["ACGT", "ACGA", "TTTT", "AC", None])], "id int, data string")
+    shown = lambda d: {"rounded": blocks.rounded(d, 2), "corrected": blocks.rounded(blocks.jukes_cantor(d), 6)}
+    found = distances.distances(df, df, "id", "data", shown=shown, fields=("rounded", "corrected"))
+    plain = distances.distances(df, df, "id", "data")
+    d = F.col("distance")
+    expected = plain.select("a", "b", distances.rounded(d, 2), distances.rounded(distances.jukes_cantor(d), 6)).collect()
+    key = lambda r: tuple(r)[:2]
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, expected), key=key) and any(r[3] is None for r in expected)
+
+
 def test_blocks_are_dealt_out(spark, small_blocks):
     """All pairs of a small file were scored by one task."""
     df = items(spark).coalesce(1)
