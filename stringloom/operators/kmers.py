@@ -125,7 +125,7 @@ def prepared(items: DataFrame, key: str, data: str, gaps: str = "-.") -> DataFra
     """key, bases (data without gaps, in upper case, U as T) and columns: of each base its column (from 1) in the data."""
     chars = F.filter(F.split(F.col(data), ""), lambda ch: ch != "")
     kept = F.filter(F.transform(chars, lambda ch, i: F.struct(ch.alias("ch"), (i + 1).alias("at"))), lambda x: F.instr(F.lit(gaps), x["ch"]) == 0)
-    bases = F.translate(F.upper(F.array_join(F.transform(kept, lambda x: x["ch"]), "")), "U", "T")
+    bases = F.translate(F.upper(F.translate(F.col(data), gaps, "")), "U", "T")
     return items.select(key, bases.alias("bases"), F.transform(kept, lambda x: x["at"]).alias("columns"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stringloom.operators import kmers as k
+from stringloom.operators.storage import stored
 from stringloom.plans.registry import Registry, spread
 
 _r = Registry()
@@ -173,7 +174,8 @@ _HITS = f"""
 
 
 def _hits(table):
-    items = k.prepared(reads(table), "item", "data").select("item", "bases")
+    # written, since they are read to be counted and to be dealt out, as probes and as items
+    items = stored(k.prepared(reads(table), "item", "data").select("item", "bases"), "reads")
     probes = items.filter("item % 20 = 0 and length(bases) >= 18").select(F.col("item").alias("probe_id"), F.substring("bases", 5, 14).alias("probe"))
     return items, k.probe_hits(probes, "probe_id", "probe", items, "item", "bases", 3, reverse=True, ignored=1)
 

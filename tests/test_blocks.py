@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stringloom.operators import blocks, columns, distances, kmers
+from stringloom.plans import kmers as kmer_plans
 
 TEXTS = ["ACGT-A", "ACGA.A", "acgTTAC", "", None, "--..", "SMÄ𝒳01", "SLÄ𝒳10", "0101"]
 
@@ -45,6 +46,45 @@ def test_costs_as_products(monkeypatch, product):
     assert np.allclose(blocks.mean_cost(pa.array(x, pa.string()), pa.array(y, pa.string()), cost, "-."), expected, atol=1e-12)
 
 
+def test_sums_of_bits():
+    """64 counts in one word: as many bits as are set, and which counts are no larger than a bound."""
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 3, 7, 14, 16):
+        bits = list(rng.integers(0, 2**63, (n, 5), dtype=np.uint64))
+        plain = sum(np.unpackbits(b.view(np.uint8)).astype(int) for b in bits)
+        digits = blocks._added(bits)
+        assert np.array_equal(sum(np.unpackbits(d.view(np.uint8)).astype(int) << i for i, d in enumerate(digits)), plain)
+        for most in (0, 1, 4, n, 40):
+            assert np.array_equal(np.unpackbits(blocks._at_most(digits, most).view(np.uint8)), plain <= most)
+
+
+@pytest.mark.parametrize("at_once", [64, 1 << 16])
+def test_many_probes_of_several_lengths(monkeypatch, at_once):
+    """More probes than a word has bits, of several lengths, in letters of which the probes lack some."""
+    monkeypatch.setattr(blocks, "AT_ONCE", at_once)
+    rng = random.Random(13)
+    probes = ["".join(rng.choice("ACGé") for _ in range(rng.choice([5, 6, 9]))) for _ in range(150)]
+    texts = ["".join(rng.choice("ACGTéN.𝒳") for _ in range(rng.randrange(1, 40))) for _ in range(25)]
+    expected = set()
+    for i, p in enumerate(probes):
+        for k, t in enumerate(texts):
+            for at in range(len(t) - len(p) + 1):
+                wrong = [c for x, c in zip(p, t[at:]) if x != c]
+                cloudy = sum(c in "N." for c in wrong)
+                if len(wrong) - cloudy + (max(cloudy - 1, 0) if cloudy < 3 else cloudy) <= 2:
+                    expected.add((i, k, at + 1, len(wrong) - cloudy, cloudy))
+    found = list(zip(*[v.tolist() for v in blocks.near_places(probes, texts, 2, 1, 3, "N.")]))
+    assert set(found) == expected and len(found) == len(expected) > 300
+
+
+@pytest.mark.parametrize("name", ["hit_overlays", "ordered_hits", "probe_hits"])
+def test_reads_are_put_together_once(spark, name):
+    """The lines of an item were collected and sorted anew each time that items or probes were read or counted."""
+    lines = spark.createDataFrame([(k, k * 7 % 40, k % 2 * 20, 1, float(k % 3), 0.1) for k in range(80)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double")
+    plan = getattr(kmer_plans, name)(lambda table: lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
 def test_fields_shown_by_block(spark, small_blocks):
     """Rounded and corrected distances are made with a block's distances, not row by row in expressions."""
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["ACGT", "ACGA", "TTTT", "AC", None])], "id int, data string")
